@@ -80,3 +80,176 @@ LATERAL (SELECT CASE WHEN ru.ignore_case THEN lower(
                 ELSE CASE WHEN ru.strip_think THEN {X.strip_think('r.text')} ELSE r.text END
                 END AS hay) h
 GROUP BY ALL"""
+
+
+# ---------------------------------------------------------------- scoreboard
+@oracle("word_counts")
+def _():
+    return f"""SELECT doc_id, lang, {X.word_count('text')} AS n_words,
+       CAST(length(text) AS BIGINT) AS n_chars FROM documents"""
+
+
+@oracle("token_fallback")
+def _():
+    return X.with_(X.RESPONSES) + f"""
+, b AS (
+  SELECT conv_id, turn, {X.word_count('text')} AS n_words,
+         CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN CAST(0 AS BIGINT)
+              ELSE CAST(length(text) // 4 AS BIGINT) END AS reported
+  FROM responses)
+SELECT conv_id, turn, n_words, reported,
+       coalesce(reported, CAST(floor(n_words * 1.3::DOUBLE) AS BIGINT)) AS tokens_missing_fallback,
+       coalesce(nullif(reported, 0), n_words) AS tokens_falsy_fallback
+FROM b"""
+
+
+RATE = "CASE WHEN elapsed > 0 THEN tokens / elapsed ELSE 0.0 END"
+
+
+@oracle("speed_mean_of_rates")
+def _():
+    return X.with_(X.RUNS) + f"""
+SELECT model, suite, CAST(count(*) AS BIGINT) AS n_runs,
+       round(avg({RATE}), 6) AS mean_tps,
+       round(avg(coalesce(nullif(eval_count, 0), tokens) / (duration_ns / 1e9)), 6) AS mean_tps_ns,
+       round(avg(coalesce(nullif(eval_count, 0), tokens)
+                 / (coalesce(nullif(duration_ns, 0), 1) / 1e9)), 0) AS mean_tps_or1
+FROM runs GROUP BY model, suite"""
+
+
+@oracle("speed_ratio_of_sums")
+def _():
+    return X.with_(X.RUNS) + """
+SELECT model, suite, CAST(sum(tokens) AS BIGINT) AS sum_tokens, round(sum(elapsed), 6) AS sum_elapsed,
+       round(CASE WHEN sum(elapsed) > 0 THEN sum(tokens) / sum(elapsed) ELSE 0.0 END, 6) AS avg_tps
+FROM runs GROUP BY model, suite"""
+
+
+RUN_SCORES = f"""run_scores AS (
+  SELECT model, suite, CAST(count_if(passed) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total,
+         round(100.0 * count_if(passed) / count(*), 6) AS score,
+         round(CASE WHEN sum(elapsed) > 0 THEN sum(tokens) / sum(elapsed) ELSE 0.0 END, 6) AS avg_tps,
+         round(avg({RATE}), 6) AS mean_tps
+  FROM runs GROUP BY model, suite)"""
+
+
+@oracle("head_to_head")
+def _():
+    return X.with_(X.RUNS) + """
+, g AS (
+  SELECT suite,
+         CAST(count_if(model = 'A' AND passed) AS BIGINT) AS a_passed,
+         CAST(count_if(model = 'A') AS BIGINT) AS a_total,
+         sum(CASE WHEN model = 'A' THEN tokens END) AS a_tok, sum(CASE WHEN model = 'A' THEN elapsed END) AS a_el,
+         CAST(count_if(model = 'B' AND passed) AS BIGINT) AS b_passed,
+         CAST(count_if(model = 'B') AS BIGINT) AS b_total,
+         sum(CASE WHEN model = 'B' THEN tokens END) AS b_tok, sum(CASE WHEN model = 'B' THEN elapsed END) AS b_el
+  FROM runs WHERE model IN ('A', 'B') GROUP BY suite
+  HAVING count_if(model = 'A') > 0 AND count_if(model = 'B') > 0),
+h AS (
+  SELECT *, 100.0 * a_passed / a_total AS a_s, 100.0 * b_passed / b_total AS b_s,
+         CASE WHEN a_el > 0 THEN a_tok / a_el ELSE 0.0 END AS a_t,
+         CASE WHEN b_el > 0 THEN b_tok / b_el ELSE 0.0 END AS b_t
+  FROM g)
+SELECT suite, a_passed, a_total, round(a_s, 6) AS a_score, round(a_t, 6) AS a_tps,
+       b_passed, b_total, round(b_s, 6) AS b_score, round(b_t, 6) AS b_tps,
+       round(a_s - b_s, 6) AS gap,
+       round(CASE WHEN b_t > 0 THEN a_t / b_t ELSE 0.0 END, 6) AS speed_ratio
+FROM h"""
+
+
+@oracle("common_suites")
+def _():
+    return X.with_(X.RUNS) + """
+SELECT suite FROM runs WHERE model = 'A' INTERSECT SELECT suite FROM runs WHERE model = 'B'"""
+
+
+@oracle("resolve_model")
+def _():
+    return X.with_(X.RUNS) + """
+, labels AS (SELECT model || '_' || suite AS label, min(run_id) AS first_seen FROM runs GROUP BY 1),
+cand AS (
+  SELECT label, first_seen, pattern
+  FROM labels, (SELECT unnest(['A_', 'B_', '_view', 'click', 'zzz']) AS pattern) p
+  WHERE contains(label, pattern))
+SELECT pattern, arg_min(label, first_seen) AS resolved, CAST(count(*) AS BIGINT) AS n_candidates
+FROM cand GROUP BY pattern"""
+
+
+@oracle("summary_pivot")
+def _():
+    cols = ",\n       ".join(
+        f"round(100.0 * count_if(passed AND suite = '{s}') / nullif(count_if(suite = '{s}'), 0), 6) AS {s}"
+        for s in ["click", "error", "purchase", "signup", "view"])
+    return X.with_(X.RUNS) + f"""
+SELECT model,
+       {cols}
+FROM runs GROUP BY model"""
+
+
+@oracle("run_delta")
+def _():
+    return X.with_(X.RUNS) + """
+, l AS (SELECT run_id, model, suite, elapsed,
+               lag(elapsed) OVER (PARTITION BY model, suite ORDER BY run_id) AS prev
+        FROM runs)
+SELECT run_id, model, suite, round(elapsed, 6) AS elapsed, round(prev, 6) AS prev_elapsed,
+       round(elapsed - prev, 6) AS delta FROM l"""
+
+
+@oracle("response_preview")
+def _():
+    return X.with_(X.RESPONSES) + """
+SELECT conv_id, turn, left(prompt, 80) AS prompt_80, left(text, 150) AS text_150,
+       left(text, 400) AS text_400, CAST(greatest(length(text) - 400, 0) AS BIGINT) AS more_400,
+       CASE WHEN length(text) > 400
+            THEN '   ... [' || CAST(length(text) - 400 AS VARCHAR) || ' more chars]' END AS remainder_note
+FROM responses"""
+
+
+@oracle("quality_samples")
+def _():
+    return X.with_(X.RESPONSES) + """
+, t AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY prompt_id) AS ord,
+               left(text, 60) AS preview, length(text) AS n_chars FROM responses)
+SELECT model, CAST(count(*) AS BIGINT) AS n_samples,
+       string_agg(preview, ' || ' ORDER BY ord) AS samples, CAST(sum(n_chars) AS BIGINT) AS sample_chars
+FROM t WHERE ord <= 3 GROUP BY model"""
+
+
+@oracle("side_by_side")
+def _():
+    return X.with_(X.RESPONSES) + """
+, f AS (SELECT model, test_ord, min(prompt_id) AS pid FROM responses GROUP BY model, test_ord),
+s AS (SELECT r.model, r.test_ord, r.prompt_id, left(r.text, 200) AS preview,
+             CAST(length(r.text) AS BIGINT) AS n_chars
+      FROM responses r JOIN f ON r.model = f.model AND r.test_ord = f.test_ord AND r.prompt_id = f.pid)
+SELECT a.test_ord, a.prompt_id AS a_prompt_id, a.preview AS a_preview, a.n_chars AS a_chars,
+       b.prompt_id AS b_prompt_id, b.preview AS b_preview, b.n_chars AS b_chars
+FROM s a JOIN s b ON a.test_ord = b.test_ord AND a.model = 'A' AND b.model = 'B'"""
+
+
+@oracle("suite_filter")
+def _():
+    return X.with_(X.RUNS) + """
+SELECT run_id, model, suite, tokens, round(elapsed, 6) AS elapsed FROM runs
+WHERE suite IN ('click', 'view')"""
+
+
+@oracle("model_filter")
+def _():
+    return X.with_(X.RUNS) + """
+SELECT model, suite, CAST(count(*) AS BIGINT) AS n_runs, CAST(count_if(passed) AS BIGINT) AS passed
+FROM runs WHERE model = 'A' GROUP BY model, suite"""
+
+
+@oracle("result_json")
+def _():
+    return X.with_(X.RUNS, RUN_SCORES) + """
+SELECT model, suite, score, passed, total, avg_tps FROM run_scores"""
+
+
+@oracle("result_json_filtered")
+def _():
+    return X.with_(X.RUNS, RUN_SCORES) + """
+SELECT model, suite, score, passed, total, avg_tps FROM run_scores"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import grading
+from quire.operators import grading, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,23 @@ QUERIES: dict[str, Query] = {
     "suite_score": grading.suite_score,
     "failure_report": grading.failure_report,
     "rule_catalog": grading.rule_catalog,
+    # M1 — scoreboard
+    "word_counts": metrics.word_counts,
+    "token_fallback": metrics.token_fallback,
+    "speed_mean_of_rates": metrics.speed_mean_of_rates,
+    "speed_ratio_of_sums": metrics.speed_ratio_of_sums,
+    "head_to_head": metrics.head_to_head,
+    "common_suites": metrics.common_suites,
+    "resolve_model": metrics.resolve_model,
+    "summary_pivot": metrics.summary_pivot,
+    "run_delta": metrics.run_delta,
+    "response_preview": metrics.response_preview,
+    "quality_samples": metrics.quality_samples,
+    "side_by_side": metrics.side_by_side,
+    "suite_filter": metrics.suite_filter,
+    "model_filter": metrics.model_filter,
+    "result_json": metrics.result_json,
+    "result_json_filtered": metrics.result_json_filtered,
 }
 
 # Queries whose result is checked by row count only (UDF / MLlib / IO / timing).

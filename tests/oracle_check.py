@@ -44,6 +44,8 @@ def canon(v, strict: bool):
     if isinstance(v, float):
         if math.isnan(v):
             return (1, "nan")
+        if v.is_integer() and abs(v) < 2**53:
+            return (2, str(int(v)))
         return (1, repr(v) if strict else f"{v:.6g}")
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
