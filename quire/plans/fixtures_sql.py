@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.functions.text import EDGE_WS_RE, THINK_RE, WORD_RE
+from quire.functions.text import EDGE_WS_RE, THINK_RE, WORD_RE, WS_BODY
 from quire.sources import literals as L
 
 WORD = WORD_RE
@@ -79,3 +79,25 @@ def md5_int(expr: str, digits: int = 7) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def q(s: str) -> str:
+    """SQL string literal (real newlines kept)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+TEMPS = """temps AS (
+  SELECT CAST(i - 1 AS INTEGER) AS temp_idx,
+         CAST(string_split('0.2,0.4,0.6', ',')[i] AS DOUBLE) AS temperature
+  FROM range(1, 4) r(i))"""
+
+RANKED = """ranked AS (
+  SELECT prompt_id, prompt, md5('42:' || CAST(prompt_id AS VARCHAR)) AS shuffle_key,
+         row_number() OVER (ORDER BY md5('42:' || CAST(prompt_id AS VARCHAR)), prompt_id) AS shuffle_rank,
+         count(*) OVER () AS n_prompts
+  FROM prompts),
+split AS (
+  SELECT *, CASE WHEN shuffle_rank - 1 < floor(n_prompts * 0.85::DOUBLE) THEN 'train' ELSE 'valid' END AS split
+  FROM ranked),
+plan AS (
+  SELECT s.*, t.temp_idx, t.temperature FROM split s, temps t)"""

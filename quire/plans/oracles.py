@@ -253,3 +253,149 @@ SELECT model, suite, score, passed, total, avg_tps FROM run_scores"""
 def _():
     return X.with_(X.RUNS, RUN_SCORES) + """
 SELECT model, suite, score, passed, total, avg_tps FROM run_scores"""
+
+
+# ---------------------------------------------------------------- data production
+CHAT_USER = X.q("<|im_start|>user\n")
+CHAT_MID = X.q("<|im_end|>\n<|im_start|>assistant\n")
+
+
+@oracle("chat_prompt")
+def _():
+    return X.with_(X.PROMPTS) + f"""
+SELECT prompt_id, {CHAT_USER} || prompt || {CHAT_MID} AS chat,
+       CAST(length({CHAT_USER} || prompt || {CHAT_MID}) AS BIGINT) AS n_chars
+FROM prompts"""
+
+
+EXAMPLE = f"{CHAT_USER} || prompt || {CHAT_MID} || text || '<|im_end|>'"
+
+
+@oracle("chat_example")
+def _():
+    return X.with_(X.RESPONSES) + f"""
+SELECT conv_id, turn, {EXAMPLE} AS text, CAST(length({EXAMPLE}) AS BIGINT) AS n_chars
+FROM responses"""
+
+
+@oracle("chat_conversation")
+def _():
+    seg = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
+    body = f"string_agg({seg}, '' ORDER BY turn) || '<|im_start|>assistant' || chr(10)"
+    return f"""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, md5({body}) AS rendered_md5,
+       CAST(length({body}) AS BIGINT) AS n_chars
+FROM conversations GROUP BY conv_id"""
+
+
+@oracle("strip_think")
+def _():
+    inj = ("CASE WHEN conv_id % 3 = 0 THEN '<think>' || left(text, 40) || '</think>' || chr(10) || text "
+           "WHEN conv_id % 3 = 1 THEN left(text, 30) || '</think>' || text ELSE text END")
+    strict = X.strip_think("t")
+    lenient = X.strip_think("t", lenient=True)
+    return X.with_(X.RESPONSES) + f"""
+, i AS (SELECT conv_id, turn, {inj} AS t FROM responses)
+SELECT conv_id, turn, contains({strict}, '</think>') AS has_orphan,
+       CAST(length({strict}) AS BIGINT) AS strict_chars, CAST(length({lenient}) AS BIGINT) AS lenient_chars,
+       md5({strict}) AS strict_md5, md5({lenient}) AS lenient_md5
+FROM i"""
+
+
+@oracle("temperature_plan")
+def _():
+    return X.with_(X.PROMPTS, X.TEMPS) + """
+SELECT p.prompt_id, t.temp_idx, t.temperature, greatest(t.temperature, 0.01::DOUBLE) AS eff_temperature,
+       t.temperature > 0 AS do_sample, 0.9::DOUBLE AS top_p
+FROM prompts p, temps t"""
+
+
+@oracle("seeded_shuffle")
+def _():
+    return X.with_(X.PROMPTS, X.TEMPS, X.RANKED) + """
+SELECT prompt_id, shuffle_key, CAST(shuffle_rank AS BIGINT) AS shuffle_rank FROM ranked"""
+
+
+@oracle("group_split")
+def _():
+    return X.with_(X.PROMPTS, X.TEMPS, X.RANKED) + """
+SELECT prompt_id, temperature, split FROM plan"""
+
+
+@oracle("progress_index")
+def _():
+    return X.with_(X.PROMPTS, X.TEMPS, X.RANKED) + """
+, p AS (SELECT prompt_id, temperature, CAST((shuffle_rank - 1) * 3 + temp_idx + 1 AS BIGINT) AS idx,
+               CAST(n_prompts * 3 AS BIGINT) AS total FROM plan)
+SELECT prompt_id, temperature, idx, total,
+       '[' || CAST(idx AS VARCHAR) || '/' || CAST(total AS VARCHAR) || ']' AS label FROM p"""
+
+
+@oracle("ordered_split")
+def _():
+    return X.with_(X.PROMPTS) + """
+, r AS (SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) AS rank, count(*) OVER () AS n FROM prompts)
+SELECT prompt_id, CAST(rank AS BIGINT) AS rank,
+       CASE WHEN rank - 1 < floor(n * 0.85::DOUBLE) THEN 'train' ELSE 'valid' END AS split
+FROM r"""
+
+
+@oracle("split_counts")
+def _():
+    return X.with_(X.PROMPTS, X.TEMPS, X.RANKED) + """
+SELECT split, CAST(count(*) AS BIGINT) AS n_rows, CAST(count_if(temp_idx = 0) AS BIGINT) AS n_prompts
+FROM (SELECT * FROM plan WHERE split = 'train' UNION ALL SELECT * FROM plan WHERE split = 'valid')
+GROUP BY split"""
+
+
+@oracle("split_leakage")
+def _():
+    norm = f"lower(regexp_replace({X.py_strip('prompt')}, '[{X.WS_BODY}]+', ' ', 'g'))"
+    return X.with_(X.PROMPTS, X.TEMPS, X.RANKED) + f"""
+, n AS (SELECT prompt_id, split, {norm} AS norm FROM split),
+tr AS (SELECT * FROM n WHERE split = 'train'), va AS (SELECT * FROM n WHERE split = 'valid')
+SELECT 'same_prompt_id' AS "check", CAST(count(*) AS BIGINT) AS n
+FROM tr WHERE prompt_id IN (SELECT prompt_id FROM va)
+UNION ALL
+SELECT 'same_prompt_text', CAST(count(*) AS BIGINT) FROM tr WHERE norm IN (SELECT norm FROM va)
+UNION ALL
+SELECT 'train_after_anti_join', CAST(count(*) AS BIGINT) FROM tr WHERE norm NOT IN (SELECT norm FROM va)"""
+
+
+@oracle("batch_plan")
+def _():
+    return X.with_(X.PROMPTS, X.TEMPS, X.RANKED) + """
+, ex AS (SELECT prompt_id * 10 + CAST(round(temperature * 10) AS BIGINT) AS example_id
+         FROM plan WHERE split = 'train'),
+ep AS (SELECT example_id, CAST(e AS INTEGER) AS epoch FROM ex, range(0, 3) t(e)),
+rk AS (SELECT epoch, example_id,
+              row_number() OVER (PARTITION BY epoch ORDER BY
+                 md5(CAST(epoch + 42 AS VARCHAR) || ':' || CAST(example_id AS VARCHAR)), example_id) AS rank,
+              count(*) OVER (PARTITION BY epoch) AS n
+       FROM ep),
+st AS (SELECT epoch, example_id, CAST(rank AS BIGINT) AS rank,
+              CAST(floor((rank - 1) / 2) AS BIGINT) AS micro_batch,
+              CAST(epoch * ceil(n / 8) + floor((rank - 1) / 8) AS BIGINT) AS global_step
+       FROM rk)
+SELECT *, global_step % 5 = 0 AS log_step, global_step % 25 = 0 AS eval_step
+FROM st WHERE global_step < 400"""
+
+
+CALIB = f"""calib AS (
+  SELECT s.split, {CHAT_USER} || r.prompt || {CHAT_MID} || r.text || '<|im_end|>' AS text
+  FROM responses r JOIN split s ON r.prompt_id = s.prompt_id)"""
+
+
+@oracle("jsonl_roundtrip")
+def _():
+    return X.with_(X.PROMPTS, X.RESPONSES, X.TEMPS, X.RANKED, CALIB) + """
+SELECT split, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n_chars FROM calib"""
+
+
+ORACLES["materialize_if_absent"] = ORACLES["jsonl_roundtrip"]
+
+
+@oracle("present_sources")
+def _():
+    return """SELECT 'documents' AS source_table, CAST(count(*) AS BIGINT) AS n_rows FROM documents
+UNION ALL SELECT 'labels', CAST(count(*) AS BIGINT) FROM labels
+UNION ALL SELECT 'pages', CAST(count(*) AS BIGINT) FROM pages"""

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import grading, metrics
+from quire.operators import chat, grading, metrics, splits
+from quire.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,23 @@ QUERIES: dict[str, Query] = {
     "model_filter": metrics.model_filter,
     "result_json": metrics.result_json,
     "result_json_filtered": metrics.result_json_filtered,
+    # M2 — data production
+    "chat_prompt": chat.chat_prompt,
+    "chat_example": chat.chat_example,
+    "chat_conversation": chat.chat_conversation,
+    "strip_think": chat.strip_think,
+    "temperature_plan": chat.temperature_plan,
+    "progress_index": splits.progress_index,
+    "seeded_shuffle": splits.seeded_shuffle,
+    "group_split": splits.group_split,
+    "ordered_split": splits.ordered_split,
+    "split_counts": splits.split_counts,
+    "split_leakage": splits.split_leakage,
+    "batch_plan": splits.batch_plan,
+    "jsonl_roundtrip": files.jsonl_roundtrip,
+    "materialize_if_absent": files.materialize_if_absent,
+    "present_sources": files.present_sources,
+    "storage_footprint": files.storage_footprint,
 }
 
 # Queries whose result is checked by row count only (UDF / MLlib / IO / timing).
