@@ -399,3 +399,110 @@ def _():
     return """SELECT 'documents' AS source_table, CAST(count(*) AS BIGINT) AS n_rows FROM documents
 UNION ALL SELECT 'labels', CAST(count(*) AS BIGINT) FROM labels
 UNION ALL SELECT 'pages', CAST(count(*) AS BIGINT) FROM pages"""
+
+
+# ---------------------------------------------------------------- tokens and language models
+TOKS = f"""toks AS (
+  SELECT doc_id, lang, {X.words('lower(text)')} AS toks FROM documents)"""
+
+UNI = """uni AS (SELECT lang, tok, count(*) AS n FROM (SELECT lang, unnest(toks) AS tok FROM toks) GROUP BY ALL),
+gw AS (SELECT tok, sum(n) AS n_w FROM uni GROUP BY tok),
+tot AS (SELECT sum(n_w) AS N, count(*) AS V FROM gw)"""
+
+
+def _bigrams(lang_filter: str = "") -> str:
+    return f"""bi0 AS (SELECT lang, toks, unnest(range(1, len(toks))) AS i FROM toks {lang_filter}),
+bi AS (SELECT lang, toks[i] AS ctx, toks[i + 1] AS tok, count(*) AS c FROM bi0 GROUP BY ALL)"""
+
+
+@oracle("token_windows")
+def _():
+    tid = f"({X.md5_int('w')} % 50000) + 1"
+    return f"""WITH t AS (SELECT doc_id, list_transform({X.words('text')}, lambda w: {tid}) AS ids FROM documents),
+win AS (SELECT doc_id, len(ids) AS n, list_resize(ids[1:2048], 2048, 0) AS input_ids FROM t)
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(least(n, 2048) AS BIGINT) AS n_kept,
+       n > 2048 AS truncated,
+       CAST(list_sum(list_transform(input_ids, lambda x, i: x * i)) AS BIGINT) AS id_checksum,
+       CAST(list_sum(list_transform(input_ids, lambda x, i: (CASE WHEN x = 0 THEN -100 ELSE x END) * i))
+            AS BIGINT) AS label_checksum,
+       CAST(least(n, 2048) AS BIGINT) AS n_attended
+FROM win"""
+
+
+@oracle("next_token_pairs")
+def _():
+    tid = f"({X.md5_int('w')} % 50000) + 1"
+    return f"""WITH t AS (SELECT doc_id, list_transform({X.words('text')}, lambda w: {tid}) AS ids FROM documents)
+SELECT doc_id, CAST(greatest(len(ids) - 1, 0) AS BIGINT) AS n_pairs,
+       CAST(coalesce(list_sum(list_transform(range(1, len(ids)),
+            lambda i: ((ids[i] * 50021 + ids[i + 1]) % 1000003) * i)), 0) AS BIGINT) AS pair_checksum
+FROM t"""
+
+
+@oracle("unigram_perplexity")
+def _():
+    return X.with_(TOKS, UNI) + """
+SELECT CAST(N AS BIGINT) AS n_tokens, CAST(V AS BIGINT) AS vocab,
+       round(exp((SELECT -sum(n_w * ln((n_w + 1) / (N + V + 1))) FROM gw) / N), 6) AS perplexity
+FROM tot"""
+
+
+@oracle("bigram_perplexity")
+def _():
+    return X.with_(TOKS, UNI, _bigrams()) + """
+, m AS (SELECT lang, ctx, sum(c) AS m FROM bi GROUP BY ALL),
+v AS (SELECT lang, count(*) AS V FROM uni GROUP BY lang)
+SELECT bi.lang, CAST(sum(c) AS BIGINT) AS n_bigrams, CAST(any_value(v.V) AS BIGINT) AS vocab,
+       round(exp(-sum(c * ln((c + 1) / (m.m + v.V))) / sum(c)), 4) AS perplexity
+FROM bi JOIN m ON bi.lang = m.lang AND bi.ctx = m.ctx JOIN v ON bi.lang = v.lang
+GROUP BY bi.lang"""
+
+
+@oracle("perplexity_by_group")
+def _():
+    return X.with_(TOKS, UNI) + """
+, s AS (SELECT uni.lang, uni.n, ln((gw.n_w + 1) / (tot.N + tot.V + 1)) AS logp
+        FROM uni JOIN gw ON uni.tok = gw.tok, tot)
+SELECT lang, CAST(sum(n) AS BIGINT) AS n_tokens, round(-sum(n * logp) / sum(n), 6) AS mean_loss,
+       round(exp(-sum(n * logp) / sum(n)), 4) AS perplexity
+FROM s GROUP BY ROLLUP (lang)"""
+
+
+@oracle("kl_unigram")
+def _():
+    return X.with_(TOKS, UNI) + """
+, nl AS (SELECT lang, sum(n) AS N FROM uni GROUP BY lang)
+SELECT uni.lang,
+       round(sum((uni.n / nl.N) * ln((uni.n / nl.N) / ((gw.n_w + 1) / (tot.N + tot.V)))), 6) AS kl
+FROM uni JOIN gw ON uni.tok = gw.tok JOIN nl ON uni.lang = nl.lang, tot
+GROUP BY uni.lang"""
+
+
+@oracle("temperature_distribution")
+def _():
+    return X.with_(TOKS, _bigrams("WHERE lang = 'en'")) + """
+, ct AS (SELECT ctx, sum(c) AS tot, max(c) AS mx FROM bi GROUP BY ctx HAVING sum(c) >= 50),
+w AS (SELECT t.T, bi.ctx, pow(bi.c / ct.mx, 1.0 / t.T) AS w
+      FROM bi JOIN ct ON bi.ctx = ct.ctx, (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE)) t(T)),
+p AS (SELECT T, ctx, w / sum(w) OVER (PARTITION BY T, ctx) AS p FROM w)
+SELECT T AS temperature, ctx, CAST(count(*) AS BIGINT) AS n_succ, round(max(p), 6) AS max_p,
+       round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END), 6) AS entropy
+FROM p GROUP BY T, ctx"""
+
+
+@oracle("nucleus_filter")
+def _():
+    return X.with_(TOKS, _bigrams("WHERE lang = 'en'")) + """
+, w AS (SELECT ctx, tok, c,
+               CAST(coalesce(sum(c) OVER (PARTITION BY ctx ORDER BY c DESC, tok
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior,
+               CAST(sum(c) OVER (PARTITION BY ctx) AS BIGINT) AS total
+        FROM bi)
+SELECT ctx, tok, c, prior, total FROM w WHERE prior * 10 < total * 9"""
+
+
+@oracle("greedy_next")
+def _():
+    return X.with_(TOKS, _bigrams("WHERE lang = 'en'")) + """
+SELECT ctx, first(tok ORDER BY c DESC, tok) AS tok, max(c) AS c, CAST(sum(c) AS BIGINT) AS total
+FROM bi GROUP BY ctx"""

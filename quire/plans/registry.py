@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import chat, grading, metrics, splits
+from quire.operators import chat, grading, lm, metrics, splits, tokens
 from quire.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +51,17 @@ QUERIES: dict[str, Query] = {
     "materialize_if_absent": files.materialize_if_absent,
     "present_sources": files.present_sources,
     "storage_footprint": files.storage_footprint,
+    # M3 — tokens and language models
+    "token_windows": tokens.token_windows,
+    "next_token_pairs": tokens.next_token_pairs,
+    "unigram_perplexity": lm.unigram_perplexity,
+    "bigram_perplexity": lm.bigram_perplexity,
+    "perplexity_by_group": lm.perplexity_by_group,
+    "temperature_distribution": lm.temperature_distribution,
+    "nucleus_filter": lm.nucleus_filter,
+    "greedy_next": lm.greedy_next,
+    "kl_unigram": lm.kl_unigram,
 }
 
 # Queries whose result is checked by row count only (UDF / MLlib / IO / timing).
-ROWS_ONLY: set[str] = set()
+ROWS_ONLY: set[str] = {"storage_footprint"}
