@@ -506,3 +506,191 @@ def _():
     return X.with_(TOKS, _bigrams("WHERE lang = 'en'")) + """
 SELECT ctx, first(tok ORDER BY c DESC, tok) AS tok, max(c) AS c, CAST(sum(c) AS BIGINT) AS total
 FROM bi GROUP BY ctx"""
+
+
+# ---------------------------------------------------------------- losses over the logits view
+STU = """stu AS (
+  SELECT vec_id, label, CASE WHEN vec_id % 7 = 0 THEN -100 ELSE label END AS target,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 10.0) AS z
+  FROM embeddings),
+stu1 AS (SELECT *, list_max(z) AS mx, list_max(list_transform(z, lambda x: x * 0.25)) AS mx_t FROM stu),
+s AS (SELECT *, mx + ln(list_sum(list_transform(z, lambda x: exp(x - mx)))) AS lse,
+             mx_t + ln(list_sum(list_transform(z, lambda x: exp(x * 0.25 - mx_t)))) AS lse_t FROM stu1)"""
+
+
+def _teacher(where: str = "") -> str:
+    return f"""cells AS (
+  SELECT label, i, avg(x) AS m
+  FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(1, len(embedding) + 1)) AS i
+        FROM embeddings {where})
+  GROUP BY label, i),
+tch AS (SELECT label, list(m * 10.0 ORDER BY i) AS t FROM cells GROUP BY label),
+tch1 AS (SELECT label, t, list_max(list_transform(t, lambda x: x * 0.25)) AS tm FROM tch),
+tch2 AS (SELECT label, t, tm + ln(list_sum(list_transform(t, lambda x: exp(x * 0.25 - tm)))) AS t_lse FROM tch1),
+tch3 AS (SELECT label, t, list_transform(t, lambda x: exp(x * 0.25 - t_lse)) AS p_t FROM tch2)"""
+
+
+KL_ROW = ("16.0 * list_sum(list_transform(range(1, len(z) + 1), "
+          "lambda i: p_t[i] * (ln(p_t[i]) - (z[i] * 0.25 - lse_t))))")
+
+
+@oracle("softmax_rows")
+def _():
+    return X.with_(STU) + """
+SELECT vec_id, label, round(lse, 6) AS logsumexp, round(exp(z[label + 1] - lse), 6) AS p_label,
+       round(exp(mx - lse), 6) AS p_max, round(exp(z[label + 1] * 0.25 - lse_t), 6) AS p_label_t
+FROM s"""
+
+
+@oracle("ce_logits")
+def _():
+    return X.with_(STU) + """
+, r AS (SELECT vec_id // 8 AS batch_id, CASE WHEN target = -100 THEN NULL ELSE lse - z[target + 1] END AS loss
+        FROM s)
+SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(loss) AS BIGINT) AS n_unmasked,
+       round(avg(loss), 6) AS ce_mean
+FROM r GROUP BY batch_id"""
+
+
+@oracle("kl_logits")
+def _():
+    return X.with_(STU, _teacher()) + f"""
+, r AS (SELECT s.vec_id // 8 AS batch_id, s.target,
+               CASE WHEN s.target = -100 THEN 0.0 ELSE {KL_ROW} END AS kl
+        FROM s JOIN tch3 ON s.label = tch3.label)
+SELECT batch_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count_if(target <> -100) AS BIGINT) AS n_unmasked,
+       round(sum(kl) / count(*), 6) AS kl_batchmean,
+       round(sum(kl) / nullif(count_if(target <> -100), 0), 6) AS kl_token_mean
+FROM r GROUP BY batch_id"""
+
+
+@oracle("blended_loss")
+def _():
+    return X.with_(STU, _teacher("WHERE label % 3 <> 0")) + f"""
+, r AS (SELECT s.vec_id // 8 AS batch_id, tch3.t IS NOT NULL AS has_teacher,
+               CASE WHEN s.target = -100 THEN NULL ELSE s.lse - s.z[s.target + 1] END AS ce,
+               CASE WHEN s.target = -100 THEN NULL
+                    WHEN tch3.t IS NOT NULL THEN {KL_ROW}
+                    ELSE 16.0 * (s.lse_t - s.z[s.target + 1] * 0.25) END AS soft
+        FROM s LEFT JOIN tch3 ON s.label = tch3.label)
+SELECT batch_id, CAST(count_if(has_teacher) AS BIGINT) AS n_teacher, round(avg(ce), 6) AS ce_mean,
+       round(avg(soft), 6) AS soft_mean,
+       round(0.7::DOUBLE * avg(soft) + (1 - 0.7::DOUBLE) * avg(ce), 6) AS loss
+FROM r GROUP BY batch_id"""
+
+
+# ---------------------------------------------------------------- quantisation
+from quire.sources import literals as _L  # noqa: E402
+
+BITS = "(VALUES (3), (5), (6), (8)) b(bits)"
+QV = f"""qv AS (
+  SELECT vec_id, label, bits, v, list_min(v) AS mn, pow(2.0, bits) - 1 AS lv,
+         (list_max(v) - list_min(v)) / (pow(2.0, bits) - 1) AS scale
+  FROM vectors, {BITS}),
+qq AS (
+  SELECT *, list_transform(v, lambda x: CAST(CASE WHEN scale > 0
+            THEN least(greatest(round((x - mn) / scale), 0.0), lv) ELSE 0.0 END AS INTEGER)) AS q
+  FROM qv),
+qe AS (
+  SELECT *, list_transform(range(1, len(v) + 1), lambda i: mn + q[i] * scale - v[i]) AS err FROM qq)"""
+
+POLICY = r"""pol AS (
+  SELECT *, TRY_CAST(regexp_extract(path, '(?:^|\.)layers\.(\d+)(?:\.|$)', 1) AS INTEGER) AS layer
+  FROM segments),
+pol2 AS (
+  SELECT *, CASE WHEN module = 'norm' THEN NULL
+                 WHEN contains(path, 'k_proj') OR contains(path, 'v_proj') THEN 6
+                 WHEN contains(path, 'down_proj') AND ((layer IS NOT NULL AND layer < 3)
+                      OR (layer IS NOT NULL AND layer >= 7)) THEN 6
+                 WHEN contains(path, 'o_proj') AND layer IS NOT NULL AND layer >= 7 THEN 6
+                 ELSE 5 END AS bits,
+            CASE WHEN module <> 'norm' THEN 64 END AS group_size
+  FROM pol)"""
+
+
+@oracle("precision_policy")
+def _():
+    return X.with_(X.VECTORS, X.SEGMENTS, POLICY) + """
+SELECT path, module, bits, group_size, CAST(count(*) AS BIGINT) AS n_vectors, any_value(layer) AS layer
+FROM pol2 GROUP BY path, module, bits, group_size"""
+
+
+@oracle("quantize_groupwise")
+def _():
+    return X.with_(X.VECTORS, QV) + """
+SELECT vec_id, bits, CAST(list_sum(list_transform(q, lambda x, i: x * i)) AS BIGINT) AS q_checksum,
+       round(scale, 12) AS scale, round(mn, 12) AS bias,
+       round(list_sum(list_transform(err, lambda e: e * e)), 12) AS sse
+FROM qe"""
+
+
+@oracle("quant_error_by_bits")
+def _():
+    return X.with_(X.VECTORS, QV) + """
+SELECT bits, CAST(sum(len(v)) AS BIGINT) AS n_values,
+       round(sum(list_sum(list_transform(err, lambda e: e * e))) / sum(len(v)), 12) AS mse,
+       round(max(list_max(list_transform(err, lambda e: abs(e)))), 9) AS max_abs
+FROM qe GROUP BY bits"""
+
+
+@oracle("quantize_mixed")
+def _():
+    return X.with_(X.VECTORS, X.SEGMENTS, POLICY) + """
+, qv AS (SELECT bits, v, list_min(v) AS mn, pow(2.0, bits) - 1 AS lv,
+                (list_max(v) - list_min(v)) / (pow(2.0, bits) - 1) AS scale FROM pol2),
+qq AS (SELECT *, list_transform(v, lambda x: CAST(CASE WHEN scale > 0
+              THEN least(greatest(round((x - mn) / scale), 0.0), lv) ELSE 0.0 END AS INTEGER)) AS q FROM qv),
+qe AS (SELECT bits, v, CASE WHEN bits IS NULL THEN 0.0 ELSE
+              list_sum(list_transform(range(1, len(v) + 1),
+                   lambda i: (mn + q[i] * scale - v[i]) * (mn + q[i] * scale - v[i]))) END AS sse FROM qq)
+SELECT bits, CAST(count(*) AS BIGINT) AS n_vectors, round(sum(sse) / sum(len(v)), 12) AS mse
+FROM qe GROUP BY bits"""
+
+
+@oracle("quantize_nf4")
+def _():
+    mids = _L.sql_double_list(_L.NF4_MIDPOINTS)
+    codes = _L.sql_double_list(_L.NF4_CODES)
+    return X.with_(X.VECTORS) + f"""
+, b AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS absmax FROM vectors),
+c AS (SELECT *, list_transform(list_transform(v, lambda x: x / absmax),
+                               lambda y: len(list_filter({mids}, lambda m: m < y))) AS idx,
+             vec_id // 256 AS dq_group FROM b),
+d AS (SELECT *, avg(absmax) OVER (PARTITION BY dq_group) AS mean_s FROM c),
+e AS (SELECT *, max(abs(absmax - mean_s)) OVER (PARTITION BY dq_group) AS amax2 FROM d),
+f AS (SELECT *, CASE WHEN amax2 > 0 THEN mean_s + round((absmax - mean_s) / (amax2 / 127.0)) * (amax2 / 127.0)
+                     ELSE absmax END AS absmax_dq FROM e),
+g AS (SELECT dq_group, len(v) AS n,
+             list_sum(list_transform(range(1, len(v) + 1), lambda i:
+                 (({codes})[idx[i] + 1] * absmax - v[i]) * (({codes})[idx[i] + 1] * absmax - v[i]))) AS sse,
+             list_sum(list_transform(range(1, len(v) + 1), lambda i:
+                 (({codes})[idx[i] + 1] * absmax_dq - v[i]) * (({codes})[idx[i] + 1] * absmax_dq - v[i]))) AS sse_dq
+      FROM f)
+SELECT dq_group, CAST(count(*) AS BIGINT) AS n_blocks, round(sum(sse) / sum(n), 12) AS mse_nf4,
+       round(sum(sse_dq) / sum(n), 12) AS mse_nf4_dq
+FROM g GROUP BY dq_group"""
+
+
+@oracle("topk_fidelity")
+def _():
+    def top(arr):
+        return (f"list_transform(list_sort(list_transform({arr}, lambda x, i: {{'k': -x, 'i': i}}))[1:10], "
+                f"lambda s: s.i)")
+    return X.with_(X.VECTORS, QV) + f"""
+, d AS (SELECT bits, v, list_transform(q, lambda x: mn + x * scale) AS deq FROM qq)
+SELECT bits, CAST(count(*) AS BIGINT) AS n_vectors,
+       round(avg(len(list_intersect({top('v')}, {top('deq')})) / 10.0), 6) AS recall_at_10
+FROM d GROUP BY bits"""
+
+
+@oracle("footprint_by_bits")
+def _():
+    return X.with_(X.VECTORS, X.SEGMENTS, POLICY) + f"""
+, u AS (SELECT 'uniform_' || CAST(b.bits AS VARCHAR) AS scheme, b.bits, v FROM pol2, {BITS.replace('b(bits)', 'b(bits)')}
+        UNION ALL SELECT 'mixed', bits, v FROM pol2),
+t AS (SELECT scheme, CAST(count(*) AS BIGINT) AS n_vectors,
+             CAST(sum(CASE WHEN bits IS NULL THEN len(v) * 4
+                      ELSE ceil(len(v) * bits / 8.0) + ceil(len(v) / 64.0) * 8 END) AS BIGINT) AS total_bytes,
+             CAST(sum(len(v) * 4) AS BIGINT) AS fp32_bytes
+      FROM u GROUP BY scheme)
+SELECT *, round(total_bytes / fp32_bytes, 6) AS ratio FROM t"""

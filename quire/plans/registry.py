@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import chat, grading, lm, metrics, splits, tokens
+from quire.operators import chat, grading, lm, losses, metrics, quant, splits, tokens
 from quire.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,7 +61,21 @@ QUERIES: dict[str, Query] = {
     "nucleus_filter": lm.nucleus_filter,
     "greedy_next": lm.greedy_next,
     "kl_unigram": lm.kl_unigram,
+    # M4 — losses
+    "softmax_rows": losses.softmax_rows,
+    "ce_logits": losses.ce_logits,
+    "kl_logits": losses.kl_logits,
+    "blended_loss": losses.blended_loss,
+    # M6 — vectors
+    "precision_policy": quant.precision_policy,
+    "quantize_groupwise": quant.quantize_groupwise,
+    "quant_error_by_bits": quant.quant_error_by_bits,
+    "quantize_mixed": quant.quantize_mixed,
+    "quantize_nf4": quant.quantize_nf4,
+    "topk_fidelity": quant.topk_fidelity,
+    "footprint_by_bits": quant.footprint_by_bits,
+    "lowrank_correction": quant.lowrank_correction,
 }
 
 # Queries whose result is checked by row count only (UDF / MLlib / IO / timing).
-ROWS_ONLY: set[str] = {"storage_footprint"}
+ROWS_ONLY: set[str] = {"storage_footprint", "lowrank_correction"}
