@@ -694,3 +694,91 @@ t AS (SELECT scheme, CAST(count(*) AS BIGINT) AS n_vectors,
              CAST(sum(len(v) * 4) AS BIGINT) AS fp32_bytes
       FROM u GROUP BY scheme)
 SELECT *, round(total_bytes / fp32_bytes, 6) AS ratio FROM t"""
+
+
+# ---------------------------------------------------------------- needles and haystacks
+def _fill_values() -> str:
+    return ", ".join(f"({i}, {X.q(s)})" for i, s in enumerate(_L.FILLER_SENTENCES))
+
+
+HAY = f"""fill AS (
+  SELECT choice, sentence, {X.word_count('sentence')} AS words
+  FROM (VALUES {_fill_values()}) t(choice, sentence)),
+sizes AS (SELECT * FROM (VALUES (8192), (32768), (65536), (128000)) s(target_tokens)),
+draws AS (
+  SELECT b.item_id, b.text AS needle, s.target_tokens, sl.slot,
+         CAST({X.md5_int("'42:' || CAST(b.item_id AS VARCHAR) || ':' || CAST(s.target_tokens AS VARCHAR) || ':' || CAST(sl.slot AS VARCHAR)")} % 10 AS INTEGER) AS choice
+  FROM benchmark b, sizes s, range(0, 5000) sl(slot)
+  WHERE sl.slot < s.target_tokens // 4 // 8 + 2),
+hd AS (
+  SELECT dr.item_id, dr.needle, dr.target_tokens, dr.slot, f.sentence, f.words,
+         dr.target_tokens // 4 AS target_words, {X.word_count('dr.needle')} AS needle_words,
+         coalesce(sum(f.words) OVER (PARTITION BY dr.item_id, dr.target_tokens ORDER BY dr.slot
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+  FROM draws dr JOIN fill f ON dr.choice = f.choice),
+hd2 AS (
+  SELECT *, min(CASE WHEN prior >= target_words // 2 AND prior < target_words THEN slot END)
+            OVER (PARTITION BY item_id, target_tokens) AS k
+  FROM hd),
+hd3 AS (
+  SELECT *, count(*) OVER (PARTITION BY item_id, target_tokens) AS n_kept FROM hd2
+  WHERE CASE WHEN k IS NOT NULL THEN slot <= k OR prior + needle_words < target_words
+             ELSE prior < target_words END),
+hrows AS (
+  SELECT item_id, target_tokens, CAST(slot AS DOUBLE) AS pos, sentence, words, FALSE AS is_needle,
+         target_words FROM hd3
+  UNION ALL
+  SELECT item_id, target_tokens,
+         CASE WHEN any_value(k) IS NOT NULL THEN any_value(k) ELSE any_value(n_kept) // 2 END - 0.5,
+         any_value(needle), any_value(needle_words), TRUE, any_value(target_words)
+  FROM hd3 GROUP BY item_id, target_tokens)"""
+
+
+@oracle("filler_sample")
+def _():
+    return X.with_(HAY) + """
+SELECT item_id, target_tokens, CAST(count(*) AS BIGINT) AS n_slots,
+       CAST(sum(choice * (slot + 1)) AS BIGINT) AS choice_checksum,
+       CAST(count(DISTINCT choice) AS BIGINT) AS n_distinct
+FROM draws GROUP BY item_id, target_tokens"""
+
+
+@oracle("haystack_build")
+def _():
+    return X.with_(HAY) + """
+SELECT item_id, target_tokens, CAST(count_if(NOT is_needle) AS BIGINT) AS n_sentences,
+       CAST(max(CASE WHEN is_needle THEN pos + 0.5 END) AS BIGINT) AS needle_pos,
+       CAST(sum(words) AS BIGINT) AS actual_words, CAST(any_value(target_words) AS BIGINT) AS target_words
+FROM hrows GROUP BY item_id, target_tokens"""
+
+
+@oracle("haystack_text")
+def _():
+    head = X.q(_L.CHAT_USER_OPEN + _L.HAYSTACK_QUESTION_HEAD)
+    tail = X.q(_L.HAYSTACK_QUESTION_TAIL + _L.CHAT_END + "\n" + _L.CHAT_ASSISTANT_OPEN)
+    return X.with_(HAY) + f"""
+, h AS (SELECT item_id, target_tokens, string_agg(sentence, ' ' ORDER BY pos) AS hay
+        FROM hrows GROUP BY item_id, target_tokens)
+SELECT item_id, target_tokens, md5({head} || hay || {tail}) AS prompt_md5,
+       CAST(length({head} || hay || {tail}) AS BIGINT) AS n_chars, {X.word_count('hay')} AS n_words
+FROM h"""
+
+
+FIND = """found AS (
+  SELECT b.item_id, d.doc_id, CAST(instr(d.text, b.text) AS BIGINT) AS pos,
+         round((instr(d.text, b.text) - 1) / length(d.text), 6) AS depth
+  FROM documents d, benchmark b WHERE length(b.text) > 0 AND instr(d.text, b.text) > 0)"""
+
+
+@oracle("needle_find")
+def _():
+    return X.with_(FIND) + "SELECT item_id, doc_id, pos, depth FROM found"
+
+
+@oracle("needle_score")
+def _():
+    return X.with_(FIND) + f"""
+, h AS (SELECT item_id, count(*) AS n_docs FROM found GROUP BY item_id)
+SELECT b.item_id, {X.word_count('b.text')} AS n_words, CAST(coalesce(h.n_docs, 0) AS BIGINT) AS n_docs,
+       coalesce(h.n_docs, 0) > 0 AS found
+FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id"""

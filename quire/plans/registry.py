@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import chat, grading, lm, losses, metrics, quant, splits, tokens
+from quire.operators import chat, grading, haystack, lm, losses, metrics, quant, splits, tokens
 from quire.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,12 @@ QUERIES: dict[str, Query] = {
     "ce_logits": losses.ce_logits,
     "kl_logits": losses.kl_logits,
     "blended_loss": losses.blended_loss,
+    # M5 — needles
+    "filler_sample": haystack.filler_sample,
+    "haystack_build": haystack.haystack_build,
+    "haystack_text": haystack.haystack_text,
+    "needle_find": haystack.needle_find,
+    "needle_score": haystack.needle_score,
     # M6 — vectors
     "precision_policy": quant.precision_policy,
     "quantize_groupwise": quant.quantize_groupwise,
