@@ -57,6 +57,9 @@ SELECT rule_set, model, suite, CAST(count_if(ok) AS BIGINT) AS passed,
 FROM graded GROUP BY rule_set, model, suite"""
 
 
+ORACLES["stream_suite_score"] = ORACLES["suite_score"]
+
+
 @oracle("failure_report")
 def _():
     return "WITH " + GRADED + """

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import chat, grading, haystack, lm, losses, metrics, quant, splits, tokens
+from quire.operators import (chat, distill, grading, haystack, inference, lm, losses, metrics,
+                             quant, splits, tokens)
 from quire.sources import files
+from quire.streaming import grader
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,7 +83,15 @@ QUERIES: dict[str, Query] = {
     "topk_fidelity": quant.topk_fidelity,
     "footprint_by_bits": quant.footprint_by_bits,
     "lowrank_correction": quant.lowrank_correction,
+    # M7 — models
+    "batch_generate": inference.batch_generate,
+    "distill_student": distill.distill_student,
+    "param_sweep": distill.param_sweep,
+    "valid_loss": distill.valid_loss,
+    # streaming form of the grader
+    "stream_suite_score": grader.stream_suite_score,
 }
 
 # Queries whose result is checked by row count only (UDF / MLlib / IO / timing).
-ROWS_ONLY: set[str] = {"storage_footprint", "lowrank_correction"}
+ROWS_ONLY: set[str] = {"storage_footprint", "lowrank_correction", "batch_generate",
+                        "distill_student", "param_sweep", "valid_loss"}
