@@ -74,6 +74,7 @@ def shifted_pairs(ids: Column) -> Column:
 
 def next_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.texts(spark, sf_dir, "doc_id", "text")
-    p = d.select("doc_id", shifted_pairs(token_ids(F.col("text"))).alias("pairs"))
+    ids = d.select("doc_id", token_ids(F.col("text")).alias("ids"))
+    p = ids.select("doc_id", shifted_pairs(F.col("ids")).alias("pairs"))
     return p.select("doc_id", F.size("pairs").cast("bigint").alias("n_pairs"),
                     positional_sum(F.col("pairs")).alias("pair_checksum"))

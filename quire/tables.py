@@ -23,6 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Input-parallelism guard for row-heavy work.
+
+    A scan split into fewer tasks than the session's parallelism (e.g. one small
+    file with one row group) is hash-partitioned by its key first, so per-row work
+    (regexes, hashing, array maths) runs on every core.  Large inputs already scan
+    as many splits as there are cores, so on a cluster this adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as a prompt bank: (prompt_id, conv_id, turn, domain, prompt)."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -77,7 +91,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", *(cols or ("doc_id", "text", "lang", "source")))
+    return spread(table(spark, sf_dir, "documents", *(cols or ("doc_id", "text", "lang", "source"))),
+                  "doc_id")
 
 
 def needles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +101,7 @@ def needles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings with the float array widened to DOUBLE once."""
-    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    e = spread(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), "vec_id")
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
