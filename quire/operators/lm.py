@@ -22,17 +22,6 @@ MIN_SUCCESSORS = 50
 TOP_P_NUM, TOP_P_DEN = 9, 10   # keep while prior mass < 0.9 (integer arithmetic)
 
 
-def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a global single-row aggregate to every row.
-
-    The right side is one row by construction (a global ``agg``), so it is
-    broadcast through a keyed hash join instead of a nested-loop cross join.
-    """
-    k = "_scalar_key"
-    return (df.withColumn(k, F.lit(0))
-            .join(F.broadcast(one_row.withColumn(k, F.lit(0))), k).drop(k))
-
-
 def lm_tokens(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """(doc_id, lang, toks): lower-cased whitespace tokens per document."""
     d = tables.texts(spark, sf_dir, "doc_id", "lang", "text")
@@ -87,12 +76,10 @@ def perplexity_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     token-weighted perplexity per language and overall (rollup)."""
     per_lang = unigram_counts(lm_tokens(spark, sf_dir))
     glob = per_lang.groupBy("tok").agg(F.sum("n").alias("n_w"))
-    totals = glob.agg(F.sum("n_w").alias("n_all"), F.count(F.lit(1)).alias("v_all"))
+    # ln(N + V + 1) is a scalar subquery: computed once, inlined as a value.
+    log_z = glob.agg(F.log(F.sum("n_w") + F.count(F.lit(1)) + 1)).scalar()
     scored = (per_lang.join(glob, "tok")
-              .transform(lambda df: attach_scalars(df, totals))
-              .select("lang", "n", (F.log(F.col("n_w") + 1)
-                                    - F.log(F.col("n_all") + F.col("v_all") + 1))
-                      .alias("logp")))
+              .select("lang", "n", (F.log(F.col("n_w") + 1) - log_z).alias("logp")))
     g = (scored.rollup("lang")
          .agg(F.sum("n").alias("n_tokens"), F.sum(-F.col("n") * F.col("logp")).alias("loss")))
     return g.select("lang", F.col("n_tokens").cast("bigint").alias("n_tokens"),
@@ -104,13 +91,12 @@ def kl_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KL(p_lang ‖ q): p = per-language frequencies, q = add-one global model."""
     per_lang = unigram_counts(lm_tokens(spark, sf_dir))
     glob = per_lang.groupBy("tok").agg(F.sum("n").alias("n_w"))
-    totals = glob.agg(F.sum("n_w").alias("S"), F.count(F.lit(1)).alias("V"))
+    log_norm = glob.agg(F.log(F.sum("n_w") + F.count(F.lit(1)))).scalar()  # ln(S + V)
     per = (per_lang.join(glob, "tok").groupBy("lang")
            .agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.log("n")).alias("A"),
                 F.sum(F.col("n") * F.log(F.col("n_w") + 1)).alias("B")))
-    j = attach_scalars(per, totals)
-    kl = (F.col("A") - F.col("B")) / F.col("N") - F.log("N") + F.log(F.col("S") + F.col("V"))
-    return j.select("lang", F.round(kl, 6).alias("kl"))
+    kl = (F.col("A") - F.col("B")) / F.col("N") - F.log("N") + log_norm
+    return per.select("lang", F.round(kl, 6).alias("kl"))
 
 
 def _en_bigrams(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
