@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
+from quire.operators.joins import materialize, sized_broadcast
 from quire.sources import literals as L
 
 SHINGLE = 8        # interior tokens used as the anchor of a long needle
@@ -175,8 +176,10 @@ def needle_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cands[0]
     for x in cands[1:]:
         c = c.unionByName(x)
-    c = c.distinct()
-    v = (c.join(nd.withColumnRenamed("text", "needle"), "item_id").join(docs, "doc_id")
+    # Candidate pairs are few: materialise them once, then broadcast them into the
+    # document scan (checked size) so the documents are verified without a shuffle.
+    c = sized_broadcast(materialize(c.distinct()))
+    v = (docs.join(c, "doc_id").join(nd.withColumnRenamed("text", "needle"), "item_id")
          .select("item_id", "doc_id", F.instr(F.col("text"), F.col("needle")).cast("bigint").alias("pos"),
                  F.length("text").alias("len")))
     return (v.where(F.col("pos") > 0)

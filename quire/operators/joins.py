@@ -1,0 +1,25 @@
+"""Join helpers: broadcast only behind a size check, with a shuffle join beyond it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quire.session import ensure_checkpoint_dir
+
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint to the shared checkpoint folder: cuts the lineage, so
+    the side is computed once even though it is counted and then joined, and a
+    lost executor does not force the upstream to be recomputed."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only if its (materialised) row count is within the bound;
+    otherwise leave it to a shuffle join (with AQE skew handling)."""
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df

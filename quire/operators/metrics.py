@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
-from quire.operators.ranking import quantile_bucket, segmented_lag
+from quire.operators.ranking import range_bucket, segmented_lag
 from quire.sources import literals as L
 
 SUITES = ["click", "error", "purchase", "signup", "view"]
@@ -143,7 +143,7 @@ def run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run change of elapsed time versus the previous run of the same (model, suite)."""
     r = tables.runs(spark, sf_dir).select("run_id", "model", "suite", "elapsed")
     out = segmented_lag(r, ["model", "suite"], "run_id", "elapsed",
-                        quantile_bucket(r, "run_id", 64), "prev_elapsed")
+                        range_bucket(r, "run_id"), "prev_elapsed")
     return out.select("run_id", "model", "suite", F.round("elapsed", 6).alias("elapsed"),
                       F.round("prev_elapsed", 6).alias("prev_elapsed"),
                       F.round(F.col("elapsed") - F.col("prev_elapsed"), 6).alias("delta"))

@@ -1,8 +1,8 @@
 """Exact global ordering without a single-partition exchange.
 
 ``two_level_rank`` numbers rows 1..n in a total order in parallel: rows are put
-into buckets that are monotone in the order (an md5 prefix, or quantile
-boundaries), the (small, bounded) bucket-count table is prefix-summed, and the
+into buckets that are monotone in the order (an md5 prefix, equal-width ranges
+or quantile boundaries), the (small, bounded) bucket-count table is prefix-summed, and the
 local ``row_number`` inside each bucket is offset by it.  This is the building
 block for the shuffle order, the splits, the progress counter, the batch plan
 and the segmented lag (``segmented_lag``).
@@ -10,21 +10,47 @@ and the segmented lag (``segmented_lag``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import seeded_key
 from quire.sources import literals as L
 
-HEX_BUCKET_DIGITS = 3  # 4096 buckets at most
 
+def bucket_count(spark: SparkSession, floor: int = 64, cap: int = 65536) -> int:
+    """Buckets for the two-level schemes: ~16 per core of the running session.
 
-def hex_bucket(md5_col: Column, digits: int = HEX_BUCKET_DIGITS) -> Column:
+    More buckets than tasks keep every bucket small enough for one task even when
+    the data is large; the bucket table itself stays small enough to broadcast.
+    """
+    return max(floor, min(cap, 16 * spark.sparkContext.defaultParallelism))
+
+
+def hex_digits(spark: SparkSession) -> int:
+    """md5 prefix length giving at least ``bucket_count`` buckets (3 → 4096, 4 → 65536)."""
+    return max(3, min(4, math.ceil(math.log(bucket_count(spark), 16))))
+
+
+def hex_bucket(md5_col: Column, digits: int = 3) -> Column:
     return F.substring(md5_col, 1, digits)
 
 
+def range_bucket(df: DataFrame, col: str, n: int | None = None) -> Column:
+    """Monotone equal-width bucket of a numeric key between its min and max.
+
+    min/max are scalar subqueries (computed once, inlined), so no driver round
+    trip; suited to dense ids such as event or prompt ids.
+    """
+    n = n or bucket_count(df.sparkSession)
+    lo = df.agg(F.min(col).cast("double")).scalar()
+    hi = df.agg(F.max(col).cast("double")).scalar()
+    width = F.greatest((hi - lo) / F.lit(float(n)), F.lit(1e-300))
+    return F.least(F.floor((F.col(col).cast("double") - lo) / width), F.lit(n - 1)).cast("int")
+
+
 def quantile_bucket(df: DataFrame, col: str, n: int = 256) -> Column:
     """Monotone bucket of a numeric key from approximate quantiles.
 
@@ -71,7 +97,7 @@ def seeded_order(df: DataFrame, id_col: str, seed=L.SHUFFLE_SEED, name: str = "s
     key = (F.md5(F.concat(seed_col.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
            if seed_col is not None else seeded_key(seed, F.col(id_col)))
     d = df.withColumn("shuffle_key", key)
-    return two_level_rank(d, hex_bucket(F.col("shuffle_key")),
+    return two_level_rank(d, hex_bucket(F.col("shuffle_key"), hex_digits(df.sparkSession)),
                           [F.col("shuffle_key"), F.col(id_col)], partition, name, total)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
-from quire.operators.ranking import quantile_bucket, seeded_order, split_label, two_level_rank
+from quire.operators.ranking import range_bucket, seeded_order, split_label, two_level_rank
 from quire.sources import literals as L
 
 
@@ -56,7 +56,7 @@ def progress_index(spark: SparkSession, sf_dir: str, spec: str = L.DEFAULT_TEMPE
 def ordered_split(spark: SparkSession, sf_dir: str, ratio: float = L.TRAIN_RATIO) -> DataFrame:
     """Split in prompt order, no shuffle: the valid side is the tail."""
     p = tables.prompts(spark, sf_dir).select("prompt_id")
-    r = two_level_rank(p, quantile_bucket(p, "prompt_id"), [F.col("prompt_id")],
+    r = two_level_rank(p, range_bucket(p, "prompt_id"), [F.col("prompt_id")],
                        name="rank", total="n_prompts")
     return r.select("prompt_id", "rank", split_label(F.col("rank"), F.col("n_prompts"), ratio)
                     .alias("split"))
@@ -82,8 +82,9 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              _normalised(F.col("prompt")).alias("norm"))
     train, valid = r.where(F.col("split") == "train"), r.where(F.col("split") == "valid")
     by_id = train.join(valid, "prompt_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    by_text = train.join(valid.select("norm"), "norm", "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    enforced = train.join(valid.select("norm"), "norm", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    valid_norms = valid.select("norm").distinct()  # a hot text meets one row, not many
+    by_text = train.join(valid_norms, "norm", "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    enforced = train.join(valid_norms, "norm", "left_anti").agg(F.count(F.lit(1)).alias("n"))
     return (by_id.select(F.lit("same_prompt_id").alias("check"), "n")
             .unionByName(by_text.select(F.lit("same_prompt_text").alias("check"), "n"))
             .unionByName(enforced.select(F.lit("train_after_anti_join").alias("check"), "n")))
