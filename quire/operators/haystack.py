@@ -132,7 +132,8 @@ def _long_candidates(docs: DataFrame, long_needles: DataFrame, ks: list[int]) ->
         n = F.size("toks")
         starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
         sh = (docs.where(F.size("toks") >= k)
-              .select("doc_id", F.lit(k).alias("k"), F.explode(starts).alias("i"), "toks")
+              .select("doc_id", F.lit(k).alias("k"), F.explode_outer(starts).alias("i"), "toks")
+              .where(F.col("i").isNotNull())
               .select("doc_id", "k", _shingle_hash(F.col("toks"), F.col("i"), F.lit(k)).alias("h")))
         parts.append(sh)
     doc_sh = parts[0]
@@ -146,7 +147,8 @@ def _short_candidates(texts: DataFrame, short_needles: DataFrame, qs: list[int])
     parts = []
     for q in qs:
         starts = F.sequence(F.lit(1), F.greatest(F.length("text") - q + 1, F.lit(1)))
-        parts.append(texts.select("doc_id", F.lit(q).alias("q"), F.explode(starts).alias("i"), "text")
+        parts.append(texts.select("doc_id", F.lit(q).alias("q"), F.explode_outer(starts).alias("i"), "text")
+                     .where(F.col("i").isNotNull())
                      .select("doc_id", "q", F.substring(F.col("text"), F.col("i"), q).alias("g")))
     grams = parts[0]
     for p in parts[1:]:

@@ -30,8 +30,19 @@ def lm_tokens(spark: SparkSession, sf_dir: str, lang: str | None = None) -> Data
     return d.select("doc_id", "lang", T.words(F.lower(F.col("text"))).alias("toks"))
 
 
+def explode_tokens(toks: DataFrame, *keep: str) -> DataFrame:
+    """One row per token.
+
+    ``explode_outer`` + a null filter instead of ``explode``: for a plain explode
+    Catalyst infers ``size(tokens) > 0`` and pushes it below the exchanges, which
+    evaluates the tokenising regex a second time (and before the input is spread).
+    """
+    return (toks.select(*keep, F.explode_outer("toks").alias("tok"))
+            .where(F.col("tok").isNotNull()))
+
+
 def unigram_counts(toks: DataFrame) -> DataFrame:
-    return (toks.select("lang", F.explode("toks").alias("tok"))
+    return (explode_tokens(toks, "lang")
             .groupBy("lang", "tok").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -39,14 +50,14 @@ def bigram_counts(toks: DataFrame) -> DataFrame:
     n = F.size("toks")
     pairs = F.arrays_zip(F.slice("toks", 1, F.greatest(n - 1, F.lit(0))).alias("prev"),
                          F.slice("toks", 2, F.greatest(n - 1, F.lit(0))).alias("next"))
-    return (toks.select("lang", F.explode(pairs).alias("p"))
+    return (toks.select("lang", F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull())
             .select("lang", F.col("p.prev").alias("ctx"), F.col("p.next").alias("tok"))
             .groupBy("lang", "ctx", "tok").agg(F.count(F.lit(1)).alias("c")))
 
 
 def unigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add-one unigram model scored on its own corpus: p = (n+1)/(N+V+1)."""
-    counts = (lm_tokens(spark, sf_dir).select(F.explode("toks").alias("tok"))
+    counts = (explode_tokens(lm_tokens(spark, sf_dir))
               .groupBy("tok").agg(F.count(F.lit(1)).alias("n")))
     g = counts.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V"),
                    F.sum(F.col("n") * F.log(F.col("n") + 1)).alias("S"))
