@@ -45,8 +45,9 @@ def range_bucket(df: DataFrame, col: str, n: int | None = None) -> Column:
     trip; suited to dense ids such as event or prompt ids.
     """
     n = n or bucket_count(df.sparkSession)
-    lo = df.agg(F.min(col).cast("double")).scalar()
-    hi = df.agg(F.max(col).cast("double")).scalar()
+    bounds = df.agg(F.struct(F.min(col).cast("double").alias("lo"),
+                             F.max(col).cast("double").alias("hi"))).scalar()
+    lo, hi = bounds.getField("lo"), bounds.getField("hi")
     width = F.greatest((hi - lo) / F.lit(float(n)), F.lit(1e-300))
     return F.least(F.floor((F.col(col).cast("double") - lo) / width), F.lit(n - 1)).cast("int")
 
