@@ -239,25 +239,42 @@ def residuals(spark: SparkSession, sf_dir: str, bits: int = LOWRANK_BITS) -> Dat
     return g.select("vec_id", r.alias("r"))
 
 
+def _rank_errors(basis: np.ndarray, ranks: tuple[int, ...]):
+    """Per batch: residual energy left after projecting on the first k directions."""
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            r = np.stack(pdf["r"].to_numpy())
+            c2 = np.square(r @ basis.T)                 # coefficients on the directions
+            left = np.square(r).sum(axis=1, keepdims=True) - np.concatenate(
+                [np.zeros((len(r), 1)), np.cumsum(c2, axis=1)], axis=1)
+            left = np.maximum(left, 0.0)
+            yield pd.DataFrame({"rank": list(ranks),
+                                "sse": [float(left[:, k].sum()) for k in ranks],
+                                "n": [int(r.size)] * len(ranks)})
+    return run
+
+
 def lowrank_correction(spark: SparkSession, sf_dir: str, ranks=tuple(RANKS)) -> DataFrame:
-    """Error left after adding a rank-k correction of the 3-bit residual, per k."""
-    res = residuals(spark, sf_dir)
-    partial = res.select("r").mapInPandas(_partial_gram, "cells ARRAY<DOUBLE>, n BIGINT")
+    """Error left after adding a rank-k correction of the 3-bit residual, per k.
+
+    Pass 1: each task folds its rows into a partial d×d Gram matrix (numpy); Spark
+    sums the d² cells; the driver takes the eigenvectors of that constant-size
+    matrix.  Pass 2: each task projects its rows on the directions (numpy, one
+    matrix product per Arrow batch) and emits per-rank partial sums that Spark
+    aggregates.  No row ever leaves its partition.
+    """
+    res = residuals(spark, sf_dir).select("r")
+    partial = res.mapInPandas(_partial_gram, "cells ARRAY<DOUBLE>, n BIGINT")
     cells = (partial.select(F.posexplode("cells").alias("pos", "c"))
              .groupBy("pos").agg(F.sum("c").alias("c")).orderBy("pos").collect())
     d = int(round(len(cells) ** 0.5))
     gram = np.array([row["c"] for row in cells]).reshape(d, d)
     w, vecs = np.linalg.eigh(gram)
     basis = vecs[:, np.argsort(w)[::-1]].T          # rows = principal directions
-    lit_basis = F.array(*[L.double_array(b) for b in basis])
-    proj = let({"r": F.col("r")}, lambda s: F.transform(
-        lit_basis, lambda b: F.aggregate(F.zip_with(b, s["r"], lambda x, y: x * y), F.lit(0.0),
-                                         lambda a, z: a + z)))
-    norm = F.aggregate("r", F.lit(0.0), lambda a, x: a + x * x)
-    rows = res.select(norm.alias("norm"), F.transform(proj, lambda c: c * c).alias("c2"), F.size("r").alias("d"))
-    k = F.explode(F.array(*[F.lit(int(x)) for x in ranks])).alias("rank")
-    kept = F.aggregate(F.slice(F.col("c2"), F.lit(1), F.col("rank")), F.lit(0.0), lambda a, x: a + x)
-    per = rows.select(k, "norm", "c2", "d").select("rank", "d", (F.col("norm") - kept).alias("err"))
+    ranks = tuple(int(k) for k in ranks if 0 <= int(k) <= d)
+    per = res.mapInPandas(_rank_errors(basis, ranks), "rank INT, sse DOUBLE, n BIGINT")
     return (per.groupBy("rank")
-            .agg(F.sum(F.greatest(F.col("err"), F.lit(0.0))).alias("sse"), F.sum("d").alias("n"))
+            .agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
             .select("rank", F.round(F.col("sse") / F.col("n"), 9).alias("mse")))
