@@ -31,10 +31,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     (regexes, hashing, array maths) runs on every core.  Large inputs already scan
     as many splits as there are cores, so on a cluster this adds no shuffle.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave the scan as is
+        return df
+    return df.repartition(target, key) if splits < target else df
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
