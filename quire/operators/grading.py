@@ -14,19 +14,24 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
+from quire.functions.arrays import let
 from quire.sources import literals as L
 
 
-def needle_hit(haystack: Column, rule) -> Column:
+def needle_hit(haystack: Column, rule, lowered: Column | None = None) -> Column:
     """One needle check: optional lower-case, optional prefix window, substring test."""
-    h = F.when(rule["ignore_case"], F.lower(haystack)).otherwise(haystack)
+    h = F.when(rule["ignore_case"], F.lower(haystack) if lowered is None else lowered).otherwise(haystack)
     h = F.when(rule["prefix_chars"].isNull(), h).otherwise(F.left(h, rule["prefix_chars"]))
     return h.contains(rule["needle"])
 
 
 def cnf_check(haystack: Column, clauses: Column) -> Column:
-    """All clauses hold; inside a clause any needle suffices."""
-    return F.forall(clauses, lambda clause: F.exists(clause, lambda r: needle_hit(haystack, r)))
+    """All clauses hold; inside a clause any needle suffices.
+
+    The text and its lower-case form are bound once per row, not per needle.
+    """
+    return let({"h": haystack, "hl": F.lower(haystack), "c": clauses}, lambda s: F.forall(
+        s["c"], lambda clause: F.exists(clause, lambda r: needle_hit(s["h"], r, s["hl"]))))
 
 
 def grade(responses: DataFrame, tests: DataFrame) -> DataFrame:

@@ -11,14 +11,13 @@ them as a literal.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import tables
+from quire.functions.arrays import let
 from quire.sources import literals as L
 
 LAYER_RE = r"(?:^|\.)layers\.(\d+)(?:\.|$)"
@@ -30,12 +29,6 @@ LOWRANK_BITS = 3
 RANKS = [0, 8, 16, 32, 64]
 
 
-def let(fields: dict[str, Column], body: Callable[[Column], Column]) -> Column:
-    """Bind per-row values once and use them inside lambdas (``body(s)``; ``s[name]``)."""
-    return F.element_at(F.transform(F.array(F.struct(*[c.alias(k) for k, c in fields.items()])),
-                                    body), 1)
-
-
 # ---------------------------------------------------------------- policy
 def layer_number(path: Column) -> Column:
     return F.regexp_extract(path, LAYER_RE, 1).try_cast("int")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
+from quire.functions.arrays import positional_sum
 from quire.sources import literals as L
 
 VOCAB = 50000
@@ -23,12 +24,6 @@ def token_ids(text: Column, vocab: int = VOCAB) -> Column:
     return F.transform(T.words(text), lambda t: T.token_id(t, vocab))
 
 
-def positional_sum(arr: Column) -> Column:
-    """Σ x_i · i with 1-based positions, as BIGINT."""
-    weighted = F.transform(arr, lambda x, i: x.cast("bigint") * (i + 1))
-    return F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, b: a + b)
-
-
 def windows(ids: Column, n_kept: Column, max_length: int = L.MAX_LENGTH, mask_eos: bool = True):
     """Truncate / pad to ``max_length``; labels are ids with pad positions set to −100.
 
