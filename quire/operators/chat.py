@@ -31,14 +31,19 @@ def chat_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("conv_id", "turn", e.alias("text"), F.length(e).cast("bigint").alias("n_chars"))
 
 
+def turn_segment(role, text):
+    """One rendered message: start marker, role, newline, content, end marker, newline."""
+    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit(L.CHAT_END + "\n"))
+
+
 def render_conversations(conversations: DataFrame, generation_prompt: bool = True) -> DataFrame:
-    """Multi-message template per conversation, turns in order, optional open assistant turn.
+    """Full multi-message rendering, one string per conversation (for sinks).
 
-    One group is one conversation (bounded by the model context it renders); the
-    per-turn segments are built map-side and only they are gathered.
+    The result is a single value per conversation, so a conversation is bounded by
+    the context window it renders into; the registered query below never gathers
+    a conversation and works by aggregation only.
     """
-    seg = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"),
-                   F.lit(L.CHAT_END + "\n"))
+    seg = turn_segment(F.col("role"), F.col("text"))
     g = (conversations.select("conv_id", F.struct("turn", seg.alias("seg")).alias("s"))
          .groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("segs")))
     body = F.array_join(F.transform("segs", lambda x: x["seg"]), "")
@@ -48,10 +53,21 @@ def render_conversations(conversations: DataFrame, generation_prompt: bool = Tru
 
 
 def chat_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation: turns, rendered length (with the open assistant turn) and an
+    order-aware checksum of the rendered turns.
+
+    Each turn is rendered map-side; the conversation figures are sums, partially
+    aggregated, so even a conversation holding a third of all turns is spread over
+    every task instead of being gathered into one.
+    """
     c = tables.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    r = render_conversations(c)
-    return r.select("conv_id", "n_turns", F.md5("rendered").alias("rendered_md5"),
-                    F.length("rendered").cast("bigint").alias("n_chars"))
+    seg = turn_segment(F.col("role"), F.col("text"))
+    per_turn = c.select("conv_id", F.length(seg).alias("len"),
+                        T.md5_int(F.concat(F.col("turn").cast("string"), F.lit(":"), seg)).alias("h"))
+    return (per_turn.groupBy("conv_id")
+            .agg(F.count(F.lit(1)).alias("n_turns"),
+                 (F.sum("len") + F.lit(len(L.CHAT_ASSISTANT_OPEN))).cast("bigint").alias("n_chars"),
+                 F.sum("h").cast("bigint").alias("turn_checksum")))
 
 
 def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:

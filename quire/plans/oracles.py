@@ -284,9 +284,9 @@ FROM responses"""
 @oracle("chat_conversation")
 def _():
     seg = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
-    body = f"string_agg({seg}, '' ORDER BY turn) || '<|im_start|>assistant' || chr(10)"
-    return f"""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, md5({body}) AS rendered_md5,
-       CAST(length({body}) AS BIGINT) AS n_chars
+    return f"""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       CAST(sum(length({seg})) + length('<|im_start|>assistant' || chr(10)) AS BIGINT) AS n_chars,
+       CAST(sum({X.md5_int("CAST(turn AS VARCHAR) || ':' || " + seg)}) AS BIGINT) AS turn_checksum
 FROM conversations GROUP BY conv_id"""
 
 

@@ -54,7 +54,7 @@ def test_split_sides_disjoint_and_temperatures_together(spark):
 
 def test_seeded_order_independent_of_partitioning(spark):
     p = tables.prompts(spark, SF_CHECK).select("prompt_id")
-    a = splits.seeded_order if False else ranking.seeded_order(p.repartition(1), "prompt_id")
+    a = ranking.seeded_order(p.repartition(1), "prompt_id")
     b = ranking.seeded_order(p.repartition(7), "prompt_id")
     assert a.select("prompt_id", "shuffle_rank").exceptAll(b.select("prompt_id", "shuffle_rank")).count() == 0
 
@@ -107,8 +107,8 @@ def test_lowrank_error_falls_with_rank(spark):
     assert m[64] < 1e-12
 
 
-def _reference_haystack(words, target_tokens, needle_words):
-    """The reference loop, replayed on a fixed sequence of drawn sentence lengths."""
+def _sequential_haystack(words, target_tokens, needle_words):
+    """The sequential budget loop, replayed on a fixed sequence of drawn sentence lengths."""
     target = target_tokens // 4
     parts, count, inserted, i = [], 0, False, 0
     while count < target:
@@ -126,7 +126,7 @@ def _reference_haystack(words, target_tokens, needle_words):
     return len(parts) - 1, pos, sum(p[1] for p in parts)
 
 
-def test_haystack_matches_reference_loop(spark):
+def test_haystack_matches_sequential_loop(spark):
     draws = haystack.filler_draws(spark, SF_SMALL).collect()
     fill_words = [len(s.split()) for s in L.FILLER_SENTENCES]
     seqs = {}
@@ -136,7 +136,7 @@ def test_haystack_matches_reference_loop(spark):
     built = {(r["item_id"], r["target_tokens"]): r for r in haystack.haystack_build(spark, SF_SMALL).collect()}
     for key, slots in seqs.items():
         words = [fill_words[slots[s]] for s in range(len(slots))]
-        n, pos, total = _reference_haystack(words, key[1], needle_words[key[0]])
+        n, pos, total = _sequential_haystack(words, key[1], needle_words[key[0]])
         b = built[key]
         assert (b["n_sentences"], b["needle_pos"], b["actual_words"]) == (n, pos, total), key
 
@@ -150,7 +150,7 @@ def test_haystack_rule_on_random_lengths():
         words = [rng.randint(1, 30) for _ in range(400)]
         target_tokens = rng.choice([40, 100, 400, 1000, 4000])
         nw = rng.randint(1, 40)
-        n, pos, total = _reference_haystack(words, target_tokens, nw)
+        n, pos, total = _sequential_haystack(words, target_tokens, nw)
         target = target_tokens // 4
         prior = [sum(words[:i]) for i in range(len(words))]
         k = next((i for i, p in enumerate(prior) if target // 2 <= p < target), None)
