@@ -46,13 +46,13 @@ def _rate():
 
 
 def speed_mean_of_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of per-run rates; a missing duration gives a NULL rate (excluded).
+    """Mean of per-run rates; a missing or zero duration gives a NULL rate (excluded).
 
     ``mean_tps_or1`` reproduces the 1 ns stand-in for a missing duration.
     """
     r = tables.runs(spark, sf_dir)
     count = F.coalesce(F.nullif(F.col("eval_count"), F.lit(0)), F.col("tokens"))
-    ns_rate = count / (F.col("duration_ns") / F.lit(1e9))
+    ns_rate = F.when(F.col("duration_ns") > 0, count / (F.col("duration_ns") / F.lit(1e9)))
     or1_rate = count / (F.coalesce(F.nullif(F.col("duration_ns"), F.lit(0)), F.lit(1)) / F.lit(1e9))
     return (r.groupBy("model", "suite")
             .agg(F.count(F.lit(1)).alias("n_runs"),

@@ -140,7 +140,8 @@ def nf4_codes(v: Column) -> Column:
     mids = L.double_array(L.NF4_MIDPOINTS)
     absmax = F.array_max(F.transform(v, lambda x: F.abs(x)))
     return let({"v": v, "am": absmax}, lambda s: F.transform(
-        s["v"], lambda x: F.size(F.filter(mids, lambda m: m < x / s["am"]))))
+        s["v"], lambda x: F.size(F.filter(mids, lambda m: m < F.when(
+            s["am"] > 0, x / s["am"]).otherwise(F.lit(0.0))))))
 
 
 def quantize_nf4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,7 +114,8 @@ def _():
     return X.with_(X.RUNS) + f"""
 SELECT model, suite, CAST(count(*) AS BIGINT) AS n_runs,
        round(avg({RATE}), 6) AS mean_tps,
-       round(avg(coalesce(nullif(eval_count, 0), tokens) / (duration_ns / 1e9)), 6) AS mean_tps_ns,
+       round(avg(CASE WHEN duration_ns > 0
+                      THEN coalesce(nullif(eval_count, 0), tokens) / (duration_ns / 1e9) END), 6) AS mean_tps_ns,
        round(avg(coalesce(nullif(eval_count, 0), tokens)
                  / (coalesce(nullif(duration_ns, 0), 1) / 1e9)), 0) AS mean_tps_or1
 FROM runs GROUP BY model, suite"""
@@ -656,7 +657,7 @@ def _():
     codes = _L.sql_double_list(_L.NF4_CODES)
     return X.with_(X.VECTORS) + f"""
 , b AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS absmax FROM vectors),
-c AS (SELECT *, list_transform(list_transform(v, lambda x: x / absmax),
+c AS (SELECT *, list_transform(list_transform(v, lambda x: CASE WHEN absmax > 0 THEN x / absmax ELSE 0.0 END),
                                lambda y: len(list_filter({mids}, lambda m: m < y))) AS idx,
              vec_id // 256 AS dq_group FROM b),
 d AS (SELECT *, avg(absmax) OVER (PARTITION BY dq_group) AS mean_s FROM c),
