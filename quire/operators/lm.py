@@ -67,16 +67,30 @@ def unigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-language add-one bigram model p = (n+1)/(m+V), m = context count."""
+    """Per-language add-one bigram model p = (n+1)/(m+V), m = context count.
+
+    One tokenisation and one explode: each token is paired with its successor
+    (NULL at the last position), so a single aggregation yields the bigram counts,
+    the context counts and the vocabulary.  The sum is rewritten as
+    Σ n·ln(n+1) − Σ_ctx m·ln(m+V), which needs no join back to the bigrams.
+    """
     toks = lm_tokens(spark, sf_dir)
-    bi = bigram_counts(toks)
-    vocab = unigram_counts(toks).groupBy("lang").agg(F.count(F.lit(1)).alias("V"))
-    ctx = (bi.groupBy("lang", "ctx")
-           .agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log(F.col("c") + 1)).alias("a")))
-    j = ctx.join(vocab, "lang")
-    g = (j.groupBy("lang")
+    n = F.size("toks")
+    pairs = F.arrays_zip(F.col("toks").alias("tok"),
+                         F.slice("toks", 2, F.greatest(n - 1, F.lit(0))).alias("nxt"))
+    grams = (toks.select("lang", F.explode_outer(pairs).alias("p")).where(F.col("p").isNotNull())
+             .select("lang", "p.tok", "p.nxt"))
+    counts = grams.groupBy("lang", "tok", "nxt").agg(F.count(F.lit(1)).alias("c"))
+    has_next = F.col("nxt").isNotNull()
+    per_tok = (counts.groupBy("lang", "tok")
+               .agg(F.sum(F.when(has_next, F.col("c")).otherwise(F.lit(0))).alias("m"),
+                    F.sum(F.when(has_next, F.col("c") * F.log(F.col("c") + 1))
+                          .otherwise(F.lit(0.0))).alias("a")))
+    vocab = per_tok.groupBy("lang").agg(F.count(F.lit(1)).alias("V"))
+    g = (per_tok.join(vocab, "lang").groupBy("lang")
          .agg(F.sum("m").alias("N"), F.sum("a").alias("A"),
-              F.sum(F.col("m") * F.log(F.col("m") + F.col("V"))).alias("B"),
+              F.sum(F.when(F.col("m") > 0, F.col("m") * F.log(F.col("m") + F.col("V")))
+                    .otherwise(F.lit(0.0))).alias("B"),
               F.first("V").alias("V")))
     return g.select("lang", F.col("N").cast("bigint").alias("n_bigrams"), F.col("V").alias("vocab"),
                     F.round(F.exp((F.col("B") - F.col("A")) / F.col("N")), 4).alias("perplexity"))
