@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
+from quire.functions.arrays import let
 from quire.operators.joins import materialize, sized_broadcast
 from quire.sources import literals as L
 
@@ -51,7 +52,12 @@ def filler_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = g.repartition(parts, "item_id", "target_tokens")
     n_slots = F.expr(f"CAST(target_tokens div 4 div {MIN_FILLER_WORDS} + 2 AS INT)")
-    s = g.select("*", F.explode(F.sequence(F.lit(0), n_slots - 1)).alias("slot"))
+    # The needle text rides only on slot 0 (which emits the needle row later),
+    # not on every one of the up to target/8 slots.
+    slots = F.transform(F.sequence(F.lit(0), n_slots - 1), lambda i: F.struct(
+        i.alias("slot"), F.when(i == 0, F.col("needle")).alias("needle")))
+    s = (g.select("item_id", "needle_words", "target_tokens", F.explode(slots).alias("sl"))
+         .select("item_id", "needle_words", "target_tokens", "sl.needle", "sl.slot"))
     key = F.concat_ws(":", F.lit(str(L.SHUFFLE_SEED)), F.col("item_id").cast("string"),
                       F.col("target_tokens").cast("string"), F.col("slot").cast("string"))
     choice = F.pmod(T.md5_int(key), F.lit(len(L.FILLER_SENTENCES))).cast("int")
@@ -124,17 +130,26 @@ def _shingle_hash(toks: Column, start: Column, k: Column) -> Column:
     return F.xxhash64(F.slice(toks, start, k))
 
 
+def _shingle_hashes(toks: Column, k: int) -> Column:
+    """Hash of every k-token window of a document, computed inside the row.
+
+    Exploding positions while carrying the token array would copy the array once
+    per position (quadratic in the document length); only the hashes leave the row.
+    """
+    return let({"t": toks}, lambda s: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(s["t"]) - k + 1, F.lit(1))),
+        lambda i: _shingle_hash(s["t"], i, F.lit(k))))
+
+
 def _long_candidates(docs: DataFrame, long_needles: DataFrame, ks: list[int]) -> DataFrame:
     anchors = long_needles.select("item_id", "k", _shingle_hash(F.col("toks"), F.lit(2), F.col("k"))
                                   .alias("h"))
     parts = []
     for k in ks:
-        n = F.size("toks")
-        starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
         sh = (docs.where(F.size("toks") >= k)
-              .select("doc_id", F.lit(k).alias("k"), F.explode_outer(starts).alias("i"), "toks")
-              .where(F.col("i").isNotNull())
-              .select("doc_id", "k", _shingle_hash(F.col("toks"), F.col("i"), F.lit(k)).alias("h")))
+              .select("doc_id", F.lit(k).alias("k"), F.explode_outer(_shingle_hashes(F.col("toks"), k))
+                      .alias("h"))
+              .where(F.col("h").isNotNull()))
         parts.append(sh)
     doc_sh = parts[0]
     for p in parts[1:]:
@@ -142,14 +157,20 @@ def _long_candidates(docs: DataFrame, long_needles: DataFrame, ks: list[int]) ->
     return doc_sh.join(anchors, ["k", "h"]).select("doc_id", "item_id")
 
 
+def _qgrams(text: Column, q: int) -> Column:
+    """Every q-character substring of the text, computed inside the row."""
+    return let({"t": text}, lambda s: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(s["t"]) - q + 1, F.lit(1))),
+        lambda i: F.substring(s["t"], i, q)))
+
+
 def _short_candidates(texts: DataFrame, short_needles: DataFrame, qs: list[int]) -> DataFrame:
     anchors = short_needles.select("item_id", "q", F.left(F.col("text"), F.col("q")).alias("g"))
     parts = []
     for q in qs:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("text") - q + 1, F.lit(1)))
-        parts.append(texts.select("doc_id", F.lit(q).alias("q"), F.explode_outer(starts).alias("i"), "text")
-                     .where(F.col("i").isNotNull())
-                     .select("doc_id", "q", F.substring(F.col("text"), F.col("i"), q).alias("g")))
+        parts.append(texts.select("doc_id", F.lit(q).alias("q"), F.explode_outer(_qgrams(F.col("text"), q))
+                                  .alias("g"))
+                     .where(F.col("g").isNotNull()))
     grams = parts[0]
     for p in parts[1:]:
         grams = grams.unionByName(p)
