@@ -195,13 +195,13 @@ def topk_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def footprint_by_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of codes + per-group scale and bias (fp32) for uniform and mixed schemes."""
-    seg = _policy(tables.segments(spark, sf_dir))
-    uni = seg.select("v", F.explode(F.array(*[F.lit(b) for b in L.QUANT_BITS])).alias("bits"))
+    seg = _policy(tables.segments(spark, sf_dir)).select(F.size("v").alias("d"), "bits")
+    uni = seg.select("d", F.explode(F.array(*[F.lit(b) for b in L.QUANT_BITS])).alias("bits"))
     uni = uni.select(F.concat(F.lit("uniform_"), F.col("bits").cast("string")).alias("scheme"),
-                     "bits", "v")
-    mixed = seg.select(F.lit("mixed").alias("scheme"), "bits", "v")
+                     "bits", "d")
+    mixed = seg.select(F.lit("mixed").alias("scheme"), "bits", "d")
     both = uni.unionByName(mixed)
-    d = F.size("v")
+    d = F.col("d")
     groups = F.ceil(d / F.lit(L.POLICY_GROUP_SIZE))
     size = F.when(F.col("bits").isNull(), d * 4).otherwise(
         F.ceil(d * F.col("bits") / F.lit(8.0)) + groups * 8)
