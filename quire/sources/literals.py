@@ -46,9 +46,9 @@ REASONING_CLAUSES = [
 # Rule sets: (name, prefix window for the "no" checks (None = whole text),
 #             eighth coding test, strip thinking before the check)
 RULE_SETS = [
-    ("mlx", None, SQL_PARSER_CHECK, False, REASONING_CHECKS_FULL_NAMES),
-    ("gguf", 50, DECORATOR_CHECK, False, REASONING_CHECKS_SHORT_NAMES),
-    ("ollama", 100, DECORATOR_CHECK, True, REASONING_CHECKS_SHORT_NAMES),
+    ("full_text", None, SQL_PARSER_CHECK, False, REASONING_CHECKS_FULL_NAMES),
+    ("prefix50", 50, DECORATOR_CHECK, False, REASONING_CHECKS_SHORT_NAMES),
+    ("prefix100_strip", 100, DECORATOR_CHECK, True, REASONING_CHECKS_SHORT_NAMES),
 ]
 
 FILLER_SENTENCES = [

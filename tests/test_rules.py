@@ -10,21 +10,21 @@ SCHEMA = "conv_id BIGINT, turn BIGINT, model STRING, prompt_id BIGINT, test_ord
 # test_ord: 0 FizzBuzz, 1 Binary Search, 2 Merge Sort, 7 SQL Parser/Decorator,
 #           8 Math, 9 Logic, 11 Big-O, 12 CAP, 13 Python ref
 CASES = [
-    # (id, test_ord, text, expected ok per rule set {mlx, gguf, ollama})
-    (1, 0, "def fizzbuzz(n):\n    return ['Fizz', 'Buzz']", dict(mlx=True, gguf=True, ollama=True)),
-    (2, 0, "def fizzbuzz(n): return 'Fizz'", dict(mlx=False, gguf=False, ollama=False)),
-    (3, 1, "def binary_search(a, t):\n    lo, hi = 0, len(a)", dict(mlx=True, gguf=True, ollama=True)),
-    (4, 2, "def merge_sort(a): return MERGE(a)", dict(mlx=True, gguf=True, ollama=True)),
-    (5, 7, "def parse_select(sql): return {'columns': []}", dict(mlx=True, gguf=False, ollama=False)),
-    (6, 7, "def retry(f):\n    for attempt in range(3): pass", dict(mlx=False, gguf=True, ollama=True)),
-    (7, 8, "You spend 190 dollars", dict(mlx=True, gguf=True, ollama=True)),        # '19' in '190'
-    (8, 9, "I know the answer is yes", dict(mlx=True, gguf=True, ollama=True)),     # 'no' in 'know'
-    (9, 9, "Yes. " + "x" * 60 + " no", dict(mlx=True, gguf=False, ollama=True)),  # 'no' at 66
-    (10, 9, "Yes. " + "x" * 110 + " no", dict(mlx=True, gguf=False, ollama=False)),
-    (11, 11, "O(LOG N)", dict(mlx=True, gguf=True, ollama=True)),
-    (12, 12, "<think>no way</think>\n Yes, both.", dict(mlx=True, gguf=True, ollama=False)),
-    (13, 12, "hmm</think> Yes, both.", dict(mlx=False, gguf=False, ollama=False)),  # orphan close kept
-    (14, 13, "It prints 14", dict(mlx=True, gguf=True, ollama=True)),               # '4' in '14'
+    # (id, test_ord, text, expected ok per rule set {full_text, prefix50, prefix100_strip})
+    (1, 0, "def fizzbuzz(n):\n    return ['Fizz', 'Buzz']", dict(full_text=True, prefix50=True, prefix100_strip=True)),
+    (2, 0, "def fizzbuzz(n): return 'Fizz'", dict(full_text=False, prefix50=False, prefix100_strip=False)),
+    (3, 1, "def binary_search(a, t):\n    lo, hi = 0, len(a)", dict(full_text=True, prefix50=True, prefix100_strip=True)),
+    (4, 2, "def merge_sort(a): return MERGE(a)", dict(full_text=True, prefix50=True, prefix100_strip=True)),
+    (5, 7, "def parse_select(sql): return {'columns': []}", dict(full_text=True, prefix50=False, prefix100_strip=False)),
+    (6, 7, "def retry(f):\n    for attempt in range(3): pass", dict(full_text=False, prefix50=True, prefix100_strip=True)),
+    (7, 8, "You spend 190 dollars", dict(full_text=True, prefix50=True, prefix100_strip=True)),        # '19' in '190'
+    (8, 9, "I know the answer is yes", dict(full_text=True, prefix50=True, prefix100_strip=True)),     # 'no' in 'know'
+    (9, 9, "Yes. " + "x" * 60 + " no", dict(full_text=True, prefix50=False, prefix100_strip=True)),  # 'no' at 66
+    (10, 9, "Yes. " + "x" * 110 + " no", dict(full_text=True, prefix50=False, prefix100_strip=False)),
+    (11, 11, "O(LOG N)", dict(full_text=True, prefix50=True, prefix100_strip=True)),
+    (12, 12, "<think>no way</think>\n Yes, both.", dict(full_text=True, prefix50=True, prefix100_strip=False)),
+    (13, 12, "hmm</think> Yes, both.", dict(full_text=False, prefix50=False, prefix100_strip=False)),  # orphan close kept
+    (14, 13, "It prints 14", dict(full_text=True, prefix50=True, prefix100_strip=True)),               # '4' in '14'
 ]
 
 
