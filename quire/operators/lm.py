@@ -124,42 +124,44 @@ def kl_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("lang", F.round(kl, 6).alias("kl"))
 
 
-def _en_bigrams(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
-    return bigram_counts(lm_tokens(spark, sf_dir, lang)).drop("lang")
+def _lang_bigrams(spark: SparkSession, sf_dir: str, lang: str | None) -> DataFrame:
+    """Bigram counts keyed by (lang, ctx, tok): each language is its own model."""
+    return bigram_counts(lm_tokens(spark, sf_dir, lang))
 
 
-def temperature_distribution(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
+def temperature_distribution(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """Next-token distribution p ∝ (c/max_c)^(1/T) for contexts with ≥ 50 successors."""
-    bi = _en_bigrams(spark, sf_dir, lang)
-    w = Window.partitionBy("ctx")
+    bi = _lang_bigrams(spark, sf_dir, lang)
+    w = Window.partitionBy("lang", "ctx")
     b = (bi.withColumn("tot", F.sum("c").over(w)).withColumn("mx", F.max("c").over(w))
          .where(F.col("tot") >= MIN_SUCCESSORS))
-    t = b.select("ctx", "c", "mx", F.explode(F.array(*[F.lit(x) for x in TEMPERATURES])).alias("T"))
+    t = b.select("lang", "ctx", "c", "mx",
+                 F.explode(F.array(*[F.lit(x) for x in TEMPERATURES])).alias("T"))
     wt = F.pow(F.col("c") / F.col("mx"), F.lit(1.0) / F.col("T"))
-    g = (t.select("ctx", "T", wt.alias("w"))
-         .groupBy("T", "ctx")
+    g = (t.select("lang", "ctx", "T", wt.alias("w"))
+         .groupBy("T", "lang", "ctx")
          .agg(F.count(F.lit(1)).alias("n_succ"), F.sum("w").alias("S"),
               F.sum(F.when(F.col("w") > 0, F.col("w") * F.log("w")).otherwise(F.lit(0.0))).alias("Q")))
-    return g.select(F.col("T").alias("temperature"), "ctx", "n_succ",
+    return g.select(F.col("T").alias("temperature"), "lang", "ctx", "n_succ",
                     F.round(F.lit(1.0) / F.col("S"), 6).alias("max_p"),
                     F.round(F.log("S") - F.col("Q") / F.col("S"), 6).alias("entropy"))
 
 
-def nucleus_filter(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
+def nucleus_filter(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """Top-p (0.9) per context over integer counts: keep while prior mass < 0.9."""
-    bi = _en_bigrams(spark, sf_dir, lang)
-    order = Window.partitionBy("ctx").orderBy(F.col("c").desc(), F.col("tok"))
+    bi = _lang_bigrams(spark, sf_dir, lang)
+    order = Window.partitionBy("lang", "ctx").orderBy(F.col("c").desc(), F.col("tok"))
     prior = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     b = (bi.withColumn("prior", prior.cast("bigint"))
-         .withColumn("total", F.sum("c").over(Window.partitionBy("ctx")).cast("bigint")))
+         .withColumn("total", F.sum("c").over(Window.partitionBy("lang", "ctx")).cast("bigint")))
     return (b.where(F.col("prior") * TOP_P_DEN < F.col("total") * TOP_P_NUM)
-            .select("ctx", "tok", "c", "prior", "total"))
+            .select("lang", "ctx", "tok", "c", "prior", "total"))
 
 
-def greedy_next(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
+def greedy_next(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """Most frequent successor per context, ties broken by the smaller token."""
-    bi = _en_bigrams(spark, sf_dir, lang)
-    return (bi.groupBy("ctx")
+    bi = _lang_bigrams(spark, sf_dir, lang)
+    return (bi.groupBy("lang", "ctx")
             .agg(F.min_by(F.struct("tok", "c"), F.struct((-F.col("c")).alias("nc"), F.col("tok")))
                  .alias("best"), F.sum("c").alias("total"))
-            .select("ctx", F.col("best.tok").alias("tok"), F.col("best.c").alias("c"), "total"))
+            .select("lang", "ctx", F.col("best.tok").alias("tok"), F.col("best.c").alias("c"), "total"))

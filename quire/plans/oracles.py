@@ -484,32 +484,33 @@ GROUP BY uni.lang"""
 
 @oracle("temperature_distribution")
 def _():
-    return X.with_(TOKS, _bigrams("WHERE lang = 'en'")) + """
-, ct AS (SELECT ctx, sum(c) AS tot, max(c) AS mx FROM bi GROUP BY ctx HAVING sum(c) >= 50),
-w AS (SELECT t.T, bi.ctx, pow(bi.c / ct.mx, 1.0 / t.T) AS w
-      FROM bi JOIN ct ON bi.ctx = ct.ctx, (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE)) t(T)),
-p AS (SELECT T, ctx, w / sum(w) OVER (PARTITION BY T, ctx) AS p FROM w)
-SELECT T AS temperature, ctx, CAST(count(*) AS BIGINT) AS n_succ, round(max(p), 6) AS max_p,
+    return X.with_(TOKS, _bigrams()) + """
+, ct AS (SELECT lang, ctx, sum(c) AS tot, max(c) AS mx FROM bi GROUP BY lang, ctx HAVING sum(c) >= 50),
+w AS (SELECT t.T, bi.lang, bi.ctx, pow(bi.c / ct.mx, 1.0 / t.T) AS w
+      FROM bi JOIN ct ON bi.lang = ct.lang AND bi.ctx = ct.ctx,
+           (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE)) t(T)),
+p AS (SELECT T, lang, ctx, w / sum(w) OVER (PARTITION BY T, lang, ctx) AS p FROM w)
+SELECT T AS temperature, lang, ctx, CAST(count(*) AS BIGINT) AS n_succ, round(max(p), 6) AS max_p,
        round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END), 6) AS entropy
-FROM p GROUP BY T, ctx"""
+FROM p GROUP BY T, lang, ctx"""
 
 
 @oracle("nucleus_filter")
 def _():
-    return X.with_(TOKS, _bigrams("WHERE lang = 'en'")) + """
-, w AS (SELECT ctx, tok, c,
-               CAST(coalesce(sum(c) OVER (PARTITION BY ctx ORDER BY c DESC, tok
+    return X.with_(TOKS, _bigrams()) + """
+, w AS (SELECT lang, ctx, tok, c,
+               CAST(coalesce(sum(c) OVER (PARTITION BY lang, ctx ORDER BY c DESC, tok
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior,
-               CAST(sum(c) OVER (PARTITION BY ctx) AS BIGINT) AS total
+               CAST(sum(c) OVER (PARTITION BY lang, ctx) AS BIGINT) AS total
         FROM bi)
-SELECT ctx, tok, c, prior, total FROM w WHERE prior * 10 < total * 9"""
+SELECT lang, ctx, tok, c, prior, total FROM w WHERE prior * 10 < total * 9"""
 
 
 @oracle("greedy_next")
 def _():
-    return X.with_(TOKS, _bigrams("WHERE lang = 'en'")) + """
-SELECT ctx, first(tok ORDER BY c DESC, tok) AS tok, max(c) AS c, CAST(sum(c) AS BIGINT) AS total
-FROM bi GROUP BY ctx"""
+    return X.with_(TOKS, _bigrams()) + """
+SELECT lang, ctx, first(tok ORDER BY c DESC, tok) AS tok, max(c) AS c, CAST(sum(c) AS BIGINT) AS total
+FROM bi GROUP BY lang, ctx"""
 
 
 # ---------------------------------------------------------------- losses over the logits view

@@ -47,7 +47,7 @@ def test_single_partition_exchanges_only_over_aggregates(spark, name):
 
 def test_filters_and_columns_reach_the_scan(spark):
     from quire.operators import lm
-    p = plan_text(lm.nucleus_filter(spark, SF_SMALL))
+    p = plan_text(lm.nucleus_filter(spark, SF_SMALL, lang="en"))
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(lang,en\)", p)
     schema = re.search(r"ReadSchema: struct<([^>]*)>", p).group(1)
     assert set(c.split(":")[0] for c in schema.split(",")) <= {"doc_id", "lang", "text"}
