@@ -77,17 +77,24 @@ def _normalised(col):
 
 
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train/valid overlap by prompt id (must be 0) and by normalised prompt text."""
+    """Train/valid overlap by prompt id (must be 0) and by normalised prompt text.
+
+    One pass over the train side: left joins mark rows whose id / normalised text
+    also occurs on the valid side (semi-join = marked, anti-join = unmarked).  The
+    valid side is deduplicated first, so a hot text meets a single row.
+    """
     r = ranked_prompts(spark, sf_dir).select("prompt_id", "split",
                                              _normalised(F.col("prompt")).alias("norm"))
     train, valid = r.where(F.col("split") == "train"), r.where(F.col("split") == "valid")
-    by_id = train.join(valid, "prompt_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    valid_norms = valid.select("norm").distinct()  # a hot text meets one row, not many
-    by_text = train.join(valid_norms, "norm", "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    enforced = train.join(valid_norms, "norm", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    return (by_id.select(F.lit("same_prompt_id").alias("check"), "n")
-            .unionByName(by_text.select(F.lit("same_prompt_text").alias("check"), "n"))
-            .unionByName(enforced.select(F.lit("train_after_anti_join").alias("check"), "n")))
+    valid_ids = valid.select("prompt_id", F.lit(True).alias("id_hit"))
+    valid_norms = valid.select("norm").distinct().withColumn("text_hit", F.lit(True))
+    marked = train.join(valid_ids, "prompt_id", "left").join(valid_norms, "norm", "left")
+    counts = marked.agg(F.count_if(F.col("id_hit").isNotNull()).alias("same_prompt_id"),
+                        F.count_if(F.col("text_hit").isNotNull()).alias("same_prompt_text"),
+                        F.count_if(F.col("text_hit").isNull()).alias("train_after_anti_join"))
+    return counts.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("check"), F.col(c).alias("n"))
+        for c in ("same_prompt_id", "same_prompt_text", "train_after_anti_join")])).alias("r")).select("r.*")
 
 
 def batch_plan(spark: SparkSession, sf_dir: str, epochs: int = L.NUM_EPOCHS,
