@@ -36,22 +36,6 @@ def turn_segment(role, text):
     return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit(L.CHAT_END + "\n"))
 
 
-def render_conversations(conversations: DataFrame, generation_prompt: bool = True) -> DataFrame:
-    """Full multi-message rendering, one string per conversation (for sinks).
-
-    The result is a single value per conversation, so a conversation is bounded by
-    the context window it renders into; the registered query below never gathers
-    a conversation and works by aggregation only.
-    """
-    seg = turn_segment(F.col("role"), F.col("text"))
-    g = (conversations.select("conv_id", F.struct("turn", seg.alias("seg")).alias("s"))
-         .groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("segs")))
-    body = F.array_join(F.transform("segs", lambda x: x["seg"]), "")
-    if generation_prompt:
-        body = F.concat(body, F.lit(L.CHAT_ASSISTANT_OPEN))
-    return g.select("conv_id", F.size("segs").cast("bigint").alias("n_turns"), body.alias("rendered"))
-
-
 def chat_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation: turns, rendered length (with the open assistant turn) and an
     order-aware checksum of the rendered turns.

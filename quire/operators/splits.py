@@ -99,7 +99,8 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_plan(spark: SparkSession, sf_dir: str, epochs: int = L.NUM_EPOCHS,
                max_steps: int = L.MAX_STEPS) -> DataFrame:
-    """Epoch × example schedule: reshuffled per epoch, micro-batches of 2, 8 per step."""
+    """Epoch × example schedule: reshuffled per epoch, micro-batches of 2, 8 per step,
+    capped at 400 steps, with log / eval / save flags every 5 / 25 / 25 steps."""
     plan = group_split(spark, sf_dir).where(F.col("split") == "train")
     ex = plan.select((F.col("prompt_id") * 10 + F.round(F.col("temperature") * 10).cast("bigint"))
                      .alias("example_id"))
@@ -114,4 +115,5 @@ def batch_plan(spark: SparkSession, sf_dir: str, epochs: int = L.NUM_EPOCHS,
                    step.cast("bigint").alias("global_step"))
     return (out.where(F.col("global_step") < max_steps)
             .withColumn("log_step", F.col("global_step") % L.LOGGING_STEPS == 0)
-            .withColumn("eval_step", F.col("global_step") % L.EVAL_STEPS == 0))
+            .withColumn("eval_step", F.col("global_step") % L.EVAL_STEPS == 0)
+            .withColumn("save_step", F.col("global_step") % L.SAVE_STEPS == 0))

@@ -380,7 +380,8 @@ st AS (SELECT epoch, example_id, CAST(rank AS BIGINT) AS rank,
               CAST(floor((rank - 1) / 2) AS BIGINT) AS micro_batch,
               CAST(epoch * ceil(n / 8) + floor((rank - 1) / 8) AS BIGINT) AS global_step
        FROM rk)
-SELECT *, global_step % 5 = 0 AS log_step, global_step % 25 = 0 AS eval_step
+SELECT *, global_step % 5 = 0 AS log_step, global_step % 25 = 0 AS eval_step,
+       global_step % 25 = 0 AS save_step
 FROM st WHERE global_step < 400"""
 
 

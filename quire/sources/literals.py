@@ -63,8 +63,6 @@ FILLER_SENTENCES = [
     "Cloud computing provides scalable infrastructure for modern applications.",
     "Version control systems help teams collaborate on software projects effectively.",
 ]
-NEEDLE = "The secret password for the treasure vault is 'quantum-butterfly-92'."
-NEEDLE_ANSWER = "quantum-butterfly-92"
 CONTEXT_SIZES = [8192, 32768, 65536, 128000]
 HAYSTACK_QUESTION_HEAD = ("Read the following text carefully and find the secret password "
                           "mentioned somewhere in it.\n\n")
@@ -175,10 +173,6 @@ def filler_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(FILLER_SENTENCES)), "choice INT, sentence STRING")
 
 
-def context_sizes_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in CONTEXT_SIZES], "target_tokens INT")
-
-
 def double_array(values) -> F.Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
