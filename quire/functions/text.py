@@ -48,6 +48,12 @@ def strip_think(col: Column, lenient: bool = False) -> Column:
     return py_strip(out)
 
 
+def ends_mid_sentence(col: Column) -> Column:
+    """Truncation heuristic: the stripped text does not end in . ! or ? (a generation
+    cap stops mid-sentence even though the end marker is still appended)."""
+    return ~py_strip(col).rlike("[.!?]$")
+
+
 def chat_prompt(prompt: Column) -> Column:
     """Single user turn with an open assistant turn."""
     return F.concat(F.lit(CHAT_USER_OPEN), prompt, F.lit(CHAT_END + "\n" + CHAT_ASSISTANT_OPEN))

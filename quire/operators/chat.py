@@ -25,10 +25,14 @@ def chat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_example(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training example text; generation metadata is dropped before the sink."""
+    """Training example text; generation metadata is dropped before the sink.
+
+    ``ends_mid_sentence`` flags responses cut by a generation cap; they are kept.
+    """
     r = tables.responses(spark, sf_dir)
     e = T.chat_example(F.col("prompt"), F.col("text"))
-    return r.select("conv_id", "turn", e.alias("text"), F.length(e).cast("bigint").alias("n_chars"))
+    return r.select("conv_id", "turn", e.alias("text"), F.length(e).cast("bigint").alias("n_chars"),
+                    T.ends_mid_sentence(F.col("text")).alias("ends_mid_sentence"))
 
 
 def turn_segment(role, text):

@@ -278,7 +278,8 @@ EXAMPLE = f"{CHAT_USER} || prompt || {CHAT_MID} || text || '<|im_end|>'"
 @oracle("chat_example")
 def _():
     return X.with_(X.RESPONSES) + f"""
-SELECT conv_id, turn, {EXAMPLE} AS text, CAST(length({EXAMPLE}) AS BIGINT) AS n_chars
+SELECT conv_id, turn, {EXAMPLE} AS text, CAST(length({EXAMPLE}) AS BIGINT) AS n_chars,
+       NOT regexp_matches({X.py_strip('text')}, '[.!?]$') AS ends_mid_sentence
 FROM responses"""
 
 
