@@ -80,3 +80,25 @@ def test_streaming_grader_is_incremental(spark):
     want = {(x["rule_set"], x["model"], x["suite"]): (x["passed"], x["total"])
             for x in suite_score(spark, SF_SMALL).collect()}
     assert got == want
+
+
+def test_batch_generation_captures_failures(spark):
+    from quire.operators.inference import bigram_backend, generate
+
+    def flaky():
+        ok = bigram_backend()
+
+        def gen(text, temperature, max_tokens):
+            if "boom" in text:
+                raise RuntimeError("backend failed")
+            return ok(text, temperature, max_tokens)
+        return gen
+
+    plan = spark.createDataFrame([(1, 0.2, "hello world hello"), (2, 0.4, "boom now"), (3, 0.01, "a b a c")],
+                                 "prompt_id BIGINT, eff_temperature DOUBLE, chat STRING")
+    out = {r["prompt_id"]: r for r in generate(plan, flaky, max_tokens=5).collect()}
+    assert out[2]["error"].startswith("RuntimeError") and out[2]["tok_count"] == 0 and out[2]["text"] == ""
+    assert out[1]["error"] is None and out[1]["tok_count"] == 5
+    # greedy (temperature <= 0.01) is deterministic
+    again = {r["prompt_id"]: r["text"] for r in generate(plan, flaky, max_tokens=5).collect()}
+    assert again[3] == out[3]["text"]
