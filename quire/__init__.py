@@ -1,0 +1,5 @@
+"""quire: language-model data and evaluation tables as Spark jobs.
+
+Registered queries live in ``quire.plans.registry`` (name -> fn(spark, sf_dir)),
+their DuckDB twins in ``quire.plans.oracles``.
+"""

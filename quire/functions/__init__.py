@@ -1,0 +1 @@
+"""Column-expression helpers (text, higher-order array functions)."""

@@ -1,0 +1 @@
+"""Query registry and the DuckDB oracle SQL of each query."""

@@ -1,0 +1 @@
+"""Sources and sinks: fixed literal relations and file formats (JSONL, binaryFile)."""
