@@ -96,34 +96,44 @@ def bigram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round(F.exp((F.col("B") - F.col("A")) / F.col("N")), 4).alias("perplexity"))
 
 
+def per_token_languages(per_lang: DataFrame) -> DataFrame:
+    """(lang, n, n_w): each per-language count next to the token's global count.
+
+    One hash aggregation by token gathers that token's per-language counts (at most
+    one entry per language, so the list is bounded) instead of a second aggregation
+    plus a join back on the token.
+    """
+    g = (per_lang.groupBy("tok")
+         .agg(F.sum("n").alias("n_w"), F.collect_list(F.struct("lang", "n")).alias("per")))
+    return g.select("n_w", F.explode("per").alias("p")).select("p.lang", "p.n", "n_w")
+
+
 def perplexity_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score every token with the global unigram model (join on token), then
-    token-weighted perplexity per language and overall (rollup)."""
+    """Score every token with the global unigram model, then token-weighted
+    perplexity per language and overall (rollup)."""
     per_lang = unigram_counts(lm_tokens(spark, sf_dir))
-    glob = per_lang.groupBy("tok").agg(F.sum("n").alias("n_w"))
     # ln(N + V + 1) is a scalar subquery: computed once, inlined as a value.
-    log_z = glob.agg(F.log(F.sum("n_w") + F.count(F.lit(1)) + 1)).scalar()
-    scored = (per_lang.join(glob, "tok")
-              .select("lang", "n", (F.log(F.col("n_w") + 1) - log_z).alias("logp")))
+    log_z = (per_lang.groupBy("tok").agg(F.sum("n").alias("n_w"))
+             .agg(F.log(F.sum("n_w") + F.count(F.lit(1)) + 1)).scalar())
+    scored = per_token_languages(per_lang).select(
+        "lang", "n", (F.log(F.col("n_w") + 1) - log_z).alias("logp"))
     g = (scored.rollup("lang")
          .agg(F.sum("n").alias("n_tokens"), F.sum(-F.col("n") * F.col("logp")).alias("loss")))
     return g.select("lang", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                     F.round(F.col("loss") / F.col("n_tokens"), 6).alias("mean_loss"),
                     F.round(F.exp(F.col("loss") / F.col("n_tokens")), 4).alias("perplexity"))
 
-
 def kl_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KL(p_lang ‖ q): p = per-language frequencies, q = add-one global model."""
     per_lang = unigram_counts(lm_tokens(spark, sf_dir))
-    glob = per_lang.groupBy("tok").agg(F.sum("n").alias("n_w"))
-    log_norm = glob.agg(F.log(F.sum("n_w") + F.count(F.lit(1)))).scalar()  # ln(S + V)
-    per = (per_lang.join(glob, "tok").groupBy("lang")
+    log_norm = (per_lang.groupBy("tok").agg(F.sum("n").alias("n_w"))
+                .agg(F.log(F.sum("n_w") + F.count(F.lit(1)))).scalar())  # ln(S + V)
+    per = (per_token_languages(per_lang).groupBy("lang")
            .agg(F.sum("n").alias("N"), F.sum(F.col("n") * F.log("n")).alias("A"),
                 F.sum(F.col("n") * F.log(F.col("n_w") + 1)).alias("B")))
     kl = (F.col("A") - F.col("B")) / F.col("N") - F.log("N") + log_norm
     return per.select("lang", F.round(kl, 6).alias("kl"))
 
-
 def _lang_bigrams(spark: SparkSession, sf_dir: str, lang: str | None) -> DataFrame:
     """Bigram counts keyed by (lang, ctx, tok): each language is its own model."""
     return bigram_counts(lm_tokens(spark, sf_dir, lang))
