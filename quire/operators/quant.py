@@ -40,9 +40,10 @@ def precision_bits(path: Column, is_linear: Column, num_layers: int = FIXTURE_LA
     first = layer.isNotNull() & (layer < L.POLICY_FIRST_N)
     last = layer.isNotNull() & (layer >= num_layers - L.POLICY_LAST_N)
     return (F.when(~is_linear, F.lit(None).cast("int"))
-            .when(path.contains("k_proj") | path.contains("v_proj"), F.lit(L.POLICY_HIGH_BITS))
-            .when(path.contains("down_proj") & (first | last), F.lit(L.POLICY_HIGH_BITS))
-            .when(path.contains("o_proj") & last, F.lit(L.POLICY_HIGH_BITS))
+            .when(path.contains(L.POLICY_HIGH_ALWAYS[0]) | path.contains(L.POLICY_HIGH_ALWAYS[1]),
+                  F.lit(L.POLICY_HIGH_BITS))
+            .when(path.contains(L.POLICY_HIGH_EDGE) & (first | last), F.lit(L.POLICY_HIGH_BITS))
+            .when(path.contains(L.POLICY_HIGH_LAST) & last, F.lit(L.POLICY_HIGH_BITS))
             .otherwise(F.lit(L.POLICY_BASE_BITS)))
 
 

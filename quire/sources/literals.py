@@ -91,7 +91,10 @@ SAVE_STEPS = 25
 MAX_LENGTH = 2048
 TOKEN_FALLBACK_FACTOR = 1.3
 
-# Precision policy.
+# Precision policy: first matching rule wins.
+POLICY_HIGH_ALWAYS = ["k_proj", "v_proj"]      # 6 bit everywhere
+POLICY_HIGH_EDGE = "down_proj"                 # 6 bit in the first / last layers
+POLICY_HIGH_LAST = "o_proj"                    # 6 bit in the last layers
 POLICY_FIRST_N = 3
 POLICY_LAST_N = 3
 POLICY_GROUP_SIZE = 64

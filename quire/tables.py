@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quire.sources.literals import N_TESTS
 
+# Fixture convention: the module of each vector's parameter path (vec_id % 8);
+# the seven projections are linear, the norm is not.
 MODULES = ["q_proj", "k_proj", "v_proj", "o_proj", "up_proj", "gate_proj", "down_proj", "norm"]
-LINEAR_MODULES = MODULES[:7]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
