@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire import tables
 from quire.functions import text as T
 from quire.operators.ranking import range_bucket, segmented_lag
+from quire.session import scratch_path
 from quire.sources import literals as L
 
 SUITES = ["click", "error", "purchase", "signup", "view"]
@@ -239,9 +240,22 @@ def _flatten(docs: DataFrame) -> DataFrame:
     return parsed.select("model", "suite", "r.score", "r.passed", "r.total", "r.avg_tps")
 
 
+def write_result_documents(docs: DataFrame, path: str) -> None:
+    """Sink: one JSON document per model per line (text files in the shared folder)."""
+    docs.select(F.to_json(F.struct(F.col("model"), F.col("doc"))).alias("value")) \
+        .write.mode("overwrite").text(path)
+
+
+def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
+    line = F.from_json("value", "model STRING, doc STRING")
+    return spark.read.text(path).select(line.alias("l")).select("l.model", "l.doc")
+
+
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested result documents, parsed back and flattened for comparison."""
-    return _flatten(result_documents(run_scores(spark, sf_dir)))
+    """Nested result documents written to the sink, read back and flattened for comparison."""
+    path = scratch_path(spark, "result-json")
+    write_result_documents(result_documents(run_scores(spark, sf_dir)), path)
+    return _flatten(read_result_documents(spark, path))
 
 
 def result_json_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
