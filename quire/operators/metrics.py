@@ -258,22 +258,24 @@ def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flatten(read_result_documents(spark, path))
 
 
-def result_json_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long metrics of mixed kinds; only dict-shaped records reach the JSON sink."""
+def result_json_filtered(spark: SparkSession, sf_dir: str, kinds=("dict", "number")) -> DataFrame:
+    """Long metrics of mixed kinds (dict records, lists of samples, plain numbers);
+    only the chosen kinds reach the sink, each in its own record shape.
+
+    The filter sits on the union, so Catalyst prunes the dropped branches before
+    any of their work runs.
+    """
     s = run_scores(spark, sf_dir)
     dicts = s.select("model", F.col("suite").alias("key"), F.lit("dict").alias("kind"),
                      F.to_json(F.struct("score", "passed", "total", "avg_tps")).alias("payload"))
     lists = (quality_samples(spark, sf_dir)
              .select("model", F.lit("quality").alias("key"), F.lit("list").alias("kind"),
                      F.to_json(F.split("samples", " \\|\\| ")).alias("payload")))
-    numbers = (s.groupBy("model").agg(F.avg("mean_tps").alias("v"))
+    numbers = (s.groupBy("model").agg(F.round(F.avg("mean_tps"), 6).alias("v"))
                .select("model", F.lit("avg_speed").alias("key"), F.lit("number").alias("kind"),
-                       F.col("v").cast("string").alias("payload")))
-    metrics = dicts.unionByName(lists).unionByName(numbers)
-    kept = (metrics.where(F.col("kind") == "dict")
-            .select("model", F.col("key").alias("suite"),
-                    F.from_json("payload", RECORD_STRUCT).alias("r")))
-    docs = (kept.groupBy("model")
-            .agg(F.array_sort(F.collect_list(F.struct("suite", "r"))).alias("e"))
-            .select("model", F.to_json(F.map_from_entries("e")).alias("doc")))
-    return _flatten(docs)
+                       F.to_json(F.array("v")).alias("payload")))
+    kept = dicts.unionByName(lists).unionByName(numbers).where(F.col("kind").isin(list(kinds)))
+    rec = F.when(F.col("kind") == "dict", F.from_json("payload", RECORD_STRUCT))
+    value = F.when(F.col("kind") == "number", F.from_json("payload", "ARRAY<DOUBLE>")[0])
+    return kept.select("model", "key", "kind", rec["score"].alias("score"), rec["passed"].alias("passed"),
+                       rec["total"].alias("total"), rec["avg_tps"].alias("avg_tps"), value.alias("value"))

@@ -256,7 +256,12 @@ SELECT model, suite, score, passed, total, avg_tps FROM run_scores"""
 @oracle("result_json_filtered")
 def _():
     return X.with_(X.RUNS, RUN_SCORES) + """
-SELECT model, suite, score, passed, total, avg_tps FROM run_scores"""
+SELECT model, suite AS key, 'dict' AS kind, score, passed, total, avg_tps, CAST(NULL AS DOUBLE) AS value
+FROM run_scores
+UNION ALL
+SELECT model, 'avg_speed', 'number', CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT),
+       CAST(NULL AS DOUBLE), round(avg(mean_tps), 6)
+FROM run_scores GROUP BY model"""
 
 
 # ---------------------------------------------------------------- data production

@@ -16,7 +16,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-EAGER = {"jsonl_roundtrip": "writes + reads JSONL", "result_json": "writes + reads result documents", "materialize_if_absent": "writes + reads JSONL",
+EAGER = {"jsonl_roundtrip": "writes + reads JSONL", "materialize_if_absent": "writes + reads JSONL",
+         "result_json": "writes + reads result documents",
          "stream_suite_score": "runs a streaming query, reads its sink",
          "needle_find": "checkpoints the candidate pairs, size-checked broadcast",
          "needle_score": "checkpoints the candidate pairs, size-checked broadcast",
