@@ -50,6 +50,19 @@ def bigram_backend() -> Backend:
     return generate
 
 
+def echo_backend() -> Backend:
+    """Second backend: returns the last ``max_tokens`` words of the prompt (no sampling)."""
+    def generate(text: str, temperature: float, max_tokens: int) -> str:
+        words = text.split()
+        if not words:
+            raise ValueError("empty prompt")
+        return " ".join(words[-max_tokens:])
+    return generate
+
+
+BACKENDS = {"bigram": bigram_backend, "echo": echo_backend}
+
+
 def _run(make_backend: Callable[[], Backend], max_tokens: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = make_backend()  # once per task
@@ -77,7 +90,7 @@ def generate(plan: DataFrame, make_backend: Callable[[], Backend] = bigram_backe
         _run(make_backend, max_tokens), GEN_SCHEMA)
 
 
-def batch_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batch_generate(spark: SparkSession, sf_dir: str, backend: str = "bigram") -> DataFrame:
     plan = temperature_plan(spark, sf_dir)
     prompts = tables.prompts(spark, sf_dir).select("prompt_id", T.chat_prompt(F.col("prompt")).alias("chat"))
-    return generate(plan.join(prompts, "prompt_id"))
+    return generate(plan.join(prompts, "prompt_id"), BACKENDS[backend])

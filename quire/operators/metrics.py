@@ -154,10 +154,14 @@ def response_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = tables.responses(spark, sf_dir)
     n = F.length("text")
     return r.select("conv_id", "turn",
+                    T.preview(F.col("prompt"), 60).alias("prompt_60"),
                     T.preview(F.col("prompt"), 80).alias("prompt_80"),
                     T.preview(F.col("text"), 150).alias("text_150"),
+                    T.preview(F.col("text"), 200).alias("text_200"),
                     T.preview(F.col("text"), 400).alias("text_400"),
                     T.more_chars(F.col("text"), 400).alias("more_400"),
+                    T.preview(F.col("text"), 500).alias("text_500"),
+                    T.more_chars(F.col("text"), 500).alias("more_500"),
                     F.when(n > 400, F.concat(F.lit("   ... ["), (n - 400).cast("string"),
                                              F.lit(" more chars]"))).alias("remainder_note"))
 

@@ -204,8 +204,10 @@ SELECT run_id, model, suite, round(elapsed, 6) AS elapsed, round(prev, 6) AS pre
 @oracle("response_preview")
 def _():
     return X.with_(X.RESPONSES) + """
-SELECT conv_id, turn, left(prompt, 80) AS prompt_80, left(text, 150) AS text_150,
+SELECT conv_id, turn, left(prompt, 60) AS prompt_60, left(prompt, 80) AS prompt_80,
+       left(text, 150) AS text_150, left(text, 200) AS text_200,
        left(text, 400) AS text_400, CAST(greatest(length(text) - 400, 0) AS BIGINT) AS more_400,
+       left(text, 500) AS text_500, CAST(greatest(length(text) - 500, 0) AS BIGINT) AS more_500,
        CASE WHEN length(text) > 400
             THEN '   ... [' || CAST(length(text) - 400 AS VARCHAR) || ' more chars]' END AS remainder_note
 FROM responses"""
