@@ -58,3 +58,19 @@ def test_grading_has_no_text_shuffle(spark):
     except for the conversation self-join that pairs turns."""
     p = plan_text(QUERIES["grade_responses"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in p
+
+
+def test_top_k_per_model_limits_before_the_shuffle(spark):
+    """A hot model cannot flood one task: row_number() <= 3 is cut per map task first."""
+    p = plan_text(QUERIES["quality_samples"](spark, SF_SMALL))
+    tree = p.split("\n\n")[0]
+    lines = tree.splitlines()
+    exch = [i for i, line in enumerate(lines) if "Exchange" in line and "Broadcast" not in line]
+    limits = [i for i, line in enumerate(lines) if "WindowGroupLimit" in line]
+    assert exch and any(i > exch[0] for i in limits), tree
+
+
+def test_needle_search_has_no_nested_loop_and_verifies_by_broadcast(spark):
+    p = plan_text(QUERIES["needle_find"](spark, SF_SMALL))
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    assert "BroadcastHashJoin" in p
