@@ -17,14 +17,14 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if b is None else b for b in column.cast(pa.binary()).to_pylist()]
 
 
-def row_slices(texts: list[bytes], limit: int = TEXT_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive row ranges of about ``limit`` bytes each, never splitting a row."""
+def row_slices(texts, limit: int = TEXT_BYTES, size=len) -> Iterator[tuple[int, int]]:
+    """Consecutive row ranges of about ``limit`` bytes (or ``size`` units) each, never splitting a row."""
     start, held = 0, 0
     for i, t in enumerate(texts):
-        if i > start and held + len(t) > limit:
+        if i > start and held + size(t) > limit:
             yield start, i
             start, held = i, 0
-        held += len(t)
+        held += size(t)
     if start < len(texts):
         yield start, len(texts)
 
