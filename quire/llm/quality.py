@@ -37,7 +37,7 @@ LEAST_ROWS = 100
 #: Quartile distances beyond a quartile that are still kept.
 FENCE = 3.0
 #: Least quartile distance by feature, so that groups of near-equal documents keep theirs.
-SPREAD = {"symbols": 0.02, "repeats": 0.1, "dup_lines": 0.05, "word_length": 0.7}
+SPREAD = {"symbols": 0.02, "repeats": 0.1, "dup_lines": 0.15, "word_length": 0.7}
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
