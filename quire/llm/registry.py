@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quire.llm.bpe import op8_byte_bpe
 from quire.llm.decontaminate import OP3_SQL, op3_decontamination
+from quire.llm.jaccard import OP7_SQL, op7_jaccard_join
 from quire.llm.quality import op9_quality_rules
 from quire.llm.substrings import OP10_SQL, op10_substring_dedup
 from quire.llm.token_counts import op5_token_counts
@@ -11,6 +12,7 @@ from quire.llm.token_counts import op5_token_counts
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
@@ -18,5 +20,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
+    "op7_jaccard_join": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
