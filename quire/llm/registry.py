@@ -5,11 +5,15 @@ from __future__ import annotations
 from quire.llm.bpe import op8_byte_bpe
 from quire.llm.decontaminate import OP3_SQL, op3_decontamination
 from quire.llm.jaccard import OP7_SQL, op7_jaccard_join
+from quire.llm.licenses import op2_license_scan
 from quire.llm.quality import op9_quality_rules
+from quire.llm.sharding import op1_sharding
 from quire.llm.substrings import OP10_SQL, op10_substring_dedup
 from quire.llm.token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op5_token_counts": op5_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
