@@ -6,6 +6,7 @@ from quire.llm.bpe import op8_byte_bpe
 from quire.llm.decontaminate import OP3_SQL, op3_decontamination
 from quire.llm.jaccard import OP7_SQL, op7_jaccard_join
 from quire.llm.licenses import op2_license_scan
+from quire.llm.pii import op4_pii
 from quire.llm.quality import op9_quality_rules
 from quire.llm.sharding import op1_sharding
 from quire.llm.substrings import OP10_SQL, op10_substring_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
     "op5_token_counts": op5_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
