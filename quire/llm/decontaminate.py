@@ -236,9 +236,9 @@ def search_index(index: DataFrame, block: Block, slop: int | None = None) -> Dat
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None,
                block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): ``doc_id, n_words, hits, items, near_items``.
+    """One row per row of ``docs`` (doc_id, text): ``doc_id, doc_key, n_words, hits, items, near_items``.
 
-    ``hits``: ascending positions (from 0) of the words inside any occurrence of a test
+    ``doc_key`` is xxhash64 of the text (with the id, it names a row up to equal ones);    ``hits``: ascending positions (from 0) of the words inside any occurrence of a test
     window; ``items``: ids (as strings, sorted) of items with such windows;
     ``near_items``: with ``slop``, items with a window whose other words all stand
     within ``slop`` words of their place relative to its rarest word. Null and empty texts
@@ -258,7 +258,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: in
         block.rank_by(term_counts(index, len(block.terms)))
         parts.append(search_index(index, block, slop))
     if blocks == 1:
-        return parts[0].drop("doc_key")
+        return parts[0]
     every = parts[0].withColumn("b", F.lit(0))
     for b, part in enumerate(parts[1:], 1):
         every = every.unionByName(part.withColumn("b", F.lit(b)))
@@ -269,7 +269,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: in
     if slop is None:
         merged = merged.withColumn("near_items", F.lit(None).cast("array<string>"))
     return (merged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-            .select("doc_id", "n_words", "hits", "items", "near_items"))
+            .select("doc_id", "doc_key", "n_words", "hits", "items", "near_items"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from quire.llm.quality import op9_quality_rules
 from quire.llm.sharding import op1_sharding
 from quire.llm.substrings import OP10_SQL, op10_substring_dedup
 from quire.llm.token_counts import op5_token_counts
+from quire.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
