@@ -18,7 +18,8 @@ from quire import tables
 from quire.functions import text as T
 
 TEMPERATURES = [0.2, 0.4, 0.6]
-MIN_SUCCESSORS = 50
+TIE = 1e-12   # added before rounding: probabilities like 125/128 lie halfway between two results
+BUCKET_CHARS = 3               # leading characters that bucket a context's successors
 TOP_P_NUM, TOP_P_DEN = 9, 10   # keep while prior mass < 0.9 (integer arithmetic)
 
 
@@ -139,31 +140,65 @@ def _lang_bigrams(spark: SparkSession, sf_dir: str, lang: str | None) -> DataFra
     return bigram_counts(lm_tokens(spark, sf_dir, lang))
 
 
+def _context_sums(bi: DataFrame) -> DataFrame:
+    """Per context: successors, largest count and, for each a = 1/T, Σcᵃ and Σcᵃ·ln c.
+
+    p = cᵃ / Σcᵃ, so the largest probability is maxᵃ / Σcᵃ and the entropy is
+    ln Σcᵃ − a·Σcᵃ·ln c / Σcᵃ: one partial aggregation, whatever a context's size."""
+    sums = []
+    for i, t in enumerate(TEMPERATURES):
+        w = F.pow(F.col("c").cast("double"), F.lit(1.0 / t))
+        sums += [F.sum(w).alias(f"s{i}"), F.sum(w * F.log("c")).alias(f"q{i}")]
+    return bi.groupBy("lang", "ctx").agg(F.count(F.lit(1)).alias("n_succ"), F.max("c").alias("mx"), *sums)
+
+
+def _by_temperature(sums: DataFrame) -> DataFrame:
+    per = F.array(*[F.struct(F.lit(t).alias("T"), F.col(f"s{i}").alias("S"), F.col(f"q{i}").alias("Q"))
+                    for i, t in enumerate(TEMPERATURES)])
+    return sums.select("lang", "ctx", "n_succ", "mx", F.explode(per).alias("p")).select(
+        "lang", "ctx", "n_succ", "mx", "p.*")
+
+
 def temperature_distribution(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    """Next-token distribution p ∝ (c/max_c)^(1/T) for contexts with ≥ 50 successors."""
-    bi = _lang_bigrams(spark, sf_dir, lang)
-    w = Window.partitionBy("lang", "ctx")
-    b = (bi.withColumn("tot", F.sum("c").over(w)).withColumn("mx", F.max("c").over(w))
-         .where(F.col("tot") >= MIN_SUCCESSORS))
-    t = b.select("lang", "ctx", "c", "mx",
-                 F.explode(F.array(*[F.lit(x) for x in TEMPERATURES])).alias("T"))
-    wt = F.pow(F.col("c") / F.col("mx"), F.lit(1.0) / F.col("T"))
-    g = (t.select("lang", "ctx", "T", wt.alias("w"))
-         .groupBy("T", "lang", "ctx")
-         .agg(F.count(F.lit(1)).alias("n_succ"), F.sum("w").alias("S"),
-              F.sum(F.when(F.col("w") > 0, F.col("w") * F.log("w")).otherwise(F.lit(0.0))).alias("Q")))
+    """Shape of every context's next-token distribution p ∝ c^(1/T): largest p and entropy."""
+    g = _by_temperature(_context_sums(_lang_bigrams(spark, sf_dir, lang)))
+    a = F.lit(1.0) / F.col("T")
     return g.select(F.col("T").alias("temperature"), "lang", "ctx", "n_succ",
-                    F.round(F.lit(1.0) / F.col("S"), 6).alias("max_p"),
-                    F.round(F.log("S") - F.col("Q") / F.col("S"), 6).alias("entropy"))
+                    F.round(F.pow(F.col("mx").cast("double"), a) / F.col("S") + TIE, 6).alias("max_p"),
+                    (F.round(F.log("S") - a * F.col("Q") / F.col("S"), 6) + F.lit(0.0)).alias("entropy"))
 
 
-def nucleus_filter(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
-    """Top-p (0.9) per context over integer counts: keep while prior mass < 0.9."""
+def temperature_probabilities(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """The distribution itself: p of each successor of each context at each temperature."""
     bi = _lang_bigrams(spark, sf_dir, lang)
-    order = Window.partitionBy("lang", "ctx").orderBy(F.col("c").desc(), F.col("tok"))
-    prior = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    b = (bi.withColumn("prior", prior.cast("bigint"))
-         .withColumn("total", F.sum("c").over(Window.partitionBy("lang", "ctx")).cast("bigint")))
+    g = _by_temperature(_context_sums(bi)).select("lang", "ctx", "T", "S")
+    p = F.pow(F.col("c").cast("double"), F.lit(1.0) / F.col("T")) / F.col("S")
+    return bi.join(g, ["lang", "ctx"]).select("lang", "ctx", "tok", F.col("T").alias("temperature"),
+                                               F.round(p + TIE, 6).alias("p"))
+
+
+def nucleus_filter(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """Top-p (0.9) per context over integer counts: keep while prior mass < 0.9.
+
+    Two levels, so that a context with very many successors is no single task: the
+    successors of a context fall into buckets in its order (count, then a token's first
+    characters), the running mass over the bucket table (a row per distinct bucket) offsets the running
+    mass inside each bucket."""
+    bi = _lang_bigrams(spark, sf_dir, lang).withColumn("head", F.left("tok", F.lit(BUCKET_CHARS)))
+    mass = bi.groupBy("lang", "ctx", "c", "head").agg(F.sum("c").alias("m"))
+    # heads of one count, then counts: neither window meets a context's single successors
+    by_count = mass.groupBy("lang", "ctx", "c").agg(F.sum("m").alias("mc"))
+    above = Window.partitionBy("lang", "ctx").orderBy(F.col("c").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (by_count.withColumn("above", F.coalesce(F.sum("mc").over(above), F.lit(0)))
+              .withColumn("total", F.sum("mc").over(Window.partitionBy("lang", "ctx")).cast("bigint")))
+    before = Window.partitionBy("lang", "ctx", "c").orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (mass.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0)))
+               .join(counts.select("lang", "ctx", "c", "above", "total"), ["lang", "ctx", "c"])
+               .select("lang", "ctx", "c", "head", (F.col("above") + F.col("before")).alias("off"), "total"))
+    inside = Window.partitionBy("lang", "ctx", "c", "head").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum("c").over(inside), F.lit(0))
+    b = (bi.withColumn("local", local).join(offsets, ["lang", "ctx", "c", "head"])
+         .withColumn("prior", (F.col("off") + F.col("local")).cast("bigint")))
     return (b.where(F.col("prior") * TOP_P_DEN < F.col("total") * TOP_P_NUM)
             .select("lang", "ctx", "tok", "c", "prior", "total"))
 

@@ -41,16 +41,14 @@ def student_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.transform("v", lambda x: x * F.lit(SCALE)).alias("z"))
 
 
-def teacher_logits(spark: SparkSession, sf_dir: str, temperature: float = L.DISTILL_TEMPERATURE,
-                   covered=None) -> DataFrame:
+def teacher_logits(spark: SparkSession, sf_dir: str,
+                   temperature: float = L.DISTILL_TEMPERATURE) -> DataFrame:
     """Per-label mean logits with their temperature softmax precomputed.
 
     One row per label (64 values each): element-wise mean via posexplode +
     partial aggregation, then re-assembled in position order.
     """
     v = tables.vectors(spark, sf_dir)
-    if covered is not None:
-        v = v.where(covered)
     cells = (v.select("label", F.posexplode("v").alias("pos", "x"))
              .groupBy("label", "pos").agg(F.avg("x").alias("m")))
     t = (cells.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c"))
@@ -108,7 +106,7 @@ def kl_logits(spark: SparkSession, sf_dir: str,
     """Temperature KL to the teacher, ``batchmean`` and per-token mean per batch."""
     s = student_logits(spark, sf_dir)
     t = teacher_logits(spark, sf_dir, temperature)
-    j = _teacher_probs(s.join(t, "label"))
+    j = _teacher_probs(s.join(F.broadcast(t), "label"))  # one row per label
     rows = j.select(F.expr(f"vec_id div {BATCH_ROWS}").alias("batch_id"), "target",
                     F.when(F.col("target") == IGNORE_INDEX, F.lit(0.0))
                     .otherwise(kl_rows(j, temperature)).alias("kl"))
@@ -122,21 +120,22 @@ def kl_logits(spark: SparkSession, sf_dir: str,
 
 def blended_loss(spark: SparkSession, sf_dir: str, temperature: float = L.DISTILL_TEMPERATURE,
                  alpha: float = L.DISTILL_ALPHA) -> DataFrame:
-    """α·soft + (1−α)·CE; soft = KL×T² where a teacher row exists, else CE(z/T)×T²."""
+    """α·soft + (1−α)·CE per batch. With a teacher (two batches of three in the fixture) soft is
+    KL×T² summed over the unmasked rows and divided by *all* rows of the batch (``batchmean``);
+    without one it is CE(z/T)×T² averaged over the unmasked rows. CE is always the masked mean."""
     s = student_logits(spark, sf_dir)
-    t = teacher_logits(spark, sf_dir, temperature, covered=F.col("label") % 3 != 0)
-    j = _teacher_probs(s.join(t, "label", "left"))
-    soft = F.when(F.col("t").isNotNull(), kl_rows(j, temperature)).otherwise(
-        ce(F.col("z"), F.col("target"), 1.0 / temperature) * F.lit(temperature * temperature))
-    rows = j.select(F.expr(f"vec_id div {BATCH_ROWS}").alias("batch_id"),
+    t = teacher_logits(spark, sf_dir, temperature)
+    j = _teacher_probs(s.join(F.broadcast(t), "label"))  # one row per label
+    batch = F.expr(f"vec_id div {BATCH_ROWS}")
+    masked = F.col("target") == IGNORE_INDEX
+    rows = j.select(batch.alias("batch_id"), (batch % 3 != 0).alias("has_teacher"),
                     ce(F.col("z"), F.col("target")).alias("ce"),
-                    F.when(F.col("target") == IGNORE_INDEX, F.lit(None).cast("double"))
-                    .otherwise(soft).alias("soft"),
-                    F.col("t").isNotNull().alias("has_teacher"))
-    g = (rows.groupBy("batch_id")
-         .agg(F.avg("ce").alias("ce"), F.avg("soft").alias("soft"),
-              F.count_if("has_teacher").alias("n_teacher")))
-    return g.select("batch_id", "n_teacher", F.round("ce", 6).alias("ce_mean"),
+                    F.when(masked, F.lit(0.0)).otherwise(kl_rows(j, temperature)).alias("kl"),
+                    (ce(F.col("z"), F.col("target"), 1.0 / temperature) * F.lit(temperature * temperature)).alias("soft_ce"))
+    g = (rows.groupBy("batch_id", "has_teacher")
+         .agg(F.count(F.lit(1)).alias("n_rows"), F.avg("ce").alias("ce"), F.sum("kl").alias("kl"), F.avg("soft_ce").alias("soft_ce"))
+         .withColumn("soft", F.when(F.col("has_teacher"), F.col("kl") / F.col("n_rows")).otherwise(F.col("soft_ce"))))
+    return g.select("batch_id", "has_teacher", "n_rows", F.round("ce", 6).alias("ce_mean"),
                     F.round("soft", 6).alias("soft_mean"),
                     F.round(F.lit(alpha) * F.col("soft") + F.lit(1 - alpha) * F.col("ce"), 6)
                     .alias("loss"))

@@ -17,7 +17,6 @@ from quire.operators.ranking import range_bucket, segmented_lag
 from quire.session import scratch_path
 from quire.sources import literals as L
 
-SUITES = ["click", "error", "purchase", "signup", "view"]
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +133,11 @@ def resolve_model(spark: SparkSession, sf_dir: str,
 
 
 def summary_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per model, one score column per suite (explicit list, NULL = absent)."""
+    """Score of each model and suite in long form: every suite of the log, whatever its name; a suite
+    that a model never ran has no row."""
     r = tables.runs(spark, sf_dir)
-    return (r.groupBy("model").pivot("suite", SUITES)
-            .agg(F.round(F.lit(100.0) * F.count_if("passed") / F.count(F.lit(1)), 6)))
+    return (r.groupBy("model", "suite")
+            .agg(F.round(F.lit(100.0) * F.count_if("passed") / F.count(F.lit(1)), 6).alias("score")))
 
 
 def run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +166,8 @@ def response_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              F.lit(" more chars]"))).alias("remainder_note"))
 
 
-def quality_samples(spark: SparkSession, sf_dir: str, k: int = 3, n: int = 60) -> DataFrame:
-    """First k responses per model (prompt order), gathered into an ordered list.
+def sample_lists(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """First k responses per model (prompt order), whole, gathered into an ordered list.
 
     ``row_number() <= k`` is planned with a partial WindowGroupLimit before the
     shuffle, so each group ships at most k rows per map task.
@@ -175,13 +175,16 @@ def quality_samples(spark: SparkSession, sf_dir: str, k: int = 3, n: int = 60) -
     r = tables.responses(spark, sf_dir)
     w = Window.partitionBy("model").orderBy("prompt_id")
     top = (r.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= k)
-           .select("model", "ord", T.preview(F.col("text"), n).alias("preview"),
-                   F.length("text").alias("n_chars")))
-    g = top.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("ord", "preview"))).alias("s"),
-                                 F.sum("n_chars").cast("bigint").alias("sample_chars"))
-    return g.select("model", F.size("s").cast("bigint").alias("n_samples"),
-                    F.array_join(F.transform("s", lambda x: x["preview"]), " || ").alias("samples"),
-                    "sample_chars")
+           .select("model", "ord", "text"))
+    g = top.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("s"))
+    return g.select("model", F.transform("s", lambda x: x["text"]).alias("samples"))
+
+
+def quality_samples(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    s = sample_lists(spark, sf_dir, k)
+    return s.select("model", F.size("samples").cast("bigint").alias("n_samples"),
+                    F.array_join("samples", " || ").alias("samples"),
+                    F.aggregate(F.transform("samples", F.length), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("sample_chars"))
 
 
 def side_by_side(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
@@ -200,18 +203,21 @@ def side_by_side(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
     return a.join(b, "test_ord")
 
 
-def _validated_suites(suites) -> list[str] | None:
+def _validated_suites(r: DataFrame, suites) -> list[str] | None:
+    """The asked-for names, checked against the suites that the log has (only those asked for are
+    looked up, so what comes back is bounded by the request)."""
     if suites == "all":
         return None
-    bad = [s for s in suites if s not in SUITES]
+    known = {x.suite for x in r.where(F.col("suite").isin(list(suites))).select("suite").distinct().collect()}
+    bad = [s for s in suites if s not in known]
     if bad:
-        raise ValueError(f"unknown suite(s) {bad}; choose from {SUITES} or 'all'")
+        raise ValueError(f"unknown suite(s) {bad}")
     return list(suites)
 
 
 def suite_filter(spark: SparkSession, sf_dir: str, suites=("click", "view")) -> DataFrame:
     r = tables.runs(spark, sf_dir)
-    chosen = _validated_suites(suites)
+    chosen = _validated_suites(r, suites)
     if chosen is not None:
         r = r.where(F.col("suite").isin(chosen))
     return r.select("run_id", "model", "suite", "tokens", F.round("elapsed", 6).alias("elapsed"))
@@ -232,39 +238,31 @@ RECORD_SCHEMA = f"MAP<STRING, {RECORD_STRUCT}>"
 
 
 def result_documents(scores: DataFrame) -> DataFrame:
-    """model → {suite → record} as one JSON document per model (suites sorted)."""
+    """model → {suite → record} as nested maps, one document per model: (value) is its JSON text."""
     rec = F.struct("score", "passed", "total", "avg_tps")
-    return (scores.groupBy("model")
-            .agg(F.array_sort(F.collect_list(F.struct("suite", rec.alias("r")))).alias("e"))
-            .select("model", F.to_json(F.map_from_entries("e")).alias("doc")))
-
-
-def _flatten(docs: DataFrame) -> DataFrame:
-    parsed = docs.select("model", F.explode(F.from_json("doc", RECORD_SCHEMA)).alias("suite", "r"))
-    return parsed.select("model", "suite", "r.score", "r.passed", "r.total", "r.avg_tps")
-
-
-def write_result_documents(docs: DataFrame, path: str) -> None:
-    """Sink: one JSON document per model per line (text files in the shared folder)."""
-    docs.select(F.to_json(F.struct(F.col("model"), F.col("doc"))).alias("value")) \
-        .write.mode("overwrite").text(path)
+    per_model = (scores.groupBy("model")
+                 .agg(F.array_sort(F.collect_list(F.struct("suite", rec.alias("r")))).alias("e")))
+    return per_model.select(F.to_json(F.create_map("model", F.map_from_entries("e"))).alias("value"))
 
 
 def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
-    line = F.from_json("value", "model STRING, doc STRING")
-    return spark.read.text(path).select(line.alias("l")).select("l.model", "l.doc")
+    """Rows (model, suite, record) of the nested documents below a path."""
+    doc = F.from_json("value", f"MAP<STRING, {RECORD_SCHEMA}>")
+    return (spark.read.text(path).select(F.explode(doc).alias("model", "suites"))
+            .select("model", F.explode("suites").alias("suite", "r"))
+            .select("model", "suite", "r.score", "r.passed", "r.total", "r.avg_tps"))
 
 
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested result documents written to the sink, read back and flattened for comparison."""
     path = scratch_path(spark, "result-json")
-    write_result_documents(result_documents(run_scores(spark, sf_dir)), path)
-    return _flatten(read_result_documents(spark, path))
+    result_documents(run_scores(spark, sf_dir)).write.mode("overwrite").text(path)
+    return read_result_documents(spark, path)
 
 
 def result_json_filtered(spark: SparkSession, sf_dir: str, kinds=("dict", "number")) -> DataFrame:
     """Long metrics of mixed kinds (dict records, lists of samples, plain numbers);
-    only the chosen kinds reach the sink, each in its own record shape.
+    only the chosen kinds reach the sink, each in its own folder and record shape; read back.
 
     The filter sits on the union, so Catalyst prunes the dropped branches before
     any of their work runs.
@@ -272,13 +270,16 @@ def result_json_filtered(spark: SparkSession, sf_dir: str, kinds=("dict", "numbe
     s = run_scores(spark, sf_dir)
     dicts = s.select("model", F.col("suite").alias("key"), F.lit("dict").alias("kind"),
                      F.to_json(F.struct("score", "passed", "total", "avg_tps")).alias("payload"))
-    lists = (quality_samples(spark, sf_dir)
+    lists = (sample_lists(spark, sf_dir)
              .select("model", F.lit("quality").alias("key"), F.lit("list").alias("kind"),
-                     F.to_json(F.split("samples", " \\|\\| ")).alias("payload")))
+                     F.to_json("samples").alias("payload")))
     numbers = (s.groupBy("model").agg(F.round(F.avg("mean_tps"), 6).alias("v"))
                .select("model", F.lit("avg_speed").alias("key"), F.lit("number").alias("kind"),
                        F.to_json(F.array("v")).alias("payload")))
-    kept = dicts.unionByName(lists).unionByName(numbers).where(F.col("kind").isin(list(kinds)))
+    path = scratch_path(spark, "result-json-filtered")
+    (dicts.unionByName(lists).unionByName(numbers).where(F.col("kind").isin(list(kinds)))
+     .write.partitionBy("kind").option("ignoreNullFields", "false").json(path))
+    kept = spark.read.schema("model STRING, key STRING, kind STRING, payload STRING").json(path)
     rec = F.when(F.col("kind") == "dict", F.from_json("payload", RECORD_STRUCT))
     value = F.when(F.col("kind") == "number", F.from_json("payload", "ARRAY<DOUBLE>")[0])
     return kept.select("model", "key", "kind", rec["score"].alias("score"), rec["passed"].alias("passed"),

@@ -79,41 +79,43 @@ def _normalised(col):
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train/valid overlap by prompt id (must be 0) and by normalised prompt text.
 
-    One pass over the train side: left joins mark rows whose id / normalised text
-    also occurs on the valid side (semi-join = marked, anti-join = unmarked).  The
-    valid side is deduplicated first, so a hot text meets a single row.
+    Each key is counted once per side (a partially aggregated group-by, so a hot text is one row
+    per task); train rows of keys that the valid side has are the semi-join, the others the
+    anti-join. No row and no text is joined.
     """
-    r = ranked_prompts(spark, sf_dir).select("prompt_id", "split",
-                                             _normalised(F.col("prompt")).alias("norm"))
-    train, valid = r.where(F.col("split") == "train"), r.where(F.col("split") == "valid")
-    valid_ids = valid.select("prompt_id", F.lit(True).alias("id_hit"))
-    valid_norms = valid.select("norm").distinct().withColumn("text_hit", F.lit(True))
-    marked = train.join(valid_ids, "prompt_id", "left").join(valid_norms, "norm", "left")
-    counts = marked.agg(F.count_if(F.col("id_hit").isNotNull()).alias("same_prompt_id"),
-                        F.count_if(F.col("text_hit").isNotNull()).alias("same_prompt_text"),
-                        F.count_if(F.col("text_hit").isNull()).alias("train_after_anti_join"))
+    r = ranked_prompts(spark, sf_dir).select("prompt_id", "split", F.md5(_normalised(F.col("prompt"))).alias("norm"))
+
+    def on_both(key: str) -> DataFrame:
+        """Train rows whose key is also on the valid side, and train rows in all."""
+        sides = r.groupBy(key).agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "valid").alias("v"))
+        return sides.agg(F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("t"))), F.lit(0)).alias("hits"), F.coalesce(F.sum("t"), F.lit(0)).alias("all"))
+
+    ids, texts = on_both("prompt_id"), on_both("norm")
+    counts = texts.crossJoin(ids.select(F.col("hits").alias("same_prompt_id"))).select(  # one row each
+        "same_prompt_id", F.col("hits").alias("same_prompt_text"), (F.col("all") - F.col("hits")).alias("train_after_anti_join"))
     return counts.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("check"), F.col(c).alias("n"))
         for c in ("same_prompt_id", "same_prompt_text", "train_after_anti_join")])).alias("r")).select("r.*")
 
 
 def batch_plan(spark: SparkSession, sf_dir: str, epochs: int = L.NUM_EPOCHS,
-               max_steps: int = L.MAX_STEPS) -> DataFrame:
-    """Epoch × example schedule: reshuffled per epoch, micro-batches of 2, 8 per step,
-    capped at 400 steps, with log / eval / save flags every 5 / 25 / 25 steps."""
-    plan = group_split(spark, sf_dir).where(F.col("split") == "train")
-    ex = plan.select((F.col("prompt_id") * 10 + F.round(F.col("temperature") * 10).cast("bigint"))
+               max_steps: int | None = None) -> DataFrame:
+    """Epoch × example schedule: reshuffled per epoch, micro-batches of 2, 8 per step, with log /
+    eval / save flags every 5 / 25 / 25 steps; every example, unless ``max_steps`` ends it."""
+    plan = _fan_out(ranked_prompts(spark, sf_dir), L.DEFAULT_TEMPERATURES).where(F.col("split") == "train")
+    ex = plan.select("prompt_id", "temp_idx", F.concat(F.col("prompt_id").cast("string"), F.lit(":"), F.col("temp_idx").cast("string"))
                      .alias("example_id"))
     per_step = L.MICRO_BATCH * L.GRAD_ACCUMULATION
-    ep = ex.select("example_id", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    ep = ex.select("prompt_id", "temp_idx", "example_id", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     r = seeded_order(ep, "example_id", name="rank", total="n_examples", partition=["epoch"],
                      seed_col=F.col("epoch") + F.lit(L.SHUFFLE_SEED))
     steps_per_epoch = F.ceil(F.col("n_examples") / F.lit(per_step))
     step = F.col("epoch") * steps_per_epoch + F.floor((F.col("rank") - 1) / per_step)
-    out = r.select("epoch", "example_id", "rank",
+    out = r.select("epoch", "prompt_id", "temp_idx", "rank",
                    F.floor((F.col("rank") - 1) / L.MICRO_BATCH).cast("bigint").alias("micro_batch"),
                    step.cast("bigint").alias("global_step"))
-    return (out.where(F.col("global_step") < max_steps)
-            .withColumn("log_step", F.col("global_step") % L.LOGGING_STEPS == 0)
+    if max_steps is not None:
+        out = out.where(F.col("global_step") < max_steps)
+    return (out.withColumn("log_step", F.col("global_step") % L.LOGGING_STEPS == 0)
             .withColumn("eval_step", F.col("global_step") % L.EVAL_STEPS == 0)
             .withColumn("save_step", F.col("global_step") % L.SAVE_STEPS == 0))

@@ -9,14 +9,14 @@ WORD = WORD_RE
 EDGE = EDGE_WS_RE
 
 PROMPTS = """prompts AS (
-  SELECT conv_id * 1000 + turn AS prompt_id, conv_id, turn,
+  SELECT conv_id * 4294967296 + turn AS prompt_id, conv_id, turn,
          'd' || CAST(conv_id % 9 AS VARCHAR) AS domain, text AS prompt
   FROM conversations WHERE role = 'user')"""
 
 RESPONSES = """responses AS (
   SELECT a.conv_id, a.turn,
          CASE WHEN a.conv_id % 2 = 0 THEN 'A' ELSE 'B' END AS model,
-         a.conv_id * 1000 + a.turn - 1 AS prompt_id,
+         a.conv_id * 4294967296 + a.turn - 1 AS prompt_id,
          CAST(((a.conv_id // 2) + (a.turn // 2)) % 14 AS INTEGER) AS test_ord,
          u.text AS prompt, a.text AS text
   FROM conversations a JOIN conversations u

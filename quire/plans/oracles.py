@@ -182,13 +182,9 @@ FROM cand GROUP BY pattern"""
 
 @oracle("summary_pivot")
 def _():
-    cols = ",\n       ".join(
-        f"round(100.0 * count_if(passed AND suite = '{s}') / nullif(count_if(suite = '{s}'), 0), 6) AS {s}"
-        for s in ["click", "error", "purchase", "signup", "view"])
-    return X.with_(X.RUNS) + f"""
-SELECT model,
-       {cols}
-FROM runs GROUP BY model"""
+    return X.with_(X.RUNS) + """
+SELECT model, suite, round(100.0 * count_if(passed) / count(*), 6) AS score
+FROM runs GROUP BY model, suite"""
 
 
 @oracle("run_delta")
@@ -217,9 +213,9 @@ FROM responses"""
 def _():
     return X.with_(X.RESPONSES) + """
 , t AS (SELECT model, row_number() OVER (PARTITION BY model ORDER BY prompt_id) AS ord,
-               left(text, 60) AS preview, length(text) AS n_chars FROM responses)
+               text, length(text) AS n_chars FROM responses)
 SELECT model, CAST(count(*) AS BIGINT) AS n_samples,
-       string_agg(preview, ' || ' ORDER BY ord) AS samples, CAST(sum(n_chars) AS BIGINT) AS sample_chars
+       string_agg(text, ' || ' ORDER BY ord) AS samples, CAST(sum(n_chars) AS BIGINT) AS sample_chars
 FROM t WHERE ord <= 3 GROUP BY model"""
 
 
@@ -376,21 +372,21 @@ SELECT 'train_after_anti_join', CAST(count(*) AS BIGINT) FROM tr WHERE norm NOT
 @oracle("batch_plan")
 def _():
     return X.with_(X.PROMPTS, X.TEMPS, X.RANKED) + """
-, ex AS (SELECT prompt_id * 10 + CAST(round(temperature * 10) AS BIGINT) AS example_id
+, ex AS (SELECT prompt_id, temp_idx, CAST(prompt_id AS VARCHAR) || ':' || CAST(temp_idx AS VARCHAR) AS example_id
          FROM plan WHERE split = 'train'),
-ep AS (SELECT example_id, CAST(e AS INTEGER) AS epoch FROM ex, range(0, 3) t(e)),
-rk AS (SELECT epoch, example_id,
+ep AS (SELECT prompt_id, temp_idx, example_id, CAST(e AS INTEGER) AS epoch FROM ex, range(0, 3) t(e)),
+rk AS (SELECT epoch, prompt_id, temp_idx,
               row_number() OVER (PARTITION BY epoch ORDER BY
-                 md5(CAST(epoch + 42 AS VARCHAR) || ':' || CAST(example_id AS VARCHAR)), example_id) AS rank,
+                 md5(CAST(epoch + 42 AS VARCHAR) || ':' || example_id), example_id) AS rank,
               count(*) OVER (PARTITION BY epoch) AS n
        FROM ep),
-st AS (SELECT epoch, example_id, CAST(rank AS BIGINT) AS rank,
+st AS (SELECT epoch, prompt_id, temp_idx, CAST(rank AS BIGINT) AS rank,
               CAST(floor((rank - 1) / 2) AS BIGINT) AS micro_batch,
               CAST(epoch * ceil(n / 8) + floor((rank - 1) / 8) AS BIGINT) AS global_step
        FROM rk)
 SELECT *, global_step % 5 = 0 AS log_step, global_step % 25 = 0 AS eval_step,
        global_step % 25 = 0 AS save_step
-FROM st WHERE global_step < 400"""
+FROM st"""
 
 
 CALIB = f"""calib AS (
@@ -494,16 +490,24 @@ GROUP BY uni.lang"""
 @oracle("temperature_distribution")
 def _():
     return X.with_(TOKS, _bigrams()) + """
-, ct AS (SELECT lang, ctx, sum(c) AS tot, max(c) AS mx FROM bi GROUP BY lang, ctx HAVING sum(c) >= 50),
+, ct AS (SELECT lang, ctx, sum(c) AS tot, max(c) AS mx FROM bi GROUP BY lang, ctx),
 w AS (SELECT t.T, bi.lang, bi.ctx, pow(bi.c / ct.mx, 1.0 / t.T) AS w
       FROM bi JOIN ct ON bi.lang = ct.lang AND bi.ctx = ct.ctx,
            (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE)) t(T)),
 p AS (SELECT T, lang, ctx, w / sum(w) OVER (PARTITION BY T, lang, ctx) AS p FROM w)
-SELECT T AS temperature, lang, ctx, CAST(count(*) AS BIGINT) AS n_succ, round(max(p), 6) AS max_p,
-       round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END), 6) AS entropy
+SELECT T AS temperature, lang, ctx, CAST(count(*) AS BIGINT) AS n_succ, round(max(p) + 1e-12, 6) AS max_p,
+       round(-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END), 6) + 0.0 AS entropy
 FROM p GROUP BY T, lang, ctx"""
 
 
+@oracle("temperature_probabilities")
+def _():
+    return X.with_(TOKS, _bigrams()) + """
+, w AS (SELECT t.T, bi.lang, bi.ctx, bi.tok, pow(bi.c::DOUBLE, 1.0 / t.T) AS w
+        FROM bi, (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6::DOUBLE)) t(T))
+SELECT lang, ctx, tok, T AS temperature, round(w / sum(w) OVER (PARTITION BY T, lang, ctx) + 1e-12, 6) AS p FROM w"""
+
+
 @oracle("nucleus_filter")
 def _():
     return X.with_(TOKS, _bigrams()) + """
@@ -580,17 +584,19 @@ FROM r GROUP BY batch_id"""
 
 @oracle("blended_loss")
 def _():
-    return X.with_(STU, _teacher("WHERE label % 3 <> 0")) + f"""
-, r AS (SELECT s.vec_id // 8 AS batch_id, tch3.t IS NOT NULL AS has_teacher,
+    return X.with_(STU, _teacher()) + f"""
+, r AS (SELECT s.vec_id // 8 AS batch_id, (s.vec_id // 8) % 3 <> 0 AS has_teacher,
                CASE WHEN s.target = -100 THEN NULL ELSE s.lse - s.z[s.target + 1] END AS ce,
+               CASE WHEN s.target = -100 THEN 0.0 ELSE {KL_ROW} END AS kl,
                CASE WHEN s.target = -100 THEN NULL
-                    WHEN tch3.t IS NOT NULL THEN {KL_ROW}
-                    ELSE 16.0 * (s.lse_t - s.z[s.target + 1] * 0.25) END AS soft
-        FROM s LEFT JOIN tch3 ON s.label = tch3.label)
-SELECT batch_id, CAST(count_if(has_teacher) AS BIGINT) AS n_teacher, round(avg(ce), 6) AS ce_mean,
-       round(avg(soft), 6) AS soft_mean,
-       round(0.7::DOUBLE * avg(soft) + (1 - 0.7::DOUBLE) * avg(ce), 6) AS loss
-FROM r GROUP BY batch_id"""
+                    ELSE 16.0 * (s.lse_t - s.z[s.target + 1] * 0.25) END AS soft_ce
+        FROM s JOIN tch3 ON s.label = tch3.label),
+b AS (SELECT batch_id, any_value(has_teacher) AS has_teacher, count(*) AS n, avg(ce) AS ce,
+             CASE WHEN any_value(has_teacher) THEN sum(kl) / count(*) ELSE avg(soft_ce) END AS soft
+      FROM r GROUP BY batch_id)
+SELECT batch_id, has_teacher, CAST(n AS BIGINT) AS n_rows, round(ce, 6) AS ce_mean, round(soft, 6) AS soft_mean,
+       round(0.7::DOUBLE * soft + (1 - 0.7::DOUBLE) * ce, 6) AS loss
+FROM b"""
 
 
 # ---------------------------------------------------------------- quantisation

@@ -60,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "bigram_perplexity": lm.bigram_perplexity,
     "perplexity_by_group": lm.perplexity_by_group,
     "temperature_distribution": lm.temperature_distribution,
+    "temperature_probabilities": lm.temperature_probabilities,
     "nucleus_filter": lm.nucleus_filter,
     "greedy_next": lm.greedy_next,
     "kl_unigram": lm.kl_unigram,

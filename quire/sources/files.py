@@ -57,6 +57,8 @@ def materialize_if_absent(spark: SparkSession, sf_dir: str, path: str | None = N
     path = path or scratch_path(spark, "calibration-cache")
     write_jsonl(calibration_examples(spark, sf_dir), path,
                 mode="overwrite" if regenerate else "ignore")
+    # asked for again with nothing to write: the set that is there stays
+    write_jsonl(calibration_examples(spark, sf_dir).limit(0), path, mode="ignore")
     return _summary(read_jsonl(spark, path))
 
 
@@ -67,7 +69,9 @@ def present_sources(spark: SparkSession, sf_dir: str,
     for n in names:
         try:
             df = spark.read.parquet(os.path.join(sf_dir, f"{n}.parquet"))
-        except AnalysisException:
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                raise  # there, but not readable: no reason to skip it
             print(f"SKIP {n}: not found")
             continue
         frames.append(df.withColumn("source_table", F.lit(n)))
@@ -82,8 +86,9 @@ def present_sources(spark: SparkSession, sf_dir: str,
 def storage_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File sizes from the binaryFile source (content column pruned), in bytes and GiB."""
     f = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-         .load(sf_dir).select("path", "length"))
-    per = f.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("name"),
+         .option("recursiveFileLookup", "true").load(sf_dir).select("path", "length"))
+    # a table is a file or a folder of files; it is the first part of the path with the suffix
+    per = f.select(F.regexp_extract("path", r"([^/]+)\.parquet(?:/|$)", 1).alias("name"),
                    F.col("length").alias("bytes"))
     return (per.groupBy(F.col("name")).agg(F.sum("bytes").alias("bytes"))
             .withColumn("gib", F.round(F.col("bytes") / F.lit(1024.0 ** 3), 9)))

@@ -16,6 +16,7 @@ from quire.sources.literals import N_TESTS
 
 # Fixture convention: the module of each vector's parameter path (vec_id % 8);
 # the seven projections are linear, the norm is not.
+TURN_SPACE = 1 << 32  # prompt_id = conv_id * TURN_SPACE + turn: no two turns share one
 MODULES = ["q_proj", "k_proj", "v_proj", "o_proj", "up_proj", "gate_proj", "down_proj", "norm"]
 
 
@@ -44,7 +45,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as a prompt bank: (prompt_id, conv_id, turn, domain, prompt)."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return (c.where(F.col("role") == "user")
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
+            .select((F.col("conv_id") * TURN_SPACE + F.col("turn")).alias("prompt_id"),
                     "conv_id", "turn",
                     F.concat(F.lit("d"), (F.col("conv_id") % 9).cast("string")).alias("domain"),
                     F.col("text").alias("prompt")))
@@ -64,7 +65,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (a.join(u, ["conv_id", "turn"], "inner")
             .select("conv_id", "turn",
                     F.when(F.col("conv_id") % 2 == 0, F.lit("A")).otherwise(F.lit("B")).alias("model"),
-                    (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("prompt_id"),
+                    (F.col("conv_id") * TURN_SPACE + F.col("turn") - 1).alias("prompt_id"),
                     F.pmod(F.expr("conv_id div 2 + turn div 2"), F.lit(N_TESTS))
                     .cast("int").alias("test_ord"),
                     "prompt", "text"))
