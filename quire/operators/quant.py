@@ -22,6 +22,7 @@ from quire.sources import literals as L
 
 LAYER_RE = r"(?:^|\.)layers\.(\d+)(?:\.|$)"
 FIXTURE_LAYERS = 10          # the segments view uses label 0-9 as the layer number
+NF4_BLOCK = 64               # values of a block, which share a scale
 NF4_DQ_BLOCK = 256           # scales are quantised again per 256 blocks
 NF4_DQ_LEVELS = 127
 TOPK = 10
@@ -102,13 +103,13 @@ def _with_bits(v: DataFrame) -> DataFrame:
 
 
 def quantize_groupwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group of every vector at each width: scale, bias, codes (as hex, two digits a code) and error."""
     v = _with_bits(tables.vectors(spark, sf_dir))
-    q = v.select("vec_id", "bits", quantize_groups(F.col("v"), F.col("bits")).alias("g"))
-    e = q.select("vec_id", "bits", code_checksum(F.col("g")).alias("q_checksum"),
-                 F.col("g")[0]["scale"].alias("scale"), F.col("g")[0]["mn"].alias("bias"),
-                 group_errors(F.col("g")).alias("e"))
-    return e.select("vec_id", "bits", "q_checksum", F.round("scale", 12).alias("scale"),
-                    F.round("bias", 12).alias("bias"), F.round("e.sse", 12).alias("sse"))
+    q = v.select("vec_id", "bits", F.posexplode(quantize_groups(F.col("v"), F.col("bits"))).alias("grp", "g"))
+    err = F.zip_with("g.x", F.transform("g.q", lambda c: F.col("g.mn") + c * F.col("g.scale")), lambda x, y: y - x)
+    codes = F.array_join(F.transform("g.q", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return q.select("vec_id", "bits", "grp", F.round("g.scale", 12).alias("scale"), F.round("g.mn", 12).alias("bias"), codes.alias("codes"),
+                    F.round(F.aggregate(err, F.lit(0.0), lambda a, e: a + e * e), 12).alias("sse"))
 
 
 def quant_error_by_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,32 +147,42 @@ def nf4_codes(v: Column) -> Column:
 
 
 def quantize_nf4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """4-bit normal-float codes per 64-value block, then 8-bit quantisation of the
-    block scales per group of 256 blocks (double quantisation)."""
+    """4-bit normal-float codes per block of 64 values, then 8-bit quantisation of the
+    block scales per group of 256 blocks (double quantisation).
+
+    With codes c, values x and a scale s, a block's squared error is s²·Σc² − 2s·Σcx + Σx², so
+    only those sums and the largest value of each block are shuffled, never the vectors."""
     codes = L.double_array(L.NF4_CODES)
     v = tables.vectors(spark, sf_dir)
-    b = v.select("vec_id", "v", F.array_max(F.transform("v", lambda x: F.abs(x))).alias("absmax"),
-                 nf4_codes(F.col("v")).alias("idx"))
+    n_blocks = F.ceil(F.size("v") / F.lit(NF4_BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.slice("v", k * NF4_BLOCK + 1, NF4_BLOCK))
+    b = v.select("vec_id", n_blocks.alias("n_blocks"), F.posexplode(blocks).alias("blk", "x"))
+    b = b.select("vec_id", "n_blocks", "blk", "x", F.array_max(F.transform("x", lambda x: F.abs(x))).alias("absmax"),
+                 F.transform(nf4_codes(F.col("x")), lambda i: F.element_at(codes, i + 1)).alias("c"))
+
+    def total(pairs: Column) -> Column:
+        return F.aggregate(pairs, F.lit(0.0), lambda a, y: a + y)
+
+    b = b.select(F.expr(f"(vec_id * n_blocks + blk) div {NF4_DQ_BLOCK}").alias("dq_group"), "absmax", F.size("x").alias("n"),
+                 total(F.zip_with("c", "c", lambda p, q: p * q)).alias("cc"), total(F.zip_with("c", "x", lambda p, q: p * q)).alias("cx"),
+                 total(F.zip_with("x", "x", lambda p, q: p * q)).alias("xx"))
     grp = Window.partitionBy("dq_group")
-    b = (b.withColumn("dq_group", F.expr(f"vec_id div {NF4_DQ_BLOCK}"))
-         .withColumn("mean_s", F.avg("absmax").over(grp)))
+    b = b.withColumn("mean_s", F.avg("absmax").over(grp))
     b = b.withColumn("amax2", F.max(F.abs(F.col("absmax") - F.col("mean_s"))).over(grp))
     step = F.col("amax2") / F.lit(float(NF4_DQ_LEVELS))
     b = b.withColumn("absmax_dq", F.when(F.col("amax2") > 0, F.col("mean_s") + F.round(
         (F.col("absmax") - F.col("mean_s")) / step) * step).otherwise(F.col("absmax")))
 
-    def sse(scale_col: str) -> Column:
-        return let({"v": F.col("v"), "i": F.col("idx"), "s": F.col(scale_col)}, lambda r: F.aggregate(
-            F.zip_with(r["v"], r["i"], lambda x, i: F.element_at(codes, i + 1) * r["s"] - x),
-            F.lit(0.0), lambda a, e: a + e * e))
+    def sse(scale: str) -> Column:
+        s = F.col(scale)
+        return s * s * F.col("cc") - 2 * s * F.col("cx") + F.col("xx")
 
-    e = b.select("dq_group", sse("absmax").alias("sse"), sse("absmax_dq").alias("sse_dq"),
-                 F.size("v").alias("n"))
+    e = b.select("dq_group", sse("absmax").alias("sse"), sse("absmax_dq").alias("sse_dq"), "n")
     return (e.groupBy("dq_group")
             .agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("sse").alias("a"),
                  F.sum("sse_dq").alias("b"), F.sum("n").alias("n"))
-            .select("dq_group", "n_blocks", F.round(F.col("a") / F.col("n"), 12).alias("mse_nf4"),
-                    F.round(F.col("b") / F.col("n"), 12).alias("mse_nf4_dq")))
+            .select("dq_group", "n_blocks", F.round(F.col("a") / F.col("n"), 10).alias("mse_nf4"),
+                    F.round(F.col("b") / F.col("n"), 10).alias("mse_nf4_dq")))
 
 
 # ---------------------------------------------------------------- fidelity and footprint
@@ -268,7 +279,9 @@ def lowrank_correction(spark: SparkSession, sf_dir: str, ranks=tuple(RANKS)) ->
     gram = np.array([row["c"] for row in cells]).reshape(d, d)
     w, vecs = np.linalg.eigh(gram)
     basis = vecs[:, np.argsort(w)[::-1]].T          # rows = principal directions
-    ranks = tuple(int(k) for k in ranks if 0 <= int(k) <= d)
+    if any(not 0 <= int(k) <= d for k in ranks):
+        raise ValueError(f"ranks {ranks} must lie between 0 and the dimension {d}")
+    ranks = tuple(int(k) for k in ranks)
     per = res.mapInPandas(_rank_errors(basis, ranks), "rank INT, sse DOUBLE, n BIGINT")
     return (per.groupBy("rank")
             .agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))

@@ -603,16 +603,21 @@ FROM b"""
 from quire.sources import literals as _L  # noqa: E402
 
 BITS = "(VALUES (3), (5), (6), (8)) b(bits)"
-QV = f"""qv AS (
-  SELECT vec_id, label, bits, v, list_min(v) AS mn, pow(2.0, bits) - 1 AS lv,
-         (list_max(v) - list_min(v)) / (pow(2.0, bits) - 1) AS scale
-  FROM vectors, {BITS}),
-qq AS (
+GV = """gv AS (
+  SELECT * EXCLUDE (whole), whole[grp * 64 + 1:grp * 64 + 64] AS v
+  FROM (SELECT * EXCLUDE (v), v AS whole, unnest(range(0, CAST(ceil(len(v) / 64.0) AS INTEGER))) AS grp FROM {table}))"""
+QQ = """qq AS (
   SELECT *, list_transform(v, lambda x: CAST(CASE WHEN scale > 0
             THEN least(greatest(round((x - mn) / scale), 0.0), lv) ELSE 0.0 END AS INTEGER)) AS q
   FROM qv),
 qe AS (
   SELECT *, list_transform(range(1, len(v) + 1), lambda i: mn + q[i] * scale - v[i]) AS err FROM qq)"""
+QV = GV.format(table="vectors") + f""",
+qv AS (
+  SELECT vec_id, label, grp, bits, v, list_min(v) AS mn, pow(2.0, bits) - 1 AS lv,
+         (list_max(v) - list_min(v)) / (pow(2.0, bits) - 1) AS scale
+  FROM gv, {BITS}),
+""" + QQ
 
 POLICY = r"""pol AS (
   SELECT *, TRY_CAST(regexp_extract(path, '(?:^|\.)layers\.(\d+)(?:\.|$)', 1) AS INTEGER) AS layer
@@ -638,8 +643,8 @@ FROM pol2 GROUP BY path, module, bits, group_size"""
 @oracle("quantize_groupwise")
 def _():
     return X.with_(X.VECTORS, QV) + """
-SELECT vec_id, bits, CAST(list_sum(list_transform(q, lambda x, i: x * i)) AS BIGINT) AS q_checksum,
-       round(scale, 12) AS scale, round(mn, 12) AS bias,
+SELECT vec_id, bits, CAST(grp AS INTEGER) AS grp, round(scale, 12) AS scale, round(mn, 12) AS bias,
+       array_to_string(list_transform(q, lambda c: printf('%02x', c)), '') AS codes,
        round(list_sum(list_transform(err, lambda e: e * e)), 12) AS sse
 FROM qe"""
 
@@ -656,14 +661,12 @@ FROM qe GROUP BY bits"""
 @oracle("quantize_mixed")
 def _():
     return X.with_(X.VECTORS, X.SEGMENTS, POLICY) + """
-, qv AS (SELECT bits, v, list_min(v) AS mn, pow(2.0, bits) - 1 AS lv,
-                (list_max(v) - list_min(v)) / (pow(2.0, bits) - 1) AS scale FROM pol2),
-qq AS (SELECT *, list_transform(v, lambda x: CAST(CASE WHEN scale > 0
-              THEN least(greatest(round((x - mn) / scale), 0.0), lv) ELSE 0.0 END AS INTEGER)) AS q FROM qv),
-qe AS (SELECT bits, v, CASE WHEN bits IS NULL THEN 0.0 ELSE
-              list_sum(list_transform(range(1, len(v) + 1),
-                   lambda i: (mn + q[i] * scale - v[i]) * (mn + q[i] * scale - v[i]))) END AS sse FROM qq)
-SELECT bits, CAST(count(*) AS BIGINT) AS n_vectors, round(sum(sse) / sum(len(v)), 12) AS mse
+, """ + GV.format(table="pol2") + """,
+qv AS (SELECT bits, grp, v, list_min(v) AS mn, pow(2.0, bits) - 1 AS lv,
+              (list_max(v) - list_min(v)) / (pow(2.0, bits) - 1) AS scale FROM gv),
+""" + QQ + """
+SELECT bits, CAST(count_if(grp = 0) AS BIGINT) AS n_vectors,
+       round(sum(CASE WHEN bits IS NULL THEN 0.0 ELSE list_sum(list_transform(err, lambda e: e * e)) END) / sum(len(v)), 12) AS mse
 FROM qe GROUP BY bits"""
 
 
@@ -672,10 +675,11 @@ def _():
     mids = _L.sql_double_list(_L.NF4_MIDPOINTS)
     codes = _L.sql_double_list(_L.NF4_CODES)
     return X.with_(X.VECTORS) + f"""
-, b AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS absmax FROM vectors),
+, {GV.format(table="(SELECT *, len(v) AS d FROM vectors)")},
+b AS (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS absmax,
+             (vec_id * CAST(ceil(d / 64.0) AS BIGINT) + grp) // 256 AS dq_group FROM gv),
 c AS (SELECT *, list_transform(list_transform(v, lambda x: CASE WHEN absmax > 0 THEN x / absmax ELSE 0.0 END),
-                               lambda y: len(list_filter({mids}, lambda m: m < y))) AS idx,
-             vec_id // 256 AS dq_group FROM b),
+                               lambda y: len(list_filter({mids}, lambda m: m < y))) AS idx FROM b),
 d AS (SELECT *, avg(absmax) OVER (PARTITION BY dq_group) AS mean_s FROM c),
 e AS (SELECT *, max(abs(absmax - mean_s)) OVER (PARTITION BY dq_group) AS amax2 FROM d),
 f AS (SELECT *, CASE WHEN amax2 > 0 THEN mean_s + round((absmax - mean_s) / (amax2 / 127.0)) * (amax2 / 127.0)
@@ -686,8 +690,8 @@ g AS (SELECT dq_group, len(v) AS n,
              list_sum(list_transform(range(1, len(v) + 1), lambda i:
                  (({codes})[idx[i] + 1] * absmax_dq - v[i]) * (({codes})[idx[i] + 1] * absmax_dq - v[i]))) AS sse_dq
       FROM f)
-SELECT dq_group, CAST(count(*) AS BIGINT) AS n_blocks, round(sum(sse) / sum(n), 12) AS mse_nf4,
-       round(sum(sse_dq) / sum(n), 12) AS mse_nf4_dq
+SELECT dq_group, CAST(count(*) AS BIGINT) AS n_blocks, round(sum(sse) / sum(n), 10) AS mse_nf4,
+       round(sum(sse_dq) / sum(n), 10) AS mse_nf4_dq
 FROM g GROUP BY dq_group"""
 
 
@@ -697,7 +701,8 @@ def _():
         return (f"list_transform(list_sort(list_transform({arr}, lambda x, i: {{'k': -x, 'i': i}}))[1:10], "
                 f"lambda s: s.i)")
     return X.with_(X.VECTORS, QV) + f"""
-, d AS (SELECT bits, v, list_transform(q, lambda x: mn + x * scale) AS deq FROM qq)
+, d AS (SELECT bits, flatten(list(v ORDER BY grp)) AS v, flatten(list(list_transform(q, lambda x: mn + x * scale) ORDER BY grp)) AS deq
+       FROM qq GROUP BY vec_id, bits)
 SELECT bits, CAST(count(*) AS BIGINT) AS n_vectors,
        round(avg(len(list_intersect({top('v')}, {top('deq')})) / 10.0), 6) AS recall_at_10
 FROM d GROUP BY bits"""
