@@ -257,9 +257,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
     marked = keyed.join(lists.hint("shuffle_hash"), "doc_id", "left")
     ranges = _sort_buckets(_pack(marked, window, gram), window)
     if not shared.where("is_hot").isEmpty():
-        hot_path = scratch_path(spark, "hot-windows")
-        _hot_windows(marked, window, gram).write.parquet(hot_path)
-        hot = spark.read.parquet(hot_path)
+        hot = _hot_windows(marked, window, gram)  # in this plan, so that it reuses the exchange of the texts
         least = hot.groupBy("digest").agg(F.min("doc_id").alias("least"))
         ranges = ranges.unionByName(hot.join(least, "digest").where("doc_id > least")
                                     .select("doc_id", "doc_key", "first", F.lit(1).alias("windows")))
