@@ -41,21 +41,16 @@ def turn_segment(role, text):
 
 
 def chat_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation: turns, rendered length (with the open assistant turn) and an
-    order-aware checksum of the rendered turns.
+    """The rendered conversations, message by message: read in order of ``turn``, a conversation's
+    rows are its text, which ends in the open assistant turn.
 
-    Each turn is rendered map-side; the conversation figures are sums, partially
-    aggregated, so even a conversation holding a third of all turns is spread over
-    every task instead of being gathered into one.
+    Rows stay apart on purpose: a conversation may hold a third of all turns, and is
+    never gathered into one task. Only the open turns need a (partial) aggregation.
     """
     c = tables.table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    seg = turn_segment(F.col("role"), F.col("text"))
-    per_turn = c.select("conv_id", F.length(seg).alias("len"),
-                        T.md5_int(F.concat(F.col("turn").cast("string"), F.lit(":"), seg)).alias("h"))
-    return (per_turn.groupBy("conv_id")
-            .agg(F.count(F.lit(1)).alias("n_turns"),
-                 (F.sum("len") + F.lit(len(L.CHAT_ASSISTANT_OPEN))).cast("bigint").alias("n_chars"),
-                 F.sum("h").cast("bigint").alias("turn_checksum")))
+    turns = c.select("conv_id", "turn", turn_segment(F.col("role"), F.col("text")).alias("rendered"))
+    last = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
+    return turns.unionByName(last.select("conv_id", "turn", F.lit(L.CHAT_ASSISTANT_OPEN).alias("rendered")))
 
 
 def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:

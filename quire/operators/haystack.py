@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from quire import tables
 from quire.functions import text as T
 from quire.functions.arrays import let
-from quire.operators.joins import materialize, sized_broadcast
 from quire.sources import literals as L
 
 SHINGLE = 8        # interior tokens used as the anchor of a long needle
@@ -112,99 +111,65 @@ def haystack_build(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.first("target_words").cast("bigint").alias("target_words")))
 
 
-def haystack_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered assembly of each haystack, wrapped in the question and chat template."""
+def haystack_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, target_tokens, needle, prompt, n_words): each haystack in order (at most a context's
+    sentences), inside the question. Its word count is the sum of its parts' counts."""
     r = haystack_rows(spark, sf_dir)
     g = (r.groupBy("item_id", "target_tokens")
          .agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("parts"),
+              F.max(F.when(F.col("is_needle"), F.col("sentence"))).alias("needle"),
               F.sum("words").cast("bigint").alias("n_words")))
-    # Parts are joined by single blanks, so the haystack's word count is the sum of
-    # the parts' counts (no second pass of the word regex over the long text).
     hay = F.array_join(F.transform("parts", lambda p: p["sentence"]), " ")
-    prompt = T.chat_prompt(F.concat(F.lit(L.HAYSTACK_QUESTION_HEAD), hay,
-                                    F.lit(L.HAYSTACK_QUESTION_TAIL)))
-    return g.select("item_id", "target_tokens", F.md5(prompt).alias("prompt_md5"),
-                    F.length(prompt).cast("bigint").alias("n_chars"), "n_words")
+    return g.select("item_id", "target_tokens", "needle",
+                    F.concat(F.lit(L.HAYSTACK_QUESTION_HEAD), hay, F.lit(L.HAYSTACK_QUESTION_TAIL)).alias("prompt"), "n_words")
+
+
+def haystack_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered assembly of each haystack, wrapped in the question and chat template."""
+    chat = T.chat_prompt(F.col("prompt"))
+    return haystack_prompts(spark, sf_dir).select(
+        "item_id", "target_tokens", F.md5(chat).alias("prompt_md5"), F.length(chat).cast("bigint").alias("n_chars"), "n_words")
 
 
 # ---------------------------------------------------------------- needle search
-def _shingle_hash(toks: Column, start: Column, k: Column) -> Column:
-    return F.xxhash64(F.slice(toks, start, k))
+def _windows(parts: Column, k: Column) -> Column:
+    """Hash of every run of |k| parts; the sign of k tells tokens from characters."""
+    n = F.abs(k)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))),
+                       lambda i: F.xxhash64(k, F.slice(parts, i, n)))
 
 
-def _shingle_hashes(toks: Column, k: int) -> Column:
-    """Hash of every k-token window of a document, computed inside the row.
+def _anchors_of_text(toks: Column, text: Column, used: Column) -> Column:
+    """Distinct hashes of a text's runs of the ``used`` lengths, built inside the row in one pass:
+    only hashes leave it. Characters are split only where a needle needs them."""
+    chars = F.when(F.exists(used, lambda k: k < 0), F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    return let({"t": toks, "x": chars, "u": used}, lambda s: F.array_distinct(F.flatten(F.transform(
+        s["u"], lambda k: F.when(k > 0, _windows(s["t"], k)).otherwise(_windows(s["x"], k))))))
 
-    Exploding positions while carrying the token array would copy the array once
-    per position (quadratic in the document length); only the hashes leave the row.
-    """
-    return let({"t": toks}, lambda s: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(s["t"]) - k + 1, F.lit(1))),
-        lambda i: _shingle_hash(s["t"], i, F.lit(k))))
-
-
-def _long_candidates(docs: DataFrame, long_needles: DataFrame, ks: list[int]) -> DataFrame:
-    anchors = long_needles.select("item_id", "k", _shingle_hash(F.col("toks"), F.lit(2), F.col("k"))
-                                  .alias("h"))
-    parts = []
-    for k in ks:
-        sh = (docs.where(F.size("toks") >= k)
-              .select("doc_id", F.lit(k).alias("k"), F.explode_outer(_shingle_hashes(F.col("toks"), k))
-                      .alias("h"))
-              .where(F.col("h").isNotNull()))
-        parts.append(sh)
-    doc_sh = parts[0]
-    for p in parts[1:]:
-        doc_sh = doc_sh.unionByName(p)
-    return doc_sh.join(anchors, ["k", "h"]).select("doc_id", "item_id")
-
-
-def _qgrams(text: Column, q: int) -> Column:
-    """Every q-character substring of the text, computed inside the row."""
-    return let({"t": text}, lambda s: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(s["t"]) - q + 1, F.lit(1))),
-        lambda i: F.substring(s["t"], i, q)))
-
-
-def _short_candidates(texts: DataFrame, short_needles: DataFrame, qs: list[int]) -> DataFrame:
-    anchors = short_needles.select("item_id", "q", F.left(F.col("text"), F.col("q")).alias("g"))
-    parts = []
-    for q in qs:
-        parts.append(texts.select("doc_id", F.lit(q).alias("q"), F.explode_outer(_qgrams(F.col("text"), q))
-                                  .alias("g"))
-                     .where(F.col("g").isNotNull()))
-    grams = parts[0]
-    for p in parts[1:]:
-        grams = grams.unionByName(p)
-    return grams.join(anchors, ["q", "g"]).select("doc_id", "item_id")
+
+def _needle_anchors(needles: DataFrame) -> DataFrame:
+    """(item_id, needle, k, h): the interior tokens of a needle of three or more (they stand whole in
+    any text that contains it), else its leading characters (k negative). Empty needles have none."""
+    t = needles.where(F.length("text") > 0).select("item_id", F.col("text").alias("needle"), T.words(F.col("text")).alias("toks"))
+    n = F.size("toks")
+    t = t.withColumn("k", F.when(n >= 3, F.least(F.lit(SHINGLE), n - 2)).otherwise(-F.least(F.lit(QGRAM), F.length("needle"))))
+    parts = F.when(n >= 3, F.slice("toks", F.lit(2), F.abs("k"))).otherwise(F.slice(F.split("needle", ""), F.lit(1), F.abs("k")))
+    return t.select("item_id", "needle", "k", F.xxhash64("k", parts).alias("h"))
 
 
 def needle_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by all needles: anchors meet by an equi-join, candidates are verified.
+
+    The candidates carry the needle, so they meet the documents by ``doc_id`` alone: the
+    texts are hashed by their own unique key, never by a needle's."""
     docs = tables.texts(spark, sf_dir, "doc_id", "text")
-    nd = tables.needles(spark, sf_dir)
-    ntok = nd.select("item_id", "text", T.words(F.col("text")).alias("toks"))
-    ntok = ntok.withColumn("n", F.size("toks"))
-    long_n = ntok.where(F.col("n") >= 3).withColumn("k", F.least(F.lit(SHINGLE), F.col("n") - 2))
-    short_n = (ntok.where((F.col("n") < 3) & (F.length("text") > 0))
-               .withColumn("q", F.least(F.lit(QGRAM), F.length("text"))))
-    # The distinct anchor lengths are a handful of small integers (constant-size result).
-    ks = sorted(r["k"] for r in long_n.select("k").distinct().collect())
-    qs = sorted(r["q"] for r in short_n.select("q").distinct().collect())
-    cands = []
-    if ks:
-        dt = docs.select("doc_id", T.words(F.col("text")).alias("toks"))
-        cands.append(_long_candidates(dt, long_n, ks))
-    if qs:
-        cands.append(_short_candidates(docs, short_n, qs))
-    if not cands:
-        return spark.createDataFrame([], "item_id BIGINT, doc_id BIGINT, pos BIGINT, depth DOUBLE")
-    c = cands[0]
-    for x in cands[1:]:
-        c = c.unionByName(x)
-    # Candidate pairs are few: materialise them once, then broadcast them into the
-    # document scan (checked size) so the documents are verified without a shuffle.
-    c = sized_broadcast(materialize(c.distinct()))
-    v = (docs.join(c, "doc_id").join(nd.withColumnRenamed("text", "needle"), "item_id")
+    needles = _needle_anchors(tables.needles(spark, sf_dir))
+    used = needles.agg(F.collect_set("k")).scalar()  # of SHINGLE + QGRAM possible lengths
+    anchors = (docs.withColumn("used", used)
+               .select("doc_id", F.explode_outer(_anchors_of_text(T.words(F.col("text")), F.col("text"), F.col("used"))).alias("h"))
+               .where(F.col("h").isNotNull()))
+    found = anchors.join(needles, "h").select("doc_id", "item_id", "needle")
+    v = (docs.join(found, "doc_id")
          .select("item_id", "doc_id", F.instr(F.col("text"), F.col("needle")).cast("bigint").alias("pos"),
                  F.length("text").alias("len")))
     return (v.where(F.col("pos") > 0)

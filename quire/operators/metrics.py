@@ -187,22 +187,6 @@ def quality_samples(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
                     F.aggregate(F.transform("samples", F.length), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("sample_chars"))
 
 
-def side_by_side(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
-    """The first response of each model per graded test, next to each other."""
-    r = tables.responses(spark, sf_dir)
-    first = (r.groupBy("model", "test_ord")
-             .agg(F.min_by(F.struct("prompt_id", T.preview(F.col("text"), n).alias("preview"),
-                                    F.length("text").cast("bigint").alias("n_chars")),
-                           F.col("prompt_id")).alias("s")))
-    a = first.where(F.col("model") == "A").select(
-        "test_ord", F.col("s.prompt_id").alias("a_prompt_id"), F.col("s.preview").alias("a_preview"),
-        F.col("s.n_chars").alias("a_chars"))
-    b = first.where(F.col("model") == "B").select(
-        "test_ord", F.col("s.prompt_id").alias("b_prompt_id"), F.col("s.preview").alias("b_preview"),
-        F.col("s.n_chars").alias("b_chars"))
-    return a.join(b, "test_ord")
-
-
 def _validated_suites(r: DataFrame, suites) -> list[str] | None:
     """The asked-for names, checked against the suites that the log has (only those asked for are
     looked up, so what comes back is bounded by the request)."""

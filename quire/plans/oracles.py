@@ -219,18 +219,6 @@ SELECT model, CAST(count(*) AS BIGINT) AS n_samples,
 FROM t WHERE ord <= 3 GROUP BY model"""
 
 
-@oracle("side_by_side")
-def _():
-    return X.with_(X.RESPONSES) + """
-, f AS (SELECT model, test_ord, min(prompt_id) AS pid FROM responses GROUP BY model, test_ord),
-s AS (SELECT r.model, r.test_ord, r.prompt_id, left(r.text, 200) AS preview,
-             CAST(length(r.text) AS BIGINT) AS n_chars
-      FROM responses r JOIN f ON r.model = f.model AND r.test_ord = f.test_ord AND r.prompt_id = f.pid)
-SELECT a.test_ord, a.prompt_id AS a_prompt_id, a.preview AS a_preview, a.n_chars AS a_chars,
-       b.prompt_id AS b_prompt_id, b.preview AS b_preview, b.n_chars AS b_chars
-FROM s a JOIN s b ON a.test_ord = b.test_ord AND a.model = 'A' AND b.model = 'B'"""
-
-
 @oracle("suite_filter")
 def _():
     return X.with_(X.RUNS) + """
@@ -288,11 +276,9 @@ FROM responses"""
 
 @oracle("chat_conversation")
 def _():
-    seg = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
-    return f"""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-       CAST(sum(length({seg})) + length('<|im_start|>assistant' || chr(10)) AS BIGINT) AS n_chars,
-       CAST(sum({X.md5_int("CAST(turn AS VARCHAR) || ':' || " + seg)}) AS BIGINT) AS turn_checksum
-FROM conversations GROUP BY conv_id"""
+    return """SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered FROM conversations
+UNION ALL
+SELECT conv_id, max(turn) + 1, '<|im_start|>assistant' || chr(10) FROM conversations GROUP BY conv_id"""
 
 
 @oracle("strip_think")
@@ -807,3 +793,118 @@ def _():
 SELECT b.item_id, {X.word_count('b.text')} AS n_words, CAST(coalesce(h.n_docs, 0) AS BIGINT) AS n_docs,
        coalesce(h.n_docs, 0) > 0 AS found
 FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id"""
+
+
+# ---------------------------------------------------------------- generation and what follows it
+def _answers(source: str, keep: str) -> str:
+    """Both backends over a relation with a prompt column."""
+    return f"""w AS (SELECT {keep}, {X.words('prompt')} AS ws FROM {source}),
+answers AS (
+  SELECT {keep}, model, CASE WHEN len(ws) = 0 THEN '' ELSE array_to_string(CASE WHEN model = 'A' THEN ws[1:2048]
+           ELSE ws[len(ws) - least(2048, (len(ws) + 1) // 2) + 1:] END, ' ') END AS text,
+         CASE WHEN len(ws) = 0 THEN 'ValueError: empty prompt' END AS error
+  FROM w, (VALUES ('A'), ('B')) m(model))"""
+
+
+GENERATED = X.PROMPTS + """,
+plan AS (SELECT prompt_id, prompt, CAST((conv_id // 2 + (turn + 1) // 2) % 14 AS INTEGER) AS test_ord, CAST(i AS INTEGER) AS temp_idx
+         FROM prompts, range(0, 3) t(i)),
+""" + _answers("plan", "prompt_id, test_ord, temp_idx")
+
+
+@oracle("batch_generate")
+def _():
+    return "WITH " + GENERATED + f"""
+SELECT model, prompt_id, temp_idx, text, {X.word_count('text')} AS tok_count, error FROM answers"""
+
+
+@oracle("generated_scores")
+def _():
+    hay = X.strip_think("r.text")
+    return "WITH " + GENERATED + ",\n" + X.RULES + f""",
+checked AS (
+  SELECT r.model, r.prompt_id, r.temp_idx, r.error, ru.rule_set, ru.suite, ru.test, ru.clause_id,
+         bool_or(contains(CASE WHEN ru.prefix_chars IS NULL THEN h.hay ELSE left(h.hay, ru.prefix_chars) END, ru.needle)) AS clause_ok
+  FROM answers r JOIN rules ru ON r.test_ord = ru.test_ord,
+  LATERAL (SELECT CASE WHEN ru.ignore_case THEN lower(CASE WHEN ru.strip_think THEN {hay} ELSE r.text END)
+                       ELSE CASE WHEN ru.strip_think THEN {hay} ELSE r.text END END AS hay) h
+  GROUP BY ALL),
+graded AS (
+  SELECT model, prompt_id, temp_idx, error, rule_set, suite, test, bool_and(clause_ok) AND error IS NULL AS ok
+  FROM checked GROUP BY model, prompt_id, temp_idx, error, rule_set, suite, test)
+SELECT rule_set, model, suite, CAST(count_if(ok) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total,
+       CAST(count(error) AS BIGINT) AS errors, round(100.0 * count_if(ok) / count(*), 6) AS score
+FROM graded GROUP BY rule_set, model, suite"""
+
+
+@oracle("side_by_side")
+def _():
+    return "WITH " + GENERATED + """
+SELECT a.prompt_id, left(a.text, 200) AS a_preview, CAST(length(a.text) AS BIGINT) AS a_chars,
+       left(b.text, 200) AS b_preview, CAST(length(b.text) AS BIGINT) AS b_chars
+FROM answers a JOIN answers b ON a.prompt_id = b.prompt_id AND a.model = 'A' AND b.model = 'B'
+     AND a.temp_idx = 0 AND b.temp_idx = 0"""
+
+
+@oracle("context_scores")
+def _():
+    head, tail = X.q(_L.HAYSTACK_QUESTION_HEAD), X.q(_L.HAYSTACK_QUESTION_TAIL)
+    return X.with_(HAY) + f"""
+, h AS (SELECT item_id, target_tokens, {head} || string_agg(sentence, ' ' ORDER BY pos) || {tail} AS prompt,
+               array_to_string({X.words("max(CASE WHEN is_needle THEN sentence END)")}, ' ') AS needle
+        FROM hrows GROUP BY item_id, target_tokens),
+""" + _answers("h", "item_id, target_tokens, needle") + """
+SELECT model, target_tokens, CAST(count_if(contains(text, needle) AND error IS NULL) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total
+FROM answers GROUP BY model, target_tokens"""
+
+
+# ---------------------------------------------------------------- count-based classifiers
+EXAMPLES = f"""lab AS (SELECT doc_id, CAST(quality AS DOUBLE) AS y,
+         row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rk, count(*) OVER () AS n
+       FROM labels WHERE quality IS NOT NULL),
+ids AS (SELECT doc_id, y, CASE WHEN rk - 1 < floor(n * 0.85::DOUBLE) THEN 'train' ELSE 'valid' END AS split FROM lab),
+docs AS (SELECT i.doc_id, i.y, i.split, {X.words('lower(d.text)')} AS ws FROM ids i JOIN documents d USING (doc_id)),
+tok AS (SELECT doc_id, y, split, unnest(ws) AS tok FROM docs),
+ex AS (SELECT doc_id, y, split, {X.md5_int('tok')} AS h, count(*) AS tf FROM tok GROUP BY doc_id, y, split, tok)"""
+
+
+def _bayes(name: str, target: str, points: str, source: str = "docs") -> str:
+    """Scores ``{name}_s`` (w, s, doc_id, y, split, score) of grid points (w, s) fitted on train."""
+    return f"""{name}_d AS (SELECT DISTINCT doc_id, y, split, {target} AS t FROM {source}),
+{name}_x AS (SELECT p.w, p.s, e.doc_id, e.split, e.y, e.h % p.w AS f, e.tf, d.t FROM ex e JOIN {name}_d d USING (doc_id), {points} p(w, s)),
+{name}_c AS (SELECT w, s, f, sum(t * tf) AS c1, sum((1 - t) * tf) AS c0 FROM {name}_x WHERE split = 'train' GROUP BY w, s, f),
+{name}_t AS (SELECT w, s, sum(c1) AS s1, sum(c0) AS s0 FROM {name}_c GROUP BY w, s),
+{name}_p AS (SELECT ln(sum(t)) - ln(sum(1 - t)) AS prior FROM {name}_d WHERE split = 'train'),
+{name}_w AS (SELECT w, s, f, ln((c1 + s) / (s1 + s * w)) - ln((c0 + s) / (s0 + s * w)) AS v FROM {name}_c JOIN {name}_t USING (w, s)),
+{name}_g AS (SELECT x.w, x.s, x.doc_id, sum(x.tf * coalesce(v.v, ln(t.s0 + x.s * x.w) - ln(t.s1 + x.s * x.w))) AS g
+             FROM {name}_x x JOIN {name}_t t USING (w, s) LEFT JOIN {name}_w v USING (w, s, f) GROUP BY x.w, x.s, x.doc_id),
+{name}_s AS (SELECT t.w, t.s, d.doc_id, d.y, d.split, least(greatest(prior + coalesce(g.g, 0.0), -30.0), 30.0) AS score
+             FROM {name}_d d CROSS JOIN {name}_p CROSS JOIN {name}_t t LEFT JOIN {name}_g g ON g.w = t.w AND g.s = t.s AND g.doc_id = d.doc_id)"""
+
+
+_LOSS = "round(avg(ln(1 + exp(CASE WHEN y > 0 THEN -score ELSE score END))), 4)"
+_TEACHER = _bayes("teach", "y", "(VALUES (4096, 1.0::DOUBLE))")
+
+
+@oracle("distill_student")
+def _():
+    return "WITH " + ",\n".join([EXAMPLES, _TEACHER,
+        "blend AS (SELECT doc_id, y, split, 0.7::DOUBLE * (1 / (1 + exp(-score))) + (1 - 0.7::DOUBLE) * y AS target FROM teach_s)",
+        _bayes("soft", "target", "(VALUES (64, 1.0::DOUBLE))", "blend"), _bayes("hard", "y", "(VALUES (64, 1.0::DOUBLE))")]) + "".join(
+        f"{' UNION ALL' * (k > 0)}\nSELECT '{name}' AS model, CAST(count(*) AS BIGINT) AS n_eval, {_LOSS} AS log_loss FROM {table} WHERE split = 'valid'"
+        for k, (name, table) in enumerate([("teacher", "teach_s"), ("student_soft", "soft_s"), ("student_hard", "hard_s")]))
+
+
+@oracle("valid_loss")
+def _():
+    return "WITH " + EXAMPLES + ",\n" + _TEACHER + f"""
+SELECT split AS model, CAST(count(*) AS BIGINT) AS n_eval, {_LOSS} AS log_loss FROM teach_s GROUP BY split"""
+
+
+@oracle("param_sweep")
+def _():
+    points = ", ".join(f"({w}, {s}::DOUBLE)" for w in (256, 4096) for s in (0.1, 1.0, 10.0))
+    return "WITH " + EXAMPLES + ",\n" + _bayes("grid", "y", f"(VALUES {points})") + f"""
+SELECT w AS num_features, s AS smoothing, {_LOSS} AS log_loss,
+       round(avg(CASE WHEN (score > 0) = (y > 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS accuracy
+FROM grid_s WHERE split = 'valid' GROUP BY w, s"""

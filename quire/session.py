@@ -1,8 +1,9 @@
 """Session defaults and the shared scratch location.
 
-Jobs read ``spark.checkpoint.dir`` from the running session; a default is only
-set when it is missing (local runs and tests).  Nothing here assumes a
-machine-local folder on a cluster.
+Jobs read ``spark.checkpoint.dir`` from the running session. Only a session whose
+executors run on this machine gets a folder of its own when none is named; on a
+cluster a missing setting is an error, because a machine-local folder would be read back
+empty or in part.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.quire.spreadInputs": "true",  # see quire.tables.spread; for local sessions
     # checkpoints of intermediate sides are removed once nothing references them
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -42,11 +44,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The session's checkpoint folder; a new local one only for a local master without any."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quire-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -46,11 +46,11 @@ def start_grader(spark: SparkSession, source_dir: str, out_dir: str, checkpoint:
     return w.start()
 
 
-def stream_suite_score(spark: SparkSession, sf_dir: str, n_files: int = 8) -> DataFrame:
+def stream_suite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land the responses as JSONL files, grade them as a stream, read the final scores."""
     base = scratch_path(spark, "stream-grader")
     src = os.path.join(base, "responses")
-    (tables.responses(spark, sf_dir).repartition(n_files)
+    (tables.responses(spark, sf_dir)
      .write.mode("overwrite").json(src))
     q = start_grader(spark, src, os.path.join(base, "scores"), os.path.join(base, "checkpoint"))
     q.awaitTermination()

@@ -26,19 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Input-parallelism guard for row-heavy work.
+    """Hash-partitions a scan by its key where the caller's session asks for it
+    (``spark.quire.spreadInputs``, off by default and on in local sessions built here).
 
-    A scan split into fewer tasks than the session's parallelism (e.g. one small
-    file with one row group) is hash-partitioned by its key first, so per-row work
-    (regexes, hashing, array maths) runs on every core.  Large inputs already scan
-    as many splits as there are cores, so on a cluster this adds no shuffle.
+    For small local files of one row group, which scan as one task however many cores there
+    are. On a cluster leave it off and use ``spark.sql.files.maxPartitionBytes``: a shuffle of the whole
+    text ahead of map-only work costs more than it gives.
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session): leave the scan as is
+    if df.sparkSession.conf.get("spark.quire.spreadInputs", "false") != "true":
         return df
-    return df.repartition(target, key) if splits < target else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
