@@ -50,8 +50,8 @@ def log_odds(train: DataFrame, target: Column, key: list[str], smoothing: Column
     w = (F.log((F.col("c1") + smoothing) / (F.col("s1") + smoothing * width))
          - F.log((F.col("c0") + smoothing) / (F.col("s0") + smoothing * width)))
     unseen = F.log(F.col("s0") + smoothing * width) - F.log(F.col("s1") + smoothing * width)
-    stats = total.join(docs, key) if key else total.crossJoin(docs)  # one row per key
-    out = cells.join(F.broadcast(stats), key) if key else cells.crossJoin(F.broadcast(stats))
+    stats = total.join(docs, key)  # one row per key
+    out = cells.join(F.broadcast(stats), key)
     return out.select(*key, "f", w.alias("w")), stats.select(*key, "prior", unseen.alias("unseen"))
 
 
@@ -59,7 +59,7 @@ def scored(rows: DataFrame, weights: DataFrame, stats: DataFrame, key: list[str]
     """(*key, doc_id, y, split, s): log-odds of each document. The weights have at most a hash
     width of rows per key, the stats one row per key."""
     j = rows.join(F.broadcast(weights), [*key, "f"], "left")
-    j = j.join(F.broadcast(stats), key) if key else j.crossJoin(F.broadcast(stats))
+    j = j.join(F.broadcast(stats), key)
     s = F.first("prior") + F.sum(F.when(F.col("tf") > 0, F.col("tf") * F.coalesce("w", "unseen")).otherwise(F.lit(0.0)))
     return (j.groupBy(*key, "doc_id", "y", "split")
             .agg(F.least(F.greatest(s, F.lit(-CLIP)), F.lit(CLIP)).alias("s")))
@@ -70,9 +70,9 @@ def _loss() -> Column:
 
 
 def _fit_score(rows: DataFrame, target: Column, width: int) -> DataFrame:
-    r = rows.withColumn("f", _feature(F.lit(width)))
-    weights, stats = log_odds(r.where("split = 'train'"), target, [], F.lit(SMOOTHING), F.lit(float(width)))
-    return scored(r, weights, stats, [])
+    r = rows.withColumn("f", _feature(F.lit(width))).withColumn("width", F.explode(F.array(F.lit(width))))  # a grid of one point
+    weights, stats = log_odds(r.where("split = 'train'"), target, ["width"], F.lit(SMOOTHING), F.lit(float(width)))
+    return scored(r, weights, stats, ["width"])
 
 
 def _valid(s: DataFrame, name: str) -> DataFrame:

@@ -72,8 +72,11 @@ def filler_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def haystack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_needle(filler_draws(spark, sf_dir).join(F.broadcast(_fillers(spark)), "choice"))
+
+
+def place_needle(d: DataFrame) -> DataFrame:
     """Kept filler rows plus one needle row per haystack, with an ordering key ``pos``."""
-    d = filler_draws(spark, sf_dir).join(F.broadcast(_fillers(spark)), "choice")
     grp = ["item_id", "target_tokens"]
     order = Window.partitionBy(*grp).orderBy("slot")
     whole = Window.partitionBy(*grp)

@@ -1,8 +1,8 @@
 """Exact global ordering without a single-partition exchange.
 
 ``two_level_rank`` numbers rows 1..n in a total order in parallel: rows are put
-into buckets that are monotone in the order (an md5 prefix, equal-width ranges
-or quantile boundaries), the (small, bounded) bucket-count table is prefix-summed, and the
+into buckets that are monotone in the order (an md5 prefix or ranges
+between quantiles), the (small, bounded) bucket-count table is prefix-summed, and the
 local ``row_number`` inside each bucket is offset by it.  This is the building
 block for the shuffle order, the splits, the progress counter, the batch plan
 and the segmented lag (``segmented_lag``).
@@ -39,26 +39,15 @@ def hex_bucket(md5_col: Column, digits: int = 3) -> Column:
 
 
 def range_bucket(df: DataFrame, col: str, n: int | None = None) -> Column:
-    """Monotone equal-width bucket of a numeric key between its min and max.
+    """Monotone bucket of a numeric key between approximate quantiles of the keys that are there.
 
-    min/max are scalar subqueries (computed once, inlined), so no driver round
-    trip; suited to dense ids such as event or prompt ids.
+    Buckets follow the rows, not the key's range: an outlier or a gap doesn't push all rows into
+    one. The boundaries are ``n`` numbers at most, from one mergeable sketch over all rows.
     """
-    n = n or bucket_count(df.sparkSession)
-    bounds = df.agg(F.struct(F.min(col).cast("double").alias("lo"),
-                             F.max(col).cast("double").alias("hi"))).scalar()
-    lo, hi = bounds.getField("lo"), bounds.getField("hi")
-    width = F.greatest((hi - lo) / F.lit(float(n)), F.lit(1e-300))
-    return F.least(F.floor((F.col(col).cast("double") - lo) / width), F.lit(n - 1)).cast("int")
-
-
-def quantile_bucket(df: DataFrame, col: str, n: int = 256) -> Column:
-    """Monotone bucket of a numeric key from approximate quantiles.
-
-    The boundaries are a constant-size driver-side result (``n`` numbers).
-    """
-    probs = [i / n for i in range(1, n)]
-    bounds = sorted(set(df.approxQuantile(col, probs, 1.0 / (4 * n))))
+    n = n or min(256, bucket_count(df.sparkSession))
+    if n < 2:
+        return F.lit(0)
+    bounds = sorted(set(df.approxQuantile(col, [i / n for i in range(1, n)], 1.0 / (4 * n))))
     if not bounds:
         return F.lit(0)
     arr = F.array(*[F.lit(float(b)) for b in bounds])

@@ -91,8 +91,7 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
         return sides.agg(F.coalesce(F.sum(F.when(F.col("v") > 0, F.col("t"))), F.lit(0)).alias("hits"), F.coalesce(F.sum("t"), F.lit(0)).alias("all"))
 
     ids, texts = on_both("prompt_id"), on_both("norm")
-    counts = texts.crossJoin(ids.select(F.col("hits").alias("same_prompt_id"))).select(  # one row each
-        "same_prompt_id", F.col("hits").alias("same_prompt_text"), (F.col("all") - F.col("hits")).alias("train_after_anti_join"))
+    counts = texts.select(ids.select("hits").scalar().alias("same_prompt_id"), F.col("hits").alias("same_prompt_text"), (F.col("all") - F.col("hits")).alias("train_after_anti_join"))
     return counts.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("check"), F.col(c).alias("n"))
         for c in ("same_prompt_id", "same_prompt_text", "train_after_anti_join")])).alias("r")).select("r.*")

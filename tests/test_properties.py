@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 
 import pytest
 from pyspark.sql import Window
@@ -14,7 +13,6 @@ from quire import tables
 from quire.operators import haystack, lm, losses, quant, ranking, splits
 from quire.plans.oracles import ORACLES
 from quire.plans.registry import QUERIES
-from quire.sources import literals as L
 
 
 def test_two_level_rank_equals_row_number(spark):
@@ -24,16 +22,16 @@ def test_two_level_rank_equals_row_number(spark):
     assert r.select("id", "r").exceptAll(ref.select("id", "r")).count() == 0
 
 
-def test_quantile_rank_and_partitioned_rank(spark):
+def test_range_rank_and_partitioned_rank(spark):
     df = spark.range(0, 3000).select((F.col("id") * 7919 % 3001).alias("x"), (F.col("id") % 3).alias("g"))
-    r = ranking.two_level_rank(df, ranking.quantile_bucket(df, "x", 16), [F.col("x")], ["g"], "r")
+    r = ranking.two_level_rank(df, ranking.range_bucket(df, "x", 16), [F.col("x")], ["g"], "r")
     ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("x")))
     assert r.select("x", "g", "r").exceptAll(ref.select("x", "g", "r")).count() == 0
 
 
 def test_segmented_lag_equals_lag(spark):
     df = spark.range(0, 4000).select(F.col("id"), (F.col("id") % 2).alias("g"), (F.col("id") * 3.5).alias("v"))
-    out = ranking.segmented_lag(df, ["g"], "id", "v", ranking.quantile_bucket(df, "id", 32), "p")
+    out = ranking.segmented_lag(df, ["g"], "id", "v", ranking.range_bucket(df, "id", 32), "p")
     ref = df.withColumn("p", F.lag("v").over(Window.partitionBy("g").orderBy("id")))
     assert out.select("id", "p").exceptAll(ref.select("id", "p")).count() == 0
 
@@ -113,57 +111,41 @@ def test_lowrank_error_falls_with_rank(spark):
     assert m[64] < 1e-12
 
 
-def _sequential_haystack(words, target_tokens, needle_words):
-    """The sequential budget loop, replayed on a fixed sequence of drawn sentence lengths."""
-    target = target_tokens // 4
-    parts, count, inserted, i = [], 0, False, 0
-    while count < target:
-        w = words[i]
-        i += 1
-        if not inserted and count >= target // 2:
-            parts.append(("needle", needle_words))
-            inserted = True
-            count += needle_words
-        parts.append(("s", w))
-        count += w
-    if not inserted:
-        parts.insert(len(parts) // 2, ("needle", needle_words))
-    pos = [j for j, p in enumerate(parts) if p[0] == "needle"][0]
-    return len(parts) - 1, pos, sum(p[1] for p in parts)
-
-
-def test_haystack_matches_sequential_loop(spark):
-    draws = haystack.filler_draws(spark, SF_SMALL).collect()
-    fill_words = [len(s.split()) for s in L.FILLER_SENTENCES]
-    seqs = {}
-    for r in draws:
-        seqs.setdefault((r["item_id"], r["target_tokens"]), {})[r["slot"]] = r["choice"]
-    needle_words = {r["item_id"]: len(r["text"].split()) for r in tables.needles(spark, SF_SMALL).collect()}
-    built = {(r["item_id"], r["target_tokens"]): r for r in haystack.haystack_build(spark, SF_SMALL).collect()}
-    for key, slots in seqs.items():
-        words = [fill_words[slots[s]] for s in range(len(slots))]
-        n, pos, total = _sequential_haystack(words, key[1], needle_words[key[0]])
-        b = built[key]
-        assert (b["n_sentences"], b["needle_pos"], b["actual_words"]) == (n, pos, total), key
-
-
-def test_haystack_rule_on_random_lengths():
-    """The row rule used by the Spark job equals the loop on random inputs."""
-    import random
-
-    rng = random.Random(7)
-    for _ in range(2000):
-        words = [rng.randint(1, 30) for _ in range(400)]
-        target_tokens = rng.choice([40, 100, 400, 1000, 4000])
-        nw = rng.randint(1, 40)
-        n, pos, total = _sequential_haystack(words, target_tokens, nw)
-        target = target_tokens // 4
-        prior = [sum(words[:i]) for i in range(len(words))]
-        k = next((i for i, p in enumerate(prior) if target // 2 <= p < target), None)
-        kept = [i for i, p in enumerate(prior)
-                if (k is not None and (i <= k or p + nw < target)) or (k is None and p < target)]
-        npos = k if k is not None else len(kept) // 2
-        assert (len(kept), npos, sum(words[i] for i in kept) + nw) == (n, pos, total)
+def _placed(spark, lengths, target_tokens, needle_words):
+    """Kept sentences, needle position and total words of one haystack of given sentence lengths."""
+    from quire.operators.haystack import place_needle
+
+    df = spark.createDataFrame([(1, target_tokens, needle_words, "n" if s == 0 else None, s, "x", w) for s, w in enumerate(lengths)],
+                               "item_id BIGINT, target_tokens INT, needle_words BIGINT, needle STRING, slot INT, sentence STRING, words BIGINT")
+    rows = sorted(place_needle(df).collect(), key=lambda r: r["pos"])
+    at = [i for i, r in enumerate(rows) if r["is_needle"]]
+    assert len(at) == 1
+    return len(rows) - 1, at[0], sum(r["words"] for r in rows)
+
+
+@pytest.mark.parametrize("lengths, target_tokens, needle_words, expected", [
+    # budget 10 words, half of it 5: sentences of 3 words; two of them (6) reach the half
+    ([3] * 8, 40, 2, (3, 2, 11)),      # 3 3 N2 3 = 11 words: budget reached
+    ([3] * 8, 40, 9, (3, 2, 18)),      # the needle alone ends the budget; the sentence after it still stands
+    ([20] * 3, 40, 2, (1, 0, 22)),     # the first sentence ends the budget: the needle goes in the middle of one
+    ([1] * 20, 40, 1, (9, 5, 10)),     # one word each: five, the needle, four more
+    ([6, 6, 6], 40, 2, (2, 1, 14)),    # half reached by the first
+])
+def test_haystack_by_hand(spark, lengths, target_tokens, needle_words, expected):
+    assert _placed(spark, lengths, target_tokens, needle_words) == expected
+
+
+def test_haystack_invariants(spark):
+    rows = haystack.haystack_rows(spark, SF_SMALL).groupBy("item_id", "target_tokens").agg(
+        F.count_if("is_needle").alias("needles"), F.sum("words").alias("total"), F.first("target_words").alias("target"),
+        F.max("words").alias("longest"), F.first("needle_words").alias("needle_words"),
+        F.array_sort(F.collect_list(F.struct("pos", "words", "is_needle"))).alias("parts"))
+    for r in rows.collect():
+        at = [i for i, p in enumerate(r["parts"]) if p["is_needle"]]
+        before = sum(p["words"] for p in r["parts"][:at[0]])
+        assert r["needles"] == 1 and r["total"] >= r["target"]
+        assert r["target"] // 2 <= before <= r["target"] // 2 + r["longest"]  # around the middle
+        assert r["total"] - r["parts"][-1]["words"] < r["target"] + r["needle_words"]  # nothing after the budget
 
 
 def test_needle_find_equals_brute_force(spark):
@@ -174,15 +156,13 @@ def test_needle_find_equals_brute_force(spark):
     assert got == expected
 
 
-def test_short_needles_use_the_exact_qgram_path(spark):
-    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "xbetay"), (3, "nothing here")],
-                                 "doc_id BIGINT, text STRING")
-    items = spark.createDataFrame([(10, "beta"), (11, "ta ga"), (12, "z")], "item_id BIGINT, text STRING")
-    nt = items.select("item_id", "text", F.size(F.split("text", " ")).alias("n"))
-    short = nt.withColumn("q", F.least(F.lit(haystack.QGRAM), F.length("text")))
-    c = haystack._short_candidates(docs, short, [1, 4]).distinct().collect()
-    cands = {(r["item_id"], r["doc_id"]) for r in c}
-    assert {(10, 1), (10, 2), (11, 1)} <= cands
+def test_needles_of_every_length_are_found(spark, tmp_path):
+    docs = [(1, "alpha beta gamma delta eps"), (2, "xbetay"), (3, "nothing here"), (4, ""), (5, "a\nb c d e f g h i j k l m")]
+    items = [(10, "beta"), (11, "ta ga"), (12, "z"), (13, "lpha beta gamma de"), (14, ""), (15, "b c d e f g h i j k l m"), (16, "e")]
+    spark.createDataFrame(docs, "doc_id BIGINT, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id BIGINT, text STRING").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r["item_id"], r["doc_id"]) for r in haystack.needle_find(spark, str(tmp_path)).collect()}
+    assert got == {(i, d) for i, n in items for d, t in docs if n and n in t}
 
 
 def test_words_match_python_split(spark):
@@ -195,12 +175,12 @@ def test_words_match_python_split(spark):
     assert stripped == [s.strip() for s in samples]
 
 
-def test_strip_think_matches_python_regex(spark):
+def test_strip_think(spark):
     from quire.functions import text as T
     samples = ["<think>a\nb</think> ok ", "x</think>y", "<think>1</think>m<think>2</think>n", "plain"]
     df = spark.createDataFrame([(s,) for s in samples], "s STRING")
     got = [r["t"] for r in df.select(T.strip_think(F.col("s")).alias("t")).collect()]
-    assert got == [re.sub(r"<think>.*?</think>", "", s, flags=re.DOTALL).strip() for s in samples]
+    assert got == ["ok", "x</think>y", "mn", "plain"]
 
 
 def test_perplexity_overall_equals_unigram(spark):
