@@ -165,8 +165,8 @@ def judge(docs: DataFrame) -> DataFrame:
     group = fences(by_group, ["lang", "source"])
     lang = fences(by_lang, ["lang"]).select(F.col("lang").alias("l"), F.col("rows").alias("l_rows"), F.col("cuts").alias("l_cuts"))
     total = fences(overall, ["every"])
-    every = F.broadcast(total.select(F.col("cuts").alias("all_cuts")))  # one row
-    cuts = (group.join(lang, group["lang"].eqNullSafe(lang["l"]), "left").crossJoin(every)
+    every = total.select("cuts").scalar()
+    cuts = (group.join(lang, group["lang"].eqNullSafe(lang["l"]), "left").withColumn("all_cuts", every)
             .select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
                     F.when(F.col("rows") >= LEAST_ROWS, F.col("cuts"))
                     .when(F.col("l_rows") >= LEAST_ROWS, F.col("l_cuts")).otherwise(F.col("all_cuts")).alias("cuts")))
