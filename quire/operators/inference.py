@@ -21,6 +21,7 @@ from quire import tables
 from quire.functions import text as T
 from quire.operators.grading import grade
 from quire.operators.haystack import haystack_prompts
+from quire.operators.lm import heldout_perplexity
 from quire.sources import literals as L
 
 MAX_TOKENS = 2048
@@ -140,3 +141,19 @@ def context_scores(spark: SparkSession, sf_dir: str, max_tokens: int = MAX_TOKEN
     return (answers.groupBy("model", "target_tokens")
             .agg(F.count_if((F.instr("text", needle) > 0) & F.col("error").isNull()).alias("passed"),
                  F.count(F.lit(1)).alias("total")))
+
+
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run, one row per model: graded score over all suites, contexts passed, held-out
+    perplexity of the count model and the run log's mean speed."""
+    scores = (generated_scores(spark, sf_dir).groupBy("model")
+              .agg(F.sum("passed").cast("bigint").alias("passed"), F.sum("total").cast("bigint").alias("total")))
+    contexts = (context_scores(spark, sf_dir).groupBy("model")
+                .agg(F.sum("passed").cast("bigint").alias("contexts_passed"), F.sum("total").cast("bigint").alias("contexts")))
+    runs = tables.runs(spark, sf_dir)
+    rate = F.when(F.col("elapsed") > 0, F.col("tokens") / F.col("elapsed")).otherwise(F.lit(0.0))
+    speed = runs.groupBy("model").agg(F.round(F.avg(rate), 6).alias("mean_tps"))
+    ppl = heldout_perplexity(spark, sf_dir).select("perplexity").scalar()
+    return (scores.join(contexts, "model", "left").join(speed, "model", "left")
+            .select("model", "passed", "total", F.round(F.lit(100.0) * F.col("passed") / F.col("total"), 6).alias("score"),
+                    "contexts_passed", "contexts", ppl.alias("perplexity"), "mean_tps"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
+from quire.operators.ranking import seeded_order, split_label
 
 TEMPERATURES = [0.2, 0.4, 0.6]
 TIE = 1e-12   # added before rounding: probabilities like 125/128 lie halfway between two results
@@ -124,6 +125,39 @@ def perplexity_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round(F.col("loss") / F.col("n_tokens"), 6).alias("mean_loss"),
                     F.round(F.exp(F.col("loss") / F.col("n_tokens")), 4).alias("perplexity"))
 
+
+def heldout_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per valid text: tokens and mean loss under the add-one unigram model of the train texts.
+
+    Texts are split by the seeded order of their ids; the model never counts a valid text. Tokens are
+    counted per text before they meet the model, so a frequent token is one row per text."""
+    d = tables.texts(spark, sf_dir, "doc_id", "text")
+    split = seeded_order(d.select("doc_id"), "doc_id", name="rank", total="n_docs").select(
+        "doc_id", split_label(F.col("rank"), F.col("n_docs")).alias("split"))
+    toks = d.select("doc_id", T.words(F.lower(F.col("text"))).alias("toks"))
+    counts = (explode_tokens(toks, "doc_id").groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("c"))
+              .join(split, "doc_id"))
+    model = counts.where(F.col("split") == "train").groupBy("tok").agg(F.sum("c").alias("n"))
+    log_z = model.agg(F.log(F.sum("n") + F.count(F.lit(1)) + 1)).scalar()
+    scored = (counts.where(F.col("split") == "valid").join(model, "tok", "left")
+              .withColumn("loss", F.col("c") * (log_z - F.log(F.coalesce("n", F.lit(0)) + 1))))
+    return (scored.groupBy("doc_id").agg(F.sum("c").alias("n_tokens"), F.sum("loss").alias("loss"))
+            .select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), "loss"))
+
+
+def heldout_text_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = heldout_loss(spark, sf_dir)
+    mean = F.col("loss") / F.col("n_tokens")
+    return h.select("doc_id", "n_tokens", F.round(mean, 6).alias("mean_loss"), F.round(F.exp(mean), 4).alias("perplexity"))
+
+
+def heldout_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-weighted over all valid texts, in one row."""
+    g = heldout_loss(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n_tokens").alias("n"), F.sum("loss").alias("loss"))
+    mean = F.col("loss") / F.col("n")
+    return g.select("n_texts", F.col("n").cast("bigint").alias("n_tokens"), F.round(mean, 6).alias("mean_loss"), F.round(F.exp(mean), 4).alias("perplexity"))
+
+
 def kl_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KL(p_lang ‖ q): p = per-language frequencies, q = add-one global model."""
     per_lang = unigram_counts(lm_tokens(spark, sf_dir))

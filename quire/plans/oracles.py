@@ -818,10 +818,9 @@ def _():
 SELECT model, prompt_id, temp_idx, text, {X.word_count('text')} AS tok_count, error FROM answers"""
 
 
-@oracle("generated_scores")
-def _():
+def _generated_scores() -> str:
     hay = X.strip_think("r.text")
-    return "WITH " + GENERATED + ",\n" + X.RULES + f""",
+    return GENERATED + ",\n" + X.RULES + f""",
 checked AS (
   SELECT r.model, r.prompt_id, r.temp_idx, r.error, ru.rule_set, ru.suite, ru.test, ru.clause_id,
          bool_or(contains(CASE WHEN ru.prefix_chars IS NULL THEN h.hay ELSE left(h.hay, ru.prefix_chars) END, ru.needle)) AS clause_ok
@@ -831,7 +830,12 @@ checked AS (
   GROUP BY ALL),
 graded AS (
   SELECT model, prompt_id, temp_idx, error, rule_set, suite, test, bool_and(clause_ok) AND error IS NULL AS ok
-  FROM checked GROUP BY model, prompt_id, temp_idx, error, rule_set, suite, test)
+  FROM checked GROUP BY model, prompt_id, temp_idx, error, rule_set, suite, test)"""
+
+
+@oracle("generated_scores")
+def _():
+    return "WITH " + _generated_scores() + """
 SELECT rule_set, model, suite, CAST(count_if(ok) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total,
        CAST(count(error) AS BIGINT) AS errors, round(100.0 * count_if(ok) / count(*), 6) AS score
 FROM graded GROUP BY rule_set, model, suite"""
@@ -846,16 +850,21 @@ FROM answers a JOIN answers b ON a.prompt_id = b.prompt_id AND a.model = 'A' AND
      AND a.temp_idx = 0 AND b.temp_idx = 0"""
 
 
-@oracle("context_scores")
-def _():
+def _context_answers() -> str:
     head, tail = X.q(_L.HAYSTACK_QUESTION_HEAD), X.q(_L.HAYSTACK_QUESTION_TAIL)
-    return X.with_(HAY) + f"""
-, h AS (SELECT item_id, target_tokens, {head} || string_agg(sentence, ' ' ORDER BY pos) || {tail} AS prompt,
+    answers = _answers("h", "item_id, target_tokens, needle").replace("w AS (", "hw AS (").replace("answers AS (", "found_in AS (").replace("FROM w,", "FROM hw,")
+    return HAY + f""",
+h AS (SELECT item_id, target_tokens, {head} || string_agg(sentence, ' ' ORDER BY pos) || {tail} AS prompt,
                array_to_string({X.words("max(CASE WHEN is_needle THEN sentence END)")}, ' ') AS needle
         FROM hrows GROUP BY item_id, target_tokens),
-""" + _answers("h", "item_id, target_tokens, needle") + """
+""" + answers
+
+
+@oracle("context_scores")
+def _():
+    return "WITH " + _context_answers() + """
 SELECT model, target_tokens, CAST(count_if(contains(text, needle) AND error IS NULL) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total
-FROM answers GROUP BY model, target_tokens"""
+FROM found_in GROUP BY model, target_tokens"""
 
 
 # ---------------------------------------------------------------- count-based classifiers
@@ -908,3 +917,39 @@ def _():
 SELECT w AS num_features, s AS smoothing, {_LOSS} AS log_loss,
        round(avg(CASE WHEN (score > 0) = (y > 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS accuracy
 FROM grid_s WHERE split = 'valid' GROUP BY w, s"""
+
+
+HELDOUT = f"""dsplit AS (
+  SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 < floor(count(*) OVER () * 0.85::DOUBLE)
+                      THEN 'train' ELSE 'valid' END AS split FROM documents),
+dtok AS (SELECT doc_id, unnest({X.words('lower(text)')}) AS tok FROM documents),
+dcnt AS (SELECT doc_id, tok, count(*) AS c FROM dtok GROUP BY ALL),
+dmod AS (SELECT tok, sum(c) AS n FROM dcnt JOIN dsplit USING (doc_id) WHERE split = 'train' GROUP BY tok),
+dz AS (SELECT sum(n) + count(*) + 1 AS z FROM dmod),
+hloss AS (SELECT doc_id, sum(c) AS n, sum(-c * ln((coalesce(m.n, 0) + 1) / z)) AS loss
+          FROM dcnt JOIN dsplit USING (doc_id) LEFT JOIN dmod m USING (tok), dz WHERE split = 'valid' GROUP BY doc_id)"""
+
+
+@oracle("heldout_text_perplexity")
+def _():
+    return "WITH " + HELDOUT + """
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, round(loss / n, 6) AS mean_loss, round(exp(loss / n), 4) AS perplexity FROM hloss"""
+
+
+@oracle("heldout_perplexity")
+def _():
+    return "WITH " + HELDOUT + """
+SELECT CAST(count(*) AS BIGINT) AS n_texts, CAST(sum(n) AS BIGINT) AS n_tokens, round(sum(loss) / sum(n), 6) AS mean_loss,
+       round(exp(sum(loss) / sum(n)), 4) AS perplexity FROM hloss"""
+
+
+@oracle("run_summary")
+def _():
+    return "WITH " + ",\n".join([_generated_scores(), _context_answers(), X.RUNS, HELDOUT]) + f""",
+sc AS (SELECT model, count_if(ok) AS passed, count(*) AS total FROM graded GROUP BY model),
+ct AS (SELECT model, count_if(contains(text, needle) AND error IS NULL) AS p, count(*) AS n FROM found_in GROUP BY model),
+sp AS (SELECT model, round(avg({RATE}), 6) AS mean_tps FROM runs GROUP BY model)
+SELECT sc.model, CAST(passed AS BIGINT) AS passed, CAST(total AS BIGINT) AS total, round(100.0 * passed / total, 6) AS score,
+       CAST(ct.p AS BIGINT) AS contexts_passed, CAST(ct.n AS BIGINT) AS contexts,
+       (SELECT round(exp(sum(loss) / sum(n)), 4) FROM hloss) AS perplexity, sp.mean_tps
+FROM sc LEFT JOIN ct USING (model) LEFT JOIN sp USING (model)"""

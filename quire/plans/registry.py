@@ -64,6 +64,8 @@ QUERIES: dict[str, Query] = {
     "nucleus_filter": lm.nucleus_filter,
     "greedy_next": lm.greedy_next,
     "kl_unigram": lm.kl_unigram,
+    "heldout_text_perplexity": lm.heldout_text_perplexity,
+    "heldout_perplexity": lm.heldout_perplexity,
     # M4 — losses
     "softmax_rows": losses.softmax_rows,
     "ce_logits": losses.ce_logits,
@@ -88,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "batch_generate": inference.batch_generate,
     "generated_scores": inference.generated_scores,
     "context_scores": inference.context_scores,
+    "run_summary": inference.run_summary,
     "distill_student": distill.distill_student,
     "param_sweep": distill.param_sweep,
     "valid_loss": distill.valid_loss,
