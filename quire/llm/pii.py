@@ -189,9 +189,15 @@ class Model:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-2 * margin))
 
 
+def _worth_a_look(text: Column) -> Column:
+    """Texts without a digit, an @ or a written-out at have no span and no proposal: one cheap scan
+    spares them all patterns."""
+    return (F.instr(text, "@") > 0) | text.rlike("[0-9]") | (F.instr(text, "(at)") > 0) | (F.instr(text, "[at]") > 0)
+
+
 def _columns(docs: DataFrame) -> DataFrame:
     """Base spans of every kind, and the rest of the text for proposals."""
-    out = docs.withColumn("body", F.coalesce("text", F.lit("")))
+    out = docs.withColumn("body", F.when(_worth_a_look(F.col("text")), F.col("text")).otherwise(F.lit("")))
     rest = F.col("body")
     for kind in KINDS:
         out = out.withColumn(f"base_{kind}", base_spans(F.col("body"), kind))
@@ -200,6 +206,15 @@ def _columns(docs: DataFrame) -> DataFrame:
     return out.withColumns({f"new_{k}": find_spans(F.col("rest"), PROPOSE[k], PROPOSE_HINT[k]) for k in KINDS})
 
 
+def _examples(found, kind: str, label: float) -> Column:
+    return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.xxhash64(s["match"], s["before"]).alias("hash"),
+                                                 F.array(*span_features(kind, s)).alias("x")))
+
+
+def _implausible(kind: str):
+    return lambda s: ~plausible(kind, s["match"])
+
+
 def fit(docs: DataFrame) -> Model:
     """Trees and thresholds from at most ``SAMPLE`` checked spans and ``SAMPLE`` failing proposals of all texts,
     those with the smallest hashes; half of them calibrate. Without both labels nothing is added."""
@@ -207,20 +222,14 @@ def fit(docs: DataFrame) -> Model:
     from pyspark.ml.functions import array_to_vector
 
     spark = docs.sparkSession
-    found = _columns(docs.where(F.col("text").rlike("|".join(PROPOSE_HINT.values()))))
-    examples = None
-    for label, prefix in ((1.0, "base"), (0.0, "new")):
-        each = None
-        for kind in KINDS:
-            part = found.select(F.explode(f"{prefix}_{kind}").alias("s"))
-            if prefix == "new":
-                part = part.where(~plausible(kind, F.col("s.match")))
-            part = part.select(F.lit(kind).alias("kind"), F.xxhash64("s.match", "s.before").alias("hash"), F.array(*span_features(kind, F.col("s"))).alias("x"))
-            each = part if each is None else each.unionByName(part)
-        each = each.orderBy("hash", "kind", "x").limit(SAMPLE).withColumn("label", F.lit(label))
-        examples = each if examples is None else examples.unionByName(each)
-    path = scratch_path(spark, "pii-examples")
-    examples.coalesce(1).write.parquet(path)
+    found = _columns(docs.where(_worth_a_look(F.col("text"))))
+    every = F.concat(*[_examples(f"base_{k}", k, 1.0) for k in KINDS],
+                     *[_examples(F.filter(f"new_{k}", _implausible(k)), k, 0.0) for k in KINDS])
+    all_path, path = scratch_path(spark, "pii-spans"), scratch_path(spark, "pii-examples")
+    found.select(F.explode(every).alias("e")).select("e.*").write.parquet(all_path)  # one pass over the texts
+    spans = spark.read.parquet(all_path)
+    first = [spans.where(F.col("label") == y).orderBy("hash", "kind", "x").limit(SAMPLE) for y in (1.0, 0.0)]
+    first[0].unionByName(first[1]).coalesce(1).write.parquet(path)
     examples = spark.read.parquet(path).withColumn("features", array_to_vector("x"))
     learn, held = examples.where(F.col("hash") % 2 == 0), examples.where(F.col("hash") % 2 != 0)
     if learn.select("label").distinct().count() < 2:
