@@ -21,7 +21,6 @@ from quire.functions.arrays import let
 from quire.sources import literals as L
 
 LAYER_RE = r"(?:^|\.)layers\.(\d+)(?:\.|$)"
-FIXTURE_LAYERS = 10          # the segments view uses label 0-9 as the layer number
 NF4_BLOCK = 64               # values of a block, which share a scale
 NF4_DQ_BLOCK = 256           # scales are quantised again per 256 blocks
 NF4_DQ_LEVELS = 127
@@ -35,7 +34,7 @@ def layer_number(path: Column) -> Column:
     return F.regexp_extract(path, LAYER_RE, 1).try_cast("int")
 
 
-def precision_bits(path: Column, is_linear: Column, num_layers: int = FIXTURE_LAYERS) -> Column:
+def precision_bits(path: Column, is_linear: Column, num_layers: Column) -> Column:
     """First matching rule wins; non-linear parameters are not quantised (NULL)."""
     layer = layer_number(path)
     first = layer.isNotNull() & (layer < L.POLICY_FIRST_N)
@@ -49,8 +48,10 @@ def precision_bits(path: Column, is_linear: Column, num_layers: int = FIXTURE_LA
 
 
 def _policy(seg: DataFrame) -> DataFrame:
+    """Bits and group size by path; the number of layers is that of the paths themselves."""
     linear = F.col("module") != "norm"
-    return (seg.withColumn("bits", precision_bits(F.col("path"), linear))
+    layers = seg.select((F.max(layer_number(F.col("path"))) + 1).alias("n")).scalar()
+    return (seg.withColumn("bits", precision_bits(F.col("path"), linear, layers))
             .withColumn("group_size", F.when(linear, F.lit(L.POLICY_GROUP_SIZE))))
 
 

@@ -612,8 +612,8 @@ pol2 AS (
   SELECT *, CASE WHEN module = 'norm' THEN NULL
                  WHEN contains(path, 'k_proj') OR contains(path, 'v_proj') THEN 6
                  WHEN contains(path, 'down_proj') AND ((layer IS NOT NULL AND layer < 3)
-                      OR (layer IS NOT NULL AND layer >= 7)) THEN 6
-                 WHEN contains(path, 'o_proj') AND layer IS NOT NULL AND layer >= 7 THEN 6
+                      OR (layer IS NOT NULL AND layer >= (SELECT max(layer) + 1 FROM pol) - 3)) THEN 6
+                 WHEN contains(path, 'o_proj') AND layer IS NOT NULL AND layer >= (SELECT max(layer) + 1 FROM pol) - 3 THEN 6
                  ELSE 5 END AS bits,
             CASE WHEN module <> 'norm' THEN 64 END AS group_size
   FROM pol)"""
