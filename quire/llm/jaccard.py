@@ -17,9 +17,9 @@ of listed ones, from the sizes of all documents.
 
 Lists are scanned without emitting all pairs of a group: first every member against its
 list's first document; verified links are contracted to components, and only pairs of
-members in different components are left. Those are counted per pair; a pair whose common
-prefix shingles are too few for the overlap it needs is out (the positional bound), the rest is
-verified on whole sets. So no link between different components is missed, and the components are exact.
+members in different components are left. A pair is out when the prefix that ends first has too
+many shingles that no other set lists, or when too few are common, for the overlap that its
+sizes need (positional bounds); the rest is verified on whole sets. So no link between different components is missed, and the components are exact.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.batches import list_array, mix64, offsets_of, row_slices, text_bytes
@@ -134,11 +134,11 @@ def usage_sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usage_classes(counts: np.ndarray) -> np.ndarray:
-    """One byte per counter, rarely used counters first: deviations from the mean in
-    eighths of a standard deviation, and logarithmic far above it."""
+    """Seven bits per counter, rarely used counters first: deviations from the mean in
+    quarters of a standard deviation, and logarithmic far above it."""
     mean = counts.mean()
     z = (counts.astype(np.float64) - mean) / math.sqrt(max(mean, 1e-9))
-    return np.clip(np.where(z < 8, 64 + 8 * z, 128 + 8 * np.log2(np.maximum(z, 8) / 8)), 0, 255).astype(np.uint8)
+    return np.clip(np.where(z < 8, 32 + 4 * z, 64 + 4 * np.log2(np.maximum(z, 8) / 8)), 0, 127).astype(np.uint8)
 
 
 def light_boundary(sizes: np.ndarray, percent: int = PERCENT) -> int:
@@ -211,9 +211,22 @@ def _subset_links(classes: DataFrame) -> DataFrame:
     return keys.join(first, "key").where("rep <> u").select("u", F.col("rep").alias("v")).distinct()
 
 
-def _may_link(n_a: str, n_b: str):
-    """Sizes alone allow a link."""
-    return (100 * F.col(n_a) >= PERCENT * F.col(n_b)) & (100 * F.col(n_b) >= PERCENT * F.col(n_a))
+def _need(n_a, n_b):
+    return F.ceil(PERCENT * (F.col(n_a) + F.col(n_b)) / F.lit(100 + PERCENT))
+
+
+def _prefix(n):
+    """Column form of ``prefix_size``."""
+    return F.col(n) - F.floor((PERCENT * F.col(n) + 99) / F.lit(100)) + 1
+
+
+def _may_link(a: str, b: str):
+    """Sizes and prefixes allow a link. Of two prefixes, the one that ends first in the total order has
+    all its shingles that the other set has in the other prefix, too; so its ``bare`` shingles (listed
+    by no one else) are not shared, and the overlap is at most its set without them."""
+    n_a, n_b = f"n_{a}", f"n_{b}"
+    most = F.when(F.col(f"last_{a}") <= F.col(f"last_{b}"), F.col(n_a) - F.col(f"bare_{a}")).otherwise(F.col(n_b) - F.col(f"bare_{b}"))
+    return (100 * F.col(n_a) >= PERCENT * F.col(n_b)) & (100 * F.col(n_b) >= PERCENT * F.col(n_a)) & (most >= _need(n_a, n_b))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -240,29 +253,61 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """Postings of prefix shingles that two sets or more list, with each list's first set."""
-    postings = classes.select(F.explode("prefix").alias("key"), "rep", "n")
-    first = (postings.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("f"), F.count("*").alias("size"))
-             .where("size > 1").select("key", F.col("f.rep").alias("u"), F.col("f.n").alias("n_u")))
+    """Postings (key, rep) of prefix shingles that two sets or more list, with each list's first set
+    and its size."""
+    postings = classes.select(F.explode("prefix").alias("key"), "rep")
+    first = postings.groupBy("key").agg(F.min("rep").alias("u"), F.count("*").alias("size")).where("size > 1")
     return postings.join(first, "key")
 
 
-def _left_pairs(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of one list in different components, with enough common prefix shingles."""
-    labelled = (lists.select("key", "rep", "n").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-                .select("key", "rep", "n", F.coalesce("component", "rep").alias("label")))
+def _listed_sets(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rep, n, last, bare``: size, end of the prefix, and prefix shingles that no other set lists."""
+    listed = lists.groupBy("rep").agg(F.count("*").alias("listed"))
+    return (classes.select("rep", "n", F.try_element_at("prefix", F.lit(-1)).alias("last"))
+            .join(listed, "rep").select("rep", "n", "last", (_prefix("n") - F.col("listed")).alias("bare")))
+
+
+def _as_side(sets: DataFrame, side: str) -> DataFrame:
+    return sets.select(F.col("rep").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "last", "bare")])
+
+
+def _beyond(side: str):
+    """Shingles of a set behind its prefix."""
+    return F.col(f"n_{side}") - _prefix(f"n_{side}")
+
+
+def _left_pairs(lists: DataFrame, sets: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of different components that may link.
+
+    Only lists with several components can hold one. Of a pair, take the set whose prefix ends first: it
+    needs t = need - (its shingles behind the prefix) common ones among its l shingles in such
+    lists, so at least one among any l - t + 1 of them. Pairs are formed in the l - t + 1 shortest
+    only (none if l < t); then their common prefix shingles are counted exactly."""
+    labelled = (lists.select("key", "rep", "size").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+                .withColumn("label", F.coalesce("component", "rep")).drop("component"))
     # the most frequent component of a list is only met by members of the others
-    main = (labelled.groupBy("key", "label").agg(F.count("*").alias("size"))
-            .groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
-    mixed = labelled.join(main, "key")
-    other = mixed.where("label <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    every = mixed.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), (F.col("label") == F.col("main")).alias("is_main"))
-    pairs = (other.join(every, "key").where(F.col("l_a") != F.col("l_b")).where(F.col("is_main") | (F.col("a") < F.col("b"))).where(_may_link("n_a", "n_b"))
-             .groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-             .agg(F.count("*").alias("common"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("n_a").alias("m_a"), F.min("n_b").alias("m_b")))
-    need = F.ceil(PERCENT * (F.least("m_a", "m_b") + F.greatest("n_a", "n_b")) / F.lit(100 + PERCENT))
-    beyond = F.ceil(PERCENT * F.greatest("n_a", "n_b") / F.lit(100)) - 1  # shingles behind a prefix, at most
-    return pairs.where(F.col("common") + beyond >= need).select("u", "v")
+    main = (labelled.groupBy("key", "label").agg(F.count("*").alias("members"))
+            .groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
+    own = Window.partitionBy("rep")  # a set's own postings: at most its prefix
+    mixed = (labelled.join(main, "key")
+             .withColumn("nth", F.row_number().over(own.orderBy("size", "key")) - 1).withColumn("l", F.count("*").over(own))
+             .join(sets.select("rep", "n", "last"), "rep"))
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "label", "nth", "l", "n", "last")], *(["main"] if x == "b" else []))
+
+    first_ends = F.col("last_a") <= F.col("last_b")
+    need = _need("n_a", "n_b")
+    shared = F.when(first_ends, F.col("l_a") - F.col("nth_a") + _beyond("a")).otherwise(F.col("l_b") - F.col("nth_b") + _beyond("b"))
+    pairs = (side(mixed.where("label <> main"), "a").join(side(mixed, "b"), "key")
+             .where((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))))
+             .where((100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a")) & (shared >= need))
+             .select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")).distinct())
+    full = sets.join(classes.select("rep", "n", "prefix"), ["rep", "n"])
+    for x in ("u", "v"):
+        pairs = pairs.join(full.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "last", "prefix")]), x)
+    beyond = F.when(F.col("last_u") <= F.col("last_v"), _beyond("u")).otherwise(_beyond("v"))
+    return pairs.where(F.size(F.array_intersect("prefix_u", "prefix_v")) + beyond >= _need("n_u", "n_v")).select("u", "v").distinct()
 
 
 def join_classes(docs: DataFrame) -> DataFrame:
@@ -285,7 +330,11 @@ def join_classes(docs: DataFrame) -> DataFrame:
     classes = spark.read.parquet(class_path)
     _lists(classes).write.parquet(list_path)
     lists = spark.read.parquet(list_path)
-    star = lists.where("rep <> u").where(_may_link("n", "n_u")).select("u", F.col("rep").alias("v")).distinct()
+    set_path = scratch_path(spark, "jaccard-listed-sets")
+    _listed_sets(lists, classes).write.parquet(set_path)
+    sets = spark.read.parquet(set_path)
+    star = (lists.where("rep <> u").select("u", F.col("rep").alias("v")).distinct()
+            .join(_as_side(sets, "u"), "u").join(_as_side(sets, "v"), "v").where(_may_link("u", "v")).select("u", "v").distinct())
     links_path = scratch_path(spark, "jaccard-links")
     same_id = (sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
                .select("doc_id"))  # documents with several texts link the classes of each
@@ -293,7 +342,7 @@ def join_classes(docs: DataFrame) -> DataFrame:
     _verified(star, docs).unionByName(_subset_links(classes)).unionByName(reps).write.parquet(links_path)
     links = spark.read.parquet(links_path)
     found = components(links)
-    more = _verified(_left_pairs(lists, found), docs)
+    more = _verified(_left_pairs(lists, sets, classes, found), docs)
     final = components(links.unionByName(more))
     member = sig.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
     return (member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -490,6 +490,16 @@ def test_jaccard_join_of_near_copies_at_every_size(spark):
     assert len({r.component_id for r in got}) < len(rows)
 
 
+def test_sets_without_a_prefix_are_not_listed(spark, none):
+    from pyspark.sql import functions as F
+    from quire.llm import jaccard as j
+
+    classes = spark.createDataFrame([(1, 3, []), (2, 40, [5, 7]), (3, 41, [5, 9])], "rep bigint, n bigint, prefix array<bigint>").repartition(2)
+    sets = j._listed_sets(j._lists(classes), classes)
+    assert sorted(map(tuple, sets.collect())) == [(2, 40, 7, 6), (3, 41, 9, 6)]
+    assert sets.where(F.col("last").isNull()).count() == 0
+
+
 def test_subset_keys_link_exactly_the_light_pairs():
     from quire.llm import jaccard as j
 
