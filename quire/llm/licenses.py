@@ -20,7 +20,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST_COSINE = 0.5
+LEAST_COSINE = 0.6
 
 # Grant and header sentences of public licences (one or more for each).
 TEMPLATES = [
@@ -47,6 +47,8 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved. No part may be reproduced without the prior written permission of the copyright holder."),
 ]
+# Function words, which no vector holds.
+STOP_WORDS = frozenset("a all an and any are as at be by for from has in is it may no not of on or that the this to use with you your".split())
 #: Terms: runs of letters and digits, joined by single dots or hyphens.
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 # Base names of licence files.
@@ -55,7 +57,7 @@ LICENSE_FILES = ["LICENSE", "LICENSE.txt", "LICENSE.md", "COPYING", "NOTICE"]
 
 def _vectors(templates) -> tuple[dict[str, float], list[dict[str, float]], float]:
     """Inverse document frequencies, unit template vectors, and the weight of unknown terms."""
-    counts = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
+    counts = [Counter(t for t in re.findall(TERM, text.lower()) if t not in STOP_WORDS) for _, text in templates]
     n = len(counts)
     df = Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
@@ -95,7 +97,7 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
              .select("file_key", F.posexplode(F.concat(F.split(text, "\n"), paragraphs)).alias("unit", "words"))
              .where(F.col("words").rlike(anchors)))
     terms = (units.select("file_key", "unit", F.explode(F.regexp_extract_all("words", F.lit(TERM), F.lit(0))).alias("term"))
-             .groupBy("file_key", "unit", "term").agg(F.count("*").alias("tf")))
+             .where(~F.col("term").isin(sorted(STOP_WORDS))).groupBy("file_key", "unit", "term").agg(F.count("*").alias("tf")))
     weighed = (terms.join(F.broadcast(known), "term", "left")  # the templates' terms: fixed
                .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown))).drop("idf"))
     norms = weighed.groupBy("file_key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

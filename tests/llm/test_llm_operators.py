@@ -173,7 +173,7 @@ def test_license_scan_equals_brute_force(spark):
         units = text.split("\n") + [p for p in re.split(r"\n[ \t\r]*\n", text) if "\n" in p.strip()]
         best = None
         for u in units:
-            c = collections.Counter(re.findall(L.TERM, u))
+            c = collections.Counter(t for t in re.findall(L.TERM, u) if t not in L.STOP_WORDS)
             norm = math.sqrt(sum((k * idf.get(t, unknown)) ** 2 for t, k in c.items()))
             for k, v in enumerate(vectors):
                 cos = round(sum(n * idf.get(t, unknown) * v.get(t, 0) for t, n in c.items()) / norm, 6) if norm else 0
