@@ -50,7 +50,7 @@ TEMPLATES = [
 # Function words, which no vector holds.
 STOP_WORDS = frozenset("a all an and any are as at be by for from has in is it may no not of on or that the this to use with you your".split())
 #: Terms: runs of letters and digits, joined by single dots or hyphens.
-TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+TERM = r"[a-z0-9\u0080-\uffff]+(?:[.-][a-z0-9\u0080-\uffff]+)*"
 # Base names of licence files.
 LICENSE_FILES = ["LICENSE", "LICENSE.txt", "LICENSE.md", "COPYING", "NOTICE"]
 
@@ -88,9 +88,10 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
     highest cosine of a line or paragraph; ties go to the first template. Null and empty texts have none."""
     spark = files.sparkSession
     idf, vectors, unknown = _vectors(templates)
-    anchors = "(?<![a-z0-9])(?:" + "|".join(re.escape(a).replace("\\-", "-") for a in anchor_terms(vectors, least)) + ")(?![a-z0-9])"
-    weights = spark.createDataFrame([(t, k, float(w), float(idf[t])) for k, v in enumerate(vectors) for t, w in v.items()], "term string, template int, weight double, idf double")
-    known = spark.createDataFrame([(t, float(w)) for t, w in idf.items()], "term string, idf double")
+    letter = r"[a-z0-9\u0080-\uffff]"
+    anchors = f"(?<!{letter})(?:" + "|".join(re.escape(a).replace("\\-", "-") for a in anchor_terms(vectors, least)) + f")(?!{letter})"
+    # the templates' terms, each with its weight in every template: fixed
+    known = spark.createDataFrame([(t, float(w), [float(v.get(t, 0.0)) for v in vectors]) for t, w in idf.items()], "term string, idf double, weights array<double>")
     text = F.lower("text")
     paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.instr(F.trim(p), "\n") > 0)
     units = (files.where(text.rlike(anchors))
@@ -98,15 +99,13 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
              .where(F.col("words").rlike(anchors)))
     terms = (units.select("file_key", "unit", F.explode(F.regexp_extract_all("words", F.lit(TERM), F.lit(0))).alias("term"))
              .where(~F.col("term").isin(sorted(STOP_WORDS))).groupBy("file_key", "unit", "term").agg(F.count("*").alias("tf")))
-    weighed = (terms.join(F.broadcast(known), "term", "left")  # the templates' terms: fixed
-               .withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown))).drop("idf"))
-    norms = weighed.groupBy("file_key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = (weighed.join(F.broadcast(weights.drop("idf")), "term")
-            .groupBy("file_key", "unit", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot")))
+    weighed = terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    dots = [F.sum(F.col("w") * F.coalesce(F.col("weights")[k], F.lit(0.0))).alias(f"d{k}") for k in range(len(vectors))]
+    units = weighed.groupBy("file_key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     names = F.array(*[F.lit(name) for name, _ in templates])
-    cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    return (dots.join(norms, ["file_key", "unit"]).withColumn("cosine", cosine).where(F.col("cosine") >= least)
-            .groupBy("file_key").agg(F.max(F.struct("cosine", (-F.col("template")).alias("t"))).alias("best"))
+    best = F.greatest(*[F.struct(F.round(F.col(f"d{k}") / F.col("norm"), 6).alias("cosine"), F.lit(-k).alias("t")) for k in range(len(vectors))])
+    return (units.withColumn("best", best).where(F.col("best.cosine") >= least)
+            .groupBy("file_key").agg(F.max("best").alias("best"))
             .select("file_key", names[-F.col("best.t")].alias("license"), F.col("best.cosine").alias("cosine")))
 
 
