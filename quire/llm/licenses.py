@@ -6,9 +6,11 @@ best cosine of at least ``LEAST_COSINE`` is a file's own licence. A file without
 of the nearest ancestor directory that holds a licence file, found by joining each
 distinct directory's ancestors with the directories of licence files.
 
-Lines are picked before any join by a bound without loss: a unit that has none of a template's
+Lines are picked by two bounds without loss: a unit that has none of a template's
 heaviest terms has at most the cosine that the rest of the template can give (Cauchy-Schwarz), so only
-units with such a term are split into terms. Column expressions only.
+units with such a term are split into terms; and no cosine is above the share of a unit's norm that the templates' terms
+have, so that only units whose share reaches the threshold are counted to the end. Terms are counted
+inside the row, never shuffled. Column expressions only.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST_COSINE = 0.6
+from quire.functions.arrays import let
+
+LEAST_COSINE = 0.5
 
 # Grant and header sentences of public licences (one or more for each).
 TEMPLATES = [
@@ -45,10 +49,13 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work; CC0 1.0 public domain dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("ISC", "Licensed under the ISC License."),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. No part may be reproduced without the prior written permission of the copyright holder."),
 ]
-# Function words, which no vector holds.
-STOP_WORDS = frozenset("a all an and any are as at be by for from has in is it may no not of on or that the this to use with you your".split())
+# Words which no vector holds. None: function words count like any other.
+STOP_WORDS: frozenset[str] = frozenset()
 #: Terms: runs of letters and digits, joined by single dots or hyphens.
 TERM = r"[a-z0-9\u0080-\uffff]+(?:[.-][a-z0-9\u0080-\uffff]+)*"
 # Base names of licence files.
@@ -83,29 +90,59 @@ def anchor_terms(vectors: list[dict[str, float]], least: float) -> list[str]:
     return sorted(anchors)
 
 
+def _best(words: Column, idf: dict[str, float], vectors: list[dict[str, float]], unknown: float, least: float) -> Column:
+    """``cosine, t``: a unit's highest cosine and minus its template, null below ``least``; counted inside the row.
+
+    The templates' terms give the dots and the squared norm ``e``. Any other occurrence adds ``unknown`` squared at
+    least, so most units are out before their other terms are sorted and counted.
+    """
+    weights = F.create_map(*[x for t, w in sorted(idf.items()) for x in (F.lit(t), F.array(*[F.lit(float(y)) for y in (w, *[v.get(t, 0.0) for v in vectors])]))])
+    bound = least * least * 0.999
+    zero = F.lit(0.0)
+
+    def weighed(known):
+        return F.transform(F.array_distinct(known), lambda t: F.struct((F.size(F.filter(known, lambda k: k == t)) * F.element_at(weights, t)[0]).alias("w"), F.element_at(weights, t).alias("v")))
+
+    def squares(terms):  # the r-th copy of a term adds r * r - (r - 1) * (r - 1)
+        start = F.struct(F.lit("").alias("last"), F.lit(0).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("sum"))
+        return F.aggregate(F.array_sort(terms), start, lambda a, t: let({"a": a, "t": t, "r": F.when(t == a["last"], a["r"] + 1).otherwise(F.lit(1).cast("bigint"))},
+                           lambda x: F.struct(x["t"].alias("last"), x["r"].alias("r"), (x["a"]["sum"] + 2 * x["r"] - 1).alias("sum"))), lambda a: a["sum"])
+
+    def dot(k):
+        return lambda a, x: a + x["w"] * x["v"][k + 1]
+
+    def dots(s):
+        return F.array(*[F.aggregate(s["d"], zero, dot(k)) for k in range(len(vectors))])
+
+    def cosines(s):
+        return let({"dots": s["dots"], "norm": F.sqrt(s["e"] + squares(s["other"]) * (unknown * unknown))},
+                   lambda x: F.array_max(F.transform(x["dots"], lambda dot, k: F.struct(F.round(dot / x["norm"], 6).alias("cosine"), (-k).alias("t")))))
+
+    found = F.regexp_extract_all(words, F.lit(TERM), F.lit(0))
+    found = F.filter(found, lambda t: ~t.isin(sorted(STOP_WORDS))) if STOP_WORDS else found
+    best = let({"t": found}, lambda r: let(
+        {"d": let({"k": F.filter(r["t"], lambda t: t.isin(sorted(idf)))}, lambda k: weighed(k["k"])), "other": F.filter(r["t"], lambda t: ~t.isin(sorted(idf)))}, lambda q: let(
+            {"d": q["d"], "other": q["other"], "e": F.aggregate(q["d"], zero, lambda a, x: a + x["w"] * x["w"]), "least": F.size(q["other"]) * (unknown * unknown)}, lambda s: F.when(
+                (s["e"] > 0) & (s["e"] >= bound * (s["e"] + s["least"])), let(
+                    {"dots": dots(s), "other": s["other"], "e": s["e"], "least": s["least"]}, lambda u: F.when(
+                        F.pow(F.array_max(u["dots"]), F.lit(2.0)) >= bound * (u["e"] + u["least"]), cosines(u)))))))
+    return let({"b": best}, lambda x: F.when(x["b"]["cosine"] >= least, x["b"]))
+
+
 def own_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
     """``file_key, license, cosine`` of the files (file_key, text) with a licence of their own: the
     highest cosine of a line or paragraph; ties go to the first template. Null and empty texts have none."""
-    spark = files.sparkSession
     idf, vectors, unknown = _vectors(templates)
     letter = r"[a-z0-9\u0080-\uffff]"
     anchors = f"(?<!{letter})(?:" + "|".join(re.escape(a).replace("\\-", "-") for a in anchor_terms(vectors, least)) + f")(?!{letter})"
-    # the templates' terms, each with its weight in every template: fixed
-    known = spark.createDataFrame([(t, float(w), [float(v.get(t, 0.0)) for v in vectors]) for t, w in idf.items()], "term string, idf double, weights array<double>")
     text = F.lower("text")
     paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.instr(F.trim(p), "\n") > 0)
     units = (files.where(text.rlike(anchors))
-             .select("file_key", F.posexplode(F.concat(F.split(text, "\n"), paragraphs)).alias("unit", "words"))
+             .select("file_key", F.explode(F.concat(F.split(text, "\n"), paragraphs)).alias("words"))
              .where(F.col("words").rlike(anchors)))
-    terms = (units.select("file_key", "unit", F.explode(F.regexp_extract_all("words", F.lit(TERM), F.lit(0))).alias("term"))
-             .where(~F.col("term").isin(sorted(STOP_WORDS))).groupBy("file_key", "unit", "term").agg(F.count("*").alias("tf")))
-    weighed = terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    dots = [F.sum(F.col("w") * F.coalesce(F.col("weights")[k], F.lit(0.0))).alias(f"d{k}") for k in range(len(vectors))]
-    units = weighed.groupBy("file_key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *dots)
     names = F.array(*[F.lit(name) for name, _ in templates])
-    best = F.greatest(*[F.struct(F.round(F.col(f"d{k}") / F.col("norm"), 6).alias("cosine"), F.lit(-k).alias("t")) for k in range(len(vectors))])
-    return (units.withColumn("best", best).where(F.col("best.cosine") >= least)
-            .groupBy("file_key").agg(F.max("best").alias("best"))
+    return (units.select("file_key", _best(F.col("words"), idf, vectors, unknown, least).alias("best"))
+            .groupBy("file_key").agg(F.max("best").alias("best")).where(F.col("best").isNotNull())
             .select("file_key", names[-F.col("best.t")].alias("license"), F.col("best.cosine").alias("cosine")))
 
 

@@ -193,6 +193,22 @@ def test_license_scan_equals_brute_force(spark):
     assert L.scan(df.limit(0)).collect() == []
 
 
+def test_license_scan_finds_written_out_licenses(spark):
+    from quire.llm import licenses as L
+
+    texts = [("Apache-2.0", "This project is released under the Apache License 2.0"), ("MPL-2.0", "You may use this work under the terms of the Mozilla Public License 2.0"),
+             ("GPL-3.0", "Code in this repository is available under the GNU General Public License version 3 or later."), ("Proprietary", "All rights reserved."),
+             ("MIT", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software"),
+             ("ISC", "ISC License\n\nCopyright (c) 2020, Jane Doe\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+             ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"),
+             ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/"),
+             ("BSD-3-Clause", "Copyright (c) 2020, Jane Doe\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+             (None, "all of the words and some more of them, as you may like to have it"), (None, "a file of the work and the copy of it, or some other software for the people"),
+             (None, "the " * 3000), ("MIT", "word " * 3000 + "\nlicensed under the mit license\n" + "the of " * 3000)]
+    got = {r.file_key: r.license for r in L.own_licenses(spark.createDataFrame(list(enumerate(t for _, t in texts)), "file_key bigint, text string")).collect()}
+    assert [got.get(k) for k in range(len(texts))] == [name for name, _ in texts]
+
+
 def test_license_anchors_lose_nothing():
     from quire.llm import licenses as L
 
