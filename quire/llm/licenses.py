@@ -56,8 +56,16 @@ TEMPLATES = [
 ]
 # Words which no vector holds. None: function words count like any other.
 STOP_WORDS: frozenset[str] = frozenset()
+# Code points of scripts that put no spaces around words (Thai, Lao, Burmese, Hangul, Khmer, kana, Han).
+# They separate terms, as a licence's name often stands right beside them.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1100, 0x11FF), (0x1780, 0x17FF), (0x3040, 0x318F), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xA960, 0xA97F), (0xAC00, 0xD7FB), (0xF900, 0xFAFF),
+            (0xFF66, 0xFFDC), (0x20000, 0x3FFFF)]
+_OTHERS = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+#: A letter, digit or accent, for Python and for Spark.
+LETTER = f"(?:(?![{_OTHERS}])[^\\W_]|[\u0300-\u036f])"
+SPARK_LETTER = r"[a-z0-9\u0300-\u036f[\p{L}\p{N}&&[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNSPACED) + "]]]"
 #: Terms: runs of letters and digits, joined by single dots or hyphens.
-TERM = r"[a-z0-9\u0080-\uffff]+(?:[.-][a-z0-9\u0080-\uffff]+)*"
+TERM, SPARK_TERM = (f"{letter}+(?:[.-]{letter}+)*" for letter in (LETTER, SPARK_LETTER))
 # Base names of licence files.
 LICENSE_FILES = ["LICENSE", "LICENSE.txt", "LICENSE.md", "COPYING", "NOTICE"]
 
@@ -118,7 +126,7 @@ def _best(words: Column, idf: dict[str, float], vectors: list[dict[str, float]],
         return let({"dots": s["dots"], "norm": F.sqrt(s["e"] + squares(s["other"]) * (unknown * unknown))},
                    lambda x: F.array_max(F.transform(x["dots"], lambda dot, k: F.struct(F.round(dot / x["norm"], 6).alias("cosine"), (-k).alias("t")))))
 
-    found = F.regexp_extract_all(words, F.lit(TERM), F.lit(0))
+    found = F.regexp_extract_all(words, F.lit(SPARK_TERM), F.lit(0))
     found = F.filter(found, lambda t: ~t.isin(sorted(STOP_WORDS))) if STOP_WORDS else found
     best = let({"t": found}, lambda r: let(
         {"d": let({"k": F.filter(r["t"], lambda t: t.isin(sorted(idf)))}, lambda k: weighed(k["k"])), "other": F.filter(r["t"], lambda t: ~t.isin(sorted(idf)))}, lambda q: let(
@@ -133,8 +141,7 @@ def own_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
     """``file_key, license, cosine`` of the files (file_key, text) with a licence of their own: the
     highest cosine of a line or paragraph; ties go to the first template. Null and empty texts have none."""
     idf, vectors, unknown = _vectors(templates)
-    letter = r"[a-z0-9\u0080-\uffff]"
-    anchors = f"(?<!{letter})(?:" + "|".join(re.escape(a).replace("\\-", "-") for a in anchor_terms(vectors, least)) + f")(?!{letter})"
+    anchors = f"(?<!{SPARK_LETTER})(?:" + "|".join(re.escape(a).replace("\\-", "-") for a in anchor_terms(vectors, least)) + f")(?!{SPARK_LETTER})"
     text = F.lower("text")
     paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.instr(F.trim(p), "\n") > 0)
     units = (files.where(text.rlike(anchors))

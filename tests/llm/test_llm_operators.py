@@ -209,6 +209,21 @@ def test_license_scan_finds_written_out_licenses(spark):
     assert [got.get(k) for k in range(len(texts))] == [name for name, _ in texts]
 
 
+def test_license_terms_end_at_any_punctuation_and_space(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm import licenses as L
+
+    texts = [("MIT", "Licensed under the \u201cMIT License\u201d."), ("MIT", "Licensed under the MIT\u00a0License."), ("BSD-3-Clause", "Released under the \u201cBSD 3-Clause License\u201d"),
+             ("CC-BY-4.0", "\u00abLicensed under CC\u00a0BY\u00a04.0\u00bb"), ("Proprietary", "\u2014All rights reserved\u2014"), ("Proprietary", "\u00a9\u2009All rights reserved\u2026"),
+             ("MIT", "\u672c\u8f6f\u4ef6\u91c7\u7528MIT License\u6388\u6743"), ("MIT", "MIT License\ub97c \ub530\ub985\ub2c8\ub2e4"), ("MIT", "MIT License\U00020000"), (None, "\u00e9mit\u00e9 licens\u00e9 mit\u00e9 \u00fcmit mit\u0301"), (None, "na\u00efve all\u00e9 reserved\u00f8")]
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "file_key bigint, text string")
+    got = {r.file_key: r.license for r in L.own_licenses(rows).collect()}
+    assert [got.get(k) for k in range(len(texts))] == [name for name, _ in texts]
+    same = rows.select("text", F.regexp_extract_all(F.lower("text"), F.lit(L.SPARK_TERM), F.lit(0)).alias("terms")).collect()
+    assert all(r.terms == re.findall(L.TERM, r.text.lower()) for r in same)
+
+
 def test_license_anchors_lose_nothing():
     from quire.llm import licenses as L
 
