@@ -4,20 +4,21 @@ Base spans (e-mail, ip, card, phone) come from strict patterns and their checks,
 stay. High-recall generators then propose further, overlapping spans (written-out e-mails,
 number groups without a country code, near-addresses) in what the base left. Boosted trees
 score every proposal from its format and its context; the checked spans are their positive
-examples, and proposals that fail all checks the negative ones. Per kind, the threshold is
-the lowest score whose precision on a held-out part of the examples is ``PRECISION``; proposals from it on are
-added.
+examples, and proposals that fail all checks the negative ones, each distinct match and context once. Per kind, the
+threshold is the lowest score whose precision on the held-out half of all examples is ``PRECISION``; proposals from it
+on are added.
 
 All spans are found inside the row: ``split`` and ``regexp_extract_all`` by the same pattern give the pieces
 between and the matches, whose running lengths are the positions. The fitted trees become a
 column expression, so scoring moves no row. Patterns are possessive where that
 changes no match, which keeps them linear and free of recursion on very long texts.
-Column expressions only; the trees are fitted by Spark ML on a bounded sample (``SAMPLE``).
+Column expressions only; the trees are fitted by Spark ML on a bounded sample of each kind and label (``SAMPLE``).
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,10 @@ from quire.functions.arrays import let
 from quire.session import scratch_path
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Most examples of each label that the trees are fitted and calibrated on (by hash of the example).
+#: Examples of each kind and label (by hash of the example) of whose two halves one fits the trees; thresholds see all held-out ones.
 SAMPLE = 10_000
+#: Score bins of the held-out examples.
+BINS = 10_000
 #: Least held-out precision of a threshold, and examples behind it.
 PRECISION = 0.99
 LEAST_EXAMPLES = 20
@@ -207,7 +210,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def _examples(found, kind: str, label: float) -> Column:
-    return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.xxhash64(s["match"], s["before"]).alias("hash"),
+    return F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.xxhash64(s["match"], s["before"], s["after"]).alias("hash"),
                                                  F.array(*span_features(kind, s)).alias("x")))
 
 
@@ -216,8 +219,8 @@ def _implausible(kind: str):
 
 
 def fit(docs: DataFrame) -> Model:
-    """Trees and thresholds from at most ``SAMPLE`` checked spans and ``SAMPLE`` failing proposals of all texts,
-    those with the smallest hashes; half of them calibrate. Without both labels nothing is added."""
+    """Trees from at most half of ``SAMPLE`` checked spans and as many failing proposals of each kind, those with the
+    smallest even hashes; thresholds from the odd hashes of all texts. Copies count once. Without both labels nothing is added."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -226,28 +229,26 @@ def fit(docs: DataFrame) -> Model:
     every = F.concat(*[_examples(f"base_{k}", k, 1.0) for k in KINDS],
                      *[_examples(F.filter(f"new_{k}", _implausible(k)), k, 0.0) for k in KINDS])
     all_path, path = scratch_path(spark, "pii-spans"), scratch_path(spark, "pii-examples")
-    found.select(F.explode(every).alias("e")).select("e.*").write.parquet(all_path)  # one pass over the texts
+    # one pass over the texts; equal hashes have equal x
+    found.select(F.explode(every).alias("e")).select("e.*").dropDuplicates(["kind", "label", "hash"]).write.parquet(all_path)
     spans = spark.read.parquet(all_path)
-    first = [spans.where(F.col("label") == y).orderBy("hash", "kind", "x").limit(SAMPLE) for y in (1.0, 0.0)]
-    first[0].unionByName(first[1]).coalesce(1).write.parquet(path)
-    examples = spark.read.parquet(path).withColumn("features", array_to_vector("x"))
-    learn, held = examples.where(F.col("hash") % 2 == 0), examples.where(F.col("hash") % 2 != 0)
+    even, held = spans.where(F.col("hash") % 2 == 0), spans.where(F.col("hash") % 2 != 0)
+    first = [even.where((F.col("kind") == k) & (F.col("label") == y)).orderBy("hash").limit(SAMPLE // 2) for k in KINDS for y in (1.0, 0.0)]
+    reduce(DataFrame.unionByName, first).coalesce(1).write.parquet(path)
+    learn = spark.read.parquet(path).withColumn("features", array_to_vector("x"))
     if learn.select("label").distinct().count() < 2:
         return Model([], {})
     # one ordered partition: sums in a fixed order, so that a refit gives the same trees
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(learn.coalesce(1).sortWithinPartitions("label", "hash", "kind"))
     model = Model([(float(w), t.toDebugString) for w, t in zip(fitted.treeWeights, fitted.trees)], {})
     x = [F.col("x")[i] for i in range(len(span_features("email", F.col("s"))))]
-    scored: dict[str, list] = {}
-    for kind, label, p in held.select("kind", "label", model.score(x)).collect():  # at most 2 * SAMPLE rows
-        scored.setdefault(kind, []).append((p, label))
-    for kind, rows in scored.items():
-        rows.sort(reverse=True)
-        right = 0.0
-        for i, (p, label) in enumerate(rows, 1):
-            right += label
-            if i >= LEAST_EXAMPLES and right >= PRECISION * i and (i == len(rows) or rows[i][0] < p):
-                model.thresholds[kind] = p
+    bins = (held.select("kind", "label", model.score(x).alias("p")).groupBy("kind", F.floor(F.col("p") * BINS).alias("bin"))
+            .agg(F.min("p").alias("p"), F.count("*").alias("n"), F.sum("label").alias("right")).collect())  # at most BINS + 1 rows a kind
+    seen: dict[str, list[float]] = {}
+    for kind, _, p, n, right in sorted(bins, key=lambda r: -r["bin"]):
+        total = seen[kind] = [a + b for a, b in zip(seen.get(kind, [0, 0.0]), (n, right))]
+        if total[0] >= LEAST_EXAMPLES and total[1] >= PRECISION * total[0]:
+            model.thresholds[kind] = p
     return model
 
 

@@ -316,6 +316,17 @@ def test_pii_base_spans_equal_python(spark, docs, rows):
         assert spans == sorted(spans)
 
 
+def test_pii_threshold_of_a_rare_kind_and_copies(spark, monkeypatch):
+    from quire.llm import pii
+
+    monkeypatch.setattr(pii, "SAMPLE", 200)
+    texts = [f"mail u{i}@site{i}.org now" for i in range(3000)] + ["tel +49 30 1234567 or fax"] * 3000
+    texts += [f"host 10.{i}.3.{i} up" for i in range(100)] + [f"see release 1.{i}.2 today" for i in range(400)]
+    model = pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {"email", "ip"} <= set(model.thresholds)
+    assert "phone" not in model.thresholds  # 3000 copies are one example
+
+
 def test_pii_fit_learns_the_checks_and_redaction(spark, none):
     from quire.llm import pii
 
