@@ -164,7 +164,7 @@ def _search(block: Block, slop: int | None, n_words, terms, term_docs, counts, p
     exact, near = [], []
     anchors = np.flatnonzero(block.anchored[term + 1] > block.anchored[term])
     cost = np.cumsum(block.anchored[term[anchors] + 1] - block.anchored[term[anchors]])
-    cuts = np.searchsorted(cost, np.arange(STEP, int(cost[-1]) + STEP, STEP)) if len(cost) else ()
+    cuts = np.append(np.searchsorted(cost, np.arange(STEP, int(cost[-1]) + STEP, STEP)), len(anchors)) if len(cost) else ()
     done = 0
     for cut in cuts:
         part = anchors[done:max(cut, done + 1)]

@@ -300,6 +300,17 @@ PERSONAL = ["a@b", "a@b.c.d x@y.z.", "1.2.3.4.5.6.7.8", "+1 (375) 555-4393 ", "1
             None, "", "a@x.yy " * 400, "@", "+", "+1", "1.1.1", "x.%+-@a-b.c-d"]
 
 
+@pytest.mark.parametrize("step", [1, 2, 3, 4, 5, 8])
+def test_decontamination_searches_the_last_anchor_of_a_chunk(monkeypatch, step):
+    from quire.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "STEP", step)
+    block = D.Block([("item", b"a b")], 2)
+    block.rank_by(np.array([1, 2]))
+    exact, near, base, _ = D._search(block, None, np.array([8]), np.array([0, 1]), np.array([0, 0]), np.array([4, 4]), np.array([0, 2, 4, 6, 1, 3, 5, 7]))
+    assert sorted(int(x - base[0]) for _, _, places in exact for x in places) == [0, 2, 4, 6] and not near
+
+
 def test_pii_base_spans_equal_python(spark, docs, rows):
     from quire.llm import pii
 
