@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quire.llm.bpe import op8_byte_bpe
 from quire.llm.decontaminate import OP3_SQL, op3_decontamination
+from quire.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from quire.llm.jaccard import OP7_SQL, op7_jaccard_join
 from quire.llm.licenses import op2_license_scan
 from quire.llm.pii import op4_pii
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op7_jaccard_join": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
