@@ -7,7 +7,9 @@ from quire.llm.decontaminate import OP3_SQL, op3_decontamination
 from quire.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from quire.llm.jaccard import OP7_SQL, op7_jaccard_join
 from quire.llm.licenses import op2_license_scan
+from quire.llm.neighbours import op12_nearest_neighbours
 from quire.llm.pii import op4_pii
+from quire.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from quire.llm.quality import op9_quality_rules
 from quire.llm.sharding import op1_sharding
 from quire.llm.substrings import OP10_SQL, op10_substring_dedup
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op7_jaccard_join": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
