@@ -694,6 +694,50 @@ SELECT bits, CAST(count(*) AS BIGINT) AS n_vectors,
 FROM d GROUP BY bits"""
 
 
+VARIANTS = """vr AS (
+  SELECT vec_id, 0 AS bits, v FROM vectors
+  UNION ALL
+  SELECT vec_id, bits, flatten(list(list_transform(q, lambda x: mn + x * scale) ORDER BY grp)) AS v FROM qq GROUP BY vec_id, bits)"""
+TRUTH = """pairs AS (
+  SELECT a.vec_id AS q, b.vec_id AS r, b.bits, round(list_inner_product(a.v, b.v), 9) AS score
+  FROM vr a JOIN vr b ON a.vec_id % 50 = 0 AND a.bits = b.bits AND a.vec_id <> b.vec_id),
+best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY q, bits ORDER BY score DESC, r) <= 10),
+truth AS (SELECT q, r FROM best WHERE bits = 0)"""
+
+
+def _recall(found: str) -> str:
+    return f"""SELECT w.bits, (SELECT count(DISTINCT q) FROM truth) AS n_queries,
+       round((SELECT count(*) FROM truth t JOIN {found} f USING (q, r) WHERE f.bits = w.bits) / (SELECT count(*) FROM truth)::DOUBLE, 6) AS recall_at_10
+FROM (SELECT DISTINCT bits FROM {found}) w"""
+
+
+@oracle("neighbour_recall")
+def _():
+    return X.with_(X.VECTORS, QV, VARIANTS, TRUTH) + _recall("best") + " WHERE w.bits > 0"
+
+
+def _near(c: str) -> str:
+    return f"round(list_inner_product(v.v, {c}.c) - 0.5 * list_inner_product({c}.c, {c}.c), 9) DESC, {c}.list"
+
+
+@oracle("neighbour_recall_lists")
+def _():
+    steps = ["""k AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS k FROM vectors),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS list, v AS c FROM vectors
+       QUALIFY row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) <= (SELECT k FROM k))"""]
+    for i in (1, 2):
+        steps.append(f"""a{i} AS (SELECT v.v, c.list FROM vectors v, c{i - 1} c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY {_near('c')}) = 1),
+m{i} AS (SELECT list, list(x ORDER BY d) AS c FROM (
+       SELECT list, d, avg(v[d]) AS x FROM a{i}, range(1, 4097) r(d) WHERE d <= len(v) GROUP BY list, d) GROUP BY list),
+c{i} AS MATERIALIZED (SELECT o.list, coalesce(m.c, o.c) AS c FROM c{i - 1} o LEFT JOIN m{i} m USING (list))""")
+    steps.append(f"""lists AS (SELECT v.vec_id, c.list FROM vectors v, c2 c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY {_near('c')}) = 1),
+probes AS (SELECT v.vec_id, c.list FROM vectors v, c2 c WHERE v.vec_id % 50 = 0
+       QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY {_near('c')}) <= ceil(0.7::DOUBLE * (SELECT k FROM k))),
+seen AS (SELECT p.q, p.r, p.bits FROM pairs p JOIN lists l ON l.vec_id = p.r JOIN probes b ON b.vec_id = p.q AND b.list = l.list
+       QUALIFY row_number() OVER (PARTITION BY q, bits ORDER BY score DESC, r) <= 10)""")
+    return X.with_(X.VECTORS, QV, VARIANTS, TRUTH, *steps) + _recall("seen")
+
+
 @oracle("footprint_by_bits")
 def _():
     return X.with_(X.VECTORS, X.SEGMENTS, POLICY) + f"""

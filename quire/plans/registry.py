@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import (chat, distill, grading, haystack, inference, lm, losses, metrics,
-                             quant, splits, tokens)
+                             nearest, quant, splits, tokens)
 from quire.sources import files
 from quire.streaming import grader
 
@@ -84,6 +84,8 @@ QUERIES: dict[str, Query] = {
     "quantize_mixed": quant.quantize_mixed,
     "quantize_nf4": quant.quantize_nf4,
     "topk_fidelity": quant.topk_fidelity,
+    "neighbour_recall": nearest.neighbour_recall,
+    "neighbour_recall_lists": nearest.neighbour_recall_lists,
     "footprint_by_bits": quant.footprint_by_bits,
     "lowrank_correction": quant.lowrank_correction,
     # M7 — models
