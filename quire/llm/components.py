@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quire.session import ensure_checkpoint_dir
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join: the relation of a broadcast would be built in the driver's memory,
+    at every pass anew, however small."""
+    return df.hint("merge")
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -16,14 +22,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node now point to its smallest neighbour (or itself)."""
     near = _both_ways(edges)
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return near.where("v > u").join(by_shuffle(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of each node, and the node, now point to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(by_shuffle(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 

@@ -8,7 +8,7 @@ are as wide as the largest sum they may hold, so the scores read back from them
 Defined results: a row without id, label or vector, or with a null or non-finite component, takes
 no part. Components a shorter vector lacks count as zero. No row is a partner of a row with its own
 id; repeated rows count each. Tied scores go by the smaller id. An empty table gives no rows. Other columns are
-not looked at. Scores outside a long are returned as the nearest long; comparisons use the exact value.
+not looked at. Two rows whose score is outside a long are no partners.
 """
 
 from __future__ import annotations
@@ -62,6 +62,8 @@ def packed_products(anchors: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     bits = max(1, (2 * bound).bit_length())
     wide = bits > 64 or candidates.dtype == object or anchors.dtype == object
     fields, kind = (BIG_FIELDS, object) if wide else (64 // bits, np.uint64)
+    if wide:
+        anchors, candidates = anchors.astype(object), candidates.astype(object)
     words_n = -(-n // fields)
     shifted = np.zeros((fields * words_n, candidates.shape[1]), object if wide else np.int64)
     shifted[:n] = candidates - low
@@ -99,7 +101,8 @@ def _best(scores: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 
 def _cell(candidates: pa.Table, anchors: pa.Table):
-    """Each anchor's row, id, label and its scores against the cell's candidates, these sorted by id."""
+    """Each anchor's place and row, its scores against the cell's candidates (sorted by id), their ids, and which of
+    them are partners of the same label and of another."""
     candidates = candidates.sort_by("vec_id")
     width = max((int(np.diff(np.asarray(t["vector"].combine_chunks().offsets)).max(initial=0)) for t in (candidates, anchors)), default=0)
     ids, labels = candidates["vec_id"].to_numpy(), candidates["label"].to_numpy()
@@ -108,23 +111,20 @@ def _cell(candidates: pa.Table, anchors: pa.Table):
     for start in range(0, anchors.num_rows, TILE):
         part = anchors.slice(start, TILE)
         scores = packed_products(wanted[start:start + TILE], pool)
+        fits = (np.abs(scores) <= LONG_MAX).astype(bool)
         for i, (row, own, label) in enumerate(zip(part["row"].to_pylist(), part["vec_id"].to_pylist(), part["label"].to_pylist(), strict=True)):
-            yield start + i, row, scores[i], ids, labels == label, ids != own
-
-
-def _long(x) -> int:
-    return max(-LONG_MAX - 1, min(LONG_MAX, int(x)))
+            yield start + i, row, scores[i], ids, (labels == label) & fits[i] & (ids != own), (labels != label) & fits[i]
 
 
 def _positives(count: int):
     def run(candidates: pa.Table, anchors: pa.Table) -> pa.Table:
         out = {"row": [], "positive_id": [], "positive_score": []}
         if candidates.num_rows and anchors.num_rows:
-            for _, row, scores, ids, same, other in _cell(candidates, anchors):
-                at = _best(scores, np.flatnonzero(same & other), count)
+            for _, row, scores, ids, same, _ in _cell(candidates, anchors):
+                at = _best(scores, np.flatnonzero(same), count)
                 out["row"] += [row] * len(at)
                 out["positive_id"] += ids[at].tolist()
-                out["positive_score"] += [_long(x) for x in scores[at]]
+                out["positive_score"] += scores[at].tolist()
         return pa.table(out, pa.schema([(k, pa.int64()) for k in out]))
 
     return run
@@ -135,8 +135,8 @@ def _negatives(count: int, least: int):
         out = {"row": [], "positive_score": [], "negative_id": [], "negative_score": []}
         if candidates.num_rows and anchors.num_rows:
             asked = anchors["scores"].to_pylist()
-            for i, row, scores, ids, same, _ in _cell(candidates, anchors):
-                at = np.flatnonzero(~same)
+            for i, row, scores, ids, _, different in _cell(candidates, anchors):
+                at = np.flatnonzero(different)
                 for positive in sorted(set(asked[i])):
                     lowest = -(-least * positive // 100)
                     inside = at[(scores[at] >= lowest) & (scores[at] <= positive)]
@@ -144,7 +144,7 @@ def _negatives(count: int, least: int):
                     out["row"] += [row] * len(best)
                     out["positive_score"] += [positive] * len(best)
                     out["negative_id"] += ids[best].tolist()
-                    out["negative_score"] += [_long(x) for x in scores[best]]
+                    out["negative_score"] += scores[best].tolist()
         return pa.table(out, pa.schema([(k, pa.int64()) for k in out]))
 
     return run

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.batches import list_array, mix64, offsets_of, row_slices, text_bytes
-from quire.llm.components import components
+from quire.llm.components import by_shuffle, components
 from quire.session import scratch_path
 
 #: Words of a shingle; linked from this percentage on.
@@ -47,9 +47,8 @@ _CHUNK = 4096
 #: Largest light size considered, and the cost of a posting in subset keys.
 MOST_LIGHT = 20
 POSTING_COST = 4.0
-#: Document ids sent to all tasks to pick the texts that a verification needs; beyond that
-#: number the texts are picked by a shuffle join.
-SENT_IDS = 500_000
+#: Bits of the map that tells tasks which documents a verification may need; of the others no set is shuffled.
+WANTED_BITS = 24
 
 
 def min_overlap(s: int, t: int, percent: int = PERCENT) -> int:
@@ -93,10 +92,11 @@ def _chunks(batch, column: int):
 
 
 def usage_sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of all documents' shingles, and the number of sets by size up to
-    2 * ``MOST_LIGHT``. Summed within tasks, then by chunk of counters; what comes to the driver has
-    a fixed size."""
+    """Classes of the counters of all documents' shingles, and the number of sets by size up to
+    2 * ``MOST_LIGHT``. Counters are summed within tasks, then by chunk, and written; they become
+    classes in tasks, so that one byte of each comes to the driver."""
     n_sizes = 2 * MOST_LIGHT + 1
+    spark = docs.sparkSession
 
     def rows(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -119,24 +119,29 @@ def usage_sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 counts = np.frombuffer(counts, np.uint32).astype(np.uint64)
                 sums[chunk] = sums[chunk] + counts if chunk in sums else counts
         if sums:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
-
-    schema = "chunk int, counts binary"
-    total = docs.select("text").mapInArrow(rows, schema).repartition("chunk").mapInArrow(added, schema).collect()
-    counts, sizes = np.zeros(1 << SKETCH_BITS, np.uint64), np.zeros(n_sizes, np.uint64)
-    for chunk, part in total:
-        part = np.frombuffer(part, np.uint64)
-        if chunk < 0:
-            sizes = part
-        else:
-            counts[chunk * _CHUNK:(chunk + 1) * _CHUNK] = part
-    return counts, sizes
-
-
-def usage_classes(counts: np.ndarray) -> np.ndarray:
-    """Seven bits per counter, rarely used counters first: deviations from the mean in
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary()),
+                                              "total": pa.array([int(v.sum()) for v in sums.values()], pa.int64())})
+
+    path = scratch_path(spark, "jaccard-counters")
+    docs.select("text").mapInArrow(rows, "chunk int, counts binary").repartition("chunk").mapInArrow(added, "chunk int, counts binary, total bigint").write.parquet(path)
+    counters = spark.read.parquet(path)
+    mean = (counters.where("chunk >= 0").agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
+
+    def classed(batches):
+        for batch in batches:
+            parts = [usage_classes(np.frombuffer(c, np.uint64), mean).tobytes() for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"chunk": batch.column(0), "classes": pa.array(parts, pa.binary())})
+
+    classes = np.full(1 << SKETCH_BITS, usage_classes(np.zeros(1, np.uint64), mean)[0], np.uint8)
+    for chunk, part in counters.where("chunk >= 0").select("chunk", "counts").mapInArrow(classed, "chunk int, classes binary").collect():
+        classes[chunk * _CHUNK:(chunk + 1) * _CHUNK] = np.frombuffer(part, np.uint8)
+    sizes = counters.where("chunk < 0").select("counts").collect()  # one row
+    return classes, np.frombuffer(sizes[0][0], np.uint64) if sizes else np.zeros(n_sizes, np.uint64)
+
+
+def usage_classes(counts: np.ndarray, mean: float) -> np.ndarray:
+    """Seven bits per counter, rarely used counters first: deviations from the mean of all counters in
     quarters of a standard deviation, and logarithmic far above it."""
-    mean = counts.mean()
     z = (counts.astype(np.float64) - mean) / math.sqrt(max(mean, 1e-9))
     return np.clip(np.where(z < 8, 32 + 4 * z, 64 + 4 * np.log2(np.maximum(z, 8) / 8)), 0, 127).astype(np.uint8)
 
@@ -208,7 +213,7 @@ def _subset_links(classes: DataFrame) -> DataFrame:
     set of the smaller size, which is as much as either size needs."""
     keys = classes.select("rep", F.explode(F.arrays_zip("subsets", "smaller")).alias("k")).select("rep", F.col("k.subsets").alias("key"), F.col("k.smaller").alias("smaller"))
     first = keys.groupBy("key").agg(F.min(F.when(F.col("smaller"), F.col("rep"))).alias("u"), F.count("*").alias("size")).where("size > 1 AND u IS NOT NULL").drop("size")
-    return keys.join(first, "key").where("rep <> u").select("u", F.col("rep").alias("v")).distinct()
+    return keys.join(by_shuffle(first), "key").where("rep <> u").select("u", F.col("rep").alias("v")).distinct()
 
 
 def _need(n_a, n_b):
@@ -229,26 +234,59 @@ def _may_link(a: str, b: str):
     return (100 * F.col(n_a) >= PERCENT * F.col(n_b)) & (100 * F.col(n_b) >= PERCENT * F.col(n_a)) & (most >= _need(n_a, n_b))
 
 
+def _spread_id(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+
+
+def wanted_map(ids: DataFrame) -> np.ndarray:
+    """A map of fixed size with the bit of every id of ``ids (id)`` set, joined from the tasks' maps by chunk."""
+
+    def bits(batches):
+        seen = np.zeros(1 << WANTED_BITS, bool)
+        for batch in batches:
+            seen[_spread_id(batch.column(0).to_numpy())] = True
+        chunks = np.packbits(seen).reshape(-1, _CHUNK)
+        used = np.flatnonzero(chunks.any(axis=1))
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(used.tolist(), pa.int32()), "bits": pa.array([chunks[c].tobytes() for c in used], pa.binary())})
+
+    def joined(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(part, np.uint8)
+                sums[chunk] = sums[chunk] | part if chunk in sums else part
+        if sums:
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "bits": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+
+    schema = "chunk int, bits binary"
+    out = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    for chunk, part in ids.mapInArrow(bits, schema).repartition("chunk").mapInArrow(joined, schema).collect():
+        out[chunk * _CHUNK:(chunk + 1) * _CHUNK] = np.frombuffer(part, np.uint8)
+    return out
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs ``u, v`` whose whole sets link."""
+    """Those of the distinct pairs ``u, v`` whose whole sets link. The map of the ids spares the other documents'
+    sets the shuffle; what it lets through by chance finds no pair in the join."""
     spark = docs.sparkSession
     path = scratch_path(spark, "jaccard-pairs")
     pairs.select("u", "v").write.parquet(path)
     pairs = spark.read.parquet(path)
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    n = ids.count()
+    wanted = spark.sparkContext.broadcast(wanted_map(pairs.select(F.explode(F.array("u", "v")).alias("id"))))
 
     def rows(batches):
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            at = _spread_id(batch.column(0).to_numpy())
+            batch = batch.filter(pa.array((wanted.value[at >> 3] >> (7 - (at & 7))) & 1 > 0))
             for a, b, sets, at in _chunks(batch, 1):
                 yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(a, b - a), "hashes": list_array(sets.view(np.int64), at, pa.int64())})
 
-    wanted = docs.select("doc_id", "text").join(F.broadcast(ids) if n <= SENT_IDS else ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = wanted.mapInArrow(rows, "id bigint, hashes array<bigint>")
+    sets = docs.select("doc_id", "text").mapInArrow(rows, "id bigint, hashes array<bigint>")
     left = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return (pairs.join(left, "u").join(right, "v")
+    return (pairs.join(by_shuffle(left), "u").join(by_shuffle(right), "v")
             .where(100 * both >= PERCENT * (F.size("a") + F.size("b") - both)).select("u", "v"))
 
 
@@ -257,14 +295,14 @@ def _lists(classes: DataFrame) -> DataFrame:
     and its size."""
     postings = classes.select(F.explode("prefix").alias("key"), "rep")
     first = postings.groupBy("key").agg(F.min("rep").alias("u"), F.count("*").alias("size")).where("size > 1")
-    return postings.join(first, "key")
+    return postings.join(by_shuffle(first), "key")
 
 
 def _listed_sets(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """``rep, n, last, bare``: size, end of the prefix, and prefix shingles that no other set lists."""
     listed = lists.groupBy("rep").agg(F.count("*").alias("listed"))
     return (classes.select("rep", "n", F.try_element_at("prefix", F.lit(-1)).alias("last"))
-            .join(listed, "rep").select("rep", "n", "last", (_prefix("n") - F.col("listed")).alias("bare")))
+            .join(by_shuffle(listed), "rep").select("rep", "n", "last", (_prefix("n") - F.col("listed")).alias("bare")))
 
 
 def _as_side(sets: DataFrame, side: str) -> DataFrame:
@@ -283,15 +321,15 @@ def _left_pairs(lists: DataFrame, sets: DataFrame, classes: DataFrame, found: Da
     needs t = need - (its shingles behind the prefix) common ones among its l shingles in such
     lists, so at least one among any l - t + 1 of them. Pairs are formed in the l - t + 1 shortest
     only (none if l < t); then their common prefix shingles are counted exactly."""
-    labelled = (lists.select("key", "rep", "size").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = (lists.select("key", "rep", "size").join(by_shuffle(found.withColumnRenamed("node", "rep")), "rep", "left")
                 .withColumn("label", F.coalesce("component", "rep")).drop("component"))
     # the most frequent component of a list is only met by members of the others
     main = (labelled.groupBy("key", "label").agg(F.count("*").alias("members"))
             .groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
     own = Window.partitionBy("rep")  # a set's own postings: at most its prefix
-    mixed = (labelled.join(main, "key")
+    mixed = (labelled.join(by_shuffle(main), "key")
              .withColumn("nth", F.row_number().over(own.orderBy("size", "key")) - 1).withColumn("l", F.count("*").over(own))
-             .join(sets.select("rep", "n", "last"), "rep"))
+             .join(by_shuffle(sets.select("rep", "n", "last")), "rep"))
 
     def side(rows: DataFrame, x: str) -> DataFrame:
         return rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "label", "nth", "l", "n", "last")], *(["main"] if x == "b" else []))
@@ -299,13 +337,13 @@ def _left_pairs(lists: DataFrame, sets: DataFrame, classes: DataFrame, found: Da
     first_ends = F.col("last_a") <= F.col("last_b")
     need = _need("n_a", "n_b")
     shared = F.when(first_ends, F.col("l_a") - F.col("nth_a") + _beyond("a")).otherwise(F.col("l_b") - F.col("nth_b") + _beyond("b"))
-    pairs = (side(mixed.where("label <> main"), "a").join(side(mixed, "b"), "key")
+    pairs = (side(mixed.where("label <> main"), "a").join(by_shuffle(side(mixed, "b")), "key")
              .where((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))))
              .where((100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a")) & (shared >= need))
              .select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")).distinct())
-    full = sets.join(classes.select("rep", "n", "prefix"), ["rep", "n"])
+    full = sets.join(by_shuffle(classes.select("rep", "prefix")), "rep")
     for x in ("u", "v"):
-        pairs = pairs.join(full.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "last", "prefix")]), x)
+        pairs = pairs.join(by_shuffle(full.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "last", "prefix")])), x)
     beyond = F.when(F.col("last_u") <= F.col("last_v"), _beyond("u")).otherwise(_beyond("v"))
     return pairs.where(F.size(F.array_intersect("prefix_u", "prefix_v")) + beyond >= _need("n_u", "n_v")).select("u", "v").distinct()
 
@@ -319,10 +357,10 @@ def join_classes(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    counts, sizes = usage_sketch(docs)
+    usage, sizes = usage_sketch(docs)
     boundary = light_boundary(sizes)
     sig_path, class_path, list_path = (scratch_path(spark, f"jaccard-{k}") for k in ("signatures", "classes", "lists"))
-    signatures(docs, usage_classes(counts), boundary).write.parquet(sig_path)
+    signatures(docs, usage, boundary).write.parquet(sig_path)
     sig = spark.read.parquet(sig_path)
     (sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
      .agg(F.min(F.struct("doc_id", "n", "prefix", "subsets", "smaller")).alias("m"))
@@ -334,18 +372,18 @@ def join_classes(docs: DataFrame) -> DataFrame:
     _listed_sets(lists, classes).write.parquet(set_path)
     sets = spark.read.parquet(set_path)
     star = (lists.where("rep <> u").select("u", F.col("rep").alias("v")).distinct()
-            .join(_as_side(sets, "u"), "u").join(_as_side(sets, "v"), "v").where(_may_link("u", "v")).select("u", "v").distinct())
+            .join(by_shuffle(_as_side(sets, "u")), "u").join(by_shuffle(_as_side(sets, "v")), "v").where(_may_link("u", "v")).select("u", "v").distinct())
     links_path = scratch_path(spark, "jaccard-links")
     same_id = (sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y")
                .select("doc_id"))  # documents with several texts link the classes of each
-    reps = sig.select("doc_id", "digest").join(same_id, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    reps = sig.select("doc_id", "digest").join(by_shuffle(same_id), "doc_id").join(by_shuffle(classes.select("digest", "rep")), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     _verified(star, docs).unionByName(_subset_links(classes)).unionByName(reps).write.parquet(links_path)
     links = spark.read.parquet(links_path)
     found = components(links)
     more = _verified(_left_pairs(lists, sets, classes, found), docs)
     final = components(links.unionByName(more))
-    member = sig.select("doc_id", "n", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    return (member.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    member = sig.select("doc_id", "n", "digest").join(by_shuffle(classes.select("digest", "rep")), "digest", "left")
+    return (member.join(by_shuffle(final.select(F.col("node").alias("rep"), "component")), "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")))
 

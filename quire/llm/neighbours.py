@@ -46,7 +46,7 @@ STILL = 0.01
 #: Nodes a search keeps, as a multiple of the graph's degree.
 BEAM = 4
 #: Vectors of largest norm that every search starts from besides its own node.
-ENTRIES = 16
+ENTRIES = 128
 #: Candidates scored exactly, as a multiple of those asked for.
 RESCORE = 2
 SEED = 20_240
