@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quire import tables
 from quire.functions import text as T
 from quire.operators.ranking import seeded_order, split_label
+from quire.session import scratch_path
 from quire.sources import literals as L
 
 TEACHER_WIDTH, STUDENT_WIDTH = 4096, 64
@@ -36,6 +37,13 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "y", "split", T.md5_int(F.col("tok")).alias("h"), "tf")
 
 
+def stored_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``examples``, written once: texts are tokenised and split one time, whatever is fitted on them."""
+    path = scratch_path(spark, "examples")
+    examples(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _feature(width: Column) -> Column:
     return F.pmod(F.col("h"), width)
 
@@ -80,7 +88,7 @@ def _valid(s: DataFrame, name: str) -> DataFrame:
 
 
 def distill_student(spark: SparkSession, sf_dir: str, alpha: float = L.DISTILL_ALPHA) -> DataFrame:
-    ex = examples(spark, sf_dir)
+    ex = stored_examples(spark, sf_dir)
     teacher = _fit_score(ex, F.col("y"), TEACHER_WIDTH)
     p = F.lit(1.0) / (1 + F.exp(-F.col("s")))
     soft = ex.join(teacher.select("doc_id", (F.lit(alpha) * p + F.lit(1 - alpha) * F.col("y")).alias("target")), "doc_id")
@@ -93,7 +101,7 @@ def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid of hash widths and smoothings, each fitted on the train side and scored on the valid
     side, once; all grid points are counted by the same aggregation."""
     point = F.explode(F.array(*[F.struct(F.lit(w).alias("num_features"), F.lit(s).alias("smoothing")) for w, s in GRID])).alias("g")
-    rows = examples(spark, sf_dir).select("*", point).select("doc_id", "y", "split", "h", "tf", "g.*")
+    rows = stored_examples(spark, sf_dir).select("*", point).select("doc_id", "y", "split", "h", "tf", "g.*")
     rows = rows.withColumn("f", _feature(F.col("num_features")))
     key = ["num_features", "smoothing"]
     weights, stats = log_odds(rows.where("split = 'train'"), F.col("y"), key, F.col("smoothing"), F.col("num_features").cast("double"))
@@ -103,5 +111,5 @@ def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _fit_score(examples(spark, sf_dir), F.col("y"), TEACHER_WIDTH)
+    s = _fit_score(stored_examples(spark, sf_dir), F.col("y"), TEACHER_WIDTH)
     return s.groupBy(F.col("split").alias("model")).agg(F.count(F.lit(1)).alias("n_eval"), F.round(_loss(), 4).alias("log_loss"))

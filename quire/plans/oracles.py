@@ -6,6 +6,8 @@ the same name as the Spark query.
 
 from __future__ import annotations
 
+import math
+
 from quire.plans import fixtures_sql as X
 
 ORACLES: dict[str, str] = {}
@@ -738,6 +740,42 @@ seen AS (SELECT p.q, p.r, p.bits FROM pairs p JOIN lists l ON l.vec_id = p.r JOI
     return X.with_(X.VECTORS, QV, VARIANTS, TRUTH, *steps) + _recall("seen")
 
 
+PACKED = """bit_strings AS (
+  SELECT vec_id, bits, CAST(sum(len(q)) AS INTEGER) AS n_codes,
+         string_agg(array_to_string(list_transform(q, lambda c: lpad(bin(c), bits, '0')), ''), '' ORDER BY grp) AS b
+  FROM qq GROUP BY vec_id, bits),
+packed AS (
+  SELECT vec_id, bits, n_codes, (len(b) + 7) // 8 AS n_bytes, rpad(b, CAST((len(b) + 7) // 8 * 8 AS INTEGER), '0') AS b FROM bit_strings)"""
+
+
+@oracle("pack_codes")
+def _():
+    return X.with_(X.VECTORS, QV, PACKED) + """
+SELECT vec_id, bits, n_codes, CAST(n_bytes AS INTEGER) AS n_bytes,
+       array_to_string(list_transform(range(0, n_bytes), lambda i: printf('%02x', list_sum(list_transform(range(1, 9),
+         lambda j: CAST(b[8 * i + j] AS INTEGER) * (1 << (8 - j))))::INTEGER)), '') AS packed
+FROM packed"""
+
+
+@oracle("unpack_codes")
+def _():
+    return X.with_(X.VECTORS, QV) + """
+SELECT vec_id, bits, CAST(grp AS INTEGER) AS grp, array_to_string(list_transform(q, lambda c: printf('%02x', c)), '') AS codes,
+       round(mn::FLOAT::DOUBLE + q[1] * scale::FLOAT::DOUBLE, 6) AS first_value
+FROM qe"""
+
+
+@oracle("packed_footprint")
+def _():
+    return X.with_(X.VECTORS, X.SEGMENTS, POLICY) + f"""
+, s AS (SELECT 'mixed' AS scheme, len(v) AS d, bits FROM pol2
+       UNION ALL SELECT 'uniform_' || b.bits, len(v), b.bits FROM pol2, {BITS})
+SELECT scheme, count(*) AS n_vectors,
+       CAST(sum(CASE WHEN bits IS NULL THEN 4 * d ELSE ceil(d * bits / 8.0) END) AS BIGINT) AS code_bytes,
+       CAST(sum(CASE WHEN bits IS NULL THEN 0 ELSE 8 * ceil(d / 64.0) END) AS BIGINT) AS scale_bytes
+FROM s GROUP BY scheme"""
+
+
 @oracle("footprint_by_bits")
 def _():
     return X.with_(X.VECTORS, X.SEGMENTS, POLICY) + f"""
@@ -963,6 +1001,55 @@ SELECT w AS num_features, s AS smoothing, {_LOSS} AS log_loss,
 FROM grid_s WHERE split = 'valid' GROUP BY w, s"""
 
 
+STUDENT = ["""share AS (SELECT doc_id, f, tf / sum(tf) OVER (PARTITION BY doc_id) AS x FROM (SELECT doc_id, h % 64 AS f, sum(tf) AS tf FROM ex GROUP BY ALL)),
+xf AS MATERIALIZED (SELECT doc_id, f, x FROM share UNION ALL SELECT doc_id, 64, 1.0::DOUBLE FROM docs),
+tr AS MATERIALIZED (SELECT doc_id, y, split, score,
+       """ + ", ".join(f"{X.md5_int(f"'{_L.SHUFFLE_SEED + e}:' || doc_id::VARCHAR")} % 32 AS slot{e}" for e in range(3)) + """
+       FROM teach_s)""",
+           "w0 AS (SELECT f, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM range(65) r(f))"]
+
+
+def _sig(x: str) -> str:
+    return f"(1 / (1 + exp(-({x}))))"
+
+
+_P, _Q = _sig("score / 4.0::DOUBLE"), _sig("u / 4.0::DOUBLE")
+_ROW_LOSS = (f"(0.7::DOUBLE * 16 * ({_P} * (ln({_P}) - ln({_Q})) + (1 - {_P}) * (ln(1 - {_P}) - ln(1 - {_Q})))"
+             " + (1 - 0.7::DOUBLE) * ln(1 + exp(CASE WHEN y > 0 THEN -u ELSE u END)))")
+_ROW_SLOPE = f"(0.7::DOUBLE * 4 * ({_Q} - {_P}) + (1 - 0.7::DOUBLE) * ({_sig('u')} - y))"
+
+
+def _student_step(t: int) -> list[str]:
+    """Logits, gradient and new weights of optimiser step ``t``."""
+    e, s = divmod(t, 8)
+    lr = 0.5 * (t + 1) / 4 if t < 4 else 0.25 * (1 + math.cos(math.pi * (t - 4) / 20))
+    return [f"""u{t} AS MATERIALIZED (SELECT d.doc_id, any_value(y) AS y, any_value(score) AS score, any_value(slot{e} % 4) AS mb, sum(x * w) AS u
+       FROM tr d JOIN xf USING (doc_id) JOIN w{t} USING (f) WHERE split = 'train' AND slot{e} // 4 = {s} GROUP BY d.doc_id)""",
+            f"""g{t} AS MATERIALIZED (SELECT f, sum({_ROW_SLOPE} * x / n) / (SELECT count(DISTINCT mb) FROM u{t}) AS g
+       FROM u{t} JOIN (SELECT mb, count(*) AS n FROM u{t} GROUP BY mb) USING (mb) JOIN xf USING (doc_id) GROUP BY f)""",
+            f"""w{t + 1} AS MATERIALIZED (SELECT f, w - {lr!r}::DOUBLE * ((nm / (1 - pow(0.9::DOUBLE, {t + 1}))) / (sqrt(nv / (1 - pow(0.999::DOUBLE, {t + 1}))) + 1e-8::DOUBLE) + 0.01::DOUBLE * w) AS w, nm AS m, nv AS v
+       FROM (SELECT f, w, 0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * g AS nm, 0.999::DOUBLE * v + (1 - 0.999::DOUBLE) * g * g AS nv
+             FROM (SELECT w.f, w.w, w.m, w.v, coalesce(g.g, 0) * least(1, coalesce(1 / (SELECT nullif(sqrt(sum(g * g)), 0) FROM g{t}), 1)) AS g FROM w{t} w LEFT JOIN g{t} g USING (f))))"""]
+
+
+@oracle("student_gradient")
+def _():
+    return "WITH " + ",\n".join([EXAMPLES, _TEACHER, *STUDENT, *_student_step(0)[:2]]) + """
+SELECT CAST(f AS INTEGER) AS feature, round(coalesce(g, 0.0), 9) AS gradient FROM w0 LEFT JOIN g0 USING (f)"""
+
+
+@oracle("train_student")
+def _():
+    steps = [cte for t in range(24) for cte in _student_step(t)]
+    valid = " UNION ALL ".join(f"SELECT {e} AS epoch, doc_id, any_value(y) AS y, any_value(score) AS score, sum(x * w) AS u FROM tr JOIN xf USING (doc_id) JOIN w{8 * e} USING (f) WHERE split = 'valid' GROUP BY doc_id" for e in range(4))
+    train = " UNION ALL ".join(f"SELECT {t // 8 + 1} AS epoch, {t} AS t, avg({_ROW_LOSS}) AS loss FROM u{t}" for t in range(24))
+    return "WITH " + ",\n".join([EXAMPLES, _TEACHER, *STUDENT, *steps, f"va AS ({valid})", f"tl AS (SELECT epoch, avg(loss) AS loss FROM ({train}) GROUP BY epoch)",
+                                 f"vl AS (SELECT epoch, avg({_ROW_LOSS}) AS loss FROM va GROUP BY epoch)"]) + """
+SELECT CAST(v.epoch AS INTEGER) AS epoch, CAST(8 * v.epoch AS INTEGER) AS steps, round(t.loss, 6) AS train_loss, round(v.loss, 6) AS valid_loss,
+       v.loss = (SELECT min(loss) FROM vl) AS kept
+FROM vl v LEFT JOIN tl t USING (epoch)"""
+
+
 HELDOUT = f"""dsplit AS (
   SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 < floor(count(*) OVER () * 0.85::DOUBLE)
                       THEN 'train' ELSE 'valid' END AS split FROM documents),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import (chat, distill, grading, haystack, inference, lm, losses, metrics,
-                             nearest, quant, splits, tokens)
+                             nearest, packing, quant, splits, student, tokens)
 from quire.sources import files
 from quire.streaming import grader
 
@@ -87,6 +87,9 @@ QUERIES: dict[str, Query] = {
     "neighbour_recall": nearest.neighbour_recall,
     "neighbour_recall_lists": nearest.neighbour_recall_lists,
     "footprint_by_bits": quant.footprint_by_bits,
+    "pack_codes": packing.pack_codes,
+    "unpack_codes": packing.unpack_codes,
+    "packed_footprint": packing.packed_footprint,
     "lowrank_correction": quant.lowrank_correction,
     # M7 — models
     "batch_generate": inference.batch_generate,
@@ -96,6 +99,8 @@ QUERIES: dict[str, Query] = {
     "distill_student": distill.distill_student,
     "param_sweep": distill.param_sweep,
     "valid_loss": distill.valid_loss,
+    "train_student": student.train_student,
+    "student_gradient": student.student_gradient,
     # streaming form of the grader
     "stream_suite_score": grader.stream_suite_score,
 }
