@@ -266,14 +266,17 @@ def _selected(model: Model, kind: str):
 
 
 def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` (with a text column) with ``spans``: array of (kind, start, end, base) in order of kind, then start.
+    """``docs`` (with a text column) with ``spans`` as last column: array of (kind, start, end, base) in order of kind, then
+    start. Where ``docs`` has a column of that name, the new one's gets underscores until it is free.
 
     Positions are code points of the whole text, end exclusive; a null or empty text has none.
     Base spans of different kinds may overlap; added ones meet no base span. Rows and their other
     columns are kept as they are.
     """
     model = model or fit(docs.select("text"))
-    keep = docs.columns
+    keep, column = docs.columns, "spans"
+    while column in keep:
+        column += "_"
     names = [f"c{i}" for i in range(len(keep))]
     found = _columns(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col("text").alias("text")))
     shape = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
@@ -285,19 +288,20 @@ def detect(docs: DataFrame, model: Model | None = None) -> DataFrame:
             spans = F.array_sort(F.concat(spans, _as_spans(added, kind, False)))
         per_kind.append(spans)
     spans = F.concat(*per_kind).cast(shape)
-    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], spans.alias("spans"))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], spans.alias(column))
 
 
 def redact(detected: DataFrame) -> DataFrame:
-    """``detected`` with ``text`` replaced: each run of overlapping spans becomes [KIND] of its first span."""
+    """``detected`` with ``text`` replaced: each run of overlapping spans (its last column) becomes [KIND] of its first span."""
+    column = detected.columns[-1]
     joined = F.aggregate(
-        F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
+        F.array_sort(F.transform(column, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
         F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(
             s["end"].alias("at"), F.concat(acc["out"], F.array(F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out")))
         .otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), (acc["at"] + 1).cast("int"))))
-    return detected.withColumn("text", F.when(F.size("spans") > 0, joined).otherwise(F.col("text")))
+    return detected.withColumn("text", F.when(F.size(column) > 0, joined).otherwise(F.col("text")))
 
 
 def _listed(spans: Column) -> Column:
