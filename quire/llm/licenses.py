@@ -137,20 +137,20 @@ def _best(words: Column, idf: dict[str, float], vectors: list[dict[str, float]],
     return let({"b": best}, lambda x: F.when(x["b"]["cosine"] >= least, x["b"]))
 
 
-def own_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
-    """``file_key, license, cosine`` of the files (file_key, text) with a licence of their own: the
+def own_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COSINE, key: tuple[str, ...] = ("file_key",)) -> DataFrame:
+    """``*key, license, cosine`` of the files (*key, text) with a licence of their own: the
     highest cosine of a line or paragraph; ties go to the first template. Null and empty texts have none."""
     idf, vectors, unknown = _vectors(templates)
     anchors = f"(?<!{SPARK_LETTER})(?:" + "|".join(re.escape(a).replace("\\-", "-") for a in anchor_terms(vectors, least)) + f")(?!{SPARK_LETTER})"
     text = F.lower("text")
     paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.instr(F.trim(p), "\n") > 0)
     units = (files.where(text.rlike(anchors))
-             .select("file_key", F.explode(F.concat(F.split(text, "\n"), paragraphs)).alias("words"))
+             .select(*key, F.explode(F.concat(F.split(text, "\n"), paragraphs)).alias("words"))
              .where(F.col("words").rlike(anchors)))
     names = F.array(*[F.lit(name) for name, _ in templates])
-    return (units.select("file_key", _best(F.col("words"), idf, vectors, unknown, least).alias("best"))
-            .groupBy("file_key").agg(F.max("best").alias("best")).where(F.col("best").isNotNull())
-            .select("file_key", names[-F.col("best.t")].alias("license"), F.col("best.cosine").alias("cosine")))
+    return (units.select(*key, _best(F.col("words"), idf, vectors, unknown, least).alias("best"))
+            .groupBy(*key).agg(F.max("best").alias("best")).where(F.col("best").isNotNull())
+            .select(*key, names[-F.col("best.t")].alias("license"), F.col("best.cosine").alias("cosine")))
 
 
 def ancestors(path: Column) -> Column:
@@ -165,11 +165,14 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = LEAST_COSINE) ->
 
     A file without a licence inherits the nearest directory's; a directory with several licence
     files has that of the highest cosine, then of the smallest key. Null paths have no directory and inherit
-    nothing; rows with the same key are one file and share its licence; other columns are not read.
+    nothing; rows with the same key are one file and share its licence, rows without a key are told apart by path and
+    text, and ``license_from`` is null where the stating file has no key; other columns are not read.
     """
-    own = own_licenses(files.select("file_key", "text"), templates, least)
-    paths = files.select("file_key", "path")
-    stated = paths.join(own, "file_key", "left")
+    named = F.xxhash64("path", "text"), F.col("file_key").isNull()
+    files = files.select("file_key", "path", "text", F.coalesce("file_key", named[0]).alias("own_key"), named[1].alias("unnamed"))
+    own = own_licenses(files.select("own_key", "unnamed", "text"), templates, least, ("own_key", "unnamed"))
+    stated = files.drop("text").join(own, ["own_key", "unnamed"], "left")
+    paths = files.select("path")
     name = F.element_at(F.split("path", "/"), -1)
     directory = F.element_at(ancestors(F.col("path")), 1)
     holders = (stated.where(F.col("license").isNotNull() & name.isin(LICENSE_FILES))
