@@ -34,24 +34,16 @@ BLOCK = 128
 @cache
 def class_table() -> np.ndarray:
     """Class of each code point. The letters and numbers are asked of the tokenizer
-    library, whose Unicode version differs from Python's; without it Python's count."""
+    library, whose Unicode version differs from Python's; without it there is no answer that is right."""
+    import tiktoken
+
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     every = "".join(map(chr, points))
     table = np.full(0x110000, OTHER, np.uint8)
-    try:
-        import tiktoken
-
-        single = {bytes([i]): i for i in range(256)}
-        for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
-            probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single, special_tokens={})
-            table[[ord(c) for c in probe.decode(probe.encode_ordinary(every))]] = kind
-    except ImportError:
-        import unicodedata
-
-        for c in points:
-            major = unicodedata.category(chr(c))[0]
-            table[c] = {"L": LETTER, "N": NUMBER}.get(major, OTHER)
-        table[[9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
+    single = {bytes([i]): i for i in range(256)}
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        table[[ord(c) for c in probe.decode(probe.encode_ordinary(every))]] = kind
     table[0x20] = SPACE
     return table
 
