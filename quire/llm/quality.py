@@ -5,8 +5,9 @@ repeated lines, words inside repeated three-word windows. Fixed cutoffs are repl
 by fences around the quartiles of a document's own language and source. Quantiles
 come from log-binned sketches (relative error ``ACCURACY``): bin counts, which merge by
 addition, so a hot source is summed per task before anything is shuffled, and
-the same rows always give the same thresholds. Small groups take the thresholds of
-their language, small languages those of all documents; those sketches are
+the same rows always give the same thresholds. A group's sketch is blended with its
+language's, as if it had ``PRIOR_ROWS`` more documents spread like those, and a language's in the same way
+with that of all documents, so that no size is a border; the wider sketches are
 the groups' sketches merged. The verdict is a join of documents with thresholds.
 Python in Arrow batches for the counts only (a window repeated in one text is
 a per-row sort); everything after is column expressions.
@@ -32,8 +33,8 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: Relative error of a sketch's quantiles.
 ACCURACY = 0.01
-#: Rows below which a group takes the thresholds of the wider group.
-LEAST_ROWS = 100
+#: Weight of the wider group's sketch, in rows.
+PRIOR_ROWS = 100
 #: Quartile distances beyond a quartile that are still kept.
 FENCE = 3.0
 #: Least quartile distance by feature, so that groups of near-equal documents keep theirs.
@@ -128,22 +129,37 @@ _ORIGIN = 2000
 
 
 def _quantile(q: float):
-    """Smallest bin that reaches the share ``q``, as its middle value."""
+    """Smallest bin that reaches the share ``q`` (but for rounding of the weights), as its middle value."""
     g = (1 + ACCURACY) / (1 - ACCURACY)
-    at = F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), F.col("bin")))
+    at = F.min(F.when(F.col("upto") >= F.col("rows") * (q - 1e-9), F.col("bin")))
     return F.when(at == 0, F.lit(0.0)).otherwise(2 * F.pow(F.lit(g), at - _ORIGIN) / (g + 1))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """``*by, rows, cuts``: per feature the lowest and highest value that is kept. The
+def blended(sketch: DataFrame, wider: DataFrame, by: list[str], of: list[str]) -> DataFrame:
+    """The sketches of ``by`` with ``PRIOR_ROWS`` rows more that are spread like the ``wider`` sketch, that of the columns ``of``."""
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*of, "feature"))
+    prior = wider.select(*[F.col(c).alias(f"of_{c}") for c in of], F.col("feature").alias("f"), "bin", (share * PRIOR_ROWS).alias("n"))
+    same = F.col("feature") == F.col("f")
+    for c in of:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    added = sketch.select(*by, "feature").distinct().join(prior, same).select(*by, "feature", "bin", "n")
+    return sketch.select(*by, "feature", "bin", F.col("n").cast("double").alias("n")).unionByName(added).groupBy(*by, "feature", "bin").agg(F.sum("n").alias("n"))
+
+
+def fences(by_group: DataFrame) -> DataFrame:
+    """``lang, source, cuts`` of the sketches of all groups: per feature the lowest and highest value that is kept. The
     window runs over the bins of one sketch, whose number the accuracy bounds."""
+    by_lang = by_group.groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n"))
+    overall = by_lang.groupBy("feature", "bin").agg(F.sum("n").alias("n"))
+    by = ["lang", "source"]
+    sketch = blended(by_group, blended(by_lang, overall, ["lang"], []), by, ["lang"])
     one = Window.partitionBy(*by, "feature")
     spread = F.create_map(*[x for k, v in SPREAD.items() for x in (F.lit(k), F.lit(v))])
     reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("feature")])
     return (sketch.withColumn("upto", F.sum("n").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("rows", F.sum("n").over(one))
-            .groupBy(*by, "feature", "rows").agg(_quantile(0.25).alias("q1"), _quantile(0.75).alias("q3"))
-            .groupBy(*by, "rows")
+            .groupBy(*by, "feature").agg(_quantile(0.25).alias("q1"), _quantile(0.75).alias("q3"))
+            .groupBy(*by)
             .agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct((F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))))).alias("cuts")))
 
 
@@ -159,17 +175,7 @@ def judge(docs: DataFrame) -> DataFrame:
     measures = _measures()
     features(docs).withColumns(measures).write.parquet(path)
     measured = spark.read.parquet(path)
-    by_group = sketches(measured, ["lang", "source"])
-    by_lang = by_group.groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n"))
-    overall = by_group.groupBy("feature", "bin").agg(F.sum("n").alias("n")).withColumn("every", F.lit(1))
-    group = fences(by_group, ["lang", "source"])
-    lang = fences(by_lang, ["lang"]).select(F.col("lang").alias("l"), F.col("rows").alias("l_rows"), F.col("cuts").alias("l_cuts"))
-    total = fences(overall, ["every"])
-    every = total.select("cuts").scalar()
-    cuts = (group.join(lang, group["lang"].eqNullSafe(lang["l"]), "left").withColumn("all_cuts", every)
-            .select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
-                    F.when(F.col("rows") >= LEAST_ROWS, F.col("cuts"))
-                    .when(F.col("l_rows") >= LEAST_ROWS, F.col("l_cuts")).otherwise(F.col("all_cuts")).alias("cuts")))
+    cuts = fences(sketches(measured, ["lang", "source"])).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "cuts")
     inside = F.lit(True)
     for k in SPREAD:
         cut = F.col("cuts")[k]
