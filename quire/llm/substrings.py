@@ -11,8 +11,8 @@ of words.
    smallest document of each is known exactly.
 3. Removed ranges go back to their documents, where covered words are dropped.
 
-A minimiser with more than ``HOT_RUNS`` documents (a passage or group of copies that very
-many share) would make a bucket too large for one task. Its windows are spread by
+A minimiser with more than ``HOT_WINDOWS`` windows (a passage or group of copies that very many
+share, or a long periodic text) would make a bucket too large for one task. Its windows are spread by
 their own 128-bit digests instead and take the smallest document by a partially
 aggregated minimum, and a join that splits hot keys: the same windows by another key.
 Both joins with the documents use the same hash partitioning by ``doc_id``, so the texts
@@ -35,10 +35,10 @@ from quire.session import scratch_path
 #: Words of a window, and of the grams whose smallest hash places it.
 WINDOW = 50
 GRAM = 8
-#: Documents of a minimiser from which on its windows are spread one by one.
-HOT_RUNS = 4000
-#: Bytes of packed runs sorted together inside a task (never less than a whole bucket).
-SORT_BYTES = 1 << 20
+#: Windows of a minimiser from which on they are spread one by one: some 20 MB of windows are sorted together at most.
+HOT_WINDOWS = 1 << 16
+#: Windows of one run that are cut out at a time.
+CUT = 4096
 
 
 def _runs(words: list[list[bytes]], window: int, gram: int):
@@ -71,19 +71,20 @@ def _runs(words: list[list[bytes]], window: int, gram: int):
 
 
 def minimisers(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Distinct ``minimiser, doc_id`` of each row."""
+    """``minimiser, doc_id, windows`` of each row: how many of its windows have the minimiser."""
 
     def rows(batches):
         for batch in batches:
             ids, texts = np.asarray(batch.column(0)), text_bytes(batch.column(1))
             for a, b in row_slices(texts):
-                low, doc, _, _ = _runs([t.split() for t in texts[a:b]], window, gram)
+                low, doc, _, n = _runs([t.split() for t in texts[a:b]], window, gram)
                 order = np.lexsort((low, doc))
-                low, doc = low[order], doc[order]
-                new = np.r_[True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])][:len(low)]
-                yield pa.RecordBatch.from_pydict({"minimiser": pa.array(low[new].view(np.int64)), "doc_id": pa.array(ids[a:b][doc[new]], pa.int64())})
+                low, doc, n = low[order], doc[order], offsets_of(n[order])
+                new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])][:len(low)])
+                windows = n[np.append(new[1:], len(low))] - n[new]
+                yield pa.RecordBatch.from_pydict({"minimiser": pa.array(low[new].view(np.int64)), "doc_id": pa.array(ids[a:b][doc[new]], pa.int64()), "windows": pa.array(windows, pa.int64())})
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(rows, "minimiser bigint, doc_id bigint")
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(rows, "minimiser bigint, doc_id bigint, windows bigint")
 
 
 def _pack(marked: DataFrame, window: int, gram: int) -> DataFrame:
@@ -184,6 +185,11 @@ def _sort_buckets(packed: DataFrame, window: int) -> DataFrame:
     return packed.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(rows, _RANGES)
 
 
+def _window_batch(out) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"digest": pa.array(out[0], pa.binary()), "doc_id": pa.array(out[1], pa.int64()),
+                                       "doc_key": pa.array(out[2], pa.int64()), "first": pa.array(out[3], pa.int32())})
+
+
 def _hot_windows(marked: DataFrame, window: int, gram: int) -> DataFrame:
     """``digest, doc_id, doc_key, first`` of each window whose minimiser is in ``hot``."""
 
@@ -198,11 +204,17 @@ def _hot_windows(marked: DataFrame, window: int, gram: int) -> DataFrame:
                 out = ([], [], [], [])
                 for low, doc, at, n in zip(*(x.tolist() for x in _signed(_runs(words, window, gram)))):
                     if low in wanted[a + doc]:
-                        for k, w in enumerate(_window_slices(b" ".join(words[doc][at:at + n + window - 1]), window)):
-                            for column, value in zip(out, (hashlib.blake2b(w, digest_size=16).digest(), ids[a + doc], keys[a + doc], at + k)):
-                                column.append(value)
-                yield pa.RecordBatch.from_pydict({"digest": pa.array(out[0], pa.binary()), "doc_id": pa.array(out[1], pa.int64()),
-                                                  "doc_key": pa.array(out[2], pa.int64()), "first": pa.array(out[3], pa.int32())})
+                        for k in range(0, n, CUT):  # a run may be as long as its text
+                            for w in _window_slices(b" ".join(words[doc][at + k:at + min(n, k + CUT) + window - 1]), window):
+                                out[0].append(hashlib.blake2b(w, digest_size=16).digest())
+                            size = min(n, k + CUT) - k
+                            out[1].extend([ids[a + doc]] * size)
+                            out[2].extend([keys[a + doc]] * size)
+                            out[3].extend(range(at + k, at + k + size))
+                            if len(out[0]) >= 8 * CUT:
+                                yield _window_batch(out)
+                                out = ([], [], [], [])
+                yield _window_batch(out)
 
     return marked.select("doc_id", "doc_key", "text", "hot").mapInArrow(rows, "digest binary, doc_id bigint, doc_key bigint, first int")
 
@@ -234,7 +246,7 @@ def _drop_ranges(joined: DataFrame, window: int, with_text: bool) -> DataFrame:
     return joined.select("doc_id", "doc_key", "text", "ranges").mapInArrow(rows, schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_windows: int = HOT_WINDOWS, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): words, words removed and a digest of the
     rest (``with_text``: the rest itself, joined by blanks).
 
@@ -248,8 +260,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
     light_path, shared_path = scratch_path(spark, "minimisers"), scratch_path(spark, "shared-minimisers")
     minimisers(keyed, window, gram).write.parquet(light_path)
     light = spark.read.parquet(light_path)
-    (light.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-     .where("a < b").select("minimiser", (F.col("n") > hot_runs).alias("is_hot")).write.parquet(shared_path))
+    (light.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("windows").alias("n"))
+     .where("a < b").select("minimiser", (F.col("n") > hot_windows).alias("is_hot")).write.parquet(shared_path))
     shared = spark.read.parquet(shared_path)
     lists = (light.join(shared, "minimiser").groupBy("doc_id")
              .agg(F.collect_set(F.when(~F.col("is_hot"), F.col("minimiser"))).alias("cold"),
