@@ -188,10 +188,10 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     valued = blocks.join(stretches.select("conv_id", "stretch").join(value, "conv_id"), ["conv_id", "stretch"])
     passed = rolled_up(valued, "sum(until) AS until, sum(leaf) AS n_leaves, min_by(until, conv_id) AS least_until").select(*NODE, "until", "n_leaves", "least_until")
     ends = blocks.groupBy("conv_id").agg(F.sum("size").alias("depth"), F.expr("bit_xor(xa)").alias("ka"), F.expr("bit_xor(xb)").alias("kb"))
-    root = counted.where("depth = 0").select(F.col("conv_id").alias("root_id"))  # one row
+    root = counted.where("depth = 0").select(F.col("depth").alias("up"), F.col("conv_id").alias("root_id"))  # one row
     parents = counted.select(F.col("depth").alias("up"), F.col("ka").alias("qa"), F.col("kb").alias("qb"), F.col("conv_id").alias("up_id")).where("depth > 0")
     out = counted.join(passed, NODE).join(ends_digests(ends), NODE, "left")
-    out = out.withColumn("up", F.col("depth") - 1).join(parents, ["up", "qa", "qb"], "left").join(F.broadcast(root), F.col("depth") == 1, "left")
+    out = out.withColumn("up", F.col("depth") - 1).join(parents, ["up", "qa", "qb"], "left").join(F.broadcast(root), "up", "left")
     saved = F.col("until") - F.col("least_until") - (F.col("n_convs") - 1) * F.col("ahead")
     return out.select("conv_id", "depth", F.coalesce("up_id", "root_id").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", saved.alias("saved_tokens"),
                       F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"))
