@@ -349,9 +349,9 @@ def test_pii_fit_learns_the_checks_and_redaction(spark, none):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     model = pii.fit(df)
     assert model.trees and "card" in model.thresholds
-    more = spark.createDataFrame([(1, f"a {card(900)} {card(901)} b", 7, "keep"), (2, None, None, None)], "doc_id bigint, text string, start bigint, spans_ string")
+    more = spark.createDataFrame([(1, f"a {card(900)} {card(901)} b", 7, "keep"), (2, None, None, None)], "doc_id bigint, text string, start bigint, spans string")
     out = pii.redact(pii.detect(more, model)).collect()
-    assert [(r.text, r.start, r.spans_) for r in out] == [("a [CARD] [CARD] b", 7, "keep"), (None, None, None)]
+    assert [(r.text, r.start, r.spans) for r in out] == [("a [CARD] [CARD] b", 7, "keep"), (None, None, None)]
     assert pii.fit(none.select("text")).trees == [] and pii.detect(none.select("text")).collect() == []
 
 
@@ -614,9 +614,10 @@ def test_sketch_quantiles_are_within_their_error_and_merge(spark):
     rng = np.random.default_rng(4)
     values = rng.lognormal(-2, 1, 4000).tolist() + [0.0] * 500
     df = spark.createDataFrame([("g" if k % 3 else None, v, 0.0, v, 4.0 + v) for k, v in enumerate(values)], "lang string, symbols double, repeats double, dup_lines double, word_length double")
-    whole = q.fences(q.sketches(df.withColumn("lang", F.lit("x")), ["lang"]), ["lang"]).first()
-    merged = q.sketches(df, ["lang"]).groupBy("feature", "bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("x"))
-    assert q.fences(merged, ["lang"]).first().cuts == whole.cuts
+    one = {"lang": F.lit("x"), "source": F.lit("y")}
+    whole = q.fences(q.sketches(df.withColumns(one), ["lang", "source"])).first()
+    merged = q.sketches(df, ["lang"]).groupBy("feature", "bin").agg(F.sum("n").alias("n")).withColumns(one)
+    assert q.fences(merged).first().cuts == whole.cuts
     low, high = np.quantile(values, [0.25, 0.75], method="inverted_cdf")
     cut = whole.cuts["symbols"]
     for exact, found in ((low - q.FENCE * max(high - low, 0.02), cut.low), (high + q.FENCE * max(high - low, 0.02), cut.high)):
@@ -634,6 +635,73 @@ def test_quality_of_no_rows_and_adaptive_cut(spark, none):
     assert got[400] is False and sum(got.values()) == 400  # usual in one source, an outlier in the other
 
 
+def _verdicts(rows):
+    """``kept`` by plain loops: blended bins, quartiles, fences."""
+    from quire.llm import quality as q
+
+    log_g = math.log((1 + q.ACCURACY) / (1 - q.ACCURACY))
+    docs = []
+    for i, t, lang, source, *_ in rows:
+        n, chars, symbols, dup, again = _counts(t)
+        lines = sum(bool(BLANKS.search(x)) for x in (t or "").split("\n"))
+        values = {"symbols": symbols / chars if chars else 0.0, "repeats": again / n if n else 0.0, "dup_lines": dup / lines if lines else 0.0, "word_length": chars / n if n else 0.0}
+        docs.append((i, lang, source, values, n < 50 or 100 * again > 50 * n))
+    bins = {k: [0 if d[3][k] <= 0 else math.ceil(math.log(d[3][k]) / log_g) + q._ORIGIN for d in docs] for k in q.SPREAD}
+
+    def spread(k, keys, wider):
+        """Weights by bin of each key, with the wider key's shares."""
+        out = collections.defaultdict(lambda: collections.defaultdict(float))
+        for key, b in zip(keys, bins[k]):
+            out[key][b] += 1
+        for key in list(out):
+            more = wider(key)
+            for b, w in more.items():
+                out[key][b] += q.PRIOR_ROWS * w / sum(more.values())
+        return out
+
+    def at(weights, share):
+        total = 0.0
+        for b in sorted(weights):
+            total += weights[b]
+            if total >= sum(weights.values()) * (share - 1e-9):
+                return 0.0 if b == 0 else 2 * math.exp(log_g * (b - q._ORIGIN)) / (math.exp(log_g) + 1)
+
+    cuts = {}
+    for k in q.SPREAD:
+        every = collections.Counter(bins[k])
+        lang = spread(k, [d[1] for d in docs], lambda _: every)
+        for key, weights in spread(k, [d[1:3] for d in docs], lambda key: lang[key[0]]).items():
+            q1, q3 = at(weights, 0.25), at(weights, 0.75)
+            reach = q.FENCE * max(q3 - q1, q.SPREAD[k])
+            cuts[key, k] = (q1 - reach, q3 + reach)
+    return [(i, not failed and all(cuts[(lang, source), k][0] <= v <= cuts[(lang, source), k][1] for k, v in values.items())) for i, lang, source, values, failed in docs]
+
+
+def test_quality_verdicts_equal_brute_force(spark, docs, rows):
+    from quire.llm.quality import judge
+
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in range(3000)]
+    more = [(1000 + i, " ".join(rng.choice(words, 70)) + " #$" * int(rng.integers(0, 30) * (i % 9 == 0)), "en", f"s{i % 2}", 1) for i in range(300)]
+    df = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(more, SCHEMA).select("doc_id", "text", "lang", "source"))
+    want = _verdicts([*rows, *more])
+    _same([(r.doc_id, r.kept) for r in judge(df).collect()], want)
+    assert 20 < sum(k for _, k in want) < len(want) - 20
+
+
+def test_quality_fences_move_smoothly_with_the_size_of_a_group(spark):
+    from quire.llm import quality as q
+
+    def high(n):
+        rows = [("en", "wide", "symbols", 1900 + k % 60, 20) for k in range(60)] + [("en", "small", "symbols", 1700 + k % 3, 1) for k in range(n)]
+        rows = [(a, b, f, c, d) for a, b, _, c, d in rows for f in q.SPREAD]
+        sketch = spark.createDataFrame(rows, "lang string, source string, feature string, bin int, n bigint").groupBy("lang", "source", "feature", "bin").sum("n").withColumnRenamed("sum(n)", "n")
+        return q.fences(sketch).where("source = 'small'").first().cuts["symbols"].high
+
+    at = [high(n) for n in (99, 100, 101)]
+    assert max(at) - min(at) < 0.05 * min(at)
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 def _remove(rows, window=50):
@@ -652,13 +720,13 @@ def _remove(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [4000, 3, 0])
+@pytest.mark.parametrize("hot", [1 << 16, 300, 0])
 def test_substring_dedup_equals_brute_force(docs, rows, hot):
     from quire.llm.substrings import remove_repeats
 
     want = _remove([(i, t) for i, t, *_ in rows])
     assert sum(r[2] for r in want) > 1000
-    _same(remove_repeats(docs, hot_runs=hot).collect(), want)
+    _same(remove_repeats(docs, hot_windows=hot).collect(), want)
 
 
 def test_substring_dedup_kept_text_and_no_rows(spark, none):
