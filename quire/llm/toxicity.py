@@ -25,7 +25,7 @@ from quire.llm.batches import offsets_of, row_slices, text_bytes
 from quire.llm.decontaminate import words_of
 
 #: Words of a window, and from one window's start to the next.
-WINDOW, STRIDE = 16, 12
+WINDOW, STRIDE = 16, 8
 #: Hashed embeddings: buckets of words and of character n-grams, and their width; GRU width.
 WORD_BUCKETS, GRAM_BUCKETS, WIDTH, HIDDEN = 1 << 13, 1 << 14, 8, 8
 GRAM_SIZES = (3, 4)
