@@ -112,7 +112,7 @@ def per_token_languages(per_lang: DataFrame) -> DataFrame:
 
 def perplexity_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every token with the global unigram model, then token-weighted
-    perplexity per language and overall (rollup)."""
+    perplexity per language and overall (rollup; ``is_total`` tells the total from a null language)."""
     per_lang = unigram_counts(lm_tokens(spark, sf_dir))
     # ln(N + V + 1) is a scalar subquery: computed once, inlined as a value.
     log_z = (per_lang.groupBy("tok").agg(F.sum("n").alias("n_w"))
@@ -120,8 +120,8 @@ def perplexity_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = per_token_languages(per_lang).select(
         "lang", "n", (F.log(F.col("n_w") + 1) - log_z).alias("logp"))
     g = (scored.rollup("lang")
-         .agg(F.sum("n").alias("n_tokens"), F.sum(-F.col("n") * F.col("logp")).alias("loss")))
-    return g.select("lang", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+         .agg(F.grouping("lang").cast("int").alias("is_total"), F.sum("n").alias("n_tokens"), F.sum(-F.col("n") * F.col("logp")).alias("loss")))
+    return g.select("lang", "is_total", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                     F.round(F.col("loss") / F.col("n_tokens"), 6).alias("mean_loss"),
                     F.round(F.exp(F.col("loss") / F.col("n_tokens")), 4).alias("perplexity"))
 

@@ -460,7 +460,7 @@ def _():
     return X.with_(TOKS, UNI) + """
 , s AS (SELECT uni.lang, uni.n, ln((gw.n_w + 1) / (tot.N + tot.V + 1)) AS logp
         FROM uni JOIN gw ON uni.tok = gw.tok, tot)
-SELECT lang, CAST(sum(n) AS BIGINT) AS n_tokens, round(-sum(n * logp) / sum(n), 6) AS mean_loss,
+SELECT lang, CAST(grouping(lang) AS INTEGER) AS is_total, CAST(sum(n) AS BIGINT) AS n_tokens, round(-sum(n * logp) / sum(n), 6) AS mean_loss,
        round(exp(-sum(n * logp) / sum(n)), 4) AS perplexity
 FROM s GROUP BY ROLLUP (lang)"""
 
@@ -900,6 +900,13 @@ def _():
 SELECT model, prompt_id, temp_idx, text, {X.word_count('text')} AS tok_count, error FROM answers"""
 
 
+@oracle("resumed_generate")
+def _():
+    return "WITH " + GENERATED + f"""
+SELECT model, prompt_id, temp_idx, text, {X.word_count('text')} AS tok_count, error,
+       CAST(CASE WHEN error IS NULL THEN 1 ELSE 3 END AS BIGINT) AS attempts FROM answers"""
+
+
 def _generated_scores() -> str:
     hay = X.strip_think("r.text")
     return GENERATED + ",\n" + X.RULES + f""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import (chat, distill, grading, haystack, inference, lm, losses, metrics,
-                             nearest, packing, quant, splits, student, tokens)
+                             nearest, packing, quant, resumable, splits, student, tokens)
 from quire.sources import files
 from quire.streaming import grader
 
@@ -93,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "lowrank_correction": quant.lowrank_correction,
     # M7 — models
     "batch_generate": inference.batch_generate,
+    "resumed_generate": resumable.resumed_generate,
     "generated_scores": inference.generated_scores,
     "context_scores": inference.context_scores,
     "run_summary": inference.run_summary,

@@ -17,6 +17,7 @@ from quire import tables
 from quire.functions import text as T
 from quire.operators.splits import ranked_prompts
 from quire.session import scratch_path
+from quire.sources.publishing import publish
 
 JSONL_SCHEMA = "text STRING, split STRING"
 
@@ -53,13 +54,13 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def materialize_if_absent(spark: SparkSession, sf_dir: str, path: str | None = None,
                           regenerate: bool = False) -> DataFrame:
-    """Write the calibration set only when the target is absent (or forced), then load it."""
+    """Write the calibration set only when none is published there (or forced), then load it; a folder that a
+    writer left half-way counts as absent."""
     path = path or scratch_path(spark, "calibration-cache")
-    write_jsonl(calibration_examples(spark, sf_dir), path,
-                mode="overwrite" if regenerate else "ignore")
-    # asked for again with nothing to write: the set that is there stays
-    write_jsonl(calibration_examples(spark, sf_dir).limit(0), path, mode="ignore")
-    return _summary(read_jsonl(spark, path))
+    publish(spark, path, lambda folder: write_jsonl(calibration_examples(spark, sf_dir), folder), replace=regenerate)
+    # asked for again: the set that is there stays, and nothing is written
+    there = publish(spark, path, lambda folder: write_jsonl(calibration_examples(spark, sf_dir).limit(0), folder))
+    return _summary(read_jsonl(spark, there))
 
 
 def present_sources(spark: SparkSession, sf_dir: str,
