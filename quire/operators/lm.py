@@ -219,6 +219,8 @@ def nucleus_filter(spark: SparkSession, sf_dir: str, lang: str | None = None) ->
     characters), the running mass over the bucket table (a row per distinct bucket) offsets the running
     mass inside each bucket."""
     bi = _lang_bigrams(spark, sf_dir, lang).withColumn("head", F.left("tok", F.lit(BUCKET_CHARS)))
+    # what the joins below would ask of one branch only is asked of all, so that they share the counted bigrams
+    bi = bi.where(F.col("lang").isNotNull() & F.col("ctx").isNotNull() & F.col("head").isNotNull())
     mass = bi.groupBy("lang", "ctx", "c", "head").agg(F.sum("c").alias("m"))
     # heads of one count, then counts: neither window meets a context's single successors
     by_count = mass.groupBy("lang", "ctx", "c").agg(F.sum("m").alias("mc"))

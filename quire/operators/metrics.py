@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
-from quire.operators.ranking import range_bucket, segmented_lag
+from quire.functions.ranges import PART, in_ranges
+from quire.operators.ranking import segmented_lag
 from quire.session import scratch_path
 from quire.sources import literals as L
 
@@ -143,8 +144,8 @@ def summary_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run change of elapsed time versus the previous run of the same (model, suite)."""
     r = tables.runs(spark, sf_dir).select("run_id", "model", "suite", "elapsed")
-    out = segmented_lag(r, ["model", "suite"], "run_id", "elapsed",
-                        range_bucket(r, "run_id"), "prev_elapsed")
+    parts = in_ranges(r, "model", "suite", "run_id")
+    out = segmented_lag(parts, ["model", "suite"], "run_id", "elapsed", F.col(PART), "prev_elapsed")
     return out.select("run_id", "model", "suite", F.round("elapsed", 6).alias("elapsed"),
                       F.round("prev_elapsed", 6).alias("prev_elapsed"),
                       F.round(F.col("elapsed") - F.col("prev_elapsed"), 6).alias("delta"))

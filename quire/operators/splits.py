@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
-from quire.operators.ranking import range_bucket, seeded_order, split_label, two_level_rank
+from quire.functions.ranges import PART, in_ranges
+from quire.operators.ranking import seeded_order, split_label, two_level_rank
 from quire.sources import literals as L
 
 
@@ -56,8 +57,7 @@ def progress_index(spark: SparkSession, sf_dir: str, spec: str = L.DEFAULT_TEMPE
 def ordered_split(spark: SparkSession, sf_dir: str, ratio: float = L.TRAIN_RATIO) -> DataFrame:
     """Split in prompt order, no shuffle: the valid side is the tail."""
     p = tables.prompts(spark, sf_dir).select("prompt_id")
-    r = two_level_rank(p, range_bucket(p, "prompt_id"), [F.col("prompt_id")],
-                       name="rank", total="n_prompts")
+    r = two_level_rank(in_ranges(p, "prompt_id"), F.col(PART), [F.col("prompt_id")], name="rank", total="n_prompts")
     return r.select("prompt_id", "rank", split_label(F.col("rank"), F.col("n_prompts"), ratio)
                     .alias("split"))
 
