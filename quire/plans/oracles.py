@@ -776,6 +776,15 @@ SELECT scheme, count(*) AS n_vectors,
 FROM s GROUP BY scheme"""
 
 
+@oracle("lowrank_checks")
+def _():
+    return X.with_(X.VECTORS, QV) + """
+, t AS (SELECT CAST(sum(len(v)) AS BIGINT) AS n_values, sum(list_sum(list_transform(err, lambda e: e * e))) AS trace FROM qe WHERE bits = 3)
+SELECT 0 AS rank, n_values, round(trace, 6) AS trace, round(trace / n_values, 9) AS mse, 0.0::DOUBLE AS off_orthonormal FROM t
+UNION ALL
+SELECT (SELECT CAST(max(len(v)) AS INTEGER) FROM vectors), n_values, round(trace, 6), 0.0::DOUBLE, 0.0::DOUBLE FROM t"""
+
+
 @oracle("footprint_by_bits")
 def _():
     return X.with_(X.VECTORS, X.SEGMENTS, POLICY) + f"""
@@ -1081,6 +1090,30 @@ SELECT CAST(count(*) AS BIGINT) AS n_texts, CAST(sum(n) AS BIGINT) AS n_tokens,
        round(exp(sum(loss) / sum(n)), 4) AS perplexity FROM hloss"""
 
 
+@oracle("backoff_perplexity")
+def _():
+    def p(k: int, lower: str) -> str:
+        return f"CASE WHEN n{k} > 0 THEN greatest(coalesce(c{k}, 0) - 0.75, 0) / n{k} + 0.75 * t{k} / n{k} * ({lower}) ELSE {lower} END"
+
+    return "WITH " + HELDOUT.split(",\ndtok AS")[0] + f""",
+wl AS (SELECT s.split, {X.words('lower(d.text)')} AS w FROM documents d JOIN dsplit s USING (doc_id)),
+tg AS (SELECT split, CASE WHEN i > 2 THEN w[i - 2] ELSE '' END AS u, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS v, w[i] AS w
+       FROM (SELECT split, w, unnest(range(1, len(w) + 1)) AS i FROM wl)),
+tc AS (SELECT u, v, w, count(*) FILTER (WHERE split = 'train') AS c3, count(*) FILTER (WHERE split = 'valid') AS asked FROM tg GROUP BY ALL),
+x3 AS (SELECT u, v, sum(c3) AS n3, count(*) AS t3 FROM tc WHERE c3 > 0 GROUP BY ALL),
+c2 AS (SELECT v, w, count(*) AS c2 FROM tc WHERE c3 > 0 GROUP BY ALL),
+x2 AS (SELECT v, sum(c2) AS n2, count(*) AS t2 FROM c2 GROUP BY v),
+c1 AS (SELECT w, count(*) AS c1 FROM c2 GROUP BY w),
+x1 AS (SELECT sum(c1) AS n1, count(*) AS t1 FROM c1),
+j AS (SELECT asked, c3, n3, t3, c2, n2, t2, c1, n1::DOUBLE AS n1, t1 FROM tc LEFT JOIN x3 USING (u, v) LEFT JOIN c2 USING (v, w) LEFT JOIN x2 USING (v) LEFT JOIN c1 USING (w), x1 WHERE asked > 0),
+p1 AS (SELECT *, {p(1, '1.0 / (t1 + 1)')} AS p1 FROM (SELECT * REPLACE (n3::DOUBLE AS n3, n2::DOUBLE AS n2) FROM j)),
+p2 AS (SELECT *, {p(2, 'p1')} AS p2 FROM p1),
+p3 AS (SELECT *, {p(3, 'p2')} AS p3 FROM p2)
+SELECT k AS "order", CAST(sum(asked) AS BIGINT) AS n_tokens, round(sum(-asked * ln(p)) / sum(asked), 6) AS mean_loss,
+       round(exp(sum(-asked * ln(p)) / sum(asked)), 3) AS perplexity
+FROM (SELECT asked, unnest([1, 2, 3]) AS k, unnest([p1, p2, p3]) AS p FROM p3) GROUP BY k"""
+
+
 @oracle("run_summary")
 def _():
     return "WITH " + ",\n".join([_generated_scores(), _context_answers(), X.RUNS, HELDOUT]) + f""",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.operators import (chat, distill, grading, haystack, inference, lm, losses, metrics,
+from quire.operators import (backoff, chat, distill, grading, haystack, inference, lm, losses, lowrank, metrics,
                              nearest, packing, quant, resumable, splits, student, tokens)
 from quire.sources import files
 from quire.streaming import grader
@@ -66,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "kl_unigram": lm.kl_unigram,
     "heldout_text_perplexity": lm.heldout_text_perplexity,
     "heldout_perplexity": lm.heldout_perplexity,
+    "backoff_perplexity": backoff.backoff_perplexity,
     # M4 — losses
     "softmax_rows": losses.softmax_rows,
     "ce_logits": losses.ce_logits,
@@ -91,6 +92,8 @@ QUERIES: dict[str, Query] = {
     "unpack_codes": packing.unpack_codes,
     "packed_footprint": packing.packed_footprint,
     "lowrank_correction": quant.lowrank_correction,
+    "lowrank_factors": lowrank.lowrank_factors,
+    "lowrank_checks": lowrank.lowrank_checks,
     # M7 — models
     "batch_generate": inference.batch_generate,
     "resumed_generate": resumable.resumed_generate,
@@ -107,4 +110,4 @@ QUERIES: dict[str, Query] = {
 }
 
 # Queries whose result is checked by row count only (file sizes, numpy kernels).
-ROWS_ONLY: set[str] = {"storage_footprint", "lowrank_correction"}
+ROWS_ONLY: set[str] = {"storage_footprint", "lowrank_correction", "lowrank_factors"}
