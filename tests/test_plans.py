@@ -91,6 +91,21 @@ def test_tokens_are_counted_once(spark, name):
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_top_p_tokenises_once(spark, no_broadcast):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # reuse shows in the first plan
+    try:
+        p = QUERIES["nucleus_filter"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert p.count("regexp_extract_all") == 1 and p.count("ReusedExchange") >= 2
+
+
+def test_needle_search_maps_candidates_before_texts_move(spark, no_broadcast):
+    """The scan of the verified texts asks the map of candidate ids below its exchange."""
+    p = QUERIES["needle_find"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Filter.*getbit", p)
+
+
 def test_buckets_follow_rows_not_the_key_range(spark):
     """One outlier and a third of the rows at close keys: no bucket holds more than a few percent."""
     from pyspark.sql import functions as F
