@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.batches import list_array, mix64, offsets_of, row_slices, text_bytes
+from quire.llm.batches import list_array, mix64, offsets_of, text_slices
 from quire.llm.components import by_shuffle, components
 from quire.session import scratch_path
 
@@ -86,9 +86,8 @@ def shingle_sets(words: list[list[bytes]], size: int = SHINGLE):
 
 
 def _chunks(batch, column: int):
-    texts = text_bytes(batch.column(column))
-    for a, b in row_slices(texts):
-        yield a, b, *shingle_sets([t.lower().split() for t in texts[a:b]])
+    for a, b, texts in text_slices(batch.column(column)):
+        yield a, b, *shingle_sets([t.lower().split() for t in texts])
 
 
 def usage_sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +102,7 @@ def usage_sketch(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.zeros(n_sizes, np.uint32)
         for batch in batches:
             for _, _, sets, at in _chunks(batch, 0):
-                counts += np.bincount((sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(counts, (sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
                 n = np.diff(at)
                 sizes += np.bincount(n[n < n_sizes], minlength=n_sizes).astype(np.uint32)
         chunks = counts.reshape(-1, _CHUNK)
@@ -180,12 +179,12 @@ def signatures(docs: DataFrame, classes: np.ndarray, boundary: int) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def rows(batches):
-        classes = shared.value.astype(np.uint64)
+        classes = shared.value
         for batch in batches:
             for a, b, sets, at in _chunks(batch, 1):
                 n = np.diff(at)
                 doc = np.repeat(np.arange(b - a), n)
-                value = (classes[(sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56)) | (sets & np.uint64((1 << 56) - 1))
+                value = (classes[(sets >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (sets & np.uint64((1 << 56) - 1))
                 value = value[np.lexsort((value, doc))]
                 listed = (n > 0) & ((n > boundary) | (100 * n // PERCENT > boundary))
                 size = np.where(listed, prefix_size(n), 0)
@@ -242,10 +241,11 @@ def wanted_map(ids: DataFrame) -> np.ndarray:
     """A map of fixed size with the bit of every id of ``ids (id)`` set, joined from the tasks' maps by chunk."""
 
     def bits(batches):
-        seen = np.zeros(1 << WANTED_BITS, bool)
+        seen = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
         for batch in batches:
-            seen[_spread_id(batch.column(0).to_numpy())] = True
-        chunks = np.packbits(seen).reshape(-1, _CHUNK)
+            at = _spread_id(batch.column(0).to_numpy())
+            np.bitwise_or.at(seen, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        chunks = seen.reshape(-1, _CHUNK)
         used = np.flatnonzero(chunks.any(axis=1))
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(used.tolist(), pa.int32()), "bits": pa.array([chunks[c].tobytes() for c in used], pa.binary())})
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.batches import offsets_of, row_slices, text_bytes
+from quire.llm.batches import offsets_of, text_slices
 from quire.llm.decontaminate import words_of
 
 #: Words of a window, and from one window's start to the next.
@@ -34,7 +34,7 @@ GRAM_SIZES = (3, 4)
 SAMPLE_ROWS, SAMPLE_BYTES, STEPS, STEP_TEXTS, STEP_WINDOWS = 1500, 1 << 16, 400, 24, 30
 RATE, SEED = 0.015, 11
 #: Words whose gate inputs a task keeps; a full store is emptied (results don't change).
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 #: Windows that go through the network together.
 LOT = 2048
 
@@ -208,7 +208,7 @@ class Scorer:
 
     def clear(self):
         self.ids: dict[bytes, int] = {}
-        self.gates = [np.zeros((0, 3 * HIDDEN), np.float32) for _ in (0, 1)]
+        self.gates = [np.zeros((KEPT_WORDS, 3 * HIDDEN), np.float32) for _ in (0, 1)]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if len(self.ids) > KEPT_WORDS:
@@ -220,7 +220,11 @@ class Scorer:
         if len(ids) > before:
             new = list(ids)[before:]
             x = self.net.inputs(*word_buckets(new))
-            self.gates = [np.concatenate([self.gates[d], self.net.gates(x, d)]) for d in (0, 1)]
+            for d in (0, 1):
+                if len(ids) > len(self.gates[d]):
+                    more = max(len(ids) - len(self.gates[d]), KEPT_WORDS)
+                    self.gates[d] = np.concatenate([self.gates[d], np.zeros((more, 3 * HIDDEN), np.float32)])
+                self.gates[d][before:len(ids)] = self.net.gates(x, d)
         lengths = np.array([len(w) for w in words], np.int64)
         base = offsets_of(lengths)
         starts = [window_starts(n) for n in lengths.tolist()]
@@ -272,8 +276,7 @@ def score(docs: DataFrame, net: Network, empty: float, column: str = "score") ->
     def rows(batches):
         scorer = Scorer(*shared.value)
         for batch in batches:
-            texts = text_bytes(batch.column(text))
-            found = [scorer.scores(texts[a:b]) for a, b in row_slices(texts)]
+            found = [scorer.scores(texts) for _, _, texts in text_slices(batch.column(text))]
             scores = pa.array(np.concatenate(found) if found else [], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, "score"])
 
