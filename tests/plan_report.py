@@ -20,7 +20,7 @@ EAGER = {"jsonl_roundtrip": "writes + reads JSONL", "materialize_if_absent": "wr
          "result_json": "writes + reads result documents",
          "stream_suite_score": "runs a streaming query, reads its sink",
          "lowrank_correction": "partial Gram job, d×d eigenvectors on the driver",
-         "result_json_filtered": "writes + reads metrics", "ordered_split": "quantile boundaries", "run_delta": "quantile boundaries"}
+         "result_json_filtered": "writes + reads metrics", "ordered_split": "writes ranges", "run_delta": "writes ranges"}
 
 
 def plan_text(df) -> str:
