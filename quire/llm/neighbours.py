@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.batches import list_array, offsets_of
+from quire.llm.components import by_shuffle
 from quire.llm.hard_negatives import finite_vector
 from quire.session import scratch_path
 
@@ -214,7 +215,7 @@ def first_graph(codes: DataFrame, n: int, degree: int) -> DataFrame:
         found = near if found is None else found.unionByName(near)
     both = found.groupBy("node").agg(F.max("cell").alias("cell"), F.flatten(F.collect_list("near")).alias("found"), F.flatten(F.collect_list("score")).alias("found_score"))
     none = [F.array().cast("array<long>").alias("near"), F.array().cast("array<double>").alias("score")]
-    return codes.join(both, "node").select("node", "cell", "code", "scale", "extra", *none, "found", "found_score").mapInArrow(_merge(degree), GRAPH)
+    return codes.join(by_shuffle(both), "node").select("node", "cell", "code", "scale", "extra", *none, "found", "found_score").mapInArrow(_merge(degree), GRAPH)
 
 
 def improved(graph: DataFrame, degree: int, step: int) -> DataFrame:
@@ -225,19 +226,19 @@ def improved(graph: DataFrame, degree: int, step: int) -> DataFrame:
     back = (pointed.withColumn("place", F.row_number().over(sample)).where(F.col("place") <= degree // 2)
             .groupBy("node").agg(F.collect_list("id").alias("back"), F.collect_list("fresh").alias("back_fresh")))
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
-    met = (graph.select("node", "cell", "near", "fresh").join(back, "node", "left")
+    met = (graph.select("node", "cell", "near", "fresh").join(by_shuffle(back), "node", "left")
            .select("cell", F.concat("near", none("back", "long")).alias("met"), F.concat("fresh", none("back_fresh", "boolean")).alias("met_fresh"))
            .where(F.exists("met_fresh", lambda x: x)))
     met = _written(met, f"met{step}")
     needed = met.select(F.col("cell").alias("to"), F.explode("met").alias("id")).distinct()
     worst = F.when(F.size("score") < degree, F.lit(float("-inf"))).otherwise(F.element_at("score", -1))
     codes = graph.select(F.col("node").alias("id"), "code", "scale", "extra", worst.alias("worst"))
-    sent = needed.join(codes, "id").select("to", "id", "code", "scale", "extra", "worst")
+    sent = needed.join(by_shuffle(codes), "id").select("to", "id", "code", "scale", "extra", "worst")
     pairs = met.groupBy("cell").cogroup(sent.groupBy("to")).applyInArrow(_introduce(degree), "node long, found long, found_score double")
     best = Window.partitionBy("node").orderBy(F.col("found_score").desc(), "found")
     found = (pairs.withColumn("place", F.dense_rank().over(best)).where(F.col("place") <= degree)
              .groupBy("node").agg(F.collect_list("found").alias("found"), F.collect_list("found_score").alias("found_score")))
-    return graph.drop("fresh").join(found, "node", "left").mapInArrow(_merge(degree), GRAPH)
+    return graph.drop("fresh").join(by_shuffle(found), "node", "left").mapInArrow(_merge(degree), GRAPH)
 
 
 def neighbour_graph(codes: DataFrame, n: int, degree: int) -> DataFrame:
@@ -290,20 +291,20 @@ def search(graph: DataFrame, asking: DataFrame, entries: list[int], degree: int)
     lists = graph.select(F.col("node").alias("id"), "near")
     codes = graph.select(F.col("node").alias("id"), "code", "scale")
     start = F.array(*[F.lit(e).cast("long") for e in entries])
-    now = graph.join(asking, "node", "left_semi").select(
+    now = graph.join(by_shuffle(asking), "node", "left_semi").select(
         "node", F.pmod(F.xxhash64("node"), F.lit(cells)).alias("cell"), "code", "scale", F.array().cast("array<long>").alias("near"),
         F.array().cast("array<double>").alias("score"), F.array().cast("array<boolean>").alias("open"), F.array_distinct(F.concat(F.array("node"), start)).alias("asked"))
     step = 0
     while True:
         now = _written(now, f"search{step}")
         needed = now.select(F.col("cell").alias("to"), F.explode("asked").alias("id")).distinct()
-        sent = needed.join(codes, "id").select("to", "id", "code", "scale")
+        sent = needed.join(by_shuffle(codes), "id").select("to", "id", "code", "scale")
         now = _written(now.groupBy("cell").cogroup(sent.groupBy("to")).applyInArrow(_advance(BEAM * degree), SEARCH), f"found{step}")
         opened = now.select("node", F.explode(F.arrays_zip("near", "open")).alias("e")).where("e.open").select("node", F.col("e.near").alias("id"))
         if opened.isEmpty():
             return now
-        asked = opened.join(lists, "id").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("asked"))
-        now = now.join(asked, "node", "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<long>")))
+        asked = opened.join(by_shuffle(lists), "id").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("asked"))
+        now = now.join(by_shuffle(asked), "node", "left").withColumn("asked", F.coalesce("asked", F.array().cast("array<long>")))
         step += 1
 
 
@@ -320,7 +321,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     members = kept.groupBy("vector", "vec_id").agg(F.lit(1)).withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
     classes = members.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     classes = _written(classes.select(F.monotonically_increasing_id().alias("node"), "vector", "members"), "classes")
-    queries = _written(kept.where("is_query").select(F.col("vec_id").alias("query_id"), "vector").distinct().join(classes.select("vector", "node"), "vector").select("query_id", "node"), "queries")
+    queries = _written(kept.where("is_query").select(F.col("vec_id").alias("query_id"), "vector").distinct().join(by_shuffle(classes.select("vector", "node")), "vector").select("query_id", "node"), "queries")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, c: s + c * c))
     n, width, longest = classes.agg(F.count("*"), F.max(F.size("vector")), F.max(norm)).first()
     degree = _degree(n, k)
@@ -332,12 +333,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     pairs = found.select("node", F.explode(F.slice("near", 1, RESCORE * k + 1)).alias("id"))
     theirs = classes.select(F.col("node").alias("id"), F.col("vector").alias("other"), "members")
     exact = F.aggregate(F.zip_with("vector", "other", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, c: s + c)
-    scored = pairs.join(theirs, "id").join(classes.select("node", "vector"), "node").select("node", "members", exact.alias("score"))
+    scored = pairs.join(by_shuffle(theirs), "id").join(by_shuffle(classes.select("node", "vector")), "node").select("node", "members", exact.alias("score"))
     first = Window.partitionBy("node").orderBy(F.col("score").desc(), "vec_id")
     best = (scored.select("node", "score", F.explode("members").alias("vec_id")).withColumn("place", F.row_number().over(first)).where(F.col("place") <= RESCORE * k + 1)
             .groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best")))
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
-    return (queries.join(best, "node").select("query_id", F.posexplode(others).alias("rank", "b"))
+    return (queries.join(by_shuffle(best), "node").select("query_id", F.posexplode(others).alias("rank", "b"))
             .select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score")))
 
 
