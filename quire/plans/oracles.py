@@ -412,6 +412,26 @@ def _bigrams(lang_filter: str = "") -> str:
 bi AS (SELECT lang, toks[i] AS ctx, toks[i + 1] AS tok, count(*) AS c FROM bi0 GROUP BY ALL)"""
 
 
+def _feistel(x: str) -> str:
+    """One pass of the keyed network over ``x``, rounds unrolled; b1, b2, key are columns."""
+    left, right = f"({x} >> b2)", f"({x} & ((1::BIGINT << b2) - 1))"
+    for k in range(1, 5):
+        mixed = f"((((({right} + key * 7919 + {k}) * 40503) & 4294967295) * 31153 >> 9) & ((1::BIGINT << {'b1' if k % 2 else 'b2'}) - 1))"
+        left, right = right, f"xor({left}, {mixed})"
+    return f"(({left} << b2) | {right})"
+
+
+@oracle("permuted_batch_plan")
+def _():
+    return "WITH RECURSIVE " + ",\n".join([X.PROMPTS, X.TEMPS, X.RANKED]) + f""",
+ex AS (SELECT prompt_id, temp_idx, row_number() OVER (ORDER BY prompt_id, temp_idx) - 1 AS number, count(*) OVER () AS n FROM plan WHERE split = 'train'),
+ep AS (SELECT prompt_id, temp_idx, number, n, CAST(e AS INTEGER) AS epoch, e + 42 AS key, greatest(2, length(bin(greatest(n - 1, 1)))) AS bits FROM ex, range(0, 3) r(e)),
+eb AS (SELECT *, CAST(bits // 2 AS INTEGER) AS b1, CAST(bits - bits // 2 AS INTEGER) AS b2 FROM ep),
+walk AS (SELECT prompt_id, temp_idx, epoch, key, n, b1, b2, {_feistel('number')} AS x FROM eb
+         UNION ALL SELECT prompt_id, temp_idx, epoch, key, n, b1, b2, {_feistel('x')} AS x FROM walk WHERE x >= n)
+SELECT epoch, prompt_id, temp_idx, x AS place, x // 2 AS micro_batch, CAST(epoch * ceil(n / 8.0) + x // 8 AS BIGINT) AS global_step FROM walk WHERE x < n"""
+
+
 @oracle("token_windows")
 def _():
     tid = f"({X.md5_int('w')} % 50000) + 1"

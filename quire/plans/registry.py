@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import (backoff, chat, distill, grading, haystack, inference, lm, losses, lowrank, metrics,
-                             nearest, packing, quant, resumable, splits, student, tokens)
+                             nearest, packing, permute, quant, resumable, splits, student, tokens)
 from quire.sources import files
 from quire.streaming import grader
 
@@ -49,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "split_counts": splits.split_counts,
     "split_leakage": splits.split_leakage,
     "batch_plan": splits.batch_plan,
+    "permuted_batch_plan": permute.permuted_batch_plan,
     "jsonl_roundtrip": files.jsonl_roundtrip,
     "materialize_if_absent": files.materialize_if_absent,
     "present_sources": files.present_sources,
