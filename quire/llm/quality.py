@@ -189,3 +189,52 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
+
+
+def _blend_sql(own: str, wider: str, of: str, by: str) -> str:
+    """The sketches of table ``own`` with PRIOR_ROWS rows spread like the table ``wider`` has them."""
+    same = " AND ".join(["o.feature = s.feature"] + [f"o.{c} IS NOT DISTINCT FROM s.{c}" for c in of.split(", ") if c])
+    keys = ", ".join(x for x in (of, "feature") if x)
+    return f"""SELECT {by}, feature, bin, sum(n) AS n FROM (
+         SELECT {by}, feature, bin, n::DOUBLE AS n FROM {own}
+         UNION ALL
+         SELECT {', '.join('o.' + c for c in by.split(', '))}, o.feature, s.bin, s.share * {PRIOR_ROWS}
+         FROM (SELECT DISTINCT {by}, feature FROM {own}) o
+         JOIN (SELECT *, n / sum(n) OVER (PARTITION BY {keys}) AS share FROM {wider}) s ON {same}) GROUP BY {by}, feature, bin"""
+
+
+def _quantile_sql(q: float) -> str:
+    g = (1 + ACCURACY) / (1 - ACCURACY)
+    at = f"min(bin) FILTER (WHERE upto >= rows * {q - 1e-9!r}::DOUBLE)"
+    return f"CASE WHEN {at} = 0 THEN 0.0 ELSE 2 * pow({g!r}::DOUBLE, {at} - {_ORIGIN}) / ({g!r}::DOUBLE + 1) END"
+
+
+_RATIOS = {"symbols": "n_symbols / word_chars", "repeats": "n_repeat_words / n_words", "dup_lines": "n_dup_lines / n_lines", "word_length": "word_chars / n_words"}
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text,
+       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+       list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT rid, p, array_to_string(w[p:p + 2], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
+again AS (SELECT rid, p FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+covered AS (SELECT rid, count(DISTINCT p + k) AS n FROM again, range(0, 3) r(k) GROUP BY rid),
+c AS (SELECT d.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+       CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines,
+       CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+       FROM d LEFT JOIN covered USING (rid)),
+m AS MATERIALIZED (SELECT *, {', '.join(f'coalesce({r.replace(" / ", "::DOUBLE / nullif(")}, 0), 0.0) AS {k}' for k, r in _RATIOS.items())} FROM c),
+v AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS feature, {k} AS value FROM m" for k in _RATIOS)}),
+gs AS (SELECT lang, source, feature, CASE WHEN value <= 0 THEN 0 ELSE CAST(ceil(ln(value) / {math.log((1 + ACCURACY) / (1 - ACCURACY))!r}::DOUBLE) + {_ORIGIN} AS BIGINT) END AS bin, count(*) AS n FROM v GROUP BY ALL),
+ls AS (SELECT lang, feature, bin, sum(n) AS n FROM gs GROUP BY ALL),
+al AS (SELECT feature, bin, sum(n) AS n FROM gs GROUP BY ALL),
+lb AS ({_blend_sql('ls', 'al', '', 'lang')}),
+gb AS ({_blend_sql('gs', 'lb', 'lang', 'lang, source')}),
+q AS (SELECT lang, source, feature, {_quantile_sql(0.25)} AS q1, {_quantile_sql(0.75)} AS q3 FROM (
+       SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, feature) AS rows FROM gb) GROUP BY lang, source, feature),
+f AS (SELECT lang, source, feature, q1 - reach AS low, q3 + reach AS high FROM (
+       SELECT *, {FENCE} * greatest(q3 - q1, CASE feature {' '.join(f"WHEN '{k}' THEN {x}" for k, x in SPREAD.items())} END) AS reach FROM q)),
+beyond AS (SELECT DISTINCT rid FROM m JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source
+       WHERE {' OR '.join(f"f.feature = '{k}' AND (m.{k} < f.low OR m.{k} > f.high)" for k in _RATIOS)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+       NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND rid NOT IN (SELECT rid FROM beyond) AS kept
+FROM m
+"""

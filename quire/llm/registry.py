@@ -10,7 +10,7 @@ from quire.llm.licenses import op2_license_scan
 from quire.llm.neighbours import op12_nearest_neighbours
 from quire.llm.pii import op4_pii
 from quire.llm.prefix_trie import OP13_SQL, op13_prefix_trie
-from quire.llm.quality import op9_quality_rules
+from quire.llm.quality import OP9_SQL, op9_quality_rules
 from quire.llm.sharding import op1_sharding
 from quire.llm.substrings import OP10_SQL, op10_substring_dedup
 from quire.llm.token_counts import op5_token_counts
@@ -35,6 +35,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op7_jaccard_join": OP7_SQL,
+    "op9_quality_rules": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op13_prefix_trie": OP13_SQL,
