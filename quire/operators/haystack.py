@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quire import tables
 from quire.functions import text as T
 from quire.functions.arrays import let
+from quire.functions.maps import may_be_in
 from quire.session import scratch_path
 from quire.sources import literals as L
 
@@ -162,19 +163,6 @@ def _needle_anchors(needles: DataFrame) -> DataFrame:
     return t.select("item_id", "needle", "k", F.xxhash64("k", parts).alias("h"))
 
 
-def _may_be_in(key: Column, keys: DataFrame) -> Column:
-    """False only for keys that ``keys`` (of one column) doesn't hold: a test against MAP_WORDS longs of hashed bits."""
-    def bit(c):
-        return F.pmod(F.xxhash64(c), F.lit(64 * MAP_WORDS))
-
-    name = keys.columns[0]
-    words = (keys.select(bit(F.col(name)).alias("b")).groupBy(F.expr("b div 64").alias("id"))
-             .agg(F.expr("bit_or(shiftleft(1L, int(b % 64)))").alias("w")))
-    every = keys.sparkSession.range(MAP_WORDS).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("bigint")).alias("w"))
-    bits = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "w"))), lambda x: x["w"]).alias("m")).scalar()
-    return F.getbit(F.element_at(bits, (F.floor(bit(key) / 64) + 1).cast("int")), F.pmod(bit(key), F.lit(64)).cast("int")) == 1
-
-
 def needle_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by all needles: anchors meet by an equi-join, candidates are verified.
 
@@ -189,7 +177,7 @@ def needle_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "needle-candidates")
     anchors.join(needles, "h").select("doc_id", "item_id", "needle").distinct().write.parquet(path)
     found = spark.read.parquet(path)
-    v = (docs.where(_may_be_in(F.col("doc_id"), found.select("doc_id"))).join(found, "doc_id")
+    v = (docs.where(may_be_in(F.col("doc_id"), found.select("doc_id"), MAP_WORDS)).join(found, "doc_id")
          .select("item_id", "doc_id", F.instr(F.col("text"), F.col("needle")).cast("bigint").alias("pos"),
                  F.length("text").alias("len")))
     return (v.where(F.col("pos") > 0)
