@@ -17,12 +17,12 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if b is None else b for b in column.cast(pa.binary()).to_pylist()]
 
 
-def text_slices(column: pa.Array, rows: int = 1024) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Row ranges of a column with their texts' bytes, about ``TEXT_BYTES`` each: no more than that of a
-    batch is held as Python objects at a time."""
+def text_slices(column: pa.Array, rows: int = 256, limit: int = TEXT_BYTES // 4) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of a column with their texts' bytes, at most some ``limit`` each: no more of a batch
+    becomes Python objects at a time."""
     for at in range(0, len(column), rows):
         texts = text_bytes(column.slice(at, rows))
-        for a, b in row_slices(texts):
+        for a, b in row_slices(texts, limit):
             yield at + a, at + b, texts[a:b]
 
 

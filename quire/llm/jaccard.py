@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions.maps import may_be_in
 from quire.llm.batches import list_array, mix64, offsets_of, text_slices
 from quire.llm.components import by_shuffle, components
 from quire.session import scratch_path
@@ -47,8 +48,8 @@ _CHUNK = 4096
 #: Largest light size considered, and the cost of a posting in subset keys.
 MOST_LIGHT = 20
 POSTING_COST = 4.0
-#: Bits of the map that tells tasks which documents a verification may need; of the others no set is shuffled.
-WANTED_BITS = 24
+#: Longs of the map that tells scans which documents a verification may need; the others' texts stay unread by it.
+WANTED_WORDS = 1 << 16
 
 
 def min_overlap(s: int, t: int, percent: int = PERCENT) -> int:
@@ -233,38 +234,6 @@ def _may_link(a: str, b: str):
     return (100 * F.col(n_a) >= PERCENT * F.col(n_b)) & (100 * F.col(n_b) >= PERCENT * F.col(n_a)) & (most >= _need(n_a, n_b))
 
 
-def _spread_id(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
-
-
-def wanted_map(ids: DataFrame) -> np.ndarray:
-    """A map of fixed size with the bit of every id of ``ids (id)`` set, joined from the tasks' maps by chunk."""
-
-    def bits(batches):
-        seen = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
-        for batch in batches:
-            at = _spread_id(batch.column(0).to_numpy())
-            np.bitwise_or.at(seen, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-        chunks = seen.reshape(-1, _CHUNK)
-        used = np.flatnonzero(chunks.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(used.tolist(), pa.int32()), "bits": pa.array([chunks[c].tobytes() for c in used], pa.binary())})
-
-    def joined(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(part, np.uint8)
-                sums[chunk] = sums[chunk] | part if chunk in sums else part
-        if sums:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "bits": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
-
-    schema = "chunk int, bits binary"
-    out = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
-    for chunk, part in ids.mapInArrow(bits, schema).repartition("chunk").mapInArrow(joined, schema).collect():
-        out[chunk * _CHUNK:(chunk + 1) * _CHUNK] = np.frombuffer(part, np.uint8)
-    return out
-
-
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the distinct pairs ``u, v`` whose whole sets link. The map of the ids spares the other documents'
     sets the shuffle; what it lets through by chance finds no pair in the join."""
@@ -272,17 +241,14 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     path = scratch_path(spark, "jaccard-pairs")
     pairs.select("u", "v").write.parquet(path)
     pairs = spark.read.parquet(path)
-    wanted = spark.sparkContext.broadcast(wanted_map(pairs.select(F.explode(F.array("u", "v")).alias("id"))))
+    wanted = may_be_in(F.col("doc_id"), pairs.select(F.explode(F.array("u", "v")).alias("id")), WANTED_WORDS)
 
     def rows(batches):
         for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            at = _spread_id(batch.column(0).to_numpy())
-            batch = batch.filter(pa.array((wanted.value[at >> 3] >> (7 - (at & 7))) & 1 > 0))
             for a, b, sets, at in _chunks(batch, 1):
                 yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(a, b - a), "hashes": list_array(sets.view(np.int64), at, pa.int64())})
 
-    sets = docs.select("doc_id", "text").mapInArrow(rows, "id bigint, hashes array<bigint>")
+    sets = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & wanted).mapInArrow(rows, "id bigint, hashes array<bigint>")
     left = sets.select(F.col("id").alias("u"), F.col("hashes").alias("a"))
     right = sets.select(F.col("id").alias("v"), F.col("hashes").alias("b"))
     both = F.size(F.array_intersect("a", "b"))

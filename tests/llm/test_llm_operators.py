@@ -522,7 +522,7 @@ def test_jaccard_join_equals_all_pairs(spark, docs, rows, monkeypatch):
     want = _linked_components([(i, t) for i, t, *_ in rows])
     _same(j.join_classes(docs).collect(), want)
     monkeypatch.setattr(j, "light_boundary", lambda sizes: 12)  # more sets by subsets
-    monkeypatch.setattr(j, "WANTED_BITS", 15)  # more documents pass the map by chance
+    monkeypatch.setattr(j, "WANTED_WORDS", 1)  # more documents pass the map by chance
     _same(j.join_classes(docs).collect(), want)
 
 
