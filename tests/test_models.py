@@ -103,3 +103,38 @@ def test_lowrank_factors_are_the_best_ones(spark):
     assert abs((rest ** 2).sum() - (exact[4:] ** 2).sum()) < 1e-6 * (r ** 2).sum()
     none = spark.createDataFrame([], "vec_id bigint, r array<double>")
     assert w.right_factor(none, 4)[0].shape == (0, 0)
+
+
+def test_backoff_in_slices_equals_plain_loops(spark, tmp_path, monkeypatch):
+    """Slices add up to the whole model, and none leaves its shuffle files on disk."""
+    from quire.operators import backoff as b
+
+    rng = np.random.default_rng(8)
+    texts = {i: " ".join(rng.choice([*"abcdefgh", "é", "ß"], rng.integers(0, 30)).tolist()) for i in range(120)}
+    rows = [*texts.items(), (500, None), (501, " ")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    side = spark.createDataFrame([(i,) for i, _ in rows], "doc_id bigint")
+    train = {r[0]: r[1] for r in side.select("doc_id", b.train_side(side)).collect()}
+    c, asked = collections.Counter(), collections.Counter()
+    for i, text in texts.items():
+        w = ["", "", *text.split()]
+        (c if train[i] else asked).update(zip(w, w[1:], w[2:]))
+    c2 = collections.Counter((v, w) for _, v, w in c)
+    c1 = collections.Counter(w for _, w in c2)
+    loss = [0.0, 0.0, 0.0]
+    for (u, v, w), n in asked.items():
+        p = 1 / (len(c1) + 1)
+        for k, (own, context) in enumerate([(c1[w], list(c1.values())), (c2[v, w], [x for (a, _), x in c2.items() if a == v]),
+                                            (c[u, v, w], [x for (a, d, _), x in c.items() if (a, d) == (u, v)])]):
+            if context:
+                p = max(own - 0.75, 0) / sum(context) + 0.75 * len(context) / sum(context) * p
+            loss[k] -= n * math.log(p)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    monkeypatch.setattr(b, "SLICE_WORDS", 250)
+    before = files.getAllFiles().size()
+    df = b.backoff_perplexity(spark, str(tmp_path))
+    assert files.getAllFiles().size() <= before
+    got = {r.order: r for r in df.collect()}
+    n = sum(asked.values())
+    assert {r.n_tokens for r in got.values()} == {n}
+    assert all(abs(got[k + 1].mean_loss - loss[k] / n) < 2e-6 for k in range(3))
