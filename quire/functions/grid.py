@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a chunk and questions of a block, in the mean: what one cell of the grid holds in memory.
-CHUNK_ROWS, BLOCK_ROWS = 32_768, 4_096
+CHUNK_ROWS, BLOCK_ROWS = 16_384, 4_096
 
 
 def against_all(rows: DataFrame, asked: DataFrame, key: str, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str,

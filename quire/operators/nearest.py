@@ -9,6 +9,8 @@ that neither a long list nor a copied vector makes one long task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,8 +27,11 @@ QUERY_STEP, TOP, DIGITS = 50, 10, 9
 ROUNDS, PROBED, PART_ROWS = 2, 0.7, 8192
 #: Lists at most: centroids are sent to all tasks (8 MB at 64 dimensions). Beyond it lists grow, and get more parts.
 MOST_LISTS = 16_384
+#: Inner products that a task holds at once: 16 MB of them, and as much again for each step that takes them on.
+TILE = 1 << 21
 FULL = 0  # "bits" of the unquantised vectors
 SCORES = "query_id long, bits int, vec_id long, score double"
+_SCORES = pa.schema([("query_id", pa.int64()), ("bits", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -49,24 +54,32 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _steps(rows: int, width: int) -> Iterator[slice]:
+    """Runs of rows whose products with ``width`` others fit a tile."""
+    step = max(1, TILE // max(1, width))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
 def _best(rows: pa.Table, asked: pa.Table) -> pa.Table:
     """The TOP best rows of each asked vector and width, an id never among its own."""
-    out = {"query_id": [], "bits": [], "vec_id": [], "score": []}
-    if rows.num_rows and asked.num_rows:
-        rows = rows.sort_by("vec_id")
-        ids, own = rows["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
+    ids, own = rows["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
+    found = []
+    if len(ids) and len(own):
+        top = min(TOP, len(ids))
         for bits in (FULL, *L.QUANT_BITS):
-            scores = np.round(_matrix(asked[f"x{bits}"]) @ _matrix(rows[f"x{bits}"]).T, DIGITS)
-            scores[own[:, None] == ids[None, :]] = -np.inf
-            for query, line in zip(own.tolist(), scores, strict=True):
-                at = np.flatnonzero(line >= np.partition(line, -min(TOP, len(line)))[-min(TOP, len(line))])
-                at = at[np.argsort(-line[at], kind="stable")][:TOP]
-                at = at[line[at] > -np.inf]
-                out["query_id"] += [query] * len(at)
-                out["bits"] += [bits] * len(at)
-                out["vec_id"] += ids[at].tolist()
-                out["score"] += line[at].tolist()
-    return pa.table(out, pa.schema([("query_id", pa.int64()), ("bits", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+            x, q = _matrix(rows[f"x{bits}"]), _matrix(asked[f"x{bits}"])
+            best, near = np.full((len(own), top), -np.inf), np.zeros((len(own), top), np.int64)
+            for run in _steps(len(own), len(ids)):
+                scores = q[run] @ x.T
+                np.round(scores, DIGITS, out=scores)
+                scores[own[run, None] == ids[None, :]] = -np.inf
+                for i, line in enumerate(scores, run.start):
+                    at = np.flatnonzero(line >= np.partition(line, -top)[-top])
+                    at = at[np.lexsort((ids[at], -line[at]))][:top]
+                    best[i], near[i] = line[at], ids[at]
+            i, k = np.nonzero(best > -np.inf)
+            found.append(pa.table([own[i], np.full(len(i), bits, np.int32), near[i, k], best[i, k]], _SCORES))
+    return pa.concat_tables(found) if found else _SCORES.empty_table()
 
 
 def _top(scores: DataFrame) -> DataFrame:
@@ -125,9 +138,10 @@ def fitted_centroids(table: DataFrame) -> np.ndarray:
             total, count = np.zeros(c.shape), np.zeros(len(c), np.int64)
             for batch in batches:
                 x = _matrix(batch.column(0))
-                at = _nearness(x, c).argmax(axis=1)
-                np.add.at(total, at, x)
-                count += np.bincount(at, minlength=len(c))
+                for run in _steps(len(x), len(c)):
+                    at = _nearness(x[run], c).argmax(axis=1)
+                    np.add.at(total, at, x[run])
+                    count += np.bincount(at, minlength=len(c))
             used = np.flatnonzero(count)
             yield pa.RecordBatch.from_pydict({"list": pa.array(used, pa.int64()), "n": count[used], "total": pa.array(list(total[used]), pa.list_(pa.float64()))})
 
@@ -146,9 +160,12 @@ def _lists_of(df: DataFrame, centroids: np.ndarray, count: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            near = -_nearness(_matrix(batch.column(f"x{FULL}")), shared.value)
-            lists = np.argsort(near, axis=1, kind="stable")[:, :count]
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in batch.schema.names}, "lists": pa.array(list(lists), pa.list_(pa.int64()))})
+            x = _matrix(batch.column(f"x{FULL}"))
+            for run in _steps(len(x), len(shared.value)):
+                lists = np.argsort(-_nearness(x[run], shared.value), axis=1, kind="stable")[:, :count]
+                ends = np.arange(0, lists.size + 1, lists.shape[1], dtype=np.int32)
+                own = batch.slice(run.start, run.stop - run.start)
+                yield pa.RecordBatch.from_pydict({**{c: own.column(c) for c in own.schema.names}, "lists": pa.ListArray.from_arrays(ends, lists.ravel())})
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, lists array<bigint>")
