@@ -20,6 +20,7 @@ from quire.operators.ranking import seeded_order, split_label
 
 TEMPERATURES = [0.2, 0.4, 0.6]
 TIE = 1e-12   # added before rounding: probabilities like 125/128 lie halfway between two results
+MOST_SUCCESSORS = 1 << 17      # of a context, for one window
 BUCKET_CHARS = 3               # leading characters that bucket a context's successors
 TOP_P_NUM, TOP_P_DEN = 9, 10   # keep while prior mass < 0.9 (integer arithmetic)
 
@@ -214,13 +215,30 @@ def temperature_probabilities(spark: SparkSession, sf_dir: str, lang: str | None
 def nucleus_filter(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
     """Top-p (0.9) per context over integer counts: keep while prior mass < 0.9.
 
-    Two levels, so that a context with very many successors is no single task: the
-    successors of a context fall into buckets in its order (count, then a token's first
-    characters), the running mass over the bucket table (a row per distinct bucket) offsets the running
-    mass inside each bucket."""
+    A context's successors are one window's rows where they are few. Contexts with more than MOST_SUCCESSORS of
+    them (not many: the list of these contexts is broadcast) go two levels, so that none is a single task."""
     bi = _lang_bigrams(spark, sf_dir, lang).withColumn("head", F.left("tok", F.lit(BUCKET_CHARS)))
     # what the joins below would ask of one branch only is asked of all, so that they share the counted bigrams
     bi = bi.where(F.col("lang").isNotNull() & F.col("ctx").isNotNull() & F.col("head").isNotNull())
+    busy = (bi.groupBy("lang", "ctx").agg(F.count_if(F.col("c") > 0).alias("n")).where(F.col("n") > MOST_SUCCESSORS)
+            .select("lang", "ctx", F.lit(True).alias("busy")))
+    bi = bi.join(F.broadcast(busy), ["lang", "ctx"], "left")
+    # by context first: it tells rows apart sooner than the language when they are sorted
+    order = Window.partitionBy("ctx", "lang").orderBy(F.col("c").desc(), "tok")
+    few = (bi.where(F.col("busy").isNull())
+           .withColumn("prior", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint"))
+           .withColumn("total", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).cast("bigint")))
+    return (few.drop("busy", "head").unionByName(_two_level_mass(bi.where("busy").drop("busy")))
+            .where(F.col("prior") * TOP_P_DEN < F.col("total") * TOP_P_NUM)
+            .select("lang", "ctx", "tok", "c", "prior", "total"))
+
+
+def _two_level_mass(bi: DataFrame) -> DataFrame:
+    """``bi`` (with ``head``) with each successor's prior mass and its context's total.
+
+    The successors of a context fall into buckets in its order (count, then a token's first
+    characters), the running mass over the bucket table (a row per distinct bucket) offsets the running
+    mass inside each bucket."""
     mass = bi.groupBy("lang", "ctx", "c", "head").agg(F.sum("c").alias("m"))
     # heads of one count, then counts: neither window meets a context's single successors
     by_count = mass.groupBy("lang", "ctx", "c").agg(F.sum("m").alias("mc"))
@@ -233,10 +251,8 @@ def nucleus_filter(spark: SparkSession, sf_dir: str, lang: str | None = None) ->
                .select("lang", "ctx", "c", "head", (F.col("above") + F.col("before")).alias("off"), "total"))
     inside = Window.partitionBy("lang", "ctx", "c", "head").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum("c").over(inside), F.lit(0))
-    b = (bi.withColumn("local", local).join(offsets, ["lang", "ctx", "c", "head"])
-         .withColumn("prior", (F.col("off") + F.col("local")).cast("bigint")))
-    return (b.where(F.col("prior") * TOP_P_DEN < F.col("total") * TOP_P_NUM)
-            .select("lang", "ctx", "tok", "c", "prior", "total"))
+    return (bi.withColumn("local", local).join(offsets, ["lang", "ctx", "c", "head"])
+            .withColumn("prior", (F.col("off") + F.col("local")).cast("bigint")).select("lang", "ctx", "tok", "c", "prior", "total"))
 
 
 def greedy_next(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
