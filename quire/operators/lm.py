@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from quire import tables
 from quire.functions import text as T
+from quire.functions.maps import may_be_in
+from quire.operators.backoff import train_side
 from quire.operators.ranking import seeded_order, split_label
 
 TEMPERATURES = [0.2, 0.4, 0.6]
+MAP_WORDS = 1 << 14   # longs of the map that tells a scan which ids may stand in several rows
 TIE = 1e-12   # added before rounding: probabilities like 125/128 lie halfway between two results
 MOST_SUCCESSORS = 1 << 17      # of a context, for one window
 BUCKET_CHARS = 3               # leading characters that bucket a context's successors
@@ -127,20 +130,35 @@ def perplexity_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round(F.exp(F.col("loss") / F.col("n_tokens")), 4).alias("perplexity"))
 
 
+def _heldout_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, in_train, in_valid, toks`` of each text: how often its words count on either side.
+
+    Texts are split by the seeded order of their ids. Which side a text is on shows in its id alone, so texts stay
+    where they are read. Only rows that share an id (each counts once for every row of it, on that row's side) meet
+    a table of ids; a map of fixed size tells the scan which rows those may be."""
+    d = tables.texts(spark, sf_dir, "doc_id", "text").where(F.col("doc_id").isNotNull())
+    ids = tables.table(spark, sf_dir, "documents", "doc_id")
+    rows = seeded_order(ids, "doc_id", name="rank", total="n_docs").select(
+        "doc_id", (split_label(F.col("rank"), F.col("n_docs")) == "train").alias("train"))
+    sides = rows.groupBy("doc_id").agg(F.count_if("train").alias("in_train"), F.count_if(~F.col("train")).alias("in_valid"))
+    shared = may_be_in(F.col("doc_id"), sides.where(F.col("in_train") + F.col("in_valid") > 1).select("doc_id"), MAP_WORDS)
+    train = train_side(ids).cast("bigint")
+    alone = d.where(~shared).select("doc_id", "text", train.alias("in_train"), (F.lit(1) - train).alias("in_valid"))
+    several = d.where(shared).join(sides, "doc_id").select("doc_id", "text", "in_train", "in_valid")
+    return alone.unionByName(several).select("doc_id", "in_train", "in_valid", T.words(F.lower(F.col("text"))).alias("toks"))
+
+
 def heldout_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per valid text: tokens and mean loss under the add-one unigram model of the train texts.
 
-    Texts are split by the seeded order of their ids; the model never counts a valid text. Tokens are
-    counted per text before they meet the model, so a frequent token is one row per text."""
-    d = tables.texts(spark, sf_dir, "doc_id", "text")
-    split = seeded_order(d.select("doc_id"), "doc_id", name="rank", total="n_docs").select(
-        "doc_id", split_label(F.col("rank"), F.col("n_docs")).alias("split"))
-    toks = d.select("doc_id", T.words(F.lower(F.col("text"))).alias("toks"))
-    counts = (explode_tokens(toks, "doc_id").groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("c"))
-              .join(split, "doc_id"))
-    model = counts.where(F.col("split") == "train").groupBy("tok").agg(F.sum("c").alias("n"))
+    The model never counts a valid text. Only valid tokens are counted per text before they meet the model, so a
+    frequent token is one row per text."""
+    toks = _heldout_words(spark, sf_dir)
+    model = (explode_tokens(toks.where("in_train > 0"), "in_train").groupBy("tok").agg(F.sum("in_train").alias("n")))
+    counts = (explode_tokens(toks.where("in_valid > 0"), "doc_id", "in_valid")
+              .groupBy("doc_id", "tok").agg(F.sum("in_valid").alias("c")))
     log_z = model.agg(F.log(F.sum("n") + F.count(F.lit(1)) + 1)).scalar()
-    scored = (counts.where(F.col("split") == "valid").join(model, "tok", "left")
+    scored = (counts.join(model, "tok", "left")
               .withColumn("loss", F.col("c") * (log_z - F.log(F.coalesce("n", F.lit(0)) + 1))))
     return (scored.groupBy("doc_id").agg(F.sum("c").alias("n_tokens"), F.sum("loss").alias("loss"))
             .select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), "loss"))
@@ -153,10 +171,18 @@ def heldout_text_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heldout_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token-weighted over all valid texts, in one row."""
-    g = heldout_loss(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n_tokens").alias("n"), F.sum("loss").alias("loss"))
-    mean = F.col("loss") / F.col("n")
-    return g.select("n_texts", F.col("n").cast("bigint").alias("n_tokens"), F.round(mean, 6).alias("mean_loss"), F.round(F.exp(mean), 4).alias("perplexity"))
+    """Token-weighted over all valid texts, in one row.
+
+    One count per token on either side says it all: Σ c·(ln Z − ln(n + 1)) over the valid tokens is ln Z·Σ c − Σ c·ln(n + 1)."""
+    toks = _heldout_words(spark, sf_dir)
+    per_tok = (explode_tokens(toks, "in_train", "in_valid").groupBy("tok")
+               .agg(F.sum("in_train").alias("n"), F.sum("in_valid").alias("c")))
+    g = per_tok.agg(F.sum("n").alias("N"), F.count_if(F.col("n") > 0).alias("V"), F.nullif(F.sum("c"), F.lit(0)).alias("C"),
+                    F.sum(F.col("c") * F.log(F.col("n") + 1)).alias("A"))
+    n_texts = toks.where("in_valid > 0").where(F.size("toks") > 0).agg(F.count_distinct("doc_id")).scalar()
+    mean = F.log(F.nullif(F.col("N"), F.lit(0)) + F.col("V") + 1) - F.col("A") / F.col("C")
+    return g.select(n_texts.alias("n_texts"), F.col("C").cast("bigint").alias("n_tokens"),
+                    F.round(mean, 6).alias("mean_loss"), F.round(F.exp(mean), 4).alias("perplexity"))
 
 
 def kl_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
