@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import math
 
 import numpy as np
@@ -138,3 +139,55 @@ def test_backoff_in_slices_equals_plain_loops(spark, tmp_path, monkeypatch):
     n = sum(asked.values())
     assert {r.n_tokens for r in got.values()} == {n}
     assert all(abs(got[k + 1].mean_loss - loss[k] / n) < 2e-6 for k in range(3))
+
+
+def test_top_p_of_few_and_of_busy_contexts(spark, tmp_path, monkeypatch):
+    """One window and two levels give the same rows as plain loops, whichever contexts go which way."""
+    from quire.operators import lm
+
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(rng.choice(["aa", "aab", "aabb", "b", "bbb", "c", "é"], rng.integers(0, 40)).tolist()), ["en", "de", None][i % 3]) for i in range(60)]
+    spark.createDataFrame([*texts, (90, None, "en")], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = collections.defaultdict(collections.Counter)
+    for _, text, lang in texts:
+        w = text.split()
+        for a, b in zip(w, w[1:]):
+            if lang:
+                counts[lang, a][b] += 1
+    want = set()
+    for (lang, ctx), after in counts.items():
+        prior, total = 0, sum(after.values())
+        for tok, c in sorted(after.items(), key=lambda x: (-x[1], x[0].encode())):
+            if prior * 10 < total * 9:
+                want.add((lang, ctx, tok, c, prior, total))
+            prior += c
+    for most in (0, 6, 100):  # all, some and none are busy
+        monkeypatch.setattr(lm, "MOST_SUCCESSORS", most)
+        assert {tuple(r) for r in lm.nucleus_filter(spark, str(tmp_path)).collect()} == want
+
+
+def test_held_out_texts_that_share_an_id(spark, tmp_path):
+    """A row counts once for every row of its id, on that row's side; rows without an id count nowhere."""
+    from quire.operators import lm
+    from quire.sources import literals as L
+
+    rng = np.random.default_rng(6)
+    ids = [*range(40), *range(0, 40, 3), *range(0, 40, 9), None]
+    texts = [(i, " ".join(rng.choice([*"abcdefg"], rng.integers(0, 12)).tolist())) for i in ids]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # a row without an id takes the first place of the order
+    order = [None, *sorted((i for i in ids if i is not None), key=lambda i: (hashlib.md5(f"{L.SHUFFLE_SEED}:{i}".encode()).hexdigest(), i))]
+    cut = math.floor(len(ids) * L.TRAIN_RATIO)
+    train, valid = collections.Counter(order[1:cut]), collections.Counter(order[cut:])
+    n, asked = collections.Counter(), collections.Counter()
+    for i, text in texts:
+        for w in text.split():
+            n[w] += train[i]
+            asked[i, w] += valid[i]
+    z = sum(n.values()) + sum(c > 0 for c in n.values()) + 1
+    loss = sum(c * math.log(z / (n[w] + 1)) for (_, w), c in asked.items())
+    total = sum(asked.values())
+    got = lm.heldout_perplexity(spark, str(tmp_path)).first()
+    assert (got.n_tokens, got.n_texts) == (total, len({i for (i, _), c in asked.items() if c}))
+    assert abs(got.mean_loss - loss / total) < 2e-6
+    assert sum(r.n_tokens for r in lm.heldout_text_perplexity(spark, str(tmp_path)).collect()) == total

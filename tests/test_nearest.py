@@ -51,3 +51,27 @@ def test_no_rows(spark, folder):
     sf = folder([])
     assert {r.recall_at_10 for r in n.neighbour_recall(spark, sf).collect()} == {None}
     assert {r.n_queries for r in n.neighbour_recall_lists(spark, sf).collect()} == {0}
+
+
+def test_a_tile_bounds_what_a_task_holds(spark, monkeypatch):
+    """Scores of a cell are never one matrix: a tile's size, not the cell's, says how many are held at once."""
+    x, _ = _rows()
+    back = {f"x{b}": [v.tolist() for v in x.astype(float)] for b in (n.FULL, *n.L.QUANT_BITS)}
+    table = n.pa.table({"vec_id": list(range(len(x))), **back})
+    whole = n._best(table, table.slice(0, 300))
+    held, real = [], np.partition
+
+    def partition(line, k):
+        held.append(line.base.size if line.base is not None else line.size)
+        return real(line, k)
+
+    monkeypatch.setattr(n, "TILE", 5000)
+    monkeypatch.setattr(n.np, "partition", partition)
+    assert n._best(table, table.slice(0, 300)).equals(whole)
+    assert held and max(held) <= 5000
+    centroids = x[:40].astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(float))], "vec_id bigint, x0 array<double>")
+    got = {r.vec_id: r.lists for r in n._lists_of(df, centroids, 3).collect()}
+    for i, v in enumerate(x.astype(float)):
+        near = np.round(v @ centroids.T - 0.5 * np.square(centroids).sum(axis=1), n.DIGITS)
+        assert got[i] == np.lexsort((np.arange(40), -near))[:3].tolist()

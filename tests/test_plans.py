@@ -134,3 +134,14 @@ def test_top_k_per_model_limits_before_the_shuffle(spark):
     assert exch and any(i > exch[0] for i in limits), tree
 
 
+def test_top_p_sorts_a_context_once(spark, no_broadcast):
+    """Contexts with few successors meet one window; the two levels see none but the busy ones."""
+    p = plan_text(QUERIES["nucleus_filter"](spark, SF_SMALL))
+    windows = re.findall(r"Arguments: \[.*?windowspecdefinition\((ctx#\d+, lang#\d+, c#\d+L? DESC[^,]*, tok#\d+)", p)
+    assert windows
+
+
+@pytest.mark.parametrize("name", ["heldout_perplexity", "run_summary"])
+def test_held_out_tokens_are_counted_without_their_text(spark, no_broadcast, name):
+    keys = hashed_by(plan_text(QUERIES[name](spark, SF_SMALL)))
+    assert any("tok#" in k for k in keys) and not any("doc_id#" in k and "tok#" in k for k in keys), keys
