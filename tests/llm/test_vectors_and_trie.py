@@ -148,6 +148,82 @@ def test_nearest_neighbours_of_no_and_one_row(spark):
     assert [tuple(r) for r in two] == [(10, 1, 11, 3.0)]
 
 
+def _cells(spark, x):
+    from quire.llm import neighbours as n
+
+    rows = spark.createDataFrame([(v.tolist(), [i]) for i, v in enumerate(x)], "vector array<double>, members array<long>").repartition(4)
+    longest = float(np.linalg.norm(x, axis=1).max())
+    return n._written(n._numbered(rows.mapInArrow(n._encode(x.shape[1], longest), n.CODES), len(x)), "test")
+
+
+def test_rounds_and_searches_send_a_row_for_each_pair_of_cells(spark):
+    from pyspark.sql import functions as F
+    from quire.llm import neighbours as n
+
+    x = np.random.default_rng(3).standard_normal((1500, 16))
+    codes = _cells(spark, x)
+    graph = n._written(n.first_graph(codes.select("cell", "node", "code", "scale", "extra", *n.KEYS), len(x), 24), "test")
+    better = n.improved(graph, 24, 1)
+    plan = better._jdf.queryExecution().executedPlan().toString()
+    # before: a row for each link and introduction, ranked by windows (Generate, Window)
+    assert not any(word in plan for word in ("Generate", "Window", "SortMergeJoin", "BroadcastHashJoin"))
+    cells = codes.select("cell").distinct().count()
+    links = graph.select("node", "near", "fresh").mapInArrow(n._backs(12, 1), "cell long, node binary, back binary, fresh binary")
+    assert 1 < cells and links.count() <= 32 * cells
+    assert links.agg(F.sum(F.length("back"))).first()[0] // 8 > 12 * len(x) / 2
+
+    # a node's list is of the right length, without itself and copies, best first, and a round makes it better
+    vector = {r.node: np.array(r.vector) for r in codes.select("node", "vector").collect()}
+    longest = max(map(np.linalg.norm, vector.values()))
+    full = lambda v: np.append(v, math.sqrt(max(0, longest ** 2 - v @ v))) / longest
+    sums = []
+    for table in (graph, better):
+        total = 0
+        for r in table.collect():
+            near, score = np.frombuffer(r.near, np.int64), np.frombuffer(r.score, np.float32)
+            assert len(near) == len(set(near)) == 24 and r.node not in near and (np.diff(score) <= 1e-5).all()
+            assert r.new == sum(r.fresh)
+            if r.node % 50 == 0:
+                assert np.allclose(score, [full(vector[r.node]) @ full(vector[i]) for i in near], atol=5e-3)
+            total += score.sum()
+        sums.append(total)
+    assert sums[1] > sums[0]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3000])
+def test_packed_sorts_equal_plain_ones(n):
+    from quire.llm import neighbours as nb
+
+    rng = np.random.default_rng(n)
+    group, score = rng.integers(0, 7, n), rng.choice(rng.standard_normal(400), n).astype(np.float32)
+    for ids in (rng.integers(0, 300, n), rng.integers(0, 1 << 46, n) >> rng.integers(0, 40, n)):
+        for bits in (12, 48):  # 48: few bits are left for the ids, so that some look the same
+            first = nb._first_of_each(group, bits, ids)
+            seen = {}
+            for i, pair in enumerate(zip(group.tolist(), ids.tolist())):
+                seen.setdefault(pair, i)
+            assert sorted(first.tolist()) == sorted(seen.values()) and (np.diff(group[first]) >= 0).all()
+        of = lambda at: sorted((g, -round(float(s), 4)) for g, s in zip(group[at], score[at]))
+        want = []
+        for g in range(7):
+            want += sorted((i for (h, _), i in seen.items() if h == g), key=lambda i: -score[i])[:5]
+        best = nb._top(group, 12, ids, score, 5)
+        assert of(best) == of(np.array(want, int)) and (np.diff(group[best]) >= 0).all()
+        down = nb._descending(np.array([np.inf, 2.5, 1e-30, 0.0, -0.0, -1e-30, -2.5, -np.inf]))[0]
+        assert (np.diff(down) >= 0).all() and down[3] == down[4]
+    order = nb._in_order((group, 3))
+    assert order.tolist() == np.argsort(group, kind="stable").tolist()
+
+
+def test_best_of_rows_with_ties_are_no_more_than_asked():
+    from quire.llm.neighbours import _best_of
+
+    scores = np.array([[1, 1, 1, 1, 0], [5, 4, 3, 2, 1], [-np.inf, -np.inf, 2, -np.inf, -np.inf]], np.float32)
+    row, col = _best_of(scores, 2)
+    assert row.tolist() == [0, 0, 1, 1, 2] and (scores[row, col] == [1, 1, 5, 4, 2]).all()
+    assert len(_best_of(scores, 9)[0]) == 11
+
+
 # ---------------------------------------------------------------- prefix trie
 
 TURNS = "conv_id bigint, turn bigint, role string, text string, block int, depth int, pa bigint, level int, t1 string, n1 int, digest string, size int"
